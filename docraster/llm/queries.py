@@ -17,3 +17,12 @@ def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_kneser_ney": op1_kneser_ney}
 ORACLE: dict[str, str] = {}
+
+
+def op6_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docraster.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op6_simhash_golay"] = op6_simhash_golay

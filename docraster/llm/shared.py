@@ -12,6 +12,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,7 +100,7 @@ def batches_of(batch: pa.RecordBatch, column: str = "text", size: int = 4 << 20)
 
 
 def offsets_of(texts: pa.Array) -> np.ndarray:
-    lengths = np.asarray(pa.compute.binary_length(texts).fill_null(0), np.int64)
+    lengths = np.asarray(pc.binary_length(texts).fill_null(0), np.int64)
     return np.concatenate([[0], np.cumsum(lengths)])
 
 
