@@ -26,3 +26,18 @@ def op6_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_simhash_golay"] = op6_simhash_golay
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docraster.llm.language import VOCABULARY, predicted_documents
+
+    return predicted_documents(table(spark, sf_dir, "documents"), vocabulary(VOCABULARY))
+
+
+QUERIES["op10_language"] = op10_language
