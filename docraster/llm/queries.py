@@ -67,3 +67,12 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit,0)::BIGINT AS n_hit,
        sha256(coalesce(items,'')) AS items_sha256, coalesce(n_hit,0) > 0 AND 20*coalesce(n_hit,0) >= len(w) AS contaminated
 FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
 """
+
+
+def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docraster.llm.packing import packed_pieces
+
+    return packed_pieces(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+QUERIES["op5_best_fit"] = op5_best_fit
