@@ -76,3 +76,21 @@ def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_best_fit"] = op5_best_fit
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docraster.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES["op4_warc"] = op4_warc
+#: Base32 of the digest by way of its bits, five at a time.
+ORACLE["op4_warc"] = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+x AS (SELECT h, max(page_id) AS keeper FROM p GROUP BY h),
+d AS (SELECT h, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (v >> (15 - 5 * k)) % 32, 1), '' ORDER BY i, k) AS payload_digest
+      FROM (SELECT h, i, k, ('0x' || substr(h, 5 * i + 1, 5))::INT AS v FROM x, range(8) AS r(i), range(4) AS s(k)) GROUP BY h)
+SELECT page_id, strlen(body)::BIGINT AS payload_bytes, payload_digest, CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> keeper THEN keeper END AS refers_to FROM p JOIN x USING (h) JOIN d USING (h)
+"""

@@ -54,7 +54,7 @@ def write_file(uri: str, parts) -> int:
     where, path = filesystem(uri)
     where.create_dir(path.rpartition("/")[0], recursive=True)
     mine, size = f"{path}.{uuid.uuid4().hex}", 0
-    with where.open_output_stream(mine) as out:
+    with where.open_output_stream(mine, compression=None) as out:
         for part in parts:
             out.write(part)
             size += len(part)
@@ -73,7 +73,7 @@ def mapped(uri: str, dtype) -> np.ndarray:
     if not isinstance(where, fs.LocalFileSystem):
         if uri not in _LOCAL:
             mine = os.path.join(tempfile.mkdtemp(prefix="docraster-"), os.path.basename(path))
-            with where.open_input_stream(path) as src, open(mine, "wb") as out:
+            with where.open_input_stream(path, compression=None) as src, open(mine, "wb") as out:
                 while block := src.read(1 << 22):
                     out.write(block)
             _LOCAL[uri] = mine
