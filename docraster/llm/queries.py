@@ -94,3 +94,39 @@ d AS (SELECT h, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (v >>
 SELECT page_id, strlen(body)::BIGINT AS payload_bytes, payload_digest, CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> keeper THEN keeper END AS refers_to FROM p JOIN x USING (h) JOIN d USING (h)
 """
+
+
+URL_RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
+
+
+def op8_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled outcomes: a page is bad where the label with its number has quality 0."""
+    from docraster.llm.reputation import judged
+
+    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).cast("int").alias("bad"))
+    return judged(table(spark, sf_dir, "pages"), outcomes, URL_RULES)
+
+
+QUERIES["op8_reputation"] = op8_reputation
+#: The same estimates; the tables' hosts have suffixes of one label.
+ORACLE["op8_reputation"] = r"""
+WITH u AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(coalesce(rest,''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(coalesce(rest,''), '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+h AS (SELECT host, count(quality) AS n, count(*) FILTER (quality = 0) AS bad, string_split(host, '.')[-1] AS suffix,
+             array_to_string(string_split(host, '.')[-2:], '.') AS domain FROM p LEFT JOIN labels ON page_id = doc_id GROUP BY host),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY domain, suffix),
+s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY suffix),
+lv AS (SELECT 'h' AS l, n, bad FROM h WHERE n > 0 UNION ALL SELECT 'd', n, bad FROM d WHERE n > 0 UNION ALL SELECT 's', n, bad FROM s WHERE n > 0),
+m AS (SELECT l, count(*) AS g, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS bad, sum(n*n)::DOUBLE AS nn, sum(bad*bad/n::DOUBLE) AS b FROM lv GROUP BY l),
+r AS (SELECT l, bad / n AS pr, g, n, bad, (b - n*(bad/n)*(bad/n) - (bad/n)*(1-bad/n)*(g-1)) / nullif((bad/n)*(1-bad/n)*(n - nn/n - (g-1)), 0) AS rho FROM m),
+k AS (SELECT l, pr, CASE WHEN g < 2 OR bad = 0 OR bad = n OR coalesce(rho, 0) <= 1.0/10001 THEN 10000 ELSE greatest(1.0, 1/rho - 1) END AS k FROM r),
+sp AS (SELECT suffix, (s.bad + k.k * k.pr) / (s.n + k.k) AS prior FROM s, k WHERE k.l = 's'),
+dp AS (SELECT domain, suffix, (d.bad + k.k * sp.prior) / (d.n + k.k) AS prior FROM d JOIN sp USING (suffix), k WHERE k.l = 'd'),
+hp AS (SELECT host, h.n, k.k, (h.bad + k.k * dp.prior) / (h.n + k.k) AS rate FROM h JOIN dp USING (domain, suffix), k WHERE k.l = 'h'),
+hv AS (SELECT host, CASE WHEN rate - 1.645 * sqrt(rate * (1 - rate) / (n + k + 1)) > 0.5 THEN 'block' ELSE 'allow' END AS own FROM hp),
+rules AS (SELECT * FROM (VALUES ('com/en/', 'block'), ('example.com/en/7', 'allow'), ('net/de/', 'allow'), ('example.net/de/8', 'block'), ('org/es/', 'block')) AS t(rule, v)),
+f AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(v, length(rule)) AS v FROM p, rules
+      WHERE (host = split_part(rule, '/', 1) OR host LIKE '%.' || split_part(rule, '/', 1)) AND starts_with(path, substr(rule, position('/' IN rule))) GROUP BY page_id)
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.v, hv.own, 'allow') AS verdict FROM p LEFT JOIN f USING (page_id) LEFT JOIN hv USING (host)
+"""
