@@ -130,3 +130,12 @@ f AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(v, length(rul
       WHERE (host = split_part(rule, '/', 1) OR host LIKE '%.' || split_part(rule, '/', 1)) AND starts_with(path, substr(rule, position('/' IN rule))) GROUP BY page_id)
 SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.v, hv.own, 'allow') AS verdict FROM p LEFT JOIN f USING (page_id) LEFT JOIN hv USING (host)
 """
+
+
+def op7_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docraster.llm.neighbours import neighbours
+
+    return neighbours(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op7_adaptive_scan"] = op7_adaptive_scan
