@@ -139,3 +139,12 @@ def op7_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_adaptive_scan"] = op7_adaptive_scan
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docraster.llm.toxicity import scored_documents
+
+    return scored_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES["op2_toxicity"] = op2_toxicity

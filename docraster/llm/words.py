@@ -11,6 +11,9 @@ import pyarrow.compute as pc
 #: ASCII white space: \x20 and \x09-\x0D.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: All of ASCII but letters and digits.
+NOT_ALNUM = np.zeros(256, bool)
+NOT_ALNUM[:128] = [not chr(i).isalnum() for i in range(128)]
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x41:0x5B] += 32
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -45,6 +48,14 @@ class Words:
     starts: np.ndarray  # of each word
     ends: np.ndarray
     per_doc: np.ndarray  # index of each text's first word, and the number of words
+    punctuated: bool = False  # bytes between words may be other than white space
+
+    def gaps(self) -> np.ndarray:
+        """Bytes outside words."""
+        edge = np.zeros(len(self.data) + 1, np.int8)
+        edge[self.starts] += 1
+        edge[self.ends] -= 1
+        return np.cumsum(edge, dtype=np.int8)[:-1] == 0
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word, A-Z taken as a-z."""
@@ -56,12 +67,14 @@ class Words:
         longest = int((self.ends - self.starts).max())
         np.minimum(at, longest, out=at)
         terms = _VALUE[self.data]
+        if self.punctuated:
+            terms[self.gaps()] = 0
         terms *= powers(longest + 1)[at]
         return mix(np.add.reduceat(terms, self.starts) + (self.ends - self.starts).astype(np.uint64) * _STEP)
 
 
-def words_of(texts: pa.Array) -> Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of each text; null counts as empty."""
+def words_of(texts: pa.Array, breaks: np.ndarray = SPACE) -> Words:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of each text, or runs of bytes outside ``breaks``; null counts as empty."""
     texts = texts.fill_null("").cast(pa.large_string())
     joined = pc.binary_join_element_wise(texts, pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string()))
     docs = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(joined), np.int64))])
@@ -70,7 +83,7 @@ def words_of(texts: pa.Array) -> Words:
         return Words(np.zeros(0, np.uint8), docs, none, none, np.zeros(1, np.int64))
     first = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset]
     data = np.frombuffer(joined.buffers()[2], np.uint8)[first : first + docs[-1]]
-    space = SPACE[data]
+    space = breaks[data]
     before = np.concatenate([[True], space[:-1]])
     starts, ends = np.flatnonzero(before & ~space), np.flatnonzero(space & ~before)
-    return Words(data, docs, starts, ends, np.searchsorted(starts, docs))
+    return Words(data, docs, starts, ends, np.searchsorted(starts, docs), breaks is not SPACE)
