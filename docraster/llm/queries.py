@@ -148,3 +148,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_toxicity"] = op2_toxicity
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docraster.llm.quality import scored_documents
+
+    return scored_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES["op3_quality"] = op3_quality
