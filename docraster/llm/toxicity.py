@@ -56,7 +56,7 @@ class Net:
     def fresh(cls, words: np.ndarray, seed: int = 3) -> "Net":
         rng = np.random.default_rng(seed)
         g = lambda *s: rng.standard_normal(s).astype(np.float32) * (0.3 if len(s) == 1 or s[0] > 100 else 1 / np.sqrt(s[0]))
-        p = {"word": g(len(words) + 2, WORD_DIM) * 0.3, "char": g(TRIGRAMS, CHAR_DIM)}
+        p = {"word": g(len(words) + 2, WORD_DIM) * 0.3, "char": g(TRIGRAMS, CHAR_DIM) * 0.1}
         for way in "fb":
             p |= {f"x{way}": g(WORD_DIM + CHAR_DIM, 3 * HIDDEN), f"c{way}": np.zeros(3 * HIDDEN, np.float32), f"h{way}": g(HIDDEN, 3 * HIDDEN)}
         p |= {"att": g(2 * HIDDEN, HIDDEN), "att_v": g(HIDDEN), "out": g(2 * HIDDEN), "bias": np.zeros(1, np.float32)}
@@ -215,7 +215,7 @@ def top_windows(net: Net, windows: np.ndarray, ids: np.ndarray, grams: np.ndarra
     return np.concatenate([net.forward(table, windows[i : i + block])[0] for i in range(0, len(windows), block)]) if len(windows) else np.zeros(0, np.float32)
 
 
-def fit(sample: list[tuple[str, int]], seed: int = 5, batch: int = 256, warm_steps: int = 160, rounds: int = 3) -> Net | None:
+def fit(sample: list[tuple[str, int]], seed: int = 5, batch: int = 256, warm_steps: int = 160, rounds: int = 3, passes: int = 3, repeats: int = 32) -> Net | None:
     if len({y for _, y in sample}) < 2:
         return None
     rng = np.random.default_rng(seed)
@@ -230,15 +230,18 @@ def fit(sample: list[tuple[str, int]], seed: int = 5, batch: int = 256, warm_ste
     adam = Adam(net.p, 0.02)
 
     def step(rows: np.ndarray) -> None:
-        """One step on some windows, over the words in them only."""
-        used, code = np.unique(windows[rows], return_inverse=True)
+        """One step on some windows, and on a few that repeat a word of a clean text, over the words in them only."""
+        clean = windows[rng.choice(sides[0], repeats), 0]
+        some = np.concatenate([windows[rows], np.repeat(clean[:, None], WIDTH, axis=1)])
+        used, code = np.unique(some, return_inverse=True)
         own = used[used > 0] - 1
         begins = np.append(first, len(grams))
         size = begins[own + 1] - begins[own]
         starts = np.cumsum(size) - size
         pick = np.arange(size.sum()) - np.repeat(starts, size) + np.repeat(begins[own], size)
         shift = 0 if used[0] == 0 else 1
-        _, g = net.gradient(code.reshape(len(rows), WIDTH) + shift, ids[own], grams[pick], starts, labels[doc[rows]])
+        y = np.concatenate([labels[doc[rows]], np.zeros(repeats, np.float32)])
+        _, g = net.gradient(code.reshape(some.shape) + shift, ids[own], grams[pick], starts, y)
         adam.step(g)
 
     sides = [np.flatnonzero(labels[doc] == y) for y in (0, 1)]
@@ -252,8 +255,9 @@ def fit(sample: list[tuple[str, int]], seed: int = 5, batch: int = 256, warm_ste
         order = np.lexsort((-logit, doc))
         best = order[np.flatnonzero(np.diff(doc[order], prepend=-1))]  # each text's highest window
         rows = np.concatenate([best, rng.choice(sides[0], len(best))])
-        for some in np.array_split(rng.permutation(rows), max(1, len(rows) // batch)):
-            step(some)
+        for _ in range(passes):
+            for some in np.array_split(rng.permutation(rows), max(1, len(rows) // batch)):
+                step(some)
     return net
 
 
