@@ -1,4 +1,67 @@
-STAGES = []
+"""From raw documents to packed training sequences.
+
+Language ID, quality, near-duplicates, decontamination and packing, in this order. Each stage reads what its
+predecessor kept (written as Parquet), learns what it must from that and from the tables beside it, and returns
+whole documents; the last one returns the pieces of the packed sequences.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docraster.llm import decontaminate, language, packing, quality, simhash
+from docraster.llm.queries import table, vocabulary
+from docraster.llm.shared import kept
+
+#: A language is accepted from this posterior on.
+SURE = 0.5
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a letter, and those whose language is not clear among the learnt ones."""
+    model = language.train(docs, vocabulary(language.VOCABULARY))
+    found = language.predict(docs, model)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select(*docs.columns)
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that the quality classifier does not call good."""
+    net, share = quality.train(docs, table(spark, sf_dir, "labels"))
+    if net is None:  # nothing to learn a rejection from
+        return docs
+    return quality.score(docs, net, share).where(F.col("quality_score") >= quality.THRESHOLD).select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates."""
+    return simhash.one_of_each(docs).select(*docs.columns)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes documents that hold too much of the benchmark."""
+    return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences."""
+    return packing.packed_pieces(docs, vocabulary("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language", known_language),
+    ("quality", good_quality),
+    ("near-duplicates", one_of_each_group),
+    ("decontamination", without_benchmark),
+    ("packing", packed),
+]
+
+#: Learnt models, fingerprints and token ids are beyond SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = kept(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

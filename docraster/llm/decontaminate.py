@@ -48,16 +48,20 @@ def windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
     return w.select("item_id", "length", _window(F.col("w"), F.col("first"), F.col("length")).alias("body"), key.alias("key")).distinct()
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, most_windows: int = MOST_WINDOWS) -> tuple[DataFrame, DataFrame]:
-    """Each document as (row, doc_id, n_words, found), found being the verified windows in it as
-    (first, length, body) in order; and the windows of the benchmark."""
+NONE = "array<struct<first:int,length:int,body:string>>"
+
+
+def with_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, most_windows: int = MOST_WINDOWS) -> tuple[DataFrame, DataFrame]:
+    """Each document as (d, n_words, found): d holds its columns, found the verified windows in it as
+    (first, length, body) in order. And the windows of the benchmark."""
     known = kept(windows(benchmark, width), "windows")
     by_length = {r["length"]: r["n"] for r in known.groupBy("length").agg(F.countDistinct("body").alias("n")).collect()}
-    base = docs.select("doc_id", words(F.col("text")).alias("w"))
-    none = F.array().cast("array<struct<first:int,length:int,body:string>>")
-    if not by_length:
-        found = none
-    elif sum(by_length.values()) <= most_windows:
+    # a generator's result is never computed anew inside the expressions and filters above it
+    base = docs.select(F.struct("*").alias("d"), F.explode(F.array(words(F.col("text")))).alias("w"))
+    if by_length and sum(by_length.values()) > most_windows:
+        return _joined(base, known, sorted(by_length)), known
+    found = F.array().cast(NONE)
+    if by_length:
         keys: dict[int, list] = {}
         bodies = []
         for r in known.select("length", "key", F.xxhash64("body").alias("body")).distinct().collect():
@@ -65,10 +69,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, most_windows
             bodies.append(r["body"])
         found = F.concat(*(_found(F.col("w"), length, keys[length], bodies) for length in sorted(keys)))
         found = F.array_sort(found) if len(keys) > 1 else found
-    else:
-        return _joined(base, known, sorted(by_length)), known
-    rows = base.select("doc_id", F.size("w").alias("n_words"), found.alias("found"))
-    return kept(rows.select(F.monotonically_increasing_id().alias("row"), "*"), "hits"), known
+    return base.select("d", F.size("w").alias("n_words"), F.explode(F.array(found)).alias("found")), known
 
 
 def _found(w: Column, length: int, keys: list[int], bodies: list[int]) -> Column:
@@ -80,7 +81,7 @@ def _found(w: Column, length: int, keys: list[int], bodies: list[int]) -> Column
 
 
 def _joined(base: DataFrame, known: DataFrame, lengths: list[int]) -> DataFrame:
-    """The way for large benchmarks: all windows of the documents are dealt by their key and joined."""
+    """The way for large benchmarks: all windows of the documents are dealt by their words and joined."""
     base = kept(base.select(F.monotonically_increasing_id().alias("row"), "*"), "words")
     each = None
     for n in lengths:
@@ -89,8 +90,7 @@ def _joined(base: DataFrame, known: DataFrame, lengths: list[int]) -> DataFrame:
         each = own if each is None else each.union(own)
     matched = each.join(known.select("body", "length").distinct(), ["body", "length"]).groupBy("row")
     matched = matched.agg(F.array_sort(F.collect_list(F.struct("first", "length", "body"))).alias("found"))
-    none = F.array().cast("array<struct<first:int,length:int,body:string>>")
-    return kept(base.join(matched, "row", "left").select("row", "doc_id", F.size("w").alias("n_words"), F.coalesce("found", none).alias("found")), "hits")
+    return base.join(matched, "row", "left").select("d", F.size("w").alias("n_words"), F.coalesce("found", F.array().cast(NONE)).alias("found"))
 
 
 def spans(found: Column) -> Column:
@@ -122,7 +122,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, sha
 
     A document is contaminated if at least one in ``share`` of its words is hit.
     """
-    rows, known = hits(docs, benchmark, width, most_windows)
+    rows, known = with_hits(docs, benchmark, width, most_windows)
+    rows = kept(rows.select(F.monotonically_increasing_id().alias("row"), "d.doc_id", "n_words", "found"), "hits")
     counted = rows.select("row", "doc_id", F.col("n_words").cast("long").alias("n_words"), n_hit(F.col("found")).cast("long").alias("n_hit"), "found")
     some = counted.where(F.size("found") > 0)
     pairs = some.select("row", F.explode("found").alias("s")).select("row", F.col("s.body").alias("body"), F.col("s.length").alias("length")).distinct()
@@ -132,3 +133,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, sha
     clean = counted.where(F.size("found") == 0).select("doc_id", "n_words", "n_hit", F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<from:int,to:int>>").alias("spans"))
     out = some.unionByName(clean)
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "spans")
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: int = SHARE, most_windows: int = MOST_WINDOWS) -> DataFrame:
+    """The documents, whole and with all their columns, that are not contaminated."""
+    rows, _ = with_hits(docs, benchmark, width, most_windows)
+    n = n_hit(F.col("found"))
+    return rows.where((n == 0) | (share * n < F.col("n_words"))).select("d.*")

@@ -262,3 +262,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(smallest, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents, whole, of which one of each component stays: that with the smallest doc_id (the first, if tied)."""
+    rows = kept(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("d")), "rows")
+    groups = near_duplicates(rows.select(F.col("row").alias("doc_id"), F.col("d.text").alias("text")))
+    groups = groups.select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
+    named = groups.join(rows.select("row", "d.doc_id"), "row").groupBy("component")
+    keep = named.agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("row")).select("row")
+    return rows.join(keep, "row", "left_semi").select("d.*")
