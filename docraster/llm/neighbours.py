@@ -3,7 +3,8 @@
 With one more component, sqrt(M^2 - |x|^2) for the largest norm M, the largest inner product is the smallest
 Euclidean distance. The longer vectors are rotated at random, so that the distance over the first d of D components
 estimates the whole: a candidate is abandoned as soon as sqrt(D / d) times its partial distance exceeds
-(1 + e / sqrt(d)) times the query's distance to its k-th best so far (a hypothesis test that errs rarely).
+1 + e * sqrt((1 - d / D) / d) times the query's distance to its k-th best so far (a hypothesis test that errs
+rarely). A query's nearest list is searched first, and its k-th best there is the first bound in all others.
 Vectors are dealt to lists around centroids that are fitted on a bounded sample; a query probes the lists nearest
 to it, as many as find ``recall`` of the sample's own nearest on average (half of all lists where vectors have no
 structure, a few where they cluster). What is not abandoned is scored exactly, in double precision on the vectors as given.
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from docraster.llm.shared import kept
 
 K, QUERY_EVERY = 20, 20
-SAMPLE, PER_LIST, MOST_LISTS, RECALL = 20_000, 400, 4_096, 0.96
-BLOCK, EPSILON, COLUMNS, CHUNK = 4_000, 2.1, 16, 512
+SAMPLE, PER_LIST, MOST_LISTS, RECALL = 20_000, 1_000, 4_096, 0.96
+BLOCK, EPSILON, COLUMNS, CHUNK = 4_000, 1.0, 16, 512
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -84,56 +85,69 @@ class Space:
 
     @staticmethod
     def nearest(x: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
-        """The n nearest centroids of each row."""
+        """The n nearest centroids of each row, nearest first."""
         out, half = [], (c * c).sum(1) / 2
         for part in np.array_split(x, max(1, len(x) // 2000)):
             far = half - part @ c.T
-            out.append(np.argpartition(far, n - 1, axis=1)[:, :n] if n < len(c) else np.tile(np.arange(len(c)), (len(part), 1)))
+            out.append(far.argmin(1)[:, None] if n == 1 else np.argsort(far, axis=1)[:, :n])
         return np.concatenate(out)
 
 
-def scan(ids: np.ndarray, v: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def scan(ids: np.ndarray, v: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, y: np.ndarray, floor: np.ndarray, k: int, norm: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best candidates of each query in one block: (query row, vec_id, score).
 
-    v and q are the vectors as given, x and y the rotated ones. Candidates come in the order of their ids, a chunk
-    at a time and column block by column block.
+    v and q are the vectors as given, x and y the rotated ones; floor is the score of a query's k-th best so far.
+    Candidates come a chunk at a time and column block by column block: for all pairs while many are left, then
+    for those alone that no test has abandoned.
     """
-    order = np.argsort(ids, kind="stable")
-    ids, v, x = ids[order], v[order], x[order]
-    dims = x.shape[1]
-    score, best = np.full((len(q), k), -np.inf), np.full((len(q), k), -1, np.int64)
-    limit = np.full(len(q), np.inf)  # squared distance of the k-th best
-    norms = (x * x).sum(1)
-    y_norms = (y * y).sum(1)
+    dims, y_norms = x.shape[1], (y * y).sum(1)
+    limit = y_norms + norm**2 - 2 * floor  # squared distance = |y|^2 + M^2 - 2 <q, v>
+    slack = 1e-9 * (1 + norm**2 + y_norms)
+    rows, names, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     for at in range(0, len(ids), CHUNK):
         part = slice(at, at + CHUNK)
         c_ids, c = ids[part], x[part]
-        # the first columns of all pairs at once
-        d = min(COLUMNS, dims)
-        near = (y[:, :d] ** 2).sum(1)[:, None] + (c[:, :d] ** 2).sum(1) - 2 * y[:, :d] @ c[:, :d].T
-        qi, ci = np.nonzero((near * (dims / d) <= limit[:, None] * (1 + EPSILON / np.sqrt(d)) ** 2 + 1e-9) & (q_ids[:, None] != c_ids))
-        far = near[qi, ci]
-        while d < dims and len(qi):  # the others of the pairs that are left
+        far = np.where(q_ids[:, None] == c_ids, np.inf, 0.0)
+        pairs = None
+        for d in range(0, dims, COLUMNS):
             e = min(d + COLUMNS, dims)
-            gap = y[qi, d:e] - c[ci, d:e]
-            far, d = far + np.einsum("ij,ij->i", gap, gap), e
-            most = limit[qi] * ((1 + EPSILON / np.sqrt(d)) ** 2 if d < dims else 1) * (d / dims)
-            stay = far <= most + 1e-9 * (1 + norms[at + ci] + y_norms[qi])
-            qi, ci, far = qi[stay], ci[stay], far[stay]
+            yb, cb = y[:, d:e], c[:, d:e]
+            if pairs is None:
+                far += (yb * yb).sum(1)[:, None] + (cb * cb).sum(1) - 2 * yb @ cb.T
+            else:
+                gap = yb[pairs[0]] - cb[pairs[1]]
+                far = far + np.einsum("ij,ij->i", gap, gap)
+            test = (1 + EPSILON * np.sqrt((1 - e / dims) / e)) ** 2 * e / dims
+            if pairs is None:
+                stay = far <= (limit * test + slack)[:, None]
+                if np.count_nonzero(stay) * 20 < stay.size or e == dims:
+                    pairs = np.nonzero(stay)
+                    far = far[pairs]
+            else:
+                stay = far <= (limit * test + slack)[pairs[0]]
+                pairs, far = (pairs[0][stay], pairs[1][stay]), far[stay]
+        open_rows = np.flatnonzero(np.isinf(limit))
+        if len(open_rows) and len(pairs[0]):  # no bound yet: only what is among the chunk's own k nearest, ties included
+            order = np.lexsort((far, pairs[0]))
+            qi, far_in_order = pairs[0][order], far[order]
+            first = np.searchsorted(qi, np.arange(len(q)))
+            last = np.minimum(first + k - 1, np.searchsorted(qi, np.arange(len(q)), "right") - 1)
+            bound = np.where(last >= first, far_in_order[np.clip(last, 0, len(qi) - 1)], np.inf)
+            keep = far <= np.where(np.isinf(limit), bound + slack, np.inf)[pairs[0]]
+            pairs = (pairs[0][keep], pairs[1][keep])
+        qi, ci = pairs
         if not len(qi):
             continue
-        exact = np.full((len(q), len(c_ids)), -np.inf)
-        exact[qi, ci] = (q[qi] * v[part][ci]).sum(1)
-        rows = np.unique(qi)
-        both = np.concatenate([score[rows], exact[rows]], 1)
-        names = np.concatenate([best[rows], np.tile(c_ids, (len(rows), 1))], 1)
-        top = np.argsort(-both, axis=1, kind="stable")[:, :k]  # stable: earlier columns have smaller ids
-        score[rows], best[rows] = np.take_along_axis(both, top, 1), np.take_along_axis(names, top, 1)
-        full = rows[np.isfinite(score[rows, -1])]
-        # squared distance = |y|^2 + M^2 - 2 <q, v>, and |x| = M for all
-        limit[full] = np.maximum(y_norms[full] + norms.max() - 2 * score[full, -1], 0)
-    qi, place = np.nonzero(np.isfinite(score))
-    return qi, best[qi, place], score[qi, place]
+        rows, names = np.concatenate([rows, qi]), np.concatenate([names, c_ids[ci]])
+        scores = np.concatenate([scores, (q[qi] * v[part][ci]).sum(1)])
+        order = np.lexsort((names, -scores, rows))
+        rows, names, scores = rows[order], names[order], scores[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        stay = place < k
+        full = place == k - 1
+        limit[rows[full]] = np.minimum(limit[rows[full]], y_norms[rows[full]] + norm**2 - 2 * scores[full])
+        rows, names, scores = rows[stay], names[stay], scores[stay]
+    return rows, names, scores
 
 
 def neighbours(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, recall: float = RECALL, sample: int = SAMPLE, per_list: int = PER_LIST) -> DataFrame:
@@ -164,19 +178,13 @@ def neighbours(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, r
         for batch in batches:
             if batch.num_rows:
                 near = s.nearest(s.queries(matrix(batch.column("v"))).astype(np.float32), s.centroids, probes)
-                at = np.repeat(np.arange(batch.num_rows), near.shape[1])
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(at)), batch.column("v").take(pa.array(at)), pa.array(near.ravel().astype(np.int32))], ["vec_id", "v", "list"])
+                at, place = np.indices(near.shape, np.int32).reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(at)), batch.column("v").take(pa.array(at)), pa.array(near.ravel().astype(np.int32)), pa.array(place)], ["vec_id", "v", "list", "place"])
 
     dealt = kept(v.mapInArrow(deal, "vec_id long, v array<double>, list int"), "lists")
-    asked = kept(v.where(F.pmod("vec_id", F.lit(query_every)) == 0).mapInArrow(probe, "vec_id long, v array<double>, list int"), "queries")
-    # blocks of vectors and of queries in each list: at most MOST_LISTS rows
-    sizes = dealt.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    sizes = sizes.join(asked.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("asks")), "list")
-    sizes = F.broadcast(kept(sizes, "sizes"))
-    salt = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = dealt.join(sizes, "list").withColumn("block", salt("blocks", 1)).withColumn("ask", every("asks")).select("list", "block", "ask", "vec_id", "v")
-    right = asked.join(sizes, "list").withColumn("ask", salt("asks", 2)).withColumn("block", every("blocks")).select("list", "block", "ask", "vec_id", "v")
+    asked = kept(v.where(F.pmod("vec_id", F.lit(query_every)) == 0).mapInArrow(probe, "vec_id long, v array<double>, list int, place int"), "queries")
+    counts = dealt.groupBy("list").agg(F.count("*").alias("n"))
+    keys = ["list", "block", "ask"]
 
     def search(found, wanted):
         if not found.num_rows or not wanted.num_rows:
@@ -184,10 +192,23 @@ def neighbours(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, r
         s = space.value
         ids, q_ids = (np.asarray(t.column("vec_id").combine_chunks(), np.int64) for t in (found, wanted))
         own, q = (matrix(t.column("v").combine_chunks()) for t in (found, wanted))
-        qi, best, score = scan(ids, own, s.vectors(own), q_ids, q, s.queries(q), k)
+        floor = np.asarray(wanted.column("floor").combine_chunks(), np.float64)
+        qi, best, score = scan(ids, own, s.vectors(own), q_ids, q, s.queries(q), floor, k, s.norm)
         return pa.table({"query_id": pa.array(q_ids[qi]), "vec_id": pa.array(best), "score": pa.array(score)})
 
-    keys = ["list", "block", "ask"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, out_schema)
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    def searched(questions: DataFrame) -> DataFrame:
+        """The best of each question's list, block by block: at most BLOCK vectors and questions meet in a task."""
+        sizes = counts.join(questions.groupBy("list").agg(F.count("*").alias("m")), "list")
+        sizes = F.broadcast(kept(sizes.select("list", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("m") / BLOCK).cast("int").alias("asks")), "sizes"))
+        salt = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = dealt.join(sizes, "list").withColumn("block", salt("blocks", 1)).withColumn("ask", every("asks")).select(*keys, "vec_id", "v")
+        right = questions.join(sizes, "list").withColumn("ask", salt("asks", 2)).withColumn("block", every("blocks")).select(*keys, "vec_id", "v", "floor")
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, out_schema)
+
+    near = kept(searched(asked.where("place = 0").withColumn("floor", F.lit(float("-inf")))), "near")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    floors = near.withColumn("place", place).where(F.col("place") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
+    others = asked.where("place > 0").join(floors, "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    ranked = near.union(searched(kept(others, "others"))).withColumn("rank", place)
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
