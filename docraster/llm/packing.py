@@ -163,7 +163,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     def task(batches):
         tokens, seen, part_no = tokens_for(path), np.zeros(length + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
-            for part in batches_of(batch, size=8 << 20):
+            for part in batches_of(batch):
                 ids, bounds = tokens.ids(part.column("text"))
                 total = np.diff(bounds)
                 n = -(-total // length)
@@ -291,5 +291,5 @@ def packed_pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame
     counts = cut.groupBy("length", "part").agg(F.count("*").alias("n"))
     counts = kept(counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")), "lengths")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    ranked = cut.join(counts.select("length", "part", "before"), ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
+    ranked = cut.hint("merge").join(counts.select("length", "part", "before"), ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
     return assigned(ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank"), plan(histogram, length))
