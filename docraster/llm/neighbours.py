@@ -119,7 +119,7 @@ def scan(ids: np.ndarray, v: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np
                 far = far + np.einsum("ij,ij->i", gap, gap)
             test = (1 + EPSILON * np.sqrt((1 - e / dims) / e)) ** 2 * e / dims
             if pairs is None:
-                stay = far <= (limit * test + slack)[:, None]
+                stay = (far <= (limit * test + slack)[:, None]) & (far < np.inf)
                 if np.count_nonzero(stay) * 20 < stay.size or e == dims:
                     pairs = np.nonzero(stay)
                     far = far[pairs]
