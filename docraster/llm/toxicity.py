@@ -215,7 +215,7 @@ def top_windows(net: Net, windows: np.ndarray, ids: np.ndarray, grams: np.ndarra
     return np.concatenate([net.forward(table, windows[i : i + block])[0] for i in range(0, len(windows), block)]) if len(windows) else np.zeros(0, np.float32)
 
 
-def fit(sample: list[tuple[str, int]], seed: int = 5, batch: int = 256, warm_steps: int = 160, rounds: int = 3, passes: int = 3, repeats: int = 32) -> Net | None:
+def fit(sample: list[tuple[str, int]], seed: int = 5, batch: int = 256, warm_steps: int = 160, rounds: int = 3, passes: int = 3, least_steps: int = 50, repeats: int = 32) -> Net | None:
     if len({y for _, y in sample}) < 2:
         return None
     rng = np.random.default_rng(seed)
@@ -255,8 +255,9 @@ def fit(sample: list[tuple[str, int]], seed: int = 5, batch: int = 256, warm_ste
         order = np.lexsort((-logit, doc))
         best = order[np.flatnonzero(np.diff(doc[order], prepend=-1))]  # each text's highest window
         rows = np.concatenate([best, rng.choice(sides[0], len(best))])
-        for _ in range(passes):
-            for some in np.array_split(rng.permutation(rows), max(1, len(rows) // batch)):
+        parts = max(1, len(rows) // batch)
+        for _ in range(max(passes, -(-least_steps // parts))):  # small samples are gone over more often
+            for some in np.array_split(rng.permutation(rows), parts):
                 step(some)
     return net
 
