@@ -96,14 +96,14 @@ def find_lines(gray: np.ndarray) -> np.ndarray | None:
     """The quad between the outermost upright and level lines."""
     h, w = gray.shape
     edges = K.closed(K.canny(K.saturated(K.gaussian(gray, 5)), 50, 150), 5, 1)
-    lines: list[tuple[float, float]] = []
-    for floor, share in ((60, 0.35), (45, 0.25), (30, 0.18)):
+    deg = lambda t: np.degrees(t % np.pi)
+    upright, level = [], []
+    for floor, share in ((60, 0.35), (45, 0.25), (30, 0.18)):  # fewer votes are asked for until there are two lines of each kind
         lines = K.hough_lines(edges, max(floor, int(share * min(h, w))))
-        if len(lines) >= 4:
+        upright = [((r - h / 2 * np.sin(t)) / np.cos(t), r, t) for r, t in lines if deg(t) < 30 or deg(t) > 150]
+        level = [((r - w / 2 * np.cos(t)) / np.sin(t), r, t) for r, t in lines if 60 < deg(t) < 120]
+        if len(upright) >= 2 and len(level) >= 2:
             break
-    deg = lambda t: np.degrees(t % np.pi)
-    upright = [((r - h / 2 * np.sin(t)) / np.cos(t), r, t) for r, t in lines if deg(t) < 30 or deg(t) > 150]
-    level = [((r - w / 2 * np.cos(t)) / np.sin(t), r, t) for r, t in lines if 60 < deg(t) < 120]
     if len(upright) < 2 or len(level) < 2:
         return None
     pts = []
