@@ -31,7 +31,7 @@ def pack(img: np.ndarray, origin: str = "") -> dict:
 
 def unpack(row) -> np.ndarray | None:
     """The array of an image struct; alpha is dropped."""
-    if row is None or row["data"] is None:
+    if row is None or row["data"] is None or row["nChannels"] < 1:
         return None
     h, w, c = row["height"], row["width"], row["nChannels"]
     a = np.frombuffer(row["data"], np.uint8)
@@ -111,7 +111,7 @@ def pages(files: DataFrame, dpi: int = 300) -> DataFrame:
 
 def images(spark: SparkSession, path: str) -> DataFrame:
     """Images of all codecs that Spark's image source knows, three channels each; a broken file is an error row."""
-    df = spark.read.format("image").option("dropInvalid", "false").load(path).select("image")
+    df = spark.read.format("image").option("dropInvalid", "false").load(path).select("image").where(N.supported(file_name("image.origin")))
     bad = (F.col("image.nChannels") < 1) | F.col("image.data").isNull()
     return df.select(F.col("image.origin").alias("path"), file_name("image.origin").alias("name"), "image", F.when(bad, F.concat(F.lit("Cannot read image: "), "image.origin")).alias("error"))
 
