@@ -36,17 +36,18 @@ class _Part(InputPartition):
 
 
 class PatternReader(DataSourceStreamReader):
-    """Frames 0, 1, 2, ... of a moving ramp; ``per_batch`` of them each time that Spark asks."""
+    """Frames 0, 1, 2, ... of a moving ramp; ``per_batch`` of them each time that Spark asks, ``frames`` in all if given."""
 
     def __init__(self, options: dict):
         self.width, self.height = int(options.get("width", 16)), int(options.get("height", 12))
         self.step, self.at = int(options.get("per_batch", 8)), 0
+        self.end = int(options.get("frames", 1 << 62))
 
     def initialOffset(self) -> dict:
         return {"frame": 0}
 
     def latestOffset(self) -> dict:
-        self.at += self.step
+        self.at = min(self.end, self.at + self.step)
         return {"frame": self.at}
 
     def partitions(self, start: dict, end: dict) -> list:

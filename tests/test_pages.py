@@ -131,19 +131,29 @@ def test_crop_benchmark_ignores_its_own_outputs(spark, folder):
         assert rows["paddleocr_uvdoc"]["output_pdf"] is None and "paddleocr_uvdoc" in rows["paddleocr_uvdoc"]["error"]
 
 
-def test_streams(spark, folder, tmp_path):
-    from docraster.streaming import camera, ingest
+def test_file_stream(spark, folder, tmp_path):
+    from docraster.streaming import ingest
 
     out = str(tmp_path / "table")
     ingest.ingest(spark, str(folder), out, str(tmp_path / "ck"), per_batch=2).awaitTermination()
     got = spark.read.parquet(out)
     assert {r["name"] for r in got.collect()} == {"page1.png", "page2.png", "page10.png"} and got.select("batch").distinct().count() == 2
+
+
+def test_camera_stream(spark):
+    from docraster.streaming import camera
+
     spark.dataSource.register(camera.PatternCamera)
-    frames = spark.readStream.format("docraster_camera").option("per_batch", 20).load()
+    frames = spark.readStream.format("docraster_camera").option("per_batch", 10).option("frames", 20).load()
     q = camera.burst(frames, 3).select("frame_no", "shot").writeStream.format("memory").queryName("burst").start()
     q.processAllAvailable()
     q.stop()
     assert sorted(tuple(r) for r in spark.sql("select * from burst").collect()) == [(4, 0), (9, 1), (14, 2)]
+
+
+def test_session_stream(spark, tmp_path):
+    from docraster.streaming import ingest
+
     log = [(1, i, op, arg) for i, (op, arg) in enumerate([("add", 0), ("add", 0), ("select", 0), ("remove_selected", 0), ("add", 1), ("replace", 0)])]
     schema = "session_id long, op_seq long, op string, arg int"
     for k in (0, 1):
