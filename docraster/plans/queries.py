@@ -348,3 +348,70 @@ def session_replace(spark, d):
 def session_fold(spark, d):
     """What the whole operation log leaves of each session."""
     return session.folded(V.operations(spark, d))
+
+
+# --- rasters (rows only: their pixels are tested on synthetic pages) --------------------------------------------
+
+
+def small_pages(spark: SparkSession, d: str) -> DataFrame:
+    """page_seq, name, image: the 8 x 8 gray pages as images."""
+    import numpy as np
+    import pandas as pd
+
+    from docraster import schema
+    from docraster.sources.files import pack
+
+    def draw(batches):
+        for pdf in batches:
+            imgs = [np.clip(np.floor((np.asarray(e, float) + 1) * 127.5), 0, 255).astype(np.uint8).reshape(8, 8) for e in pdf["embedding"]]
+            yield pd.DataFrame({"page_seq": pdf["vec_id"], "name": pdf["vec_id"].astype(str) + ".png", "image": [pack(i) for i in imgs]})
+
+    return V.table(spark, d, "embeddings").select("vec_id", "embedding").mapInPandas(draw, schema.PAGE)
+
+
+@query()
+def process_spreads(spark, d):
+    """Sharpened, made black and white, enhanced, and split in two, in one pass."""
+    from docraster.plans.pipeline import Options, Settings, processed
+
+    out = processed(small_pages(spark, d), Options(detect_document=False, two_page_mode=True, postprocess="Black and White", settings=Settings(1.25, 10)))
+    return out.select("page_seq", "image.height", "image.width", F.crc32("image.data").alias("pixels_crc32"))
+
+
+@query()
+def deskew_pages(spark, d):
+    from docraster.plans.pipeline import deskewed
+
+    return deskewed(small_pages(spark, d)).select("page_seq", F.round("angle", 3).alias("angle"), F.crc32("image.data").alias("pixels_crc32"))
+
+
+@query()
+def detect_pages(spark, d):
+    """A drawn page per nation, through a chain whose first backend has no model."""
+    import numpy as np
+    import pandas as pd
+
+    from docraster import schema
+    from docraster.operators.detect import scanned
+    from docraster.sources.files import pack
+
+    def draw(batches):
+        for pdf in batches:
+            imgs = []
+            for k in pdf["n_nationkey"]:
+                img = np.full((180, 240, 3), 30, np.uint8)
+                img[20 + k % 7 : 150 + k % 11, 30 + k % 13 : 200 + k % 17] = 235
+                imgs.append(img)
+            yield pd.DataFrame({"page_seq": pdf["n_nationkey"].astype("int64"), "name": pdf["n_name"], "image": [pack(i) for i in imgs]})
+
+    pages = V.table(spark, d, "nation").select("n_nationkey", "n_name").mapInPandas(draw, schema.PAGE)
+    out = scanned(pages, ("paddleocr_uvdoc", "opencv_hough", "opencv_minrect"))
+    return out.select("page_seq", "name", "scan.backend", "scan.detected", F.col("scan.warped.width").alias("width"), F.col("scan.warped.height").alias("height"), F.array_join("scan.errors", "; ").alias("errors"))
+
+
+@query()
+def page_assets(spark, d):
+    from docraster.sources.sinks import assets
+
+    out = assets(small_pages(spark, d).select(F.col("name").alias("entry_id"), "image"))
+    return out.select("entry_id", "asset", "image.height", "image.width")
