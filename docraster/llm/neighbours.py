@@ -7,7 +7,8 @@ estimates the whole: a candidate is abandoned as soon as sqrt(D / d) times its p
 distance about one in 10,000 is abandoned, of nearer ones fewer). A query's nearest list is searched first, and its k-th best there is the first bound in all others.
 Vectors are dealt to lists around centroids that are fitted on a bounded sample; a query probes the lists nearest
 to it, as many as find ``recall`` of the sample's own nearest on average (half of all lists where vectors have no
-structure, a few where they cluster). What is not abandoned is scored exactly, in double precision on the vectors as given.
+structure, a few where they cluster), and on from there until they hold k others, so that no query gets fewer than
+there are. What is not abandoned is scored exactly, in double precision on the vectors as given.
 
 Lists have about ``per_list`` vectors up to ``MOST_LISTS`` of them; a list with more vectors or queries than a task
 should hold is split into blocks of either, so copies of one vector cannot fill a task. Each block hands on a
@@ -67,12 +68,20 @@ class Space:
 
     def probes_for(self, sample: np.ndarray, k: int, recall: float, asked: int = 300) -> int:
         """How many lists to probe, so that this share of the sample's own k nearest is met on average."""
-        q = sample[:: max(1, len(sample) // asked)]
+        step = max(1, len(sample) // asked)
+        q = sample[::step]
         own = self.nearest(self.vectors(sample).astype(np.float32), self.centroids, 1)[:, 0]
         c = self.centroids
         place = np.argsort(np.argsort((c * c).sum(1) / 2 - self.queries(q).astype(np.float32) @ c.T, 1), 1)
-        k = min(k, len(sample))
-        best = np.concatenate([np.argpartition(-(part @ sample.T), k - 1, axis=1)[:, :k] for part in np.array_split(q, max(1, len(q) // 50))])
+        k = min(k, len(sample) - 1)
+        if not k:
+            return len(c)
+        best = []
+        for rows in np.array_split(np.arange(len(q)), max(1, len(q) // 50)):
+            near = -(q[rows] @ sample.T)
+            near[np.arange(len(rows)), rows * step] = np.inf  # not itself
+            best.append(np.argpartition(near, k - 1, axis=1)[:, :k])
+        best = np.concatenate(best)
         needed = np.sort(np.take_along_axis(place, own[best], 1).ravel())
         return min(len(c), int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1)
 
@@ -173,17 +182,28 @@ def neighbours(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, r
                 own = s.nearest(s.vectors(matrix(batch.column("v"))).astype(np.float32), s.centroids, 1)[:, 0]
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(own.astype(np.int32))], ["vec_id", "v", "list"])
 
-    def probe(batches):
-        s = space.value
-        for batch in batches:
-            if batch.num_rows:
-                near = s.nearest(s.queries(matrix(batch.column("v"))).astype(np.float32), s.centroids, probes)
-                at, place = np.indices(near.shape, np.int32).reshape(2, -1)
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(at)), batch.column("v").take(pa.array(at)), pa.array(near.ravel().astype(np.int32)), pa.array(place)], ["vec_id", "v", "list", "place"])
-
     dealt = kept(v.mapInArrow(deal, "vec_id long, v array<double>, list int"), "lists")
-    asked = kept(v.where(F.pmod("vec_id", F.lit(query_every)) == 0).mapInArrow(probe, "vec_id long, v array<double>, list int, place int"), "queries")
     counts = dealt.groupBy("list").agg(F.count("*").alias("n"))
+    held = np.zeros(len(fitted_space.centroids), np.int64)
+    for r in counts.collect():  # at most MOST_LISTS
+        held[r["list"]] = r["n"]
+
+    def probe(batches):
+        s = space.value
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1_000):
+                batch = whole.slice(start, 1_000)
+                near = s.nearest(s.queries(matrix(batch.column("v"))).astype(np.float32), s.centroids, len(s.centroids))
+                # on to further lists until they hold k others: a query's own id, however often it occurs, is none
+                others = np.cumsum(held[near], 1) - np.asarray(batch.column("same"))[:, None]
+                wanted = np.maximum(probes, (others < k).sum(1) + 1)
+                at, place = (x.astype(np.int32) for x in np.nonzero(np.arange(near.shape[1]) < wanted[:, None]))
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(at)), batch.column("v").take(pa.array(at)), pa.array(near[at, place].astype(np.int32)), pa.array(place)], ["vec_id", "v", "list", "place"])
+
+    questions = v.where(F.pmod("vec_id", F.lit(query_every)) == 0)
+    repeated = questions.groupBy("vec_id").agg(F.count("*").alias("same")).where("same > 1")
+    questions = questions.join(repeated, "vec_id", "left").select("vec_id", "v", F.coalesce("same", F.lit(1)).alias("same"))
+    asked = kept(questions.mapInArrow(probe, "vec_id long, v array<double>, list int, place int"), "queries")
     keys = ["list", "block", "ask"]
 
     def search(found, wanted):

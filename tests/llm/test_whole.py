@@ -23,3 +23,29 @@ def test_hypothesis_test_loses_next_to_no_neighbour():
     found = set(zip(qi.tolist(), best.tolist()))
     wanted = {(i, j) for i, own in enumerate(np.argsort(-score, axis=1)[:, :20].tolist()) for j in own}
     assert len(found & wanted) >= 0.999 * len(wanted), len(found & wanted) / len(wanted)
+
+
+def test_queries_in_tiny_lists_get_all_their_rows(spark, monkeypatch):
+    """Uneven clusters, each a list or more, and a fit that asks for the nearest list alone: too few in the tiny ones."""
+    from docraster.llm.neighbours import Space, neighbours
+
+    monkeypatch.setattr(Space, "probes_for", lambda *_: 1)
+
+    rng = np.random.default_rng(3)
+    centres = 10 * np.eye(8)
+    sizes = (500, 400, 300, 200, 30, 4, 3, 1)
+    v = np.concatenate([c + 0.1 * rng.standard_normal((n, 8)) for c, n in zip(centres, sizes)])
+    ids = rng.permutation(len(v)) + 1000
+    ids[-8:] = np.arange(20, 180, 20)  # all of the tiny clusters' vectors are queries
+    rows = [(int(i), x.tolist()) for i, x in zip(ids, v)] + [(40, v[-7].tolist())] * 30  # and one of them is repeated
+    got = neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), per_list=60).groupBy("query_id").count().collect()
+    assert {r["query_id"]: r["count"] for r in got} == {i: 20 for i in {r[0] for r in rows if r[0] % 20 == 0}}
+
+
+def test_the_probe_fit_leaves_the_query_itself_out():
+    from docraster.llm.neighbours import Space
+
+    # pairs far apart in lists of their own: without itself, a vector's nearest is in the other list
+    v = np.array([[1.0, 0.0], [0.9, 0.5]])
+    s = Space(2, 1.1, v, 2)
+    assert s.probes_for(v, 1, 0.96) == 2
