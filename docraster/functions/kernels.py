@@ -378,8 +378,8 @@ def halves(img: np.ndarray) -> list[np.ndarray]:
     return [img] if w < 2 else [img[:, : w // 2], img[:, w // 2 :]]
 
 
-def hough_lines(edges: np.ndarray, least: int, most: int = 60) -> list[tuple[float, float]]:
-    """(rho, theta) of lines with over ``least`` votes that are peaks among their neighbours, most votes first."""
+def hough_lines(edges: np.ndarray, least: int) -> list[tuple[float, float]]:
+    """(rho, theta) of all lines with over ``least`` votes that are peaks among their neighbours, most votes first."""
     ys, xs = np.nonzero(edges)
     theta = np.deg2rad(np.arange(180))
     reach = int(math.ceil(math.hypot(*edges.shape)))
@@ -389,5 +389,5 @@ def hough_lines(edges: np.ndarray, least: int, most: int = 60) -> list[tuple[flo
     p = np.pad(votes, 1)
     peak = (votes > least) & (votes > p[:-2, 1:-1]) & (votes >= p[2:, 1:-1]) & (votes > p[1:-1, :-2]) & (votes >= p[1:-1, 2:])
     r, k = np.nonzero(peak)
-    order = np.argsort(-votes[r, k], kind="stable")[:most]
+    order = np.argsort(-votes[r, k], kind="stable")
     return [(float(r[i] - reach), float(theta[k[i]])) for i in order]

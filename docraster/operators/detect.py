@@ -211,6 +211,8 @@ def scanned(pages: DataFrame, backends: Sequence[str] = DEFAULT, registry: dict
 
     def task(batches):
         for pdf in batches:
-            yield pdf.assign(scan=[one(i) for i in pdf["image"]])
+            for at in range(0, len(pdf), 32):  # results of a few pages at a time
+                part = pdf.iloc[at : at + 32]
+                yield part.assign(scan=[one(i) for i in part["image"]])
 
     return pages.select("page_seq", "name", "image").mapInPandas(task, SCANNED)

@@ -387,7 +387,7 @@ def deskew_pages(spark, d):
 
 @query()
 def detect_pages(spark, d):
-    """A drawn page per nation, through a chain whose first backend has no model."""
+    """A drawn page per row of embeddings, through a chain whose first backend has no model."""
     import numpy as np
     import pandas as pd
 
@@ -397,14 +397,15 @@ def detect_pages(spark, d):
 
     def draw(batches):
         for pdf in batches:
-            imgs = []
-            for k in pdf["n_nationkey"]:
-                img = np.full((180, 240, 3), 30, np.uint8)
-                img[20 + k % 7 : 150 + k % 11, 30 + k % 13 : 200 + k % 17] = 235
-                imgs.append(img)
-            yield pd.DataFrame({"page_seq": pdf["n_nationkey"].astype("int64"), "name": pdf["n_name"], "image": [pack(i) for i in imgs]})
-
-    pages = V.table(spark, d, "nation").select("n_nationkey", "n_name").mapInPandas(draw, schema.PAGE)
+            for at in range(0, len(pdf), 64):
+                ids, imgs = pdf["vec_id"].iloc[at : at + 64], []
+                for k in ids:
+                    img = np.full((180, 240, 3), 30, np.uint8)
+                    img[20 + k % 7 : 150 + k % 11, 30 + k % 13 : 200 + k % 17] = 235
+                    imgs.append(img)
+                yield pd.DataFrame({"page_seq": ids, "name": ids.astype(str) + ".png", "image": [pack(i) for i in imgs]})
+
+    pages = V.table(spark, d, "embeddings").select("vec_id").mapInPandas(draw, schema.PAGE)
     out = scanned(pages, ("paddleocr_uvdoc", "opencv_hough", "opencv_minrect"))
     return out.select("page_seq", "name", "scan.backend", "scan.detected", F.col("scan.warped.width").alias("width"), F.col("scan.warped.height").alias("height"), F.array_join("scan.errors", "; ").alias("errors"))
 
