@@ -1,12 +1,17 @@
 """Quality: attention-based multiple-instance learning over a document's passages.
 
 Every passage of ``PASSAGE`` words is encoded (one tanh layer over its shares of byte classes, the lengths of its
-words, and how far its words repeat), gated attention weighs the passages, and the weighted representation is scored
-by a logistic unit. The weights are learnt from document labels alone, in numpy, on a bounded sample.
+words, how far they repeat, and a hashed bag of the words themselves), gated attention weighs the passages, and the
+weighted representation is scored by a logistic unit. The weights are learnt from document labels alone, in numpy, on
+a bounded sample.
+
+A passage's bytes reach from its first word (or the text's start) to the next passage (or the text's end), so a score
+depends on nothing but its own text. Long texts are read in blocks of whole passages.
 
 Nulls: a null or wordless text is one passage of zeros, so it gets a score too. A null doc_id is scored. Repeated rows
 are scored one by one; all passages of very long texts count. Without labelled rows of both classes every score is
-the share of good ones among the labels, or 0.5.
+the share of good ones among the labels, or 0.5. Of a column that is called like the result's, the caller's is lost
+unless another name is asked for.
 """
 
 from __future__ import annotations
@@ -18,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docraster.llm.shared import batches_of, fold, sample_of_labels
-from docraster.llm.words import words_of
+from docraster.llm.shared import batches_of, fold, offsets_of, sample_of_labels
+from docraster.llm.words import blocks_of, words_of
 
-PASSAGE, CODE, ATTENTION = 40, 16, 8
+PASSAGE, CODE, ATTENTION, BAG = 40, 16, 8, 128
 SAMPLE_ROWS, SAMPLE_CHARS, THRESHOLD = 1_500, 20_000, 0.7
 
 #: Byte classes; the last stands for all bytes that no other names.
@@ -29,11 +34,31 @@ CLASSES = [range(0x61, 0x7B), range(0x41, 0x5B), range(0x30, 0x3A), range(0x80,
 _CLASS = np.full(256, len(CLASSES), np.uint8)
 for _i, _own in enumerate(CLASSES):
     _CLASS[list(_own)] = _i
-FEATURES = len(CLASSES) + 1 + 7
-
-
-def passages(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Features of all passages of all texts, and where each text's passages begin (and the end)."""
+PLAIN = len(CLASSES) + 1 + 7
+FEATURES = PLAIN + BAG
+
+
+def passages(texts: pa.Array, block: int = 4 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Features of all passages of all texts, and where each text's passages begin (and the end); texts of more than
+    ``block`` bytes are read a block at a time."""
+    sizes = np.diff(offsets_of(texts))
+    if not (sizes > block).any():
+        return short_passages(texts)
+    parts, counts, at = [], [], 0
+    for i in [*np.flatnonzero(sizes > block).tolist(), len(texts)]:
+        if i > at:
+            x, bounds = short_passages(texts.slice(at, i - at))
+            parts.append(x)
+            counts += np.diff(bounds).tolist()
+        if i < len(texts):
+            own = [short_passages(pa.array([b.decode("utf-8", "surrogatepass")], pa.string()))[0] for b in blocks_of(texts[i].as_py().encode("utf-8", "surrogatepass"), PASSAGE, block)]
+            parts += own
+            counts.append(sum(map(len, own)))
+        at = i + 1
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum(counts)])
+
+
+def short_passages(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     w = words_of(texts)
     n = np.diff(w.per_doc)
     count = np.maximum(1, -(-n // PASSAGE))
@@ -46,8 +71,15 @@ def passages(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     owner = bounds[doc] + (np.arange(len(doc)) - w.per_doc[doc]) // PASSAGE
     head = np.flatnonzero(np.diff(owner, prepend=-1))
     kept = owner[head]
-    byte_owner = np.repeat(np.arange(len(head)), np.diff(np.append(w.starts[head], len(w.data))))
-    inside = _CLASS[w.data[w.starts[0] :]].astype(np.int64)
+    # a passage's bytes: from its first word, or its text's start, up to the next passage, or its text's end
+    of = doc[head]
+    begin = np.where(np.diff(of, prepend=-1) != 0, w.docs[of], w.starts[head])
+    end = np.where(np.diff(of, append=-1) != 0, w.docs[of + 1] - 1, np.append(begin[1:], 0))
+    edge = np.zeros(len(w.data) + 1, np.int32)
+    np.add.at(edge, begin, 1)
+    np.add.at(edge, end, -1)
+    byte_owner = np.repeat(np.arange(len(head)), end - begin)
+    inside = _CLASS[w.data[np.cumsum(edge[:-1]) > 0]].astype(np.int64)
     k = len(CLASSES) + 1
     shares = np.bincount(byte_owner * k + inside, minlength=len(head) * k).reshape(-1, k).astype(np.float32)
     total = shares.sum(1, keepdims=True)
@@ -64,7 +96,10 @@ def passages(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     ended = np.add.reduceat((_CLASS[last] >= 6).astype(np.float32), head) / size
     symbol = np.add.reduceat((_CLASS[last] == 14).astype(np.float32), head) / size
     out[kept, :k] = np.sqrt(shares / total)
-    out[kept, k:] = np.stack([np.minimum(mean, 40) / 10, np.minimum(spread, 40) / 10, np.add.reduceat(same, head) / size, distinct, ended, symbol, size / PASSAGE], 1)
+    out[kept, k:PLAIN] = np.stack([np.minimum(mean, 40) / 10, np.minimum(spread, 40) / 10, np.add.reduceat(same, head) / size, distinct, ended, symbol, size / PASSAGE], 1)
+    place = np.cumsum(np.diff(owner, prepend=-1) != 0) - 1
+    bag = np.bincount(place * BAG + (hashes >> np.uint64(20)).astype(np.int64) % BAG, minlength=len(head) * BAG)
+    out[kept, PLAIN:] = np.sqrt(bag.reshape(-1, BAG) / size[:, None])
     return out, bounds
 
 
@@ -102,11 +137,12 @@ class Net:
         return {k: g[k] + decay * p[k] * (k != "bias") for k in p}
 
     def score(self, texts: pa.Array) -> np.ndarray:
+        """Rounded to nine digits, so that the order in which products are summed up cannot show."""
         x, bounds = passages(texts)
         if len(bounds) == 1:
             return np.zeros(0)
         logit, _ = self.forward((x - self.mean) / self.scale, bounds)
-        return 1 / (1 + np.exp(-np.clip(logit.astype(np.float64), -500, 500)))
+        return np.round(1 / (1 + np.exp(-np.clip(logit.astype(np.float64), -500, 500))), 9)
 
 
 def fit(sample: list[tuple[str, int]], share: float, seed: int = 5, batch: int = 256, epochs: int = 40, rate: float = 0.01) -> Net | None:
@@ -147,21 +183,21 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: in
     return fit(sample_of_labels(docs.sparkSession, labels, docs, "quality", rows, chars), share), share
 
 
-def score(docs: DataFrame, net: Net | None, share: float = 0.5) -> DataFrame:
-    """All columns of docs, and quality_score."""
+def score(docs: DataFrame, net: Net | None, share: float = 0.5, name: str = "quality_score") -> DataFrame:
+    """All columns of docs, and the score under a name of the caller's choice."""
     from pyspark.sql import types as T
 
-    docs = docs.select(*[c for c in docs.columns if c != "quality_score"])
+    docs = docs.select(*[c for c in docs.columns if c != name])
     if net is None:
-        return docs.withColumn("quality_score", F.lit(share))
+        return docs.withColumn(name, F.lit(share))
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def task(batches):
         for batch in batches:
             for part in batches_of(batch, size=2 << 20):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.score(part.column("text")))], [*part.schema.names, "quality_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.score(part.column("text")))], [*part.schema.names, name])
 
-    return docs.mapInArrow(task, T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())]))
+    return docs.mapInArrow(task, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def scored_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

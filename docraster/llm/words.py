@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -87,3 +88,18 @@ def words_of(texts: pa.Array, breaks: np.ndarray = SPACE) -> Words:
     before = np.concatenate([[True], space[:-1]])
     starts, ends = np.flatnonzero(before & ~space), np.flatnonzero(space & ~before)
     return Words(data, docs, starts, ends, np.searchsorted(starts, docs), breaks is not SPACE)
+
+
+def blocks_of(text: bytes, every: int = 1, size: int = 4 << 20, breaks: np.ndarray = SPACE) -> Iterator[bytes]:
+    """A long text in blocks of about ``size`` bytes that begin at a word and hold a multiple of ``every`` words; the last one holds the rest."""
+    at, step = 0, size
+    while len(text) - at > step:
+        space = breaks[np.frombuffer(text, np.uint8, step, at)]
+        starts = np.flatnonzero(np.concatenate([[True], space[:-1]]) & ~space)
+        n = (len(starts) - 1) // every * every
+        if n <= 0:  # a word, or a run of white space, longer than the block
+            step *= 2
+            continue
+        yield text[at : at + int(starts[n])]
+        at, step = at + int(starts[n]), size
+    yield text[at:]

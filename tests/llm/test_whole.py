@@ -1,6 +1,7 @@
 """Cases in which an operator once did less than the whole job."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 
@@ -49,3 +50,75 @@ def test_the_probe_fit_leaves_the_query_itself_out():
     v = np.array([[1.0, 0.0], [0.9, 0.5]])
     s = Space(2, 1.1, v, 2)
     assert s.probes_for(v, 1, 0.96) == 2
+
+
+WORDS = "the a of Wasser ÉTÉ x9 , ... # $$ end. well, (so) | -- naïve".split()
+BLANK = [" ", "  ", "\n", "\t \n", "\r\n\r\n", "\x0b"]
+
+
+def some_texts(seed, n=60):
+    rng = np.random.default_rng(seed)
+    texts = ["".join(rng.choice(WORDS) + rng.choice(BLANK) for _ in range(rng.integers(0, 130))) for _ in range(n)]
+    return [None, "", " \n\n ", "\n" * 3000, *(rng.choice(BLANK) * int(rng.integers(0, 3)) + t for t in texts)]
+
+
+def plain_passages(text):
+    """Features of a text's passages, word by word and byte by byte."""
+    import re
+
+    from docraster.llm import quality as q
+    from docraster.llm.words import words_of
+
+    raw = (text or "").encode()
+    found = list(re.finditer(rb"[^\x20\x09-\x0d]+", raw))
+    out = []
+    for i in range(0, len(found), q.PASSAGE):
+        own = found[i : i + q.PASSAGE]
+        body = raw[0 if i == 0 else own[0].start() : found[i + q.PASSAGE].start() if i + q.PASSAGE < len(found) else len(raw)]
+        row = [0.0] * q.FEATURES
+        for b in body:
+            row[next((k for k, c in enumerate(q.CLASSES) if b in c), len(q.CLASSES))] += 1 / len(body)
+        k = len(q.CLASSES) + 1
+        row[:k] = np.sqrt(row[:k])
+        words = [m.group().translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))) for m in own]
+        sizes = np.array([len(w) for w in words], float)
+        last = [next((k for k, c in enumerate(q.CLASSES) if w[-1] in c), len(q.CLASSES)) for w in (m.group() for m in own)]
+        row[k : q.PLAIN] = [min(sizes.mean(), 40) / 10, min(sizes.std(), 40) / 10, sum(a == b for a, b in zip(words, words[1:])) / len(own), len(set(words)) / len(own), sum(c >= 6 for c in last) / len(own), sum(c == 14 for c in last) / len(own), len(own) / q.PASSAGE]
+        for w in words:
+            row[q.PLAIN + int(words_of(pa.array([w.decode()])).hashes()[0] >> np.uint64(20)) % q.BAG] += 1 / len(own)
+        row[q.PLAIN :] = np.sqrt(row[q.PLAIN :])
+        out.append(row)
+    return np.array(out or [[0.0] * q.FEATURES])
+
+
+def test_passages_are_those_of_each_text_alone():
+    from docraster.llm.quality import passages
+
+    texts = some_texts(1)
+    x, bounds = passages(pa.array(texts, pa.string()))
+    for i, t in enumerate(texts):
+        assert np.allclose(x[bounds[i] : bounds[i + 1]], plain_passages(t), atol=1e-5), repr(t)
+    for block in (200, 700):
+        y, again = passages(pa.array(texts, pa.string()), block)
+        assert (again == bounds).all() and np.array_equal(x, y)
+
+
+def test_quality_is_a_function_of_the_text(spark):
+    """Alone, shuffled and dealt anew: the same scores, and the plain sum over passages."""
+    from docraster.llm import quality as q
+
+    texts = some_texts(2)
+    net = q.fit([(t or "", i % 2) for i, t in enumerate(some_texts(3, 200))], 0.5)
+    want = {}
+    for i, t in enumerate(texts):
+        x = (plain_passages(t) - net.mean) / net.scale
+        h = np.tanh(x @ net.p["w"] + net.p["b"])
+        e = (np.tanh(h @ net.p["v"]) / (1 + np.exp(-(h @ net.p["u"])))) @ net.p["a"]
+        a = np.exp(e - e.max())
+        want[i] = 1 / (1 + np.exp(-float((a / a.sum()) @ h @ net.p["out"] + net.p["bias"][0])))
+    alone = {i: float(net.score(pa.array([t], pa.string()))[0]) for i, t in enumerate(texts)}
+    assert all(abs(alone[i] - want[i]) < 1e-4 for i in alone)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for way in (df.coalesce(1), df.repartition(7, "doc_id"), df.orderBy(df.doc_id.desc())):
+        got = {r["doc_id"]: r["quality_score"] for r in q.score(way, net).collect()}
+        assert all(abs(got[i] - alone[i]) < 1e-6 for i in got)
