@@ -289,30 +289,77 @@ def test_language_on_held_out_rows(spark, tables):
     assert sum(r["lang_pred"] == ["en", "de", "fr"][r["doc_id"] % 3] for r in rows) / len(rows) >= 0.95
 
 
-def test_forward_sums_all_segmentations():
-    from docraster.llm.language import VOCABULARY, Model, Pieces, Scorer
+def all_segmentations(raw, number, p):
+    """Log of the plain sum over all cuts of raw into pieces, last byte first; and of the part before each byte."""
+    tail = [0.0] * len(raw) + [0.0]  # log of the sum from each byte on
+    for at in range(len(raw) - 1, -1, -1):
+        each = [math.log(p[number[raw[at:end]]]) + tail[end] for end in range(at + 1, len(raw) + 1) if raw[at:end] in number]
+        most = max(each)
+        tail[at] = most + math.log(sum(math.exp(x - most) for x in each))
+    return tail
+
+
+@pytest.fixture(scope="module")
+def raw_vocabulary():
+    import base64
+
+    return {base64.b64decode(line.split()[0]): i for i, line in enumerate(open(vocabulary("byte_bpe_multi_50k.tiktoken"), "rb"))}
+
+
+TONGUES = ["The quick größe, naïve x2y fox_s!", "हिन्दी में लिखा", "的一是不了人我在有他这为之大来" * 9, "ab" * 150 + " который 있습니다 " + "Donaudampfschifffahrtselektrizitätenhauptbetriebswerkbauunterbeamtengesellschaft", "e\u0301te\u0301 ...", "12 34", "", None]
+
+
+def test_forward_sums_all_segmentations(raw_vocabulary):
+    import unicodedata
+
+    from docraster.llm.language import Model, Scorer
 
-    pieces = Pieces(vocabulary(VOCABULARY))
     rng = np.random.default_rng(0)
-    p = rng.random((len(pieces.keys) + 1, 2))
-    p[-1] = 0
+    p = np.maximum(rng.random((len(raw_vocabulary), 3)) ** 9, 1e-6)
+    p /= p.sum(0)
+    scorer = Scorer(Model(vocabulary("byte_bpe_multi_50k.tiktoken"), ["a", "b", "c"], p, np.full(3, -1.0), np.full(3, -2.0)), most=5)
+    lang, score, _ = scorer.texts(TONGUES)
+    assert lang[5:] == ["und"] * 3 and score[5:].tolist() == [0.0] * 3
+    total, size = scorer.totals(TONGUES)
+    for i, text in enumerate(TONGUES[:5]):
+        letter = [unicodedata.category(c)[0] in "LM" for c in text.lower()]
+        words = "".join(c if ok else " " for c, ok in zip(text.lower(), letter)).split()
+        plain = [sum(all_segmentations(b" " + w.encode(), raw_vocabulary, p[:, j])[0] for w in words) for j in range(3)]
+        assert np.allclose(total[i], plain, rtol=1e-9), text
+        assert size[i] == sum(len(w.encode()) + 1 for w in words)
+        odds = np.exp(np.array(plain) - max(plain))
+        assert lang[i] == "abc"[int(odds.argmax())] and math.isclose(score[i], odds.max() / odds.sum(), rel_tol=1e-6)
+
+
+def test_long_texts_are_read_in_blocks_that_keep_words_whole():
+    from docraster.llm.language import blocks_of, words_of
+
+    for text in TONGUES[:5]:
+        for size in (1, 3, 40):
+            assert [w for block in blocks_of(text, size) for w in words_of(block)] == words_of(text)
+
+
+def test_expected_counts(raw_vocabulary):
+    """Forward-backward against the plain sums, for short words and for those that need scaling."""
+    from docraster.llm.language import Pieces, by_length, expected
+
+    pieces = Pieces(vocabulary("byte_bpe_multi_50k.tiktoken"))
+    p = np.random.default_rng(1).random((len(raw_vocabulary), 1)) ** 9 + 1e-6
     p /= p.sum(0)
-    scorer = Scorer(Model(vocabulary(VOCABULARY), ["a", "b"], np.zeros(2), p))
-    for word in ("the", "größe", "indivisibility"):
-        raw = b" " + word.encode()
-
-        def total(at):
-            if at == len(raw):
-                return np.ones(2)
-            out = np.zeros(2)
-            for end in range(at + 1, min(len(raw), at + 12) + 1):
-                key = np.uint64(Pieces.hash_one(raw[at:end]))
-                k = int(np.searchsorted(pieces.keys, key))
-                if k < len(pieces.keys) and pieces.keys[k] == key:
-                    out = out + p[k] * total(end)
-            return out
-
-        assert np.allclose(scorer.words([word])[0], np.log(total(0)), rtol=1e-9)
+    words = ["the", "größe", "indivisibility", "ab" * 60, "ab" * 61, "hauptbetriebswerkbauunterbeamtengesellschaft"]
+    got, plain = np.zeros(p.shape), np.zeros(len(p))
+    for own, matrix, lengths in by_length(words, 2000):
+        expected(pieces, list(pieces.edges(matrix, lengths)), lengths, matrix.shape[1], p, np.ones((len(own), 1)), got)
+    for w in words:
+        raw = b" " + w.encode()
+        tail = all_segmentations(raw, raw_vocabulary, p[:, 0])
+        back = {piece[::-1]: i for piece, i in raw_vocabulary.items()}
+        head = all_segmentations(raw[::-1], back, p[:, 0])[::-1]  # log of the sum up to each byte
+        for at in range(len(raw)):
+            for end in range(at + 1, len(raw) + 1):
+                if (k := raw_vocabulary.get(raw[at:end])) is not None:
+                    plain[k] += math.exp(head[at] + math.log(p[k, 0]) + tail[end] - tail[0])
+    assert np.allclose(got[:, 0], plain, rtol=1e-7, atol=1e-12)
 
 
 def test_archives_are_plain_gzip_members_and_broken_ones_are_told():
