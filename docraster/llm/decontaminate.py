@@ -1,25 +1,32 @@
 """Benchmark decontamination with DataFrame functions only.
 
 An item's windows are all its runs of ``width`` normalised words (a shorter item is one window). A window is known
-by a small key, a hash of its first, middle and last word; the set of all keys goes to every task as an IN set, and
-each document's words are tested against it position by position, so a document is read once and never shuffled.
-Positions that hit are verified by the hash of all of the window's words and then joined with the windows' exact
-texts. The set is bounded: above ``most_windows`` windows the keys are matched by a shuffled join instead, with the
-same result.
+by a key, a hash of the hashes of its first, middle and last word. The set of all keys is broadcast as a hash table
+and joined with the keys of all windows of the documents, of which only text digest, place and key stand in a row;
+texts are never shuffled for it. Places that hit are verified: their texts are read again, and the words of the
+window joined with the benchmark's own. A set of more than ``at_once`` keys is dealt to several passes over the
+documents, each with a broadcast of that size at most; nothing else depends on the size.
+
+Documents of one text are one case (two 64-bit hashes of the text name it), so copies cost no second verification
+of their own. What is found is small against the documents; Spark broadcasts it where its size on disk allows, and
+joins by a shuffle where not.
 
 Nulls: a null text has no words; an item with a null text or without words has no window, and a null item_id is
 left out of the list of items. A null doc_id stays as it is. Repeated rows are judged one by one, repeated items
-count by their item_id. An empty benchmark leaves all documents clean.
+count by their item_id. Very long texts are scanned whole. An empty benchmark leaves all documents clean, and an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docraster.llm.shared import kept
 
-WIDTH, SHARE, MOST_WINDOWS = 13, 20, 200_000
+WIDTH, SHARE, KEYS_AT_ONCE = 13, 20, 1_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -30,67 +37,75 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
-def _key(w: Column, first: Column, length: int) -> Column:
-    """The small key of the window that starts at ``first`` (from 0)."""
-    return F.xxhash64(F.get(w, first), F.get(w, first + length // 2), F.get(w, first + (length - 1)))
+def hashes(w: Column) -> Column:
+    return F.transform(w, lambda x: F.xxhash64(x))
 
 
-def _window(w: Column, first: Column, length: Column | int) -> Column:
-    return F.array_join(F.slice(w, first + 1, length if isinstance(length, Column) else F.lit(length)), " ")
+def text_key(text: Column) -> list[Column]:
+    """Two hashes that name a text."""
+    text = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(17), text).alias("t2")]
 
 
-def windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """item_id, length, body (the window's words) and key of each window of each item."""
-    w = items.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    w = w.withColumn("length", F.least(F.size("w"), F.lit(width)))
-    w = w.withColumn("first", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("length"))))
-    key = F.xxhash64(F.get("w", F.col("first")), F.get("w", F.col("first") + F.floor(F.col("length") / 2).cast("int")), F.get("w", F.col("first") + F.col("length") - 1))
-    return w.select("item_id", "length", _window(F.col("w"), F.col("first"), F.col("length")).alias("body"), key.alias("key")).distinct()
+def _key(h: Column, first: Column, length: Column) -> Column:
+    """The key of the window that starts at ``first`` (from 0). h: hashes of the words."""
+    middle = first + F.floor(length / 2).cast("int")
+    return F.xxhash64(F.get(h, first), F.get(h, middle), F.get(h, first + length - 1), length)
 
 
-NONE = "array<struct<first:int,length:int,body:string>>"
+def _window(w: Column, first: Column, length: Column) -> Column:
+    return F.array_join(F.slice(w, first + 1, length), " ")
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, most_windows: int = MOST_WINDOWS) -> tuple[DataFrame, DataFrame]:
-    """Each document as (d, n_words, found): d holds its columns, found the verified windows in it as
-    (first, length, body) in order. And the windows of the benchmark."""
-    known = kept(windows(benchmark, width), "windows")
-    by_length = {r["length"]: r["n"] for r in known.groupBy("length").agg(F.countDistinct("body").alias("n")).collect()}
-    # a generator's result is never computed anew inside the expressions and filters above it
-    base = docs.select(F.struct("*").alias("d"), F.explode(F.array(words(F.col("text")))).alias("w"))
-    if by_length and sum(by_length.values()) > most_windows:
-        return _joined(base, known, sorted(by_length)), known
-    found = F.array().cast(NONE)
-    if by_length:
-        keys: dict[int, list] = {}
-        bodies = []
-        for r in known.select("length", "key", F.xxhash64("body").alias("body")).distinct().collect():
-            keys.setdefault(r["length"], []).append(r["key"])
-            bodies.append(r["body"])
-        found = F.concat(*(_found(F.col("w"), length, keys[length], bodies) for length in sorted(keys)))
-        found = F.array_sort(found) if len(keys) > 1 else found
-    return base.select("d", F.size("w").alias("n_words"), F.explode(F.array(found)).alias("found")), known
-
-
-def _found(w: Column, length: int, keys: list[int], bodies: list[int]) -> Column:
-    """Windows of one length, by the small key and then by the hash of all words."""
-    at = F.transform(w, lambda _, i: F.when(_key(w, i, length).isin(keys), i))
-    at = F.filter(at, lambda i: i.isNotNull() & (i + length <= F.size(w)))
-    spans = F.transform(at, lambda i: F.struct(i.alias("first"), F.lit(length).alias("length"), _window(w, i, length).alias("body")))
-    return F.filter(spans, lambda s: F.xxhash64(s["body"]).isin(bodies))
-
-
-def _joined(base: DataFrame, known: DataFrame, lengths: list[int]) -> DataFrame:
-    """The way for large benchmarks: all windows of the documents are dealt by their words and joined."""
-    base = kept(base.select(F.monotonically_increasing_id().alias("row"), "*"), "words")
-    each = None
-    for n in lengths:
-        own = base.where(F.size("w") >= n).select("row", "w", F.explode(F.sequence(F.lit(0), F.size("w") - n)).alias("first"))
-        own = own.select("row", "first", F.lit(n).alias("length"), _window(F.col("w"), F.col("first"), n).alias("body"))
-        each = own if each is None else each.union(own)
-    matched = each.join(known.select("body", "length").distinct(), ["body", "length"]).groupBy("row")
-    matched = matched.agg(F.array_sort(F.collect_list(F.struct("first", "length", "body"))).alias("found"))
-    return base.join(matched, "row", "left").select("d", F.size("w").alias("n_words"), F.coalesce("found", F.array().cast(NONE)).alias("found"))
+def once(value: Column) -> Column:
+    """A generator's result is never computed anew inside the expressions and filters above it."""
+    return F.explode(F.array(value))
+
+
+def windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
+    """item_id, length, body (the window's words) and key of each window of each item."""
+    w = items.select("item_id", once(words(F.col("text"))).alias("w")).where(F.size("w") > 0)
+    w = w.select("item_id", "w", once(hashes(F.col("w"))).alias("h"), F.least(F.size("w"), F.lit(width)).alias("length"))
+    each = F.transform(F.sequence(F.lit(0), F.size("w") - F.col("length")), lambda i: F.struct(_window(F.col("w"), i, F.col("length")).alias("body"), _key(F.col("h"), i, F.col("length")).alias("key")))
+    return w.select("item_id", "length", F.explode(each).alias("s")).select("item_id", "length", "s.body", "s.key").distinct()
+
+
+def scanned(docs: DataFrame, known: DataFrame, at_once: int = KEYS_AT_ONCE) -> DataFrame:
+    """A row of each document (first -1, its number of words as length) and of each place at which a key occurs:
+    doc_id, t1, t2, first, length."""
+    keys = known.select("key").distinct()
+    lengths = sorted(r["length"] for r in known.select("length").distinct().collect())  # as many as a window has words
+    passes = -(-keys.count() // at_once)
+    h = F.col("h")
+    base = docs.select("doc_id", *text_key(F.col("text")), once(hashes(words(F.col("text")))).alias("h"))
+    mark = F.array(F.struct(F.lit(-1).alias("first"), F.size(h).alias("length"), F.lit(None).cast("long").alias("key")))
+
+    def of_length(n: int) -> Column:
+        return F.transform(h, lambda _, i: F.struct(i.alias("first"), F.lit(n).alias("length"), F.when(i + n <= F.size(h), _key(h, i, F.lit(n))).alias("key")))
+
+    parts = []
+    for i in range(max(1, passes)):
+        each = F.concat(*([mark] if i == 0 else []), *map(of_length, lengths))
+        rows = base.select("doc_id", "t1", "t2", F.explode(each).alias("s")).select("doc_id", "t1", "t2", "s.first", "s.length", "s.key")
+        if passes:
+            own = keys.where(F.pmod("key", F.lit(passes)) == i).select("key", F.lit(True).alias("hit"))
+            rows = rows.join(F.broadcast(own), "key", "left").where((F.col("first") < 0) | F.col("hit"))
+        parts.append(rows.select("doc_id", "t1", "t2", "first", "length"))
+    return kept(reduce(DataFrame.unionAll, parts), "scan")
+
+
+def verified(docs: DataFrame, scan: DataFrame, known: DataFrame) -> DataFrame:
+    """The windows that do occur, word by word: t1, t2 and n_words of the text, first, length, body; each once."""
+    at = kept(scan.where("first >= 0").groupBy("t1", "t2").agg(F.collect_set(F.struct("first", "length")).alias("at")), "places")
+    texts = docs.select(*text_key(F.col("text")), "text").join(at, ["t1", "t2"]).select("t1", "t2", "at", once(words(F.col("text"))).alias("w"))
+    body = F.transform("at", lambda s: F.struct(s["first"].alias("first"), s["length"].alias("length"), _window(F.col("w"), s["first"], s["length"]).alias("body")))
+    found = texts.select("t1", "t2", F.size("w").alias("n_words"), F.explode(body).alias("s")).select("t1", "t2", "n_words", "s.*")
+    return kept(found.join(known.select("length", "body").distinct(), ["length", "body"], "left_semi").distinct(), "hits")
+
+
+def in_order(hits: DataFrame) -> DataFrame:
+    """t1, t2, n_words and found (first, length; in order) of each text that is hit."""
+    return hits.groupBy("t1", "t2").agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_list(F.struct("first", "length"))).alias("found"))
 
 
 def spans(found: Column) -> Column:
@@ -117,26 +132,29 @@ def n_hit(found: Column) -> Column:
     return F.aggregate(found, start, add)["n"]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: int = SHARE, most_windows: int = MOST_WINDOWS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: int = SHARE, at_once: int = KEYS_AT_ONCE) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items (sorted as strings), contaminated, spans.
 
     A document is contaminated if at least one in ``share`` of its words is hit.
     """
-    rows, known = with_hits(docs, benchmark, width, most_windows)
-    rows = kept(rows.select(F.monotonically_increasing_id().alias("row"), "d.doc_id", "n_words", "found"), "hits")
-    counted = rows.select("row", "doc_id", F.col("n_words").cast("long").alias("n_words"), n_hit(F.col("found")).cast("long").alias("n_hit"), "found")
-    some = counted.where(F.size("found") > 0)
-    pairs = some.select("row", F.explode("found").alias("s")).select("row", F.col("s.body").alias("body"), F.col("s.length").alias("length")).distinct()
-    items = known.select("body", "length", F.col("item_id").cast("string").alias("item"))
-    named = pairs.join(items, ["body", "length"]).groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    some = some.join(named, "row").select("doc_id", "n_words", "n_hit", "items", spans(F.col("found")).alias("spans"))
-    clean = counted.where(F.size("found") == 0).select("doc_id", "n_words", "n_hit", F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<from:int,to:int>>").alias("spans"))
-    out = some.unionByName(clean)
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "spans")
-
-
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: int = SHARE, most_windows: int = MOST_WINDOWS) -> DataFrame:
+    known = kept(windows(benchmark, width), "windows")
+    scan = scanned(docs, known, at_once)
+    hits = verified(docs, scan, known)
+    of_text = hits.select("t1", "t2", "length", "body").distinct()
+    named = of_text.join(known.select("length", "body", F.col("item_id").cast("string").alias("item")), ["length", "body"])
+    named = named.groupBy("t1", "t2").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    about = in_order(hits).join(named, ["t1", "t2"], "left").select("t1", "t2", "items", n_hit(F.col("found")).alias("n_hit"), spans(F.col("found")).alias("spans"))
+    rows = scan.where("first < 0").select("doc_id", "t1", "t2", F.col("length").cast("long").alias("n_words")).join(kept(about, "found"), ["t1", "t2"], "left")
+    hit = F.coalesce("n_hit", F.lit(0)).cast("long")
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    return rows.select("doc_id", "n_words", hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), ((hit > 0) & (share * hit >= F.col("n_words"))).alias("contaminated"), F.coalesce("spans", F.array().cast("array<struct<from:int,to:int>>")).alias("spans"))
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: int = SHARE, at_once: int = KEYS_AT_ONCE) -> DataFrame:
     """The documents, whole and with all their columns, that are not contaminated."""
-    rows, _ = with_hits(docs, benchmark, width, most_windows)
-    n = n_hit(F.col("found"))
-    return rows.where((n == 0) | (share * n < F.col("n_words"))).select("d.*")
+    known = kept(windows(benchmark, width), "windows")
+    narrow = docs.select(F.lit(None).cast("long").alias("doc_id"), "text")
+    hits = verified(narrow, scanned(narrow, known, at_once), known)
+    bad = kept(in_order(hits).where(share * n_hit(F.col("found")) >= F.col("n_words")).select("t1", "t2"), "contaminated")
+    rows = docs.select(F.struct("*").alias("d"), *text_key(F.col("text")))
+    return rows.join(bad, ["t1", "t2"], "left_anti").select("d.*")

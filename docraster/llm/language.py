@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docraster.llm.shared import batches_of, fold
+from docraster.llm.shared import batches_of, excerpt, fold
 from docraster.llm.words import mix
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -246,7 +246,6 @@ def drawn_in(total: np.ndarray, size: np.ndarray, mean, bytes_of_prior: int = 64
 def train(docs: DataFrame, path: str, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, in_all: int = SAMPLE_ALL) -> Model | None:
     """Fits on about ``rows`` labelled texts of each language, and twice ``in_all`` texts at most; of a text with over
     ``chars`` characters, as many from a place that its id decides."""
-    long, start = F.length("text") > chars, F.pmod(F.xxhash64("doc_id", F.lit(13)), F.greatest(F.length("text") - chars, F.lit(1)))
     known = docs.where(~fold(4) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     rows = min(rows, max(1, in_all // max(1, len(sizes))))
@@ -254,8 +253,7 @@ def train(docs: DataFrame, path: str, rows: int = SAMPLE_ROWS, chars: int = SAMP
     rate = F.lit(0.0)
     for lang, n in sizes.items():
         rate = F.when(F.col("lang") == lang, F.lit(min(1.0, rows / n))).otherwise(rate)
-    excerpt = F.when(long, F.substr(F.col("text"), (start + 1).cast("int"), F.lit(chars))).otherwise(F.col("text"))
-    picked = known.where(u < rate).select("lang", excerpt.alias("text")).limit(2 * in_all).collect()
+    picked = known.where(u < rate).select("lang", excerpt(F.col("text"), chars, F.col("doc_id")).alias("text")).limit(2 * in_all).collect()
     return fit(sorted((r["lang"], r["text"]) for r in picked), path)
 
 

@@ -24,16 +24,18 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_dir.isDefined():
             base = set_dir.get()
-        else:
+        elif spark.sparkContext.master.startswith("local"):
             base = "file://" + tempfile.mkdtemp(prefix="docraster-")
             spark.sparkContext.setCheckpointDir(base)
+        else:  # executors would not see a folder of this machine
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once to the shared folder and reads it back, which cuts its lineage."""
+def kept(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Writes df once to the shared folder (or to a path in it) and reads it back, which cuts its lineage."""
     spark = df.sparkSession
-    path = shared_folder(spark, name)
+    path = path or shared_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -104,11 +106,18 @@ def offsets_of(texts: pa.Array) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(lengths)])
 
 
+def excerpt(text: Column, chars: int, key: Column) -> Column:
+    """The text, or of one with over ``chars`` characters as many from a place that the key decides."""
+    start = F.pmod(F.xxhash64(key, F.lit(13)), F.greatest(F.length(text) - chars, F.lit(1))) + 1
+    return F.when(F.length(text) > chars, F.substr(text, start.cast("int"), F.lit(chars))).otherwise(text)
+
+
 def sample_of_labels(spark: SparkSession, labels: DataFrame, docs: DataFrame, label: str, rows: int, max_chars: int) -> list[tuple[str, int]]:
     """A bounded sample (text, label) to fit a classifier on, about half of either class.
 
-    ``rows`` bounds the rows of a class and ``max_chars`` a row's text, so the driver holds at most
-    2 * rows * max_chars characters. Rows are picked by a hash of their id at a rate that follows from the class sizes.
+    ``rows`` bounds the rows of a class and ``max_chars`` what is taken of a text, so the driver holds at most
+    3 * rows * max_chars characters. Rows are picked by a hash of their id at a rate that follows from the class
+    sizes; of texts that share an id the first in order is taken.
     """
     known = labels.select("doc_id", F.col(label).alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~fold(4))
     sizes = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -117,9 +126,33 @@ def sample_of_labels(spark: SparkSession, labels: DataFrame, docs: DataFrame, la
     for y, n in sizes.items():
         rate = F.when(F.col("y") == y, F.lit(min(1.0, rows / n))).otherwise(rate)
     picked = known.where(u < rate).groupBy("doc_id").agg(F.max("y").alias("y"))
-    ids = {r.doc_id: r.y for r in picked.limit(3 * rows).collect()}
+    ids = {r.doc_id: r.y for r in picked.orderBy(u, "doc_id").limit(3 * rows).collect()}
     if not ids:
         return []
     few = spark.createDataFrame(list(ids.items()), "doc_id long, y int")
-    got = docs.select("doc_id", "text").where(F.length("text") <= max_chars).join(F.broadcast(few), "doc_id").select("doc_id", "text", "y").limit(6 * rows).collect()
-    return [(r.text, r.y) for r in sorted(got, key=lambda r: (r.doc_id, r.text))]
+    got = docs.where(F.col("text").isNotNull()).select("doc_id", excerpt(F.col("text"), max_chars, F.col("doc_id")).alias("text")).join(F.broadcast(few), "doc_id")
+    got = got.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).collect()
+    return [(r.text, r.y) for r in sorted(got, key=lambda r: r.doc_id)]
+
+
+def fresh(df: DataFrame, *wanted: str) -> tuple[str, ...]:
+    """Names like the wanted ones that no column of df has (Spark does not tell cases apart)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return tuple(out)
+
+
+def column(name: str) -> Column:
+    """A column by its very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def removed(spark: SparkSession, uri: str) -> None:
+    """Deletes a folder that ``shared_folder`` named."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

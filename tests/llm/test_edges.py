@@ -116,15 +116,15 @@ def test_decontamination(spark, docs, empty):
     from docraster.llm.decontaminate import contamination, without_contaminated
 
     items = spark.createDataFrame([(1, "hello HELLO world"), (2, None), (None, "quick brown"), (3, "  "), (2, "hello hello world")], "item_id long, text string")
-    for most in (100, 0):  # by an IN set, and by a join
-        rows = contamination(docs, items, most_windows=most).collect()
+    for at_once in (100, 1):  # in one pass, and in several
+        rows = contamination(docs, items, at_once=at_once).collect()
         assert ids(rows) == EXPECTED
         by = {r["doc_id"]: r for r in rows if r["doc_id"]}
         assert (by[4]["n_words"], by[4]["n_hit"], by[4]["n_items"], by[4]["contaminated"]) == (6, 3, 2, True)
         assert by[4]["items"] == ["1", "2"] and [tuple(s) for s in by[4]["spans"]] == [(0, 3)]
         assert (by[9]["n_hit"], by[9]["n_items"], by[9]["contaminated"]) == (2, 0, True)
         assert by[2]["n_words"] == 0 and not by[2]["contaminated"]
-        left = without_contaminated(docs, items, most_windows=most)
+        left = without_contaminated(docs, items, at_once=at_once)
         assert left.columns == docs.columns
         assert ids(left.collect()) == EXPECTED - collections.Counter([4, 5, 5, 9])
     assert contamination(empty, items).collect() == []

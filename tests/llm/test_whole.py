@@ -122,3 +122,31 @@ def test_quality_is_a_function_of_the_text(spark):
     for way in (df.coalesce(1), df.repartition(7, "doc_id"), df.orderBy(df.doc_id.desc())):
         got = {r["doc_id"]: r["quality_score"] for r in q.score(way, net).collect()}
         assert all(abs(got[i] - alone[i]) < 1e-6 for i in got)
+
+
+def test_a_benchmark_of_many_windows(spark):
+    """Over 200,000 windows and several passes; false meetings of the key's three words do not count."""
+    from docraster.llm.decontaminate import contamination, without_contaminated
+
+    rng = np.random.default_rng(8)
+    names = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choice(names, 420))) for i in range(520)]
+    assert sum(len(t.split()) - 12 for _, t in items) > 200_000
+    docs, want = [], {}
+    for d in range(40):
+        words = rng.choice(names, 300).tolist()
+        own = items[int(rng.integers(520))]
+        at, n = int(rng.integers(0, 200)), int(rng.integers(8, 40))
+        start = int(rng.integers(0, 300))
+        piece = own[1].split()[at : at + n]
+        if d % 4 == 0:  # same first, middle and last word, others apart
+            piece = [w if k in (0, 6, 12) else "other" for k, w in enumerate(piece[:13])]
+        words[start:start] = piece
+        docs.append((d, " ".join(words)))
+        hit = n if n >= 13 and d % 4 else 0
+        want[d] = (len(words), hit, [str(own[0])] if hit else [], hit > 0 and 20 * hit >= len(words))
+    df, bench = spark.createDataFrame(docs * 2, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows = contamination(df, bench, at_once=90_000).collect()
+    assert len(rows) == 80 and all((r["n_words"], r["n_hit"], r["items"], r["contaminated"]) == want[r["doc_id"]] for r in rows)
+    left = without_contaminated(df, bench, at_once=90_000).collect()
+    assert sorted(r["doc_id"] for r in left) == sorted([d for d in want if not want[d][3]] * 2)
