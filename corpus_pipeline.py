@@ -2,7 +2,12 @@
 
 Language ID, quality, near-duplicates, decontamination and packing, in this order. Each stage reads what its
 predecessor kept (written as Parquet), learns what it must from that and from the tables beside it, and returns
-whole documents; the last one returns the pieces of the packed sequences.
+whole documents; the last one returns the pieces of the packed sequences. Scores go by under names that the documents
+do not use, so every column, whatever it is called, comes out as it went in.
+
+Nulls and empty texts have no letter, so the language stage rejects them, as it does texts of junk or of no learnt
+language. A null lang, source or doc_id decides nothing; of repeated rows one stays. Very long texts are judged and
+packed whole. An empty table gives no rows, and without labels the quality stage keeps all.
 """
 
 from __future__ import annotations
@@ -12,17 +17,23 @@ from pyspark.sql import functions as F
 
 from docraster.llm import decontaminate, language, packing, quality, simhash
 from docraster.llm.queries import table, vocabulary
-from docraster.llm.shared import kept
+from docraster.llm.shared import column, fresh, kept, removed, shared_folder
+
+#: A language is accepted from this posterior on, and up to this strangeness.
+SURE, STRANGE = 0.5, 1.25
+
 
-#: A language is accepted from this posterior on.
-SURE = 0.5
+def whole(docs: DataFrame, like: DataFrame) -> DataFrame:
+    return docs.select(*map(column, like.columns))
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter, and those whose language is not clear among the learnt ones."""
+    """Rejects documents without a letter, those whose language is not clear among the learnt ones, and those unlike
+    anything learnt in it."""
     model = language.train(docs, vocabulary(language.VOCABULARY))
-    found = language.predict(docs, model)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select(*docs.columns)
+    lang, score, strange = names = fresh(docs, "lang_pred", "lang_score", "strangeness")
+    found = language.predict(docs, model, names)
+    return whole(found.where((F.col(lang) != "und") & (F.col(score) >= SURE) & (F.col(strange) <= STRANGE)), docs)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,17 +41,18 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     net, share = quality.train(docs, table(spark, sf_dir, "labels"))
     if net is None:  # nothing to learn a rejection from
         return docs
-    return quality.score(docs, net, share).where(F.col("quality_score") >= quality.THRESHOLD).select(*docs.columns)
+    (name,) = fresh(docs, "quality_score")
+    return whole(quality.score(docs, net, share, name).where(F.col(name) >= quality.THRESHOLD), docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates."""
-    return simhash.one_of_each(docs).select(*docs.columns)
+    return whole(simhash.one_of_each(docs), docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes documents that hold too much of the benchmark."""
-    return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    return whole(decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark")), docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +73,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages in turn; what a stage kept is deleted once its successor has been written."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = kept(stage(spark, docs, sf_dir), name)
+        path = shared_folder(spark, name)
+        docs = kept(stage(spark, docs, sf_dir), name, path)
+        if last:
+            removed(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)
