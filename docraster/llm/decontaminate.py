@@ -2,14 +2,13 @@
 
 An item's windows are all its runs of ``width`` normalised words (a shorter item is one window). A window is known
 by a key, a hash of the hashes of its first, middle and last word. The set of all keys is broadcast as a hash table
-and joined with the keys of all windows of the documents, of which only text digest, place and key stand in a row;
-texts are never shuffled for it. Places that hit are verified: their texts are read again, and the words of the
-window joined with the benchmark's own. A set of more than ``at_once`` keys is dealt to several passes over the
-documents, each with a broadcast of that size at most; nothing else depends on the size.
+and joined with the keys of all windows of the documents; of those that meet, and of no others, the words are put
+together, and joined with the benchmark's own. Documents are read once; nothing but places that hit is shuffled. A set
+of more than ``at_once`` keys is dealt to several passes over the documents, each with a broadcast of that size at
+most; nothing else depends on the size.
 
-Documents of one text are one case (two 64-bit hashes of the text name it), so copies cost no second verification
-of their own. What is found is small against the documents; Spark broadcasts it where its size on disk allows, and
-joins by a shuffle where not.
+Documents of one text are one case (two 64-bit hashes of the text name it). What is found is small against the
+documents; Spark broadcasts it where its size on disk allows, and joins by a shuffle where not.
 
 Nulls: a null text has no words; an item with a null text or without words has no window, and a null item_id is
 left out of the list of items. A null doc_id stays as it is. Repeated rows are judged one by one, repeated items
@@ -71,36 +70,37 @@ def windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def scanned(docs: DataFrame, known: DataFrame, at_once: int = KEYS_AT_ONCE) -> DataFrame:
-    """A row of each document (first -1, its number of words as length) and of each place at which a key occurs:
-    doc_id, t1, t2, first, length."""
+    """A row of each document (first -1) and of each place at which a key occurs: doc_id, t1, t2, n_words, first,
+    length, body."""
     keys = known.select("key").distinct()
     lengths = sorted(r["length"] for r in known.select("length").distinct().collect())  # as many as a window has words
     passes = -(-keys.count() // at_once)
-    h = F.col("h")
-    base = docs.select("doc_id", *text_key(F.col("text")), once(hashes(words(F.col("text")))).alias("h"))
-    mark = F.array(F.struct(F.lit(-1).alias("first"), F.size(h).alias("length"), F.lit(None).cast("long").alias("key")))
+    base = docs.select("doc_id", *text_key(F.col("text")), once(words(F.col("text"))).alias("w"))
+    base = base.select("*", once(hashes(F.col("w"))).alias("h"))
+    h, n = F.col("h"), F.size("w")
 
-    def of_length(n: int) -> Column:
-        return F.transform(h, lambda _, i: F.struct(i.alias("first"), F.lit(n).alias("length"), F.when(i + n <= F.size(h), _key(h, i, F.lit(n))).alias("key")))
+    def of_length(length: int) -> Column:
+        return F.transform(h, lambda _, i: F.when(i + length <= F.size(h), _key(h, i, F.lit(length))))
 
+    # places of all lengths in one array of keys; the document's own row stands before them
+    every = base.select("doc_id", "t1", "t2", "w", once(F.concat(F.array(F.lit(None).cast("long")), *map(of_length, lengths))).alias("keys"))
     parts = []
     for i in range(max(1, passes)):
-        each = F.concat(*([mark] if i == 0 else []), *map(of_length, lengths))
-        rows = base.select("doc_id", "t1", "t2", F.explode(each).alias("s")).select("doc_id", "t1", "t2", "s.first", "s.length", "s.key")
+        rows = every.select("doc_id", "t1", "t2", "w", F.posexplode("keys").alias("at", "key"))
         if passes:
             own = keys.where(F.pmod("key", F.lit(passes)) == i).select("key", F.lit(True).alias("hit"))
-            rows = rows.join(F.broadcast(own), "key", "left").where((F.col("first") < 0) | F.col("hit"))
-        parts.append(rows.select("doc_id", "t1", "t2", "first", "length"))
+            rows = rows.join(F.broadcast(own), "key", "left").where(F.col("hit") | (F.col("at") == 0) if i == 0 else F.col("hit"))
+        place = F.col("at") > 0
+        first = F.when(place, (F.col("at") - 1) % n).otherwise(-1)
+        length = F.when(place, F.get(F.array(*map(F.lit, lengths)), F.floor((F.col("at") - 1) / n).cast("int"))).otherwise(n) if lengths else n
+        parts.append(rows.select("doc_id", "t1", "t2", n.alias("n_words"), first.alias("first"), length.alias("length"), F.when(place, _window(F.col("w"), first, length)).alias("body")))
     return kept(reduce(DataFrame.unionAll, parts), "scan")
 
 
-def verified(docs: DataFrame, scan: DataFrame, known: DataFrame) -> DataFrame:
+def verified(scan: DataFrame, known: DataFrame) -> DataFrame:
     """The windows that do occur, word by word: t1, t2 and n_words of the text, first, length, body; each once."""
-    at = kept(scan.where("first >= 0").groupBy("t1", "t2").agg(F.collect_set(F.struct("first", "length")).alias("at")), "places")
-    texts = docs.select(*text_key(F.col("text")), "text").join(at, ["t1", "t2"]).select("t1", "t2", "at", once(words(F.col("text"))).alias("w"))
-    body = F.transform("at", lambda s: F.struct(s["first"].alias("first"), s["length"].alias("length"), _window(F.col("w"), s["first"], s["length"]).alias("body")))
-    found = texts.select("t1", "t2", F.size("w").alias("n_words"), F.explode(body).alias("s")).select("t1", "t2", "n_words", "s.*")
-    return kept(found.join(known.select("length", "body").distinct(), ["length", "body"], "left_semi").distinct(), "hits")
+    found = scan.where("first >= 0").select("t1", "t2", "n_words", "first", "length", "body").distinct()
+    return kept(found.join(known.select("length", "body").distinct(), ["length", "body"], "left_semi"), "hits")
 
 
 def in_order(hits: DataFrame) -> DataFrame:
@@ -139,12 +139,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, sha
     """
     known = kept(windows(benchmark, width), "windows")
     scan = scanned(docs, known, at_once)
-    hits = verified(docs, scan, known)
+    hits = verified(scan, known)
     of_text = hits.select("t1", "t2", "length", "body").distinct()
     named = of_text.join(known.select("length", "body", F.col("item_id").cast("string").alias("item")), ["length", "body"])
     named = named.groupBy("t1", "t2").agg(F.array_sort(F.collect_set("item")).alias("items"))
     about = in_order(hits).join(named, ["t1", "t2"], "left").select("t1", "t2", "items", n_hit(F.col("found")).alias("n_hit"), spans(F.col("found")).alias("spans"))
-    rows = scan.where("first < 0").select("doc_id", "t1", "t2", F.col("length").cast("long").alias("n_words")).join(kept(about, "found"), ["t1", "t2"], "left")
+    rows = scan.where("first < 0").select("doc_id", "t1", "t2", F.col("n_words").cast("long").alias("n_words")).join(kept(about, "found"), ["t1", "t2"], "left")
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     items = F.coalesce("items", F.array().cast("array<string>"))
     return rows.select("doc_id", "n_words", hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), ((hit > 0) & (share * hit >= F.col("n_words"))).alias("contaminated"), F.coalesce("spans", F.array().cast("array<struct<from:int,to:int>>")).alias("spans"))
@@ -154,7 +154,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WID
     """The documents, whole and with all their columns, that are not contaminated."""
     known = kept(windows(benchmark, width), "windows")
     narrow = docs.select(F.lit(None).cast("long").alias("doc_id"), "text")
-    hits = verified(narrow, scanned(narrow, known, at_once), known)
+    hits = verified(scanned(narrow, known, at_once), known)
     bad = kept(in_order(hits).where(share * n_hit(F.col("found")) >= F.col("n_words")).select("t1", "t2"), "contaminated")
     rows = docs.select(F.struct("*").alias("d"), *text_key(F.col("text")))
     return rows.join(bad, ["t1", "t2"], "left_anti").select("d.*")
