@@ -156,3 +156,20 @@ def removed(spark: SparkSession, uri: str) -> None:
     """Deletes a folder that ``shared_folder`` named."""
     path = spark._jvm.org.apache.hadoop.fs.Path(uri)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def hub_join(left: DataFrame, right: DataFrame, key: str | list[str], how: str = "inner", count: str = "n", least: int = 64) -> DataFrame:
+    """left with right, which has one row of each key and tells in ``count`` how many rows of left have it.
+
+    A key with more than a 10,000th of all those rows, and than ``least``, is a hub: at most 10,000 of them are
+    broadcast, and their rows never meet in one task. All other rows are joined as Spark sees fit. Both sides are read
+    twice where there are hubs, so they should be written tables.
+    """
+    key = [key] if isinstance(key, str) else key
+    about = right.agg(F.sum(count).alias("rows"), F.max(count).alias("most")).first()
+    limit = max(least, (about["rows"] or 0) // 10_000)
+    if (about["most"] or 0) <= limit:
+        return left.join(right.drop(count), key, how)
+    hubs, rest = right.where(F.col(count) > limit).drop(count), right.where(F.col(count) <= limit).drop(count)
+    others = left.join(F.broadcast(hubs.select(*key)), key, "left_anti").join(rest, key, how)
+    return left.join(F.broadcast(hubs), key).unionByName(others)

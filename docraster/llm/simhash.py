@@ -10,8 +10,11 @@ spread their differences (a, b, c) over the segments, and pigeonhole leaves thes
 - a, b >= 1, so c <= 1: fuzzy keys of A and B, and whichever half of C (9 bits) is the same
 
 Every key has at least 32 bits, so groups of equal keys stay small on random fingerprints. Fingerprints are made
-distinct first; a group's members are compared in blocks of one sorted run, and each task hands on a spanning
-forest of the links that it verified (at most one row per fingerprint), never the pairs.
+distinct first; a group's members are compared in blocks of one sorted run, and a large group by the same pigeonhole
+once more: the bits in which its members differ at all are cut into four bands, of which two near members share one.
+Each task hands on a spanning forest of the links that it verified (at most one row per fingerprint), never the pairs.
+Fingerprints with very many links or copies (hubs) are told by their count and joined by a broadcast of at most 10,000
+of them, so that no task gets all rows of one.
 
 Nulls: a null text, or one without words, has fingerprint zero and links like any other; a null doc_id takes part
 and is the component's smallest id only if no other is known. Repeated rows stay rows of their own. An empty
@@ -26,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docraster.llm.shared import batches_of, kept
+from docraster.llm.shared import batches_of, hub_join, kept
 
 _LOWER = bytes(range(0x41)) + bytes(range(0x61, 0x7B)) + bytes(range(0x5B, 256))
 SEED, SHINGLE, DISTANCE = 42, 3, 3
@@ -59,16 +62,18 @@ def fingerprints_of(texts: list[str | None], shingle: int = SHINGLE) -> np.ndarr
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed 64-bit integer) of each row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """The columns of docs but the text, and fp (its fingerprint as a signed 64-bit integer)."""
+    from pyspark.sql import types as T
+
+    names = [c for c in docs.columns if c != "text"]
 
     def task(batches):
         for batch in batches:
             for part in batches_of(batch, size=1 << 20):
                 fp = fingerprints_of(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(fp.view(np.int64))], schema=schema)
+                yield pa.RecordBatch.from_arrays([*map(part.column, names), pa.array(fp.view(np.int64))], [*names, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(task, "doc_id long, fp long")
+    return docs.mapInArrow(task, T.StructType([*(docs.schema[c] for c in names), T.StructField("fp", T.LongType())]))
 
 
 # --- the Golay code and the keys ------------------------------------------------------------------------------
@@ -161,21 +166,42 @@ class Forest:
             np.minimum.at(self.up, np.maximum(rx, ry), np.minimum(rx, ry))
 
 
-def linked(key: np.ndarray, fp: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links (x, y) of the fingerprints that share a key and differ in few bits. key is sorted.
+def near_pairs(key: np.ndarray, fp: np.ndarray, distance: int, most: int = 512):
+    """Pairs of rows (arrays i, j) that share a key and differ in few bits, a step at a time; for connectivity alone, so
+    members of a run that all differ little are only paired with its first. key is sorted.
 
-    Row i is compared with row i + 1, then i + 2, and so on while the key lasts, all rows at once; rows of one run
-    that are in one component already are still compared, but need no further link.
+    Of runs of up to ``most`` rows, row i is compared with row i + 1, then i + 2, and so on while the key lasts, all
+    rows at once. Longer runs go by bands of the bits that vary in them.
     """
-    nodes, node = np.unique(fp, return_inverse=True)
-    forest = Forest(len(nodes))
-    at, step = np.arange(len(key) - 1), 1
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(key)))
+    at, step = np.flatnonzero(np.repeat(size <= most, size)), 1
     while len(at):
         at = at[at + step < len(key)]
         at = at[key[at] == key[at + step]]
         near = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= distance]
-        forest.link(node[near], node[near + step])
+        if len(near):
+            yield near, near + step
         step += 1
+    for begin, n in zip(first[size > most].tolist(), size[size > most].tolist()):
+        own = fp[begin : begin + n]
+        bits = [b for b in range(64) if int(np.bitwise_or.reduce(own ^ own[0])) >> b & 1]
+        if len(bits) <= distance:
+            yield np.full(n - 1, begin), np.arange(begin + 1, begin + n)
+            continue
+        for band in np.array_split(bits, distance + 1):
+            shared = own & np.uint64(sum(1 << int(b) for b in band))
+            order = np.argsort(shared, kind="stable")
+            for i, j in near_pairs(shared[order], own[order], distance, most):
+                yield begin + order[i], begin + order[j]
+
+
+def linked(key: np.ndarray, fp: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links (x, y) of the fingerprints that share a key and differ in few bits. key is sorted."""
+    nodes, node = np.unique(fp, return_inverse=True)
+    forest = Forest(len(nodes))
+    for i, j in near_pairs(key, fp, distance):
+        forest.link(node[i], node[j])
     root = forest.roots(np.arange(len(nodes)))
     own = np.flatnonzero(root != np.arange(len(nodes)))
     return nodes[own], nodes[root[own]]
@@ -235,8 +261,8 @@ def components(edges: DataFrame) -> DataFrame:
             seen = df.select(F.col("x").alias("u"), F.col("y").alias("v")).union(df.select("y", "x"))
         else:
             seen = df.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))
-        low = seen.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        out = seen.join(low, "u")
+        low = kept(seen.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "smallest")
+        out = hub_join(seen, low, "u")
         if both_ways:
             out = out.where("v > u").select(F.col("v").alias("x"), F.col("m").alias("y"))
         else:
@@ -253,22 +279,38 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("x").alias("node"), F.col("y").alias("root"))
 
 
+def grouped(prints: DataFrame) -> DataFrame:
+    """Each distinct fingerprint of prints (fp, and id, which can be put in order): fp, its number of rows n, the
+    component's root, and the smallest id in the component as component."""
+    classes = kept(prints.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")), "classes")
+    roots = components(links(classes))
+    rooted = kept(classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")), "rooted")
+    smallest = kept(rooted.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("members")), "components")
+    return kept(hub_join(rooted, smallest, "root", count="members").select("fp", "n", "component"), "groups")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable) of each row."""
-    prints = kept(fingerprints(docs), "fingerprints")
-    classes = kept(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    roots = components(links(classes))
-    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    prints = kept(fingerprints(docs.select(F.col("doc_id").cast("long").alias("id"), "text")), "fingerprints")
+    named = hub_join(prints, grouped(prints), "fp")
+    return named.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents, whole, of which one of each component stays: that with the smallest doc_id (the first, if tied)."""
-    rows = kept(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("d")), "rows")
-    groups = near_duplicates(rows.select(F.col("row").alias("doc_id"), F.col("d.text").alias("text")))
-    groups = groups.select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
-    named = groups.join(rows.select("row", "d.doc_id"), "row").groupBy("component")
-    keep = named.agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("row")).select("row")
-    return rows.join(keep, "row", "left_semi").select("d.*")
+    """The documents, whole, of which one of each component stays: that with the smallest doc_id (of several, by two
+    hashes of the text; of rows equal in all that, the one whose other columns come first as text).
+
+    A row is known by its doc_id and text, so documents are read a second time to be handed on, and only those two
+    tell which go. Documents are shuffled once, or not at all where the list of those that go is small enough for Spark
+    to broadcast it.
+    """
+    text = F.coalesce("text", F.lit(""))
+    name = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(17), text).alias("t2")).alias("id")
+    prints = kept(fingerprints(docs.select(name, "text")), "fingerprints")
+    groups = grouped(prints)
+    rows = kept(hub_join(prints, groups, "fp").groupBy("id", "component").agg(F.count("*").alias("n")), "named")
+    gone = kept(rows.where("id <> component").select("id"), "gone")
+    again = kept(rows.where("id = component and n > 1").select("id"), "repeated")
+    whole = docs.select(name, F.struct("*").alias("d")).join(gone, "id", "left_anti")
+    single = whole.join(again, "id", "left_anti").select("d")
+    return single.unionAll(whole.join(again, "id", "left_semi").groupBy("id").agg(F.min_by("d", F.to_json("d")).alias("d")).select("d")).select("d.*")
