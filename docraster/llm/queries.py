@@ -124,7 +124,7 @@ k AS (SELECT l, pr, CASE WHEN g < 2 OR bad = 0 OR bad = n OR coalesce(rho, 0) <=
 sp AS (SELECT suffix, (s.bad + k.k * k.pr) / (s.n + k.k) AS prior FROM s, k WHERE k.l = 's'),
 dp AS (SELECT domain, suffix, (d.bad + k.k * sp.prior) / (d.n + k.k) AS prior FROM d JOIN sp USING (suffix), k WHERE k.l = 'd'),
 hp AS (SELECT host, h.n, k.k, (h.bad + k.k * dp.prior) / (h.n + k.k) AS rate FROM h JOIN dp USING (domain, suffix), k WHERE k.l = 'h'),
-hv AS (SELECT host, CASE WHEN rate - 1.645 * sqrt(rate * (1 - rate) / (n + k + 1)) > 0.5 THEN 'block' ELSE 'allow' END AS own FROM hp),
+hv AS (SELECT host, CASE WHEN rate - 1.645 * sqrt(rate * (1 - rate) / (n + k + 1)) > 1.5 * (SELECT sum(bad) / sum(n) FROM s) THEN 'block' ELSE 'allow' END AS own FROM hp),
 rules AS (SELECT * FROM (VALUES ('com/en/', 'block'), ('example.com/en/7', 'allow'), ('net/de/', 'allow'), ('example.net/de/8', 'block'), ('org/es/', 'block')) AS t(rule, v)),
 f AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(v, length(rule)) AS v FROM p, rules
       WHERE (host = split_part(rule, '/', 1) OR host LIKE '%.' || split_part(rule, '/', 1)) AND starts_with(path, substr(rule, position('/' IN rule))) GROUP BY page_id)
