@@ -4,10 +4,12 @@ Writing: each payload gets its SHA-1; of equal payloads that with the largest pa
 others ``revisit`` it. Each task writes one archive to a folder that all executors share; a repeated task
 replaces its archive. Reading: a task streams an archive through an incremental decompressor, never holding more
 than a record; records are framed by Content-Length, must end with their member, and the block of a response must
-have the digest that its header names.
+have the block and payload digests that its headers name.
 
 A revisit record has no block of its own; its payload is read from what the record names (WARC-Refers-To). Its
-length and digest stand in its headers.
+length and digest stand in its headers, and must be those of a response under that name: ``checked`` tells where not.
+
+Digests that occur once need no join; those that repeat are few against the pages, or hubs, or else joined by a shuffle.
 
 Nulls: a null html is an empty payload, a null url is written as an empty target, a null page_id is kept as none
 (the record's id is then made from the url's digest) and never preferred over a page that has one. Repeated rows are
@@ -28,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docraster.llm.shared import filesystem, kept, shared_folder, write_file
+from docraster.llm.shared import filesystem, hub_join, kept, shared_folder, write_file
 
 DATE = "2024-01-01T00:00:00Z"
 CRLF = b"\r\n"
@@ -100,9 +102,10 @@ def parsed(member: bytes) -> Record:
     if len(rest) != length + 4 or rest[length:] != CRLF * 2:
         raise BrokenArchive(f"{headers.get('WARC-Record-ID')}: Content-Length {length} does not frame the record")
     block = rest[:length]
-    named = headers.get("WARC-Block-Digest")
-    if named and named != f"sha1:{digest(block)}":
-        raise BrokenArchive(f"{headers.get('WARC-Record-ID')}: the block's digest is not {named}")
+    names = ["WARC-Block-Digest"] + ["WARC-Payload-Digest"] * (headers.get("WARC-Type") == "response")
+    wanted = {headers[name] for name in names if name in headers}
+    if wanted and wanted != {own := f"sha1:{digest(block)}"}:
+        raise BrokenArchive(f"{headers.get('WARC-Record-ID')}: the digest of its block is {own}, not as told")
     return Record(headers, block)
 
 
@@ -118,8 +121,8 @@ def with_revisits(pages: DataFrame, at_least: int = 0) -> DataFrame:
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     p = p.withColumn("sha1", F.unhex(F.sha1(F.coalesce("html", F.lit("")).cast("binary"))))
     size = F.octet_length(F.coalesce("html", F.lit("")))
-    same = p.where(size >= at_least).groupBy("sha1").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1")
-    joined = p.withColumn("n_bytes", size).join(same.select("sha1", "keeper"), "sha1", "left")
+    same = kept(p.where(size >= at_least).groupBy("sha1").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1"), "repeated")
+    joined = hub_join(p.withColumn("n_bytes", size), same, "sha1", "left")
     refers = F.when((F.col("n_bytes") >= at_least) & ~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper"))
     return joined.select("page_id", "url", "html", "sha1", refers.alias("refers_to"))
 
@@ -183,6 +186,16 @@ def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
     return dealt.mapInArrow(task, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * payloads)
 
 
+def checked(records: DataFrame) -> DataFrame:
+    """The records; an error if a revisit's length or digest is not that of a response under the name it gives."""
+    told = records.where("record_type = 'revisit'").groupBy("refers_to", "payload_bytes", "payload_digest").agg(F.count("*").alias("n"))
+    own = records.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest")
+    wrong = told.join(own, ["refers_to", "payload_bytes", "payload_digest"], "left_anti").first()
+    if wrong is not None:
+        raise BrokenArchive(f"{wrong['n']} revisits of page {wrong['refers_to']}, which has no payload of {wrong['payload_bytes']} bytes and digest {wrong['payload_digest']}")
+    return records
+
+
 def round_trip(pages: DataFrame, at_least: int = 0) -> DataFrame:
-    """Writes the pages to archives in the shared folder and reads them back."""
-    return read_archives(write_archives(pages, shared_folder(pages.sparkSession, "warc"), at_least))
+    """Writes the pages to archives in the shared folder, reads them back and checks the revisits."""
+    return checked(kept(read_archives(write_archives(pages, shared_folder(pages.sparkSession, "warc"), at_least)), "records"))

@@ -150,3 +150,122 @@ def test_a_benchmark_of_many_windows(spark):
     assert len(rows) == 80 and all((r["n_words"], r["n_hit"], r["items"], r["contaminated"]) == want[r["doc_id"]] for r in rows)
     left = without_contaminated(df, bench, at_once=90_000).collect()
     assert sorted(r["doc_id"] for r in left) == sorted([d for d in want if not want[d][3]] * 2)
+
+
+def components_of(fp, distance=3):
+    up = list(range(len(fp)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(fp)):
+        for j in np.flatnonzero(np.bitwise_count(fp[i] ^ fp[: i]) <= distance).tolist():
+            a, b = root(i), root(j)
+            up[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(fp))]
+
+
+def test_long_runs_of_one_key_give_the_same_components():
+    from docraster.llm.simhash import Forest, near_pairs
+
+    rng = np.random.default_rng(4)
+    spread = rng.integers(0, 2**64, 700, dtype=np.uint64)
+    dense = rng.permutation(1 << 11)[:900].astype(np.uint64) << np.uint64(7)
+    near = spread[:300] ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64))
+    fp = np.unique(np.concatenate([spread, dense, near]))
+    forest = Forest(len(fp))
+    for i, j in near_pairs(np.zeros(len(fp), np.int64), fp, 3, most=40):
+        assert (np.bitwise_count(fp[i] ^ fp[j]) <= 3).all()
+        forest.link(i, j)
+    got, want = forest.roots(np.arange(len(fp))).tolist(), components_of(fp)
+    assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
+
+
+def test_one_key_of_very_many_fingerprints_ends():
+    from docraster.llm.simhash import linked
+
+    rng = np.random.default_rng(6)
+    fp = np.unique(rng.integers(0, 2**32, 100_000, dtype=np.uint64))
+    fp = np.concatenate([fp, fp[:1000] | np.uint64(7 << 40)])
+    x, y = linked(np.zeros(len(fp), np.int64), fp)
+    links = set(zip(x.tolist(), y.tolist()))
+    assert len(x) >= 1000 and len({a for a, _ in links}) == len(x)  # each has one link to its component's smallest
+
+
+def test_near_duplicates_with_hubs(spark):
+    """A star of links, and many copies: the same groups when no key counts as a hub and when most do."""
+    from pyspark.sql import functions as F
+
+    from docraster.llm.shared import hub_join
+    from docraster.llm.simhash import components
+
+    star = [(0, i) for i in range(1, 300)] + [(i, i + 1000) for i in range(1, 300)] + [(5000, 5001), (5001, 5002)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(star, "x long, y long")).collect()}
+    assert got == {**{i: 0 for i in range(1, 300)}, **{i + 1000: 0 for i in range(1, 300)}, 5001: 5000, 5002: 5000}
+    left = spark.createDataFrame([(i % 7 if i % 3 else 0, i) for i in range(400)] + [(None, -1)], "k long, v long")
+    right = left.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("m")).where("k is null or k <> 3")
+    for how in ("inner", "left"):
+        want = sorted(map(tuple, left.join(right.drop("n"), "k", how).collect()), key=str)
+        assert all(sorted(map(tuple, hub_join(left, right, "k", how, least=n).collect()), key=str) == want for n in (1, 60, 10**6))
+
+
+def test_one_document_of_each_group_by_id_then_text(spark):
+    from docraster.llm.simhash import one_of_each
+
+    long = " ".join(f"w{i}" for i in range(300))
+    rows = [(9, long, "a"), (None, long, "b"), (7, long, "c"), (7, long, "b"), (7, long, "b"), (8, long + " more", "d"), (None, "x y", "e"), (None, "x y", "e"), (None, "p q", "f")]
+    got = [tuple(r) for r in one_of_each(spark.createDataFrame(rows, "doc_id long, text string, id string")).collect()]
+    assert sorted(got, key=str) == sorted([(7, long, "b"), (None, "x y", "e"), (None, "p q", "f")], key=str)
+
+
+def test_reputation_blocks_and_shrinks(spark):
+    """A bad host is blocked by its bound, a host of one bad page is not, and an unknown host of a bad
+    domain goes with its domain. The suffix table says what a registered domain is."""
+    from docraster.llm.reputation import judged, with_levels
+
+    pages, outcomes = [], []
+
+    def host(name, bad, good, unknown=1):
+        for y in [1] * bad + [0] * good + [None] * unknown:
+            pages.append((len(pages), f"http://{name}/x"))
+            outcomes.append((len(pages) - 1, y))
+
+    for i in range(60):
+        host(f"www.site{i}.com", i % 3, 40)
+    host("bad.evil.org", 80, 10)
+    host("other.evil.org", 70, 12)
+    host("new.evil.org", 0, 0)
+    host("small.site1.com", 1, 0)
+    host("a.city.xy", 60, 4)
+    host("b.town.city.xy", 0, 30)
+    table = spark.createDataFrame([("CITY.xy",), ("co.uk",)], "suffix string")
+    p, o = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(outcomes, "page_id long, bad int")
+    said = {r["host"]: r["verdict"] for r in judged(p, o, suffixes=table).collect()}
+    assert said["bad.evil.org"] == said["other.evil.org"] == said["new.evil.org"] == "block"
+    assert said["small.site1.com"] == said["www.site2.com"] == "allow"
+    assert said["a.city.xy"] == "block" and said["b.town.city.xy"] == "allow"
+    assert {r["verdict"] for r in judged(p, o, lift=50.0).collect()} == {"allow"}
+    hosts = spark.createDataFrame([("a.b.city.xy:80",), ("x.co.uk",), ("co.uk",), ("a.b.com",), ("",)], "host string")
+    assert {r["host"]: (r["domain"], r["suffix"]) for r in with_levels(hosts, table).collect()} == {"a.b.city.xy:80": ("b.city.xy", "city.xy"), "x.co.uk": ("x.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "a.b.com": ("b.com", "com"), "": ("", "")}
+
+
+def test_false_revisits_and_payload_digests_are_told(spark, tmp_path):
+    import io
+
+    from docraster.llm.warc import BrokenArchive, checked, digest, page_record, read_archives, record, records
+
+    good, other = digest(b"abc"), digest(b"abd")
+    with pytest.raises(BrokenArchive):
+        list(records(io.BytesIO(record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:page:1>"), ("WARC-Payload-Digest", f"sha1:{other}")], b"abc"))))
+    fine = [page_record(1, "u", "abc", good, None), page_record(2, "u", "abc", good, 1)]
+    for last, ok in (([], True), ([page_record(3, "u", "abd", other, 1)], False), ([page_record(3, "u", "abcd", good, 1)], False), ([page_record(3, "u", "abc", good, 4)], False)):
+        path = tmp_path / f"{len(list(tmp_path.iterdir()))}.warc.gz"
+        path.write_bytes(b"".join(fine + last))
+        found = read_archives(spark.createDataFrame([(str(path),)], "path string"))
+        if ok:
+            assert checked(found).count() == 2
+        else:
+            with pytest.raises(BrokenArchive):
+                checked(found)
