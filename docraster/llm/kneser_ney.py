@@ -1,38 +1,53 @@
-"""LM scoring: an interpolated modified Kneser-Ney bigram model.
+"""LM scoring: an interpolated modified Kneser-Ney trigram model.
 
-Spark counts the n-grams: each task hashes the words of its texts and sums equal pairs, the pairs are dealt by
-the hash of their context, and each group sums them and writes one sorted array of pair hashes with counts and
-one of context hashes with their totals. What the pairs say about single words is dealt once more, by ranges of
-the word's hash, which gives sorted arrays of words. Scoring tasks map these files into memory and look their
-batches' distinct words and pairs up by binary search.
+Every text is its words and one end, after two beginnings. Spark counts the trigrams: each task numbers the words of
+some millions of tokens, sums equal trigrams, and deals them by their middle word, as columns of small numbers with a
+list of the words' hashes. So a group has all of a context (u, v) and all that comes before a pair (v, w): it writes
+sorted hash arrays of its trigrams with their counts, of its contexts with their totals and of its pairs with the
+number of words before them. What a group knows of single words is dealt once more, by ranges of the word's hash, and
+gives sorted arrays of words. Scoring tasks map these files into memory and look their batches' distinct words, pairs
+and trigrams up by binary search.
 
-Contexts that hold much of the corpus ("the", a text's start) are dealt by context and word instead, so no group
-holds more than its share; they are found on a sample of texts, and only the balance depends on that.
+Middle words that hold much of the corpus are dealt by (u, v) instead, and pairs (u, v) that do by the whole trigram, so
+no group holds more than its share; what is then known of a pair or context in several groups is summed in a second,
+small deal. They are found on a sample of texts, and only the balance depends on that.
 
-Order 2: with the third order the counts of distinct n-grams outgrow four times the input on disk.
+An array keeps of each 64-bit hash the place in a directory and 32 bits more; stored keys that would be taken for each
+other stand apart with their whole hash, and an unseen n-gram is taken for a seen one in about one of 10^8 cases.
 
 Nulls: a null text is empty (one token, its end); a null doc_id counts as learnt from. Repeated rows count and are
-scored one by one. An empty training table leaves the uniform model over the one unknown word.
+scored one by one. Long texts are counted and scored in blocks. An empty training table leaves the uniform model over
+the one unknown word.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docraster.llm.shared import batches_of, fold, mapped, shared_folder, write_file
-from docraster.llm.words import mix, words_of
+from docraster.llm.shared import batches_of, fold, kept, mapped, shared_folder, write_file
+from docraster.llm.words import blocks_of, mix, words_of
 
 END, BEGIN = np.uint64(0x5EED0000000E0D), np.uint64(0x5EED00000B0E61)
 _K = np.uint64(0xA24BAED4963EE407)
+#: Bytes of text that a bucket of the model stands for, and tokens that a task counts at once.
+BUCKET_BYTES, AT_ONCE = 24 << 20, 4_000_000
+_ID = np.uint64(21)  # bits of a word's number in a packed trigram
+_MASK = np.uint64((1 << 21) - 1)
 
 
-def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all tokens (a text's words, then its end), of the token before each, and where each text starts."""
+# --- tokens ---------------------------------------------------------------------------------------------------
+
+
+def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all tokens (a text's words, then its end), of the one before and the one before that, and where each
+    text's tokens start (and the end)."""
     w = words_of(texts)
     n = len(texts)
     first = w.per_doc + np.arange(n + 1)
@@ -41,23 +56,47 @@ def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     is_end[first[1:] - 1] = True
     tokens[is_end] = END
     tokens[~is_end] = w.hashes()
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[first[:-1]] = BEGIN
-    return tokens, before, first
+    return tokens, *before(tokens, first[:-1]), first
+
+
+def before(tokens: np.ndarray, starts: np.ndarray, last: tuple = (BEGIN, BEGIN)) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens one and two places before each; before a start those given."""
+    one = np.empty_like(tokens)
+    one[1:], one[starts] = tokens[:-1], last[1]
+    two = np.empty_like(tokens)
+    two[1:], two[starts] = one[:-1], last[0]
+    return one, two
+
+
+def in_pieces(part: pa.RecordBatch, block: int = 4 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """tokens, one and two before and starts of a batch's texts; of a single long text a block at a time."""
+    texts = part.column("text")
+    if part.num_rows != 1 or not texts[0].is_valid or texts.get_total_buffer_size() <= block:
+        yield tokens_of(texts)
+        return
+    last, blocks = (BEGIN, BEGIN), list(blocks_of(texts[0].as_py().encode("utf-8", "surrogatepass"), size=block))
+    for i, raw in enumerate(blocks):
+        tokens = tokens_of(pa.array([raw.decode("utf-8", "surrogatepass")], pa.string()))[0]
+        if i < len(blocks) - 1:
+            tokens = tokens[:-1]
+        one, two = before(tokens, np.zeros(1, np.int64), last)
+        yield tokens, one, two, np.array([0, len(tokens)])
+        last = (np.append([last[1]], tokens)[-2], tokens[-1]) if len(tokens) else last
 
 
-def pair(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix(context * _K + word)
+def pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix(first * _K + second)
 
 
-def bucket_of(context: np.ndarray, pairs: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
-    """Where a pair is kept: by its context, or by the whole pair if the context is hot."""
-    by = mix(context ^ _K)
-    if len(hot):
-        at = np.minimum(np.searchsorted(hot, context), len(hot) - 1)
-        by = np.where(hot[at] == context, pairs, by)
-    return ((by >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
+def among(wanted: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of wanted are in the sorted array known."""
+    if not len(known):
+        return np.zeros(len(wanted), bool)
+    return known[np.minimum(np.searchsorted(known, wanted), len(known) - 1)] == wanted
+
+
+def dealt(by: np.ndarray, buckets: int) -> np.ndarray:
+    return ((mix(by ^ _K) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
 
 
 def word_bucket(word: np.ndarray, buckets: int) -> np.ndarray:
@@ -65,114 +104,335 @@ def word_bucket(word: np.ndarray, buckets: int) -> np.ndarray:
     return (((word >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)
 
 
-def summed(key: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
-    """Distinct keys in order, the position of one row of each, and sums of the values."""
-    order = np.argsort(key)
-    key = key[order]
-    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    return [key[at], order[at], *(np.add.reduceat(v[order], at) if len(at) else v[:0] for v in values)]
-
+@dataclass
+class Deal:
+    """Which bucket n-grams go to."""
 
-def count_pairs(hot: np.ndarray, buckets: int, at_once: int = 3_000_000):
-    """Task: texts in, for each bucket one row of packed (context, word, count) out."""
-    schema = pa.schema([("bucket", pa.int32()), ("body", pa.binary())])
+    buckets: int
+    hot_words: np.ndarray  # sorted hashes of words, and of pairs, that are dealt by more than themselves
+    hot_pairs: np.ndarray
+
+    def gram(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        by, hot = v.copy(), np.flatnonzero(among(v, self.hot_words))
+        by[hot] = pair(u[hot], v[hot])
+        hot = hot[among(by[hot], self.hot_pairs)]
+        by[hot] = pair(by[hot], w[hot])
+        return dealt(by, self.buckets)
+
+
+# --- counting -------------------------------------------------------------------------------------------------
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers, each in as few bytes as its largest needs, byte planes apart, compressed."""
+    head, planes = [len(columns)], []
+    for c in columns:
+        width = next(k for k in (1, 2, 4, 8) if k == 8 or not len(c) or int(c.max()) < 1 << 8 * k)
+        head += [len(c), width]
+        planes.append(c.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([np.array(head, np.int64).tobytes(), *planes]))
+
+
+def unpacked(body: bytes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(body)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    head, at, out = np.frombuffer(raw, np.int64, 2 * n, 8).reshape(n, 2).tolist(), 8 + 16 * n, []
+    for size, width in head:
+        planes = np.frombuffer(raw, np.uint8, size * width, at).reshape(width, size)
+        out.append(np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.uint64))
+        at += size * width
+    return out
+
+
+def runs(*columns: np.ndarray) -> np.ndarray:
+    """Where rows of equal values begin in columns that are in order."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    new = np.zeros(len(columns[0]), bool)
+    new[0] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def summed(columns: tuple, n: np.ndarray | None, words: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of the columns (numbers below ``words``) in order, and the sum of n (or the number) of each."""
+    if words <= 1 << 21:
+        key = columns[0]
+        for c in columns[1:]:
+            key = key << _ID | c
+        order = np.argsort(key) if n is not None else None
+        key = key[order] if n is not None else np.sort(key)
+        at = runs(key)
+        out = [(key[at] >> _ID * np.uint64(len(columns) - 1 - i)) & _MASK for i in range(len(columns))]
+    else:  # more words than fit into one number
+        order = np.lexsort(columns[::-1])
+        columns = [c[order] for c in columns]
+        at = runs(*columns)
+        out = [c[at] for c in columns]
+    if n is None:
+        return out, np.diff(np.append(at, len(columns[0])))
+    return out, np.add.reduceat(n[order], at) if len(at) else n[:0]
+
+
+def numbered(w: np.ndarray, v: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words in order, and the numbers of w and of the beginning. Whatever stands before a token is a
+    token itself, a beginning, or among the first two of a block."""
+    words, code = np.unique(np.concatenate([w, v[:1], u[:2], [BEGIN]]), return_inverse=True)
+    code = code.astype(np.uint64)
+    return words, np.append(code[: len(w)], code[-1])
+
+
+def numbers_before(words: np.ndarray, place: np.ndarray, begin, v: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the words one and two before each: those of the tokens there, searched for only where others stand."""
+    out = []
+    for back, wanted in ((1, v), (2, u)):
+        near = np.concatenate([np.full(back, begin), place])[: len(place)]
+        other = np.flatnonzero(words[near] != wanted)
+        near[other] = np.searchsorted(words, wanted[other])
+        out.append(near)
+    return tuple(out)
+
+
+def count_grams(deal: Deal, at_once: int):
+    """Task: texts in, for each bucket a row of packed columns out: the words' hashes, and by their numbers v, u, w and
+    count of each trigram, in order."""
 
     def flush(rows):
-        word, context = (np.concatenate(x) for x in zip(*rows))
-        keys, at, n = summed(pair(context, word), np.ones(len(word), np.uint32))
-        word, context = word[at], context[at]
-        to = bucket_of(context, keys, hot, buckets)
+        w, v, u = (np.concatenate(x) for x in zip(*rows))
+        words, code = numbered(w, v, u)
+        begin, place = code[-1], code[:-1]
+        one, two = numbers_before(words, place, begin, v, u)
+        (v, u, w), n = summed((one, two, place), None, len(words))
+        to = deal.gram(words[u], words[v], words[w])
         order = np.argsort(to, kind="stable")
-        cuts = np.searchsorted(to[order], np.arange(buckets + 1))
-        for b in np.flatnonzero(np.diff(cuts)):
+        cuts = np.searchsorted(to[order], np.arange(deal.buckets + 1))
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
             own = order[cuts[b] : cuts[b + 1]]
-            yield int(b), packed(context[own], word[own], n[own])
+            columns = v[own], u[own], w[own]
+            used, local = np.unique(np.concatenate(columns), return_inverse=True)
+            yield b, packed(words[used], *local.reshape(3, -1), n[own])
 
     def task(batches):
         rows, held = [], 0
         for batch in batches:
             for part in batches_of(batch):
-                word, context, _ = tokens_of(part.column("text"))
-                rows.append((word, context))
-                held += len(word)
-                if held >= at_once:
-                    yield out(flush(rows))
-                    rows, held = [], 0
+                for w, v, u, _ in in_pieces(part):
+                    rows.append((w, v, u))
+                    held += len(w)
+                    if held >= at_once:
+                        yield from out(flush(rows))
+                        rows, held = [], 0
         if held:
-            yield out(flush(rows))
+            yield from out(flush(rows))
 
     def out(found):
-        b, body = zip(*found)
-        return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(body, pa.binary())], schema=schema)
+        for b, body in found:
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([body], pa.binary())], ["bucket", "body"])
 
     return task
 
 
-def packed(context, word, n) -> bytes:
-    """Number of rows, the two hashes of each, a byte for each count, and the counts of 255 and over."""
-    big = np.flatnonzero(n >= 255)
-    return b"".join([np.int64(len(n)).tobytes(), context.tobytes(), word.tobytes(), np.minimum(n, 255).astype(np.uint8).tobytes(), n[big].astype(np.uint32).tobytes()])
+def counts_of_counts(n: np.ndarray) -> list[int]:
+    return [int((n == k).sum()) for k in (1, 2, 3, 4)]
 
 
-def unpacked(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = int(np.frombuffer(body, np.int64, 1)[0])
-    context, word = np.frombuffer(body, np.uint64, n, 8), np.frombuffer(body, np.uint64, n, 8 + 8 * n)
-    count = np.frombuffer(body, np.uint8, n, 8 + 16 * n).astype(np.int64)
-    count[count == 255] = np.frombuffer(body, np.uint32, -1, 8 + 17 * n)
-    return context, word, count
+def spread(n: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of each run: the sum of n, and how many of them are 1, 2 and more."""
+    if not len(at):
+        return np.zeros((0, 4), np.int64)
+    return np.stack([np.add.reduceat(x.astype(np.int64), at) for x in (n, n == 1, n == 2, n > 2)], 1)
 
 
-def small_counts(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts as bytes, and the larger ones apart as (row, count)."""
-    big = np.flatnonzero(n >= 255)
-    return np.minimum(n, 255).astype(np.uint8), np.stack([big, n[big]], 1).astype(np.int64)
+ABOUT = "kind string, bucket int, body binary, sums array<long>"
+_ABOUT = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("body", pa.binary()), ("sums", pa.list_(pa.int64()))])
 
 
-def pair_files(folder: str, hot: np.ndarray, buckets: int):
-    """Group: all pairs of a bucket; writes their sorted arrays and hands on what they say about words."""
+def by_bucket(kind: str, to: np.ndarray, columns: list[np.ndarray]) -> list[tuple]:
+    order = np.argsort(to, kind="stable")
+    cuts = np.flatnonzero(np.diff(to[order], prepend=-1))
+    return [(kind, int(to[own[0]]), packed(*(c[own] for c in columns)), None) for own in np.split(order, cuts[1:]) if len(own)]
+
+
+def rows_out(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), _ABOUT)], schema=_ABOUT) if rows else _ABOUT.empty_table()
+
+
+def word_rows(words: np.ndarray, buckets: int, v: np.ndarray, w: np.ndarray, a: np.ndarray, raw: np.ndarray) -> list[tuple]:
+    """What pairs (v, w) after ``a`` different words, and tokens, say of single words: hash, tokens, words before, and of
+    what follows the sum of a and how many are 1, 2 and more."""
+    at = runs(v)
+    about = np.zeros((len(words), 6), np.int64)
+    about[:, 0] = raw
+    about[:, 1] = np.bincount(w.astype(np.int64), minlength=len(words))
+    about[v[at].astype(np.int64), 2:] = spread(a, at)
+    some = np.flatnonzero(about.any(1))
+    return by_bucket("word", word_bucket(words[some], buckets), [words[some], *about[some].T])
+
+
+def gram_files(folder: str, deal: Deal):
+    """Group: all trigrams of a bucket; writes its arrays and hands on what it knows of words, hot pairs and contexts."""
 
     def group(key, table):
         b = key[0].as_py()
-        context, word, n = (np.concatenate(x) for x in zip(*map(unpacked, table.column("body").to_pylist())))
-        pairs, at, n = summed(pair(context, word), n)
-        context, word = context[at], word[at]
-        low, large = small_counts(n)
-        write_file(f"{folder}/pairs/{b}.keys", [pairs.tobytes()])
-        write_file(f"{folder}/pairs/{b}.low", [low.tobytes()])
-        write_file(f"{folder}/pairs/{b}.large", [large.tobytes()])
-        known, _, total, one, two, more = summed(context, n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64))
-        own = ~np.isin(known, hot)
-        stats = np.stack([total, one, two, more], 1)
-        write_file(f"{folder}/contexts/{b}.keys", [known[own].tobytes()])
-        write_file(f"{folder}/contexts/{b}.stats", [stats[own].astype(np.int64).tobytes()])
-        words, _, seen, contexts = summed(word, n, np.ones(len(n), np.int64))
-        to = word_bucket(words, buckets)
-        cuts = np.searchsorted(to, np.arange(buckets + 1))
-        out = [(-1, np.concatenate([[(n == k).sum() for k in (1, 2, 3, 4)], known[~own].view(np.int64), stats[~own].ravel()]).astype(np.int64).tobytes())]
-        out += [(int(k), b"".join([words[s:e].tobytes(), seen[s:e].tobytes(), contexts[s:e].tobytes()])) for k, (s, e) in enumerate(zip(cuts[:-1], cuts[1:])) if e > s]
-        return pa.table({"bucket": pa.array([x[0] for x in out], pa.int32()), "body": pa.array([x[1] for x in out], pa.binary())})
+        parts = [unpacked(body) for body in table.column("body").to_pylist()]
+        words = np.unique(np.concatenate([p[0] for p in parts]))
+        places = [np.searchsorted(words, p[0]).astype(np.uint64) for p in parts]
+        columns = [np.concatenate([place[p[k].astype(np.int64)] for place, p in zip(places, parts)]) for k in (1, 2, 3)]
+        n = np.concatenate([p[4] for p in parts]).astype(np.int64)
+        del parts, places
+        (v, u, w), n = summed(tuple(columns), n, len(words))
+        del columns
+        context = pair(words[u], words[v])
+        write_file(f"{folder}/grams/{b}", table_of(pair(context, words[w]), n[:, None]))
+        # contexts (u, v)
+        at = runs(v, u)
+        hashes, stats = context[at], spread(n, at)
+        hot = among(words[v[at]], deal.hot_words) & among(hashes, deal.hot_pairs)
+        write_file(f"{folder}/contexts/{b}", table_of(hashes[~hot], stats[~hot]))
+        out = by_bucket("context", dealt(hashes[hot], deal.buckets), [hashes[hot], *stats[hot].T]) if hot.any() else []
+        raw = np.bincount(w.astype(np.int64), n, len(words)).astype(np.int64)
+        of_grams = counts_of_counts(n)
+        # pairs (v, w): each trigram is in one group, so its words before are counted once
+        (v, w), a = summed((v, w), None, len(words))
+        hot = among(words[v], deal.hot_words)
+        if hot.any():
+            out += by_bucket("pair", dealt(pair(words[v[hot]], words[w[hot]]), deal.buckets), [words[v[hot]], words[w[hot]], a[hot]])
+            v, w, a = v[~hot], w[~hot], a[~hot]
+        write_file(f"{folder}/pairs/{b}", table_of(pair(words[v], words[w]), a[:, None]))
+        out += word_rows(words, deal.buckets, v, w, a, raw)
+        out.append(("grams", None, None, of_grams))
+        out.append(("pairs", None, None, counts_of_counts(a)))
+        return rows_out(out)
+
+    return group
+
+
+def hot_files(folder: str, deal: Deal):
+    """Group: parts of the pairs that begin with a hot word, and of the hot contexts."""
+
+    def group(key, table):
+        b = key[0].as_py()
+        kinds, bodies = table.column("kind").to_pylist(), table.column("body").to_pylist()
+        contexts = [unpacked(x) for k, x in zip(kinds, bodies) if k == "context"]
+        if contexts:
+            hashes, stats = np.concatenate([x[0] for x in contexts]), np.concatenate([np.stack(x[1:], 1) for x in contexts]).astype(np.int64)
+            own, at = np.unique(hashes, return_inverse=True)
+            total = np.zeros((len(own), 4), np.int64)
+            np.add.at(total, at, stats)
+            write_file(f"{folder}/hot-contexts/{b}", table_of(own, total))
+        pairs = [unpacked(x) for k, x in zip(kinds, bodies) if k == "pair"]
+        if not pairs:
+            return _ABOUT.empty_table()
+        v, w, a = (np.concatenate(x) for x in zip(*pairs))
+        words, code = np.unique(np.concatenate([v, w]), return_inverse=True)
+        v, w = code.astype(np.uint64).reshape(2, -1)
+        (v, w), a = summed((v, w), a.astype(np.int64), len(words))
+        write_file(f"{folder}/hot-pairs/{b}", table_of(pair(words[v], words[w]), a[:, None]))
+        return rows_out([*word_rows(words, deal.buckets, v, w, a, np.zeros(len(words), np.int64)), ("pairs", None, None, counts_of_counts(a))])
 
     return group
 
 
 def word_files(folder: str):
-    """Group: all that is known of a range of words; writes their sorted arrays, and returns sums for the driver."""
+    """Group: all that is known of a range of words; writes its array, and returns sums for the driver."""
 
     def group(key, table):
-        b, bodies = key[0].as_py(), table.column("body").to_pylist()
-        if b < 0:
-            return pa.table({"kind": pa.array(["pairs"] * len(bodies)), "bucket": pa.array([b] * len(bodies), pa.int32()), "body": pa.array(bodies, pa.binary())})
-        parts = [np.frombuffer(x, np.uint64).reshape(3, -1) for x in bodies]
-        words, seen, contexts = np.concatenate(parts, 1)
-        words, _, seen, contexts = summed(words, seen.astype(np.int64), contexts.astype(np.int64))
-        write_file(f"{folder}/words/{b}.keys", [words.tobytes()])
-        write_file(f"{folder}/words/{b}.stats", [np.stack([seen, contexts], 1).tobytes()])
-        sums = [len(words), seen.sum(), contexts.sum(), *((contexts == k).sum() for k in (1, 2, 3, 4))]
-        return pa.table({"kind": ["words"], "bucket": pa.array([b], pa.int32()), "body": pa.array([np.array(sums, np.int64).tobytes()], pa.binary())})
+        parts = [unpacked(x) for x in table.column("body").to_pylist()]
+        hashes, about = np.concatenate([p[0] for p in parts]), np.concatenate([np.stack(p[1:], 1) for p in parts]).astype(np.int64)
+        words, at = np.unique(hashes, return_inverse=True)
+        total = np.zeros((len(words), 6), np.int64)
+        for k in range(6):
+            total[:, k] = np.bincount(at, about[:, k], len(words))
+        write_file(f"{folder}/words/{key[0].as_py()}", [words.tobytes(), total.tobytes()])
+        sums = [int((total[:, 0] > 0).sum()), int(total[:, 0].sum()), int(total[:, 1].sum()), *counts_of_counts(total[:, 1])]
+        return rows_out([("words", None, None, sums)])
 
     return group
 
 
+# --- sorted hash arrays ---------------------------------------------------------------------------------------
+
+
+def table_of(hashes: np.ndarray, values: np.ndarray) -> list[bytes]:
+    """The bytes of a file that ``Table`` reads. Rows of values are single bytes that point into a list of the most
+    frequent ones; rarer ones stand apart."""
+    order = np.argsort(hashes)
+    h, values = hashes[order], np.ascontiguousarray(values[order], np.int64)
+    n, k = values.shape
+    bits = max(0, n.bit_length() - 5)  # 16 to 32 keys a slot
+    slot = h >> np.uint64(64 - bits) if bits else np.zeros(n, np.uint64)
+    low = ((h << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+    offsets = np.searchsorted(slot, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.uint32)
+    same = np.zeros(n, bool)  # neighbours that these bits do not tell apart
+    same[1:] = (slot[1:] == slot[:-1]) & (low[1:] == low[:-1])
+    same[:-1] |= same[1:].copy()
+    small = (values < 1 << 12).all(1)
+    key = (values << 12 * np.arange(k)).sum(1)
+    kinds, times = np.unique(key[small], return_counts=True)
+    book = np.sort(kinds[np.argsort(-times, kind="stable")[:255]])
+    code = np.full(n, 255, np.uint8)
+    if len(book):
+        at = np.minimum(np.searchsorted(book, key), len(book) - 1)
+        code[(book[at] == key) & small] = at[(book[at] == key) & small]
+    rare, apart = np.flatnonzero(code == 255), np.flatnonzero(same)
+    head = np.array([n, k, bits, len(book), len(rare), len(apart)], np.int64)
+    book = (book[:, None] >> 12 * np.arange(k)) & 4095
+    return [x.tobytes() for x in (head, book, rare, values[rare], h[apart], values[apart], offsets, low, code)]
+
+
+class Table:
+    """A sorted hash array, mapped into memory."""
+
+    def __init__(self, raw: np.ndarray):
+        if not len(raw):
+            raw = np.frombuffer(b"".join(table_of(np.zeros(0, np.uint64), np.zeros((0, 1), np.int64))), np.uint8)
+        self.n, self.k, self.bits, book, rare, apart = raw[:48].view(np.int64).tolist()
+        at = 48
+
+        def take(count: int, dtype, width: int = 0):
+            nonlocal at
+            size = np.dtype(dtype).itemsize * count * (width or 1)
+            x = raw[at : at + size].view(dtype)
+            at += size
+            return x.reshape(count, width) if width else x
+
+        self.book, self.rare, self.values = take(book, np.int64, self.k), take(rare, np.int64), take(rare, np.int64, self.k)
+        self.apart, self.apart_values = take(apart, np.uint64), take(apart, np.int64, self.k)
+        self.offsets, self.low, self.code = take((1 << self.bits) + 1, np.uint32), take(self.n, np.uint32), take(self.n, np.uint8)
+
+    def find(self, wanted: np.ndarray, width: int) -> np.ndarray:
+        """The values of each hash, zeros if it is not there."""
+        out = np.zeros((len(wanted), width), np.int64)
+        if not self.n:
+            return out
+        slot = (wanted >> np.uint64(64 - self.bits) if self.bits else np.zeros(len(wanted), np.uint64)).astype(np.int64)
+        low = ((wanted << np.uint64(self.bits)) >> np.uint64(32)).astype(np.uint32)
+        left, size = self.offsets[slot].astype(np.int64), None
+        right = self.offsets[slot + 1].astype(np.int64)
+        size = right - left
+        end = right
+        for _ in range(int(size.max()).bit_length()):
+            middle = (left + right) >> 1
+            less = (middle < right) & (self.low[np.minimum(middle, self.n - 1)] < low)
+            left, right = np.where(less, middle + 1, left), np.where(less, right, middle)
+        hit = np.flatnonzero((left < end) & (self.low[np.minimum(left, self.n - 1)] == low))
+        place = left[hit]
+        code = self.code[place]
+        usual = code < 255
+        out[hit[usual]] = self.book[code[usual]]
+        if not usual.all():
+            out[hit[~usual]] = self.values[np.searchsorted(self.rare, place[~usual])]
+        if len(self.apart):
+            at = np.minimum(np.searchsorted(self.apart, wanted), len(self.apart) - 1)
+            whole = self.apart[at] == wanted
+            out[whole] = self.apart_values[at[whole]]
+        return out
+
+
+# --- the model ------------------------------------------------------------------------------------------------
+
+
 def discounts(ones: int, twos: int, threes: int, fours: int) -> np.ndarray:
     """Modified Kneser-Ney discounts for counts of 1, 2, and 3 or more, from counts of counts."""
     y = ones / (ones + 2 * twos) if ones else 0.5
@@ -183,58 +443,55 @@ def discounts(ones: int, twos: int, threes: int, fours: int) -> np.ndarray:
 @dataclass
 class Model:
     folder: str
-    buckets: int
-    hot: np.ndarray  # sorted hashes of hot contexts
-    hot_stats: np.ndarray  # total, and continuations seen once, twice, more often
+    deal: Deal
     vocabulary: int  # V
     tokens: int  # N
     pairs: int  # distinct pairs
+    d_gram: np.ndarray
     d_pair: np.ndarray
     d_word: np.ndarray
     rest: float  # share of the word level that goes to the uniform level
 
 
-def train(docs: DataFrame, hot_share: float = 0.002, buckets: int | None = None) -> Model:
+def train(docs: DataFrame, buckets: int | None = None, at_once: int = AT_ONCE, hot_share: float | None = None) -> Model:
     """Counts the texts of docs (column text) and writes the model to the shared folder."""
     spark: SparkSession = docs.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     folder = shared_folder(spark, "kneser-ney")
-    hot = hot_contexts(docs, hot_share)
-    known = docs.select("text").mapInArrow(count_pairs(hot, buckets), "bucket int, body binary")
-    about = known.groupBy("bucket").applyInArrow(pair_files(folder, hot, buckets), "bucket int, body binary")
-    sums = about.groupBy("bucket").applyInArrow(word_files(folder), "kind string, bucket int, body binary").collect()
-    pair_rows = [np.frombuffer(r.body, np.int64) for r in sums if r.kind == "pairs"]
-    word_rows = np.array([np.frombuffer(r.body, np.int64) for r in sums if r.kind == "words"], np.int64).reshape(-1, 7).sum(0)
-    hot_stats = np.zeros((len(hot), 4), np.int64)
-    for x in pair_rows:
-        n = (len(x) - 4) // 5
-        np.add.at(hot_stats, np.searchsorted(hot, x[4 : 4 + n].view(np.uint64)), x[4 + n :].reshape(n, 4))
-    of_pairs = np.sum([x[:4] for x in pair_rows], 0) if pair_rows else np.zeros(4, int)
-    v, tokens, pairs, *few = map(int, word_rows)
+    deal = Deal(buckets, *hot_ones(docs, hot_share or max(0.3 / buckets, 1e-5)))
+    known = docs.select("text").mapInArrow(count_grams(deal, at_once), "bucket int, body binary")
+    about = kept(known.groupBy("bucket").applyInArrow(gram_files(folder, deal), ABOUT), "grams")
+    hot = kept(about.where("kind in ('pair', 'context')").groupBy("bucket").applyInArrow(hot_files(folder, deal), ABOUT), "hot")
+    words = about.union(hot).where("kind = 'word'").groupBy("bucket").applyInArrow(word_files(folder), ABOUT)
+    sums = {"grams": np.zeros(4, int), "pairs": np.zeros(4, int), "words": np.zeros(7, int)}
+    every = about.union(hot).union(words).where("sums is not null").select("kind", F.posexplode("sums").alias("at", "n"))
+    for r in every.groupBy("kind", "at").agg(F.sum("n").alias("n")).collect():
+        sums[r["kind"]][r["at"]] = r["n"]
+    v, tokens, pairs, *few = map(int, sums["words"])
     d_word = discounts(*few)
-    more = v - few[0] - few[1]
-    rest = float((d_word[1] * few[0] + d_word[2] * few[1] + d_word[3] * more) / pairs) if pairs else 1.0
-    return Model(folder, buckets, hot, hot_stats, v, tokens, pairs, discounts(*map(int, of_pairs)), d_word, rest)
+    rest = float((d_word[1] * few[0] + d_word[2] * few[1] + d_word[3] * (v - few[0] - few[1])) / pairs) if pairs else 1.0
+    return Model(folder, deal, v, tokens, pairs, discounts(*map(int, sums["grams"])), discounts(*map(int, sums["pairs"])), d_word, rest)
 
 
-def hot_contexts(docs: DataFrame, share: float) -> np.ndarray:
-    """Contexts with over this share of the tokens of one text in 64: at most 1 / share of them."""
-    picked = docs.select("text").where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(64)) == 0)
+def hot_ones(docs: DataFrame, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of middle words, and of contexts, with over this share of the tokens of one text in 64: at most 1 / share of either."""
+    picked = docs.where(F.rand(7) < 1 / 64).select("text")
 
     def task(batches):
         for batch in batches:
             for part in batches_of(batch):
-                _, context, _ = tokens_of(part.column("text"))
-                keys, n = np.unique(context, return_counts=True)
-                most = n >= share / 8 * n.sum()
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(keys[most], np.uint64(0)).view(np.int64)), pa.array(np.append(n[most], n.sum()))], ["context", "n"])
+                for _, v, u, _ in in_pieces(part):
+                    for kind, keys in (("word", v), ("pair", pair(u, v))):
+                        keys, n = np.unique(keys, return_counts=True)
+                        most = n >= share / 8 * n.sum()
+                        kinds = [kind] * int(most.sum()) + ["all"] * (kind == "word")
+                        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(np.append(keys[most], [np.uint64(0)] * (kind == "word")).astype(np.uint64).view(np.int64)), pa.array(np.append(n[most], [n.sum()] * (kind == "word")).astype(np.int64))], ["kind", "key", "n"])
 
-    sums = picked.mapInArrow(task, "context long, n long").groupBy("context").agg(F.sum("n").alias("n"))
-    total = sums.where("context = 0").agg(F.max("n")).first()[0]
-    if not total:
-        return np.array([BEGIN])
-    found = sums.where((F.col("context") != 0) & (F.col("n") >= share * total)).collect()
-    return np.unique(np.append(np.array([r.context for r in found], np.int64).view(np.uint64), BEGIN))
+    sums = kept(picked.mapInArrow(task, "kind string, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "hot-ones")
+    total = sums.where("kind = 'all'").agg(F.max("n")).first()[0] or 0
+    found = sums.where((F.col("kind") != "all") & (F.col("n") >= share * total)).collect()
+    return tuple(np.sort(np.array([r["key"] for r in found if r["kind"] == kind], np.int64).view(np.uint64)) for kind in ("word", "pair"))
 
 
 class Lookup:
@@ -243,67 +500,106 @@ class Lookup:
     def __init__(self, model: Model):
         self.m, self.files = model, {}
 
-    def file(self, name: str, dtype, width: int = 0) -> np.ndarray:
+    def table(self, name: str) -> Table:
         if name not in self.files:
             try:
-                x = mapped(f"{self.m.folder}/{name}", dtype)
-            except FileNotFoundError:  # no pair or word fell into this bucket
-                x = np.zeros(0, dtype)
-            self.files[name] = x.reshape(-1, width) if width else x
+                self.files[name] = Table(mapped(f"{self.m.folder}/{name}", np.uint8))
+            except FileNotFoundError:  # nothing fell into this bucket
+                self.files[name] = Table(np.zeros(0, np.uint8))
         return self.files[name]
 
-    @staticmethod
-    def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(keys):
-            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return at, keys[at] == wanted
+    def word_table(self, b: int) -> tuple[np.ndarray, np.ndarray]:
+        if ("words", b) not in self.files:
+            try:
+                raw = mapped(f"{self.m.folder}/words/{b}", np.uint64)
+            except FileNotFoundError:
+                raw = np.zeros(0, np.uint64)
+            n = len(raw) // 7
+            self.files["words", b] = raw[:n], raw[n:].view(np.int64).reshape(n, 6)
+        return self.files["words", b]
 
     def words(self, wanted: np.ndarray) -> np.ndarray:
-        """wanted: sorted hashes. Count, and number of contexts, of each."""
-        out = np.zeros((len(wanted), 2), np.int64)
-        cuts = np.searchsorted(word_bucket(wanted, self.m.buckets), np.arange(self.m.buckets + 1))
-        for b in np.flatnonzero(np.diff(cuts)):
+        """wanted: sorted hashes. Tokens, words before, and of what follows the sum and how many are 1, 2 and more."""
+        out = np.zeros((len(wanted), 6), np.int64)
+        cuts = np.searchsorted(word_bucket(wanted, self.m.deal.buckets), np.arange(self.m.deal.buckets + 1))
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
             own = slice(cuts[b], cuts[b + 1])
-            at, hit = self.find(self.file(f"words/{b}.keys", np.uint64), wanted[own])
-            if hit.any():
-                out[own][hit] = self.file(f"words/{b}.stats", np.int64, 2)[at[hit]]
+            keys, values = self.word_table(b)
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, wanted[own]), len(keys) - 1)
+                hit = keys[at] == wanted[own]
+                out[own][hit] = values[at[hit]]
         return out
 
-    def pairs(self, context: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of the pairs, and the statistics of their contexts."""
-        n, stats = np.zeros(len(pairs), np.int64), np.zeros((len(pairs), 4), np.int64)
-        to = bucket_of(context, pairs, self.m.hot, self.m.buckets)
+    def each(self, name: str, to: np.ndarray, hashes: np.ndarray, width: int) -> np.ndarray:
+        out = np.zeros((len(hashes), width), np.int64)
         order = np.argsort(to, kind="stable")
-        cuts = np.searchsorted(to[order], np.arange(self.m.buckets + 1))
-        for b in np.flatnonzero(np.diff(cuts)):
+        cuts = np.searchsorted(to[order], np.arange(self.m.deal.buckets + 1))
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
             own = order[cuts[b] : cuts[b + 1]]
-            at, hit = self.find(self.file(f"pairs/{b}.keys", np.uint64), pairs[own])
-            found = self.file(f"pairs/{b}.low", np.uint8)[at[hit]].astype(np.int64)
-            if (big := np.flatnonzero(found == 255)).size:
-                large = self.file(f"pairs/{b}.large", np.int64, 2)
-                found[big] = large[np.searchsorted(large[:, 0], at[hit][big]), 1]
-            n[own[hit]] = found
-            at, hit = self.find(self.file(f"contexts/{b}.keys", np.uint64), context[own])
-            stats[own[hit]] = self.file(f"contexts/{b}.stats", np.int64, 4)[at[hit]]
-        at, hit = self.find(self.m.hot, context)
-        stats[hit] = self.m.hot_stats[at[hit]]
-        return n, stats
-
-
-def token_scores(look: Lookup, tokens: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Count of each token, and log10 of its probability after the token before it."""
+            out[own] = self.table(f"{name}/{b}").find(hashes[own], width)
+        return out
+
+    def pairs(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Before how many different words' successors each pair stands."""
+        hashes, hot = pair(v, w), among(v, self.m.deal.hot_words)
+        out = np.zeros(len(v), np.int64)
+        out[~hot] = self.each("pairs", dealt(v[~hot], self.m.deal.buckets), hashes[~hot], 1)[:, 0]
+        out[hot] = self.each("hot-pairs", dealt(hashes[hot], self.m.deal.buckets), hashes[hot], 1)[:, 0]
+        return out
+
+    def contexts(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        hashes, hot_word = pair(u, v), among(v, self.m.deal.hot_words)
+        hot = hot_word & among(hashes, self.m.deal.hot_pairs)
+        out = np.zeros((len(v), 4), np.int64)
+        to = dealt(np.where(hot_word, hashes, v), self.m.deal.buckets)
+        out[~hot] = self.each("contexts", to[~hot], hashes[~hot], 4)
+        out[hot] = self.each("hot-contexts", to[hot], hashes[hot], 4)
+        return out
+
+    def grams(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return self.each("grams", self.m.deal.gram(u, v, w), pair(pair(u, v), w), 1)[:, 0]
+
+
+def level(n: np.ndarray, stats: np.ndarray, d: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """Probability by one order's counts n and context statistics (sum; ones, twos, more), over that of the order below."""
+    total = np.maximum(stats[:, 0], 1)
+    seen = np.maximum(n - d[np.minimum(n, 3)], 0) / total
+    return np.where(stats[:, 0] > 0, seen + (stats[:, 1:] @ d[1:]) / total * lower, lower)
+
+
+def token_scores(look: Lookup, w: np.ndarray, v: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Count of each token, and log10 of its probability after the two tokens before it."""
     m = look.m
-    words, of_token = np.unique(tokens, return_inverse=True)
+    words, code = numbered(w, v, u)
+    code, begin = code[:-1], code[-1]
+    one, two = numbers_before(words, code, begin, v, u)
+    (u, v, w), at = distinct(two, one, code, words=len(words))
     known = look.words(words)
-    a = known[:, 1]
-    lower = np.maximum(a - m.d_word[np.minimum(a, 3)], 0) / max(1, m.pairs) + m.rest / (m.vocabulary + 1)
-    pairs, first, of_pair = np.unique(pair(before, tokens), return_index=True, return_inverse=True)
-    n, stats = look.pairs(before[first], pairs)
-    total = stats[:, 0]
-    seen = np.maximum(n - m.d_pair[np.minimum(n, 3)], 0) / np.maximum(total, 1)
-    rest = np.where(total > 0, stats[:, 1:] @ m.d_pair[1:] / np.maximum(total, 1), 1.0)
-    return known[of_token, 0], np.log10(seen[of_pair] + rest[of_pair] * lower[of_token])
+    b = known[:, 1]
+    p1 = np.maximum(b - m.d_word[np.minimum(b, 3)], 0) / max(1, m.pairs) + m.rest / (m.vocabulary + 1)
+    (pv, pw), of_pair = distinct(v, w, words=len(words))
+    p2 = level(look.pairs(words[pv], words[pw]), known[pv, 2:], m.d_pair, p1[pw])
+    start = runs(u, v)
+    stats = look.contexts(words[u[start]], words[v[start]])
+    stats = stats[np.repeat(np.arange(len(start)), np.diff(np.append(start, len(u))))]
+    p3 = level(look.grams(words[u], words[v], words[w]), stats, m.d_gram, p2[of_pair])
+    return known[code.astype(np.int64), 0], np.log10(p3)[at]
+
+
+def distinct(*columns, words: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows in order, and which of them each row is."""
+    if words <= 1 << 21:
+        key = columns[0]
+        for c in columns[1:]:
+            key = key << _ID | c
+        key, at = np.unique(key, return_inverse=True)
+        return [(key >> _ID * np.uint64(len(columns) - 1 - i)) & _MASK for i in range(len(columns))], at
+    order = np.lexsort(columns[::-1])
+    first = runs(*(c[order] for c in columns))
+    at = np.empty(len(order), np.int64)
+    at[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+    return [c[order[first]] for c in columns], at
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -314,12 +610,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         look = Lookup(model)
         for batch in batches:
             for part in batches_of(batch, size=3 << 20):
-                tokens, before, first = tokens_of(part.column("text"))
-                count, logp = token_scores(look, tokens, before)
-                base = np.log10((count + 1) / (model.tokens + model.vocabulary + 1))
-                n = np.diff(first)
-                total, plain = np.add.reduceat(logp, first[:-1]), np.add.reduceat(base, first[:-1])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(np.add.reduceat((count > 0).astype(np.int64), first[:-1])), pa.array(np.full(len(n), model.tokens)), pa.array(plain), pa.array(total), pa.array(10.0 ** np.minimum(-total / n, 300))], schema=schema)
+                n = known = total = plain = 0  # one row of each text; a long text's blocks are summed
+                for w, v, u, first in in_pieces(part):
+                    if not len(w):
+                        continue
+                    count, logp = token_scores(look, w, v, u)
+                    base = np.log10((count + 1) / (model.tokens + model.vocabulary + 1))
+                    sums = [np.add.reduceat(x, first[:-1]) for x in ((count > 0).astype(np.int64), logp, base)]
+                    n, known, total, plain = n + np.diff(first), known + sums[0], total + sums[1], plain + sums[2]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(known), pa.array(np.full(len(n), model.tokens)), pa.array(plain), pa.array(total), pa.array(10.0 ** np.minimum(-total / n, 300))], schema=schema)
 
     return docs.select("doc_id", "text").mapInArrow(task, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 

@@ -68,12 +68,16 @@ def test_kneser_ney(spark, tables):
     tokens = {i: [*SPACE.findall(t.translate(LOWER)), None] for i, t in docs.items()}
     learnt = [t for i, t in tokens.items() if not held_out(i, 7)]
     c = collections.Counter(w for t in learnt for w in t)
-    pairs = collections.Counter(p for t in learnt for p in zip(["<s>", *t], t))
-    total, follows, comes = collections.Counter(), collections.defaultdict(lambda: [0, 0, 0]), collections.Counter()
-    for (u, w), n in pairs.items():
-        total[u] += n
-        follows[u][min(n, 3) - 1] += 1
-        comes[w] += 1
+    grams = collections.Counter(g for t in learnt for g in zip(["<s>", "<s>", *t], ["<s>", *t], t))
+    pairs = collections.Counter((v, w) for _, v, w in grams)
+    comes = collections.Counter(w for _, w in pairs)
+
+    def follow(counts):
+        total, few = collections.Counter(), collections.defaultdict(lambda: [0, 0, 0])
+        for (*context, _), n in counts.items():
+            total[tuple(context)] += n
+            few[tuple(context)][min(n, 3) - 1] += 1
+        return total, few
 
     def discount(counts):
         n = collections.Counter(counts)
@@ -81,27 +85,79 @@ def test_kneser_ney(spark, tables):
         raw = [1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3]]
         return [0, *(min(max(x, 0.05), k - 0.05) for k, x in enumerate(raw, 1))]
 
-    d2, d1, v, n_all, n_pairs = discount(pairs.values()), discount(comes.values()), len(c), sum(c.values()), len(pairs)
+    d3, d2, d1, v, n_all, n_pairs = discount(grams.values()), discount(pairs.values()), discount(comes.values()), len(c), sum(c.values()), len(pairs)
+    after2, after1 = follow(grams), follow(pairs)
     rest = sum(d1[min(x, 3)] for x in comes.values()) / n_pairs
 
-    def lower(w):
-        return max(comes[w] - d1[min(comes[w], 3)], 0) / n_pairs + rest / (v + 1)
-
-    def p(u, w):
-        if not total[u]:
-            return lower(w)
-        n = pairs[u, w]
-        return max(n - d2[min(n, 3)], 0) / total[u] + sum(a * b for a, b in zip(follows[u], d2[1:])) / total[u] * lower(w)
-
-    for u in ("<s>", "the", "nowhere"):
-        assert math.isclose(sum(p(u, w) for w in c) + p(u, "never seen"), 1, rel_tol=1e-9)
-    rows = QUERIES["op1_kneser_ney"](spark, d).collect()
-    assert len(rows) == len(docs)
-    for r in rows:
-        t = tokens[r["doc_id"]]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held_out(r["doc_id"], 7), len(t), sum(c[w] > 0 for w in t), n_all)
-        assert math.isclose(r["base_score"], sum(math.log10((c[w] + 1) / (n_all + v + 1)) for w in t), rel_tol=1e-9)
-        assert math.isclose(r["score"], sum(math.log10(p(u, w)) for u, w in zip(["<s>", *t], t)), rel_tol=1e-9)
+    def over(n, context, after, d, lower):
+        total, few = after
+        if not total[context]:
+            return lower
+        return max(n - d[min(n, 3)], 0) / total[context] + sum(a * b for a, b in zip(few[context], d[1:])) / total[context] * lower
+
+    def p(u, v_, w):
+        one = max(comes[w] - d1[min(comes[w], 3)], 0) / n_pairs + rest / (v + 1)
+        return over(grams[u, v_, w], (u, v_), after2, d3, over(pairs[v_, w], (v_,), after1, d2, one))
+
+    for u in (("<s>", "<s>"), ("<s>", "the"), ("of", "the"), ("nowhere", "the"), ("the", "nowhere")):
+        assert math.isclose(sum(p(*u, w) for w in c) + p(*u, "never seen"), 1, rel_tol=1e-9)
+    from docraster.llm import kneser_ney as model
+
+    df = spark.read.parquet(f"{d}/documents.parquet")
+    every = np.unique(model.tokens_of(pa.array(list(docs.values())))[0])
+    some = np.sort(np.append(every[::3], model.BEGIN))
+    both = np.unique(np.concatenate([model.pair(np.repeat(some, 40), np.tile(every[:40], len(some))), model.pair(np.array([model.BEGIN]), np.array([model.BEGIN]))]))
+    # the query itself; words and pairs dealt by more than themselves, few tokens at once; a bucket for all
+    ways = [lambda: QUERIES["op1_kneser_ney"](spark, d)]
+    for hot, buckets, at_once in (((some, both), 5, 700), ((every, both[:0]), 3, 10**6), ((every[:0], every[:0]), 1, 10**6)):
+        def way(hot=hot, buckets=buckets, at_once=at_once):
+            with pytest.MonkeyPatch.context() as m:
+                m.setattr(model, "hot_ones", lambda *_: hot)
+                learnt = model.train(df.where(~model.fold(7)), buckets=buckets, at_once=at_once)
+            return model.score(df, learnt).withColumn("held_out", model.fold(7))
+
+        ways.append(way)
+    want = {i: sum(math.log10(p(*g)) for g in zip(["<s>", "<s>", *t], ["<s>", *t], t)) for i, t in tokens.items()}
+    for way in ways:
+        rows = way().collect()
+        assert len(rows) == len(docs)
+        for r in rows:
+            t = tokens[r["doc_id"]]
+            assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held_out(r["doc_id"], 7), len(t), sum(c[w] > 0 for w in t), n_all)
+            assert math.isclose(r["base_score"], sum(math.log10((c[w] + 1) / (n_all + v + 1)) for w in t), rel_tol=1e-9)
+            assert math.isclose(r["score"], want[r["doc_id"]], rel_tol=1e-9)
+
+
+def test_hash_arrays_find_what_they_hold():
+    from docraster.llm.kneser_ney import Table, packed, summed, table_of, unpacked
+
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5, 40, 5000):
+        keys = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        if n > 40:  # keys alike in all bits that are kept
+            keys = np.unique(np.concatenate([keys, keys[:30] ^ np.uint64(1), keys[5:9] ^ np.uint64(2)]))
+        values = np.stack([rng.zipf(1.7, len(keys)), rng.integers(0, 3, len(keys)), rng.zipf(3, len(keys))], 1).astype(np.int64)
+        mixed = rng.permutation(len(keys))
+        table = Table(np.frombuffer(b"".join(table_of(keys[mixed], values[mixed])), np.uint8))
+        assert (table.find(keys, 3) == values).all()
+        assert not table.find(rng.integers(0, 2**64, 300, dtype=np.uint64), 3).any()
+    columns = [rng.integers(0, m, 1000).astype(np.uint64) for m in (2, 300, 70_000, 2**40)] + [np.zeros(0, np.uint64)]
+    assert all((a == b).all() for a, b in zip(unpacked(packed(*columns)), columns))
+    rows = tuple(rng.integers(0, 5, 400).astype(np.uint64) for _ in range(3))
+    for n in (None, rng.integers(1, 9, 400)):
+        few, many = summed(rows, n, 5), summed(rows, n, 1 << 22)
+        assert all((a == b).all() for a, b in zip(few[0], many[0])) and (few[1] == many[1]).all() and few[1].sum() == (400 if n is None else n.sum())
+
+
+def test_long_texts_are_scored_in_blocks_alike():
+    from docraster.llm.kneser_ney import in_pieces
+
+    text = "  " + prose(random.Random(5), 3000) + " \n"
+    part = pa.RecordBatch.from_arrays([pa.array([text])], ["text"])
+    whole = next(in_pieces(part))
+    for block in (64, 1000):
+        pieces = list(in_pieces(part, block))
+        assert len(pieces) > 3 and all((np.concatenate(x) == y).all() for x, y in zip(list(zip(*pieces))[:3], whole))
 
 
 def near_groups(docs):
