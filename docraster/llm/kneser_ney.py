@@ -1,12 +1,14 @@
 """LM scoring: an interpolated modified Kneser-Ney trigram model.
 
-Every text is its words and one end, after two beginnings. Spark counts the trigrams: each task numbers the words of
-some millions of tokens, sums equal trigrams, and deals them by their middle word, as columns of small numbers with a
-list of the words' hashes. So a group has all of a context (u, v) and all that comes before a pair (v, w): it writes
-sorted hash arrays of its trigrams with their counts, of its contexts with their totals and of its pairs with the
-number of words before them. What a group knows of single words is dealt once more, by ranges of the word's hash, and
-gives sorted arrays of words. Scoring tasks map these files into memory and look their batches' distinct words, pairs
-and trigrams up by binary search.
+Every text is its words and one end, after two beginnings. Spark counts the words first, which gives sorted arrays of
+hashes and a number for each word, smaller for more frequent ones. Then it counts the trigrams: each task sums those of
+some millions of tokens and deals them by their middle word, as columns of these numbers. So a group has all of a
+context (u, v) and all that comes before a pair (v, w): it writes sorted hash arrays of its trigrams with their counts,
+of its contexts with their totals and of its pairs with the number of words before them. What a group knows of single
+words is dealt once more and gives sorted arrays of words. Scoring tasks map these files into memory and look their
+batches' distinct words, pairs and trigrams up by binary search.
+
+A context that was seen once has no entry of its own: it is among the pairs, and not among the contexts.
 
 Middle words that hold much of the corpus are dealt by (u, v) instead, and pairs (u, v) that do by the whole trigram, so
 no group holds more than its share; what is then known of a pair or context in several groups is summed in a second,
@@ -26,6 +28,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +41,8 @@ END, BEGIN = np.uint64(0x5EED0000000E0D), np.uint64(0x5EED00000B0E61)
 _K = np.uint64(0xA24BAED4963EE407)
 #: Bytes of text that a bucket of the model stands for, and tokens that a task counts at once.
 BUCKET_BYTES, AT_ONCE = 24 << 20, 4_000_000
+#: Numbers of the beginning, and of a word that was never seen.
+FIRST, UNSEEN = np.uint64(0), np.uint64(1 << 40)
 _ID = np.uint64(21)  # bits of a word's number in a packed trigram
 _MASK = np.uint64((1 << 21) - 1)
 
@@ -45,43 +50,60 @@ _MASK = np.uint64((1 << 21) - 1)
 # --- tokens ---------------------------------------------------------------------------------------------------
 
 
-def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all tokens (a text's words, then its end), of the one before and the one before that, and where each
-    text's tokens start (and the end)."""
+def tokens_of(texts: pa.Array, last: tuple = (BEGIN, BEGIN), ends: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens, of each text after two that stand before it: beginnings, or those given; and where each text's
+    two start (and the end). A text's tokens are its words, then its end unless it goes on."""
     w = words_of(texts)
     n = len(texts)
-    first = w.per_doc + np.arange(n + 1)
-    tokens = np.empty(len(w.starts) + n, np.uint64)
-    is_end = np.zeros(len(tokens), bool)
-    is_end[first[1:] - 1] = True
-    tokens[is_end] = END
-    tokens[~is_end] = w.hashes()
-    return tokens, *before(tokens, first[:-1]), first
-
-
-def before(tokens: np.ndarray, starts: np.ndarray, last: tuple = (BEGIN, BEGIN)) -> tuple[np.ndarray, np.ndarray]:
-    """The tokens one and two places before each; before a start those given."""
-    one = np.empty_like(tokens)
-    one[1:], one[starts] = tokens[:-1], last[1]
-    two = np.empty_like(tokens)
-    two[1:], two[starts] = one[:-1], last[0]
-    return one, two
-
-
-def in_pieces(part: pa.RecordBatch, block: int = 4 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """tokens, one and two before and starts of a batch's texts; of a single long text a block at a time."""
+    first = w.per_doc + np.arange(n + 1) * (2 + ends)
+    tokens = np.empty(first[-1], np.uint64)
+    word = np.ones(len(tokens), bool)
+    tokens[first[:-1]], tokens[first[:-1] + 1] = last
+    word[first[:-1]] = word[first[:-1] + 1] = False
+    if ends:
+        tokens[first[1:] - 1] = END
+        word[first[1:] - 1] = False
+    tokens[word] = w.hashes()
+    return tokens, first
+
+
+def in_pieces(part: pa.RecordBatch, block: int = 4 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """tokens and starts of a batch's texts; of a single long text a block at a time."""
     texts = part.column("text")
     if part.num_rows != 1 or not texts[0].is_valid or texts.get_total_buffer_size() <= block:
         yield tokens_of(texts)
         return
-    last, blocks = (BEGIN, BEGIN), list(blocks_of(texts[0].as_py().encode("utf-8", "surrogatepass"), size=block))
-    for i, raw in enumerate(blocks):
-        tokens = tokens_of(pa.array([raw.decode("utf-8", "surrogatepass")], pa.string()))[0]
-        if i < len(blocks) - 1:
-            tokens = tokens[:-1]
-        one, two = before(tokens, np.zeros(1, np.int64), last)
-        yield tokens, one, two, np.array([0, len(tokens)])
-        last = (np.append([last[1]], tokens)[-2], tokens[-1]) if len(tokens) else last
+    last, held = (BEGIN, BEGIN), None
+    for raw in [*blocks_of(texts[0].as_py().encode("utf-8", "surrogatepass"), size=block), None]:
+        if held is not None:
+            tokens, first = tokens_of(pa.array([held.decode("utf-8", "surrogatepass")], pa.string()), last, raw is None)
+            last = tuple(tokens[-2:])
+            yield tokens, first
+        held = raw
+
+
+def coded(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct tokens, in order, and the place of each token's among them."""
+    code, words = pd.factorize(tokens)
+    order = np.argsort(words)
+    place = np.empty(len(words), np.uint64)
+    place[order] = np.arange(len(words), dtype=np.uint64)
+    return words[order], place[code]
+
+
+def numbered(words: np.ndarray, code: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words' numbers in order, the order, and the places of the tokens' numbers among them."""
+    order = np.argsort(numbers, kind="stable")
+    place = np.empty(len(words), np.uint64)
+    place[order] = np.arange(len(words), dtype=np.uint64)
+    return numbers[order], order, place[code]
+
+
+def counted(first: np.ndarray) -> np.ndarray:
+    """Places of the tokens that count: all but two of each text."""
+    own = np.ones(first[-1], bool)
+    own[first[:-1]] = own[first[:-1] + 1] = False
+    return np.flatnonzero(own)
 
 
 def pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -109,7 +131,7 @@ class Deal:
     """Which bucket n-grams go to."""
 
     buckets: int
-    hot_words: np.ndarray  # sorted hashes of words, and of pairs, that are dealt by more than themselves
+    hot_words: np.ndarray  # sorted numbers of words, and hashes of pairs, that are dealt by more than themselves
     hot_pairs: np.ndarray
 
     def gram(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -124,9 +146,10 @@ class Deal:
 
 
 def packed(*columns: np.ndarray) -> bytes:
-    """Columns of whole numbers, each in as few bytes as its largest needs, byte planes apart, compressed."""
+    """Columns of whole numbers, the first of them in order and kept as differences, each in as few bytes as its largest
+    needs, byte planes apart, compressed."""
     head, planes = [len(columns)], []
-    for c in columns:
+    for c in (np.diff(columns[0], prepend=columns[0][:1] * 0), *columns[1:]):
         width = next(k for k in (1, 2, 4, 8) if k == 8 or not len(c) or int(c.max()) < 1 << 8 * k)
         head += [len(c), width]
         planes.append(c.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes())
@@ -139,8 +162,9 @@ def unpacked(body: bytes) -> list[np.ndarray]:
     head, at, out = np.frombuffer(raw, np.int64, 2 * n, 8).reshape(n, 2).tolist(), 8 + 16 * n, []
     for size, width in head:
         planes = np.frombuffer(raw, np.uint8, size * width, at).reshape(width, size)
-        out.append(np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.uint64))
+        out.append(np.ascontiguousarray(planes.T).view(f"<u{width}").ravel())
         at += size * width
+    out[0] = np.cumsum(out[0], dtype=np.uint64)
     return out
 
 
@@ -158,7 +182,7 @@ def runs(*columns: np.ndarray) -> np.ndarray:
 def summed(columns: tuple, n: np.ndarray | None, words: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct rows of the columns (numbers below ``words``) in order, and the sum of n (or the number) of each."""
     if words <= 1 << 21:
-        key = columns[0]
+        key = columns[0].astype(np.uint64)
         for c in columns[1:]:
             key = key << _ID | c
         order = np.argsort(key) if n is not None else None
@@ -172,63 +196,125 @@ def summed(columns: tuple, n: np.ndarray | None, words: int) -> tuple[list[np.nd
         out = [c[at] for c in columns]
     if n is None:
         return out, np.diff(np.append(at, len(columns[0])))
-    return out, np.add.reduceat(n[order], at) if len(at) else n[:0]
-
-
-def numbered(w: np.ndarray, v: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct words in order, and the numbers of w and of the beginning. Whatever stands before a token is a
-    token itself, a beginning, or among the first two of a block."""
-    words, code = np.unique(np.concatenate([w, v[:1], u[:2], [BEGIN]]), return_inverse=True)
-    code = code.astype(np.uint64)
-    return words, np.append(code[: len(w)], code[-1])
-
-
-def numbers_before(words: np.ndarray, place: np.ndarray, begin, v: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the words one and two before each: those of the tokens there, searched for only where others stand."""
-    out = []
-    for back, wanted in ((1, v), (2, u)):
-        near = np.concatenate([np.full(back, begin), place])[: len(place)]
-        other = np.flatnonzero(words[near] != wanted)
-        near[other] = np.searchsorted(words, wanted[other])
-        out.append(near)
-    return tuple(out)
-
-
-def count_grams(deal: Deal, at_once: int):
-    """Task: texts in, for each bucket a row of packed columns out: the words' hashes, and by their numbers v, u, w and
-    count of each trigram, in order."""
-
-    def flush(rows):
-        w, v, u = (np.concatenate(x) for x in zip(*rows))
-        words, code = numbered(w, v, u)
-        begin, place = code[-1], code[:-1]
-        one, two = numbers_before(words, place, begin, v, u)
-        (v, u, w), n = summed((one, two, place), None, len(words))
-        to = deal.gram(words[u], words[v], words[w])
-        order = np.argsort(to, kind="stable")
-        cuts = np.searchsorted(to[order], np.arange(deal.buckets + 1))
+    return out, np.add.reduceat(n[order], at, dtype=np.int64) if len(at) else n[:0]
+
+
+def blocks_counted(batches, at_once: int) -> Iterator[tuple[list[np.ndarray], list[np.ndarray]]]:
+    """Some millions of tokens at a time, as ``in_pieces`` gives them, with starts (and the end) in all of them."""
+    tokens, starts, held = [], [], 0
+    for batch in batches:
+        for part in batches_of(batch):
+            for own, first in in_pieces(part):
+                tokens.append(own)
+                starts.append(first[:-1] + held)
+                held += len(own)
+                if held >= at_once:
+                    yield np.concatenate(tokens), np.concatenate([*starts, [held]])
+                    tokens, starts, held = [], [], 0
+    if held:
+        yield np.concatenate(tokens), np.concatenate([*starts, [held]])
+
+
+def body_batch(bucket: int, body: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([body], pa.binary())], ["bucket", "body"])
+
+
+def count_words(buckets: int, at_once: int):
+    """Task: texts in, for each bucket a row of packed columns out: hashes of words, and their counts."""
+
+    def task(batches):
+        for tokens, first in blocks_counted(batches, at_once):
+            words, code = coded(tokens[counted(first)])
+            n = np.bincount(code.astype(np.int64), minlength=len(words))
+            cuts = np.searchsorted(word_bucket(words, buckets), np.arange(buckets + 1))
+            for b in np.flatnonzero(np.diff(cuts)).tolist():
+                yield body_batch(b, packed(words[cuts[b] : cuts[b + 1]], n[cuts[b] : cuts[b + 1]]))
+
+    return task
+
+
+CLASSES = 48
+
+
+def vocabulary_files(folder: str):
+    """Group: all counts of a range of words; writes hashes in order, counts and places in their class, and returns how many words there are of
+    each class of counts (by powers of two)."""
+
+    def group(key, table):
+        parts = [unpacked(x) for x in table.column("body").to_pylist()]
+        words, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([p[1] for p in parts]), len(words)).astype(np.int64)
+        kind = class_of(n)
+        place, order = np.empty(len(n), np.uint32), np.argsort(kind, kind="stable")
+        place[order] = np.arange(len(n)) - np.searchsorted(kind[order], kind[order])
+        write_file(f"{folder}/vocabulary/{key[0].as_py()}", [words.tobytes(), n.tobytes(), place.tobytes()])
+        sizes = np.bincount(kind, minlength=CLASSES)
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "sizes": pa.array([sizes.tolist()], pa.list_(pa.int64())), "tokens": pa.array([int(n.sum())], pa.int64())})
+
+    return group
+
+
+def class_of(n: np.ndarray) -> np.ndarray:
+    return np.minimum(np.frexp(n.astype(np.float64))[1], CLASSES - 1)
+
+
+@dataclass
+class Vocabulary:
+    """Numbers of words: by falling class of counts, then by bucket and hash."""
+
+    folder: str
+    buckets: int
+    first: np.ndarray  # (buckets, classes): the first number of a class in a bucket
+
+    @classmethod
+    def of(cls, folder: str, buckets: int, sizes: np.ndarray) -> "Vocabulary":
+        falling = sizes[:, ::-1].T.ravel()  # by class, most frequent first, then by bucket
+        first = np.cumsum(falling) - falling + 1  # 0 is the beginning's
+        return cls(folder, buckets, first.reshape(CLASSES, buckets).T[:, ::-1].astype(np.uint64))
+
+    def look_up(self, words: np.ndarray, files: dict) -> tuple[np.ndarray, np.ndarray]:
+        """words: hashes in order. Number and count of each."""
+        number, n = np.full(len(words), UNSEEN), np.zeros(len(words), np.int64)
+        cuts = np.searchsorted(word_bucket(words, self.buckets), np.arange(self.buckets + 1))
         for b in np.flatnonzero(np.diff(cuts)).tolist():
-            own = order[cuts[b] : cuts[b + 1]]
-            columns = v[own], u[own], w[own]
-            used, local = np.unique(np.concatenate(columns), return_inverse=True)
-            yield b, packed(words[used], *local.reshape(3, -1), n[own])
+            if b not in files:
+                try:
+                    raw = mapped(f"{self.folder}/vocabulary/{b}", np.uint8)
+                except FileNotFoundError:
+                    raw = np.zeros(0, np.uint8)
+                size = len(raw) // 20
+                files[b] = raw[: 8 * size].view(np.uint64), raw[8 * size : 16 * size].view(np.int64), raw[16 * size :].view(np.uint32)
+            keys, counts, places = files[b]
+            if len(keys):
+                own = np.arange(cuts[b], cuts[b + 1])
+                at = np.minimum(np.searchsorted(keys, words[own]), len(keys) - 1)
+                hit = keys[at] == words[own]
+                n[own[hit]] = counts[at[hit]]
+                number[own[hit]] = self.first[b][class_of(counts[at[hit]])] + places[at[hit]]
+        number[words == BEGIN] = FIRST
+        return number, n
+
+
+def count_grams(vocabulary: Vocabulary, deal: Deal, at_once: int):
+    """Task: texts in, for each bucket a row of packed columns out: v, u, w and count of each trigram, in order."""
 
     def task(batches):
-        rows, held = [], 0
-        for batch in batches:
-            for part in batches_of(batch):
-                for w, v, u, _ in in_pieces(part):
-                    rows.append((w, v, u))
-                    held += len(w)
-                    if held >= at_once:
-                        yield from out(flush(rows))
-                        rows, held = [], 0
-        if held:
-            yield from out(flush(rows))
-
-    def out(found):
-        for b, body in found:
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([body], pa.binary())], ["bucket", "body"])
+        files = {}
+        for tokens, first in blocks_counted(batches, at_once):
+            words, code = coded(tokens)
+            del tokens
+            words, _, code = numbered(words, code, vocabulary.look_up(words, files)[0])
+            own = counted(first)
+            (v, u, w), n = summed((code[own - 1], code[own - 2], code[own]), None, len(words))
+            del code, own
+            to = dealt(words, deal.buckets)[v]
+            hot = np.flatnonzero(among(words, deal.hot_words)[v])
+            to[hot] = deal.gram(words[u[hot]], words[v[hot]], words[w[hot]])
+            order = np.argsort(to.astype(np.uint16) if deal.buckets < 1 << 16 else to, kind="stable")
+            cuts = np.searchsorted(to[order], np.arange(deal.buckets + 1))
+            for b in np.flatnonzero(np.diff(cuts)).tolist():
+                own = order[cuts[b] : cuts[b + 1]]
+                yield body_batch(b, packed(words[v[own]], words[u[own]], words[w[own]], n[own]))
 
     return task
 
@@ -258,16 +344,22 @@ def rows_out(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), _ABOUT)], schema=_ABOUT) if rows else _ABOUT.empty_table()
 
 
-def word_rows(words: np.ndarray, buckets: int, v: np.ndarray, w: np.ndarray, a: np.ndarray, raw: np.ndarray) -> list[tuple]:
-    """What pairs (v, w) after ``a`` different words, and tokens, say of single words: hash, tokens, words before, and of
-    what follows the sum of a and how many are 1, 2 and more."""
+def word_rows(words: np.ndarray, buckets: int, v: np.ndarray, w: np.ndarray, a: np.ndarray) -> list[tuple]:
+    """What pairs (v, w) after ``a`` different words say of single words: number, words before, and of what follows the sum
+    of a and how many are 1, 2 and more."""
     at = runs(v)
-    about = np.zeros((len(words), 6), np.int64)
-    about[:, 0] = raw
-    about[:, 1] = np.bincount(w.astype(np.int64), minlength=len(words))
-    about[v[at].astype(np.int64), 2:] = spread(a, at)
+    about = np.zeros((len(words), 5), np.int64)
+    about[:, 0] = np.bincount(w.astype(np.int64), minlength=len(words))
+    about[v[at].astype(np.int64), 1:] = spread(a, at)
     some = np.flatnonzero(about.any(1))
-    return by_bucket("word", word_bucket(words[some], buckets), [words[some], *about[some].T])
+    return by_bucket("word", dealt(words[some], buckets), [words[some], *about[some].T])
+
+
+def numbers_to(words: np.ndarray) -> np.ndarray:
+    """A table from a number to its place in words."""
+    table = np.empty(int(words[-1]) + 1, np.uint32)
+    table[words] = np.arange(len(words))
+    return table
 
 
 def gram_files(folder: str, deal: Deal):
@@ -276,22 +368,23 @@ def gram_files(folder: str, deal: Deal):
     def group(key, table):
         b = key[0].as_py()
         parts = [unpacked(body) for body in table.column("body").to_pylist()]
-        words = np.unique(np.concatenate([p[0] for p in parts]))
-        places = [np.searchsorted(words, p[0]).astype(np.uint64) for p in parts]
-        columns = [np.concatenate([place[p[k].astype(np.int64)] for place, p in zip(places, parts)]) for k in (1, 2, 3)]
-        n = np.concatenate([p[4] for p in parts]).astype(np.int64)
-        del parts, places
+        columns = [np.concatenate([p[k].astype(np.uint32 if k else np.uint64) if p[k].itemsize < 8 or not k else p[k] for p in parts]) for k in (0, 1, 2)]
+        n = np.concatenate([p[3].astype(np.uint32) for p in parts])
+        del parts
+        words = np.unique(np.concatenate([np.unique(c).astype(np.uint64) for c in columns]))
+        columns = [np.searchsorted(words, c.astype(np.uint64)).astype(np.uint32) if words[-1] > 1 << 27 else numbers_to(words)[c] for c in columns]
         (v, u, w), n = summed(tuple(columns), n, len(words))
         del columns
+        n = n.astype(np.int64)
         context = pair(words[u], words[v])
         write_file(f"{folder}/grams/{b}", table_of(pair(context, words[w]), n[:, None]))
         # contexts (u, v)
         at = runs(v, u)
         hashes, stats = context[at], spread(n, at)
         hot = among(words[v[at]], deal.hot_words) & among(hashes, deal.hot_pairs)
-        write_file(f"{folder}/contexts/{b}", table_of(hashes[~hot], stats[~hot]))
-        out = by_bucket("context", dealt(hashes[hot], deal.buckets), [hashes[hot], *stats[hot].T]) if hot.any() else []
-        raw = np.bincount(w.astype(np.int64), n, len(words)).astype(np.int64)
+        once = (stats[:, 0] == 1) & ((words[u[at]] != FIRST) | (words[v[at]] != FIRST))  # the pairs tell as much
+        write_file(f"{folder}/contexts/{b}", table_of(hashes[~hot & ~once], stats[~hot & ~once]))
+        out = by_bucket("context", dealt(hashes[hot], deal.buckets), [np.arange(hot.sum()), hashes[hot], *stats[hot].T]) if hot.any() else []
         of_grams = counts_of_counts(n)
         # pairs (v, w): each trigram is in one group, so its words before are counted once
         (v, w), a = summed((v, w), None, len(words))
@@ -300,7 +393,7 @@ def gram_files(folder: str, deal: Deal):
             out += by_bucket("pair", dealt(pair(words[v[hot]], words[w[hot]]), deal.buckets), [words[v[hot]], words[w[hot]], a[hot]])
             v, w, a = v[~hot], w[~hot], a[~hot]
         write_file(f"{folder}/pairs/{b}", table_of(pair(words[v], words[w]), a[:, None]))
-        out += word_rows(words, deal.buckets, v, w, a, raw)
+        out += word_rows(words, deal.buckets, v, w, a)
         out.append(("grams", None, None, of_grams))
         out.append(("pairs", None, None, counts_of_counts(a)))
         return rows_out(out)
@@ -316,7 +409,7 @@ def hot_files(folder: str, deal: Deal):
         kinds, bodies = table.column("kind").to_pylist(), table.column("body").to_pylist()
         contexts = [unpacked(x) for k, x in zip(kinds, bodies) if k == "context"]
         if contexts:
-            hashes, stats = np.concatenate([x[0] for x in contexts]), np.concatenate([np.stack(x[1:], 1) for x in contexts]).astype(np.int64)
+            hashes, stats = np.concatenate([x[1] for x in contexts]), np.concatenate([np.stack(x[2:], 1) for x in contexts]).astype(np.int64)
             own, at = np.unique(hashes, return_inverse=True)
             total = np.zeros((len(own), 4), np.int64)
             np.add.at(total, at, stats)
@@ -329,24 +422,20 @@ def hot_files(folder: str, deal: Deal):
         v, w = code.astype(np.uint64).reshape(2, -1)
         (v, w), a = summed((v, w), a.astype(np.int64), len(words))
         write_file(f"{folder}/hot-pairs/{b}", table_of(pair(words[v], words[w]), a[:, None]))
-        return rows_out([*word_rows(words, deal.buckets, v, w, a, np.zeros(len(words), np.int64)), ("pairs", None, None, counts_of_counts(a))])
+        return rows_out([*word_rows(words, deal.buckets, v, w, a), ("pairs", None, None, counts_of_counts(a))])
 
     return group
 
 
 def word_files(folder: str):
-    """Group: all that is known of a range of words; writes its array, and returns sums for the driver."""
+    """Group: all that is known of a bucket's words; writes its array, and returns sums for the driver."""
 
     def group(key, table):
         parts = [unpacked(x) for x in table.column("body").to_pylist()]
-        hashes, about = np.concatenate([p[0] for p in parts]), np.concatenate([np.stack(p[1:], 1) for p in parts]).astype(np.int64)
-        words, at = np.unique(hashes, return_inverse=True)
-        total = np.zeros((len(words), 6), np.int64)
-        for k in range(6):
-            total[:, k] = np.bincount(at, about[:, k], len(words))
-        write_file(f"{folder}/words/{key[0].as_py()}", [words.tobytes(), total.tobytes()])
-        sums = [int((total[:, 0] > 0).sum()), int(total[:, 0].sum()), int(total[:, 1].sum()), *counts_of_counts(total[:, 1])]
-        return rows_out([("words", None, None, sums)])
+        words, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        about = [np.bincount(at, np.concatenate([p[k] for p in parts]), len(words)).astype(np.int64) for k in range(1, 6)]
+        write_file(f"{folder}/words/{key[0].as_py()}", [words.tobytes(), np.stack(about, 1).tobytes()])
+        return rows_out([("words", None, None, [int(about[0].sum()), *counts_of_counts(about[0])])])
 
     return group
 
@@ -444,6 +533,7 @@ def discounts(ones: int, twos: int, threes: int, fours: int) -> np.ndarray:
 class Model:
     folder: str
     deal: Deal
+    words: Vocabulary
     vocabulary: int  # V
     tokens: int  # N
     pairs: int  # distinct pairs
@@ -457,31 +547,42 @@ def train(docs: DataFrame, buckets: int | None = None, at_once: int = AT_ONCE, h
     """Counts the texts of docs (column text) and writes the model to the shared folder."""
     spark: SparkSession = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    buckets = buckets or max(2 * spark.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES))
     folder = shared_folder(spark, "kneser-ney")
-    deal = Deal(buckets, *hot_ones(docs, hot_share or max(0.3 / buckets, 1e-5)))
-    known = docs.select("text").mapInArrow(count_grams(deal, at_once), "bucket int, body binary")
+    texts = docs.select("text")
+    sizes, tokens = np.zeros((buckets, CLASSES), np.int64), 0
+    counted_words = texts.mapInArrow(count_words(buckets, at_once), "bucket int, body binary").groupBy("bucket")
+    for r in counted_words.applyInArrow(vocabulary_files(folder), "bucket int, sizes array<long>, tokens long").collect():  # a row a bucket
+        sizes[r["bucket"]], tokens = r["sizes"], tokens + r["tokens"]
+    vocabulary = Vocabulary.of(folder, buckets, sizes)
+    share = hot_share or max(0.3 / buckets, 1e-5)
+    deal = Deal(buckets, *hot_ones(docs, vocabulary, share))
+    known = texts.mapInArrow(count_grams(vocabulary, deal, at_once), "bucket int, body binary")
     about = kept(known.groupBy("bucket").applyInArrow(gram_files(folder, deal), ABOUT), "grams")
     hot = kept(about.where("kind in ('pair', 'context')").groupBy("bucket").applyInArrow(hot_files(folder, deal), ABOUT), "hot")
     words = about.union(hot).where("kind = 'word'").groupBy("bucket").applyInArrow(word_files(folder), ABOUT)
-    sums = {"grams": np.zeros(4, int), "pairs": np.zeros(4, int), "words": np.zeros(7, int)}
+    sums = {"grams": np.zeros(4, int), "pairs": np.zeros(4, int), "words": np.zeros(5, int)}
     every = about.union(hot).union(words).where("sums is not null").select("kind", F.posexplode("sums").alias("at", "n"))
     for r in every.groupBy("kind", "at").agg(F.sum("n").alias("n")).collect():
         sums[r["kind"]][r["at"]] = r["n"]
-    v, tokens, pairs, *few = map(int, sums["words"])
+    v, (pairs, *few) = int(sizes.sum()), map(int, sums["words"])
     d_word = discounts(*few)
     rest = float((d_word[1] * few[0] + d_word[2] * few[1] + d_word[3] * (v - few[0] - few[1])) / pairs) if pairs else 1.0
-    return Model(folder, deal, v, tokens, pairs, discounts(*map(int, sums["grams"])), discounts(*map(int, sums["pairs"])), d_word, rest)
+    return Model(folder, deal, vocabulary, v, tokens, pairs, discounts(*map(int, sums["grams"])), discounts(*map(int, sums["pairs"])), d_word, rest)
 
 
-def hot_ones(docs: DataFrame, share: float) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of middle words, and of contexts, with over this share of the tokens of one text in 64: at most 1 / share of either."""
+def hot_ones(docs: DataFrame, vocabulary: Vocabulary, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of middle words, and hashes of contexts, with over this share of the tokens of one text in 64: at most 1 / share of either."""
     picked = docs.where(F.rand(7) < 1 / 64).select("text")
 
     def task(batches):
+        files = {}
         for batch in batches:
             for part in batches_of(batch):
-                for _, v, u, _ in in_pieces(part):
+                for tokens, first in in_pieces(part):
+                    own, (words, code) = counted(first), coded(tokens)
+                    number = vocabulary.look_up(words, files)[0]
+                    u, v = number[code[own - 2]], number[code[own - 1]]
                     for kind, keys in (("word", v), ("pair", pair(u, v))):
                         keys, n = np.unique(keys, return_counts=True)
                         most = n >= share / 8 * n.sum()
@@ -508,27 +609,26 @@ class Lookup:
                 self.files[name] = Table(np.zeros(0, np.uint8))
         return self.files[name]
 
-    def word_table(self, b: int) -> tuple[np.ndarray, np.ndarray]:
-        if ("words", b) not in self.files:
-            try:
-                raw = mapped(f"{self.m.folder}/words/{b}", np.uint64)
-            except FileNotFoundError:
-                raw = np.zeros(0, np.uint64)
-            n = len(raw) // 7
-            self.files["words", b] = raw[:n], raw[n:].view(np.int64).reshape(n, 6)
-        return self.files["words", b]
-
     def words(self, wanted: np.ndarray) -> np.ndarray:
-        """wanted: sorted hashes. Tokens, words before, and of what follows the sum and how many are 1, 2 and more."""
-        out = np.zeros((len(wanted), 6), np.int64)
-        cuts = np.searchsorted(word_bucket(wanted, self.m.deal.buckets), np.arange(self.m.deal.buckets + 1))
+        """wanted: numbers in order. Words before, and of what follows the sum and how many are 1, 2 and more."""
+        out = np.zeros((len(wanted), 5), np.int64)
+        to = dealt(wanted, self.m.deal.buckets)
+        order = np.argsort(to, kind="stable")
+        cuts = np.searchsorted(to[order], np.arange(self.m.deal.buckets + 1))
         for b in np.flatnonzero(np.diff(cuts)).tolist():
-            own = slice(cuts[b], cuts[b + 1])
-            keys, values = self.word_table(b)
+            if ("words", b) not in self.files:
+                try:
+                    raw = mapped(f"{self.m.folder}/words/{b}", np.uint64)
+                except FileNotFoundError:
+                    raw = np.zeros(0, np.uint64)
+                n = len(raw) // 6
+                self.files["words", b] = raw[:n], raw[n:].view(np.int64).reshape(n, 5)
+            keys, values = self.files["words", b]
             if len(keys):
+                own = order[cuts[b] : cuts[b + 1]]
                 at = np.minimum(np.searchsorted(keys, wanted[own]), len(keys) - 1)
                 hit = keys[at] == wanted[own]
-                out[own][hit] = values[at[hit]]
+                out[own[hit]] = values[at[hit]]
         return out
 
     def each(self, name: str, to: np.ndarray, hashes: np.ndarray, width: int) -> np.ndarray:
@@ -555,6 +655,8 @@ class Lookup:
         to = dealt(np.where(hot_word, hashes, v), self.m.deal.buckets)
         out[~hot] = self.each("contexts", to[~hot], hashes[~hot], 4)
         out[hot] = self.each("hot-contexts", to[hot], hashes[hot], 4)
+        rest = np.flatnonzero(out[:, 0] == 0)
+        out[rest[self.pairs(u[rest], v[rest]) > 0]] = (1, 1, 0, 0)
         return out
 
     def grams(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -568,23 +670,22 @@ def level(n: np.ndarray, stats: np.ndarray, d: np.ndarray, lower: np.ndarray) ->
     return np.where(stats[:, 0] > 0, seen + (stats[:, 1:] @ d[1:]) / total * lower, lower)
 
 
-def token_scores(look: Lookup, w: np.ndarray, v: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Count of each token, and log10 of its probability after the two tokens before it."""
+def token_scores(look: Lookup, tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Count of each token, and log10 of its probability after the two before it."""
     m = look.m
-    words, code = numbered(w, v, u)
-    code, begin = code[:-1], code[-1]
-    one, two = numbers_before(words, code, begin, v, u)
-    (u, v, w), at = distinct(two, one, code, words=len(words))
-    known = look.words(words)
-    b = known[:, 1]
+    hashes, code = coded(tokens)
+    number, n = m.words.look_up(hashes, look.files)
+    words, order, code = numbered(hashes, code, number)
+    n, known, own = n[order], look.words(words), counted(first)
+    (u, v, w), at = distinct(code[own - 2], code[own - 1], code[own], words=len(words))
+    b = known[:, 0]
     p1 = np.maximum(b - m.d_word[np.minimum(b, 3)], 0) / max(1, m.pairs) + m.rest / (m.vocabulary + 1)
-    (pv, pw), of_pair = distinct(v, w, words=len(words))
-    p2 = level(look.pairs(words[pv], words[pw]), known[pv, 2:], m.d_pair, p1[pw])
+    p2 = level(look.pairs(words[v], words[w]), known[v, 1:], m.d_pair, p1[w])
     start = runs(u, v)
     stats = look.contexts(words[u[start]], words[v[start]])
     stats = stats[np.repeat(np.arange(len(start)), np.diff(np.append(start, len(u))))]
-    p3 = level(look.grams(words[u], words[v], words[w]), stats, m.d_gram, p2[of_pair])
-    return known[code.astype(np.int64), 0], np.log10(p3)[at]
+    p3 = level(look.grams(words[u], words[v], words[w]), stats, m.d_gram, p2)
+    return n[code[own]], np.log10(p3)[at]
 
 
 def distinct(*columns, words: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -611,13 +712,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for part in batches_of(batch, size=3 << 20):
                 n = known = total = plain = 0  # one row of each text; a long text's blocks are summed
-                for w, v, u, first in in_pieces(part):
-                    if not len(w):
-                        continue
-                    count, logp = token_scores(look, w, v, u)
+                for tokens, first in in_pieces(part):
+                    count, logp = token_scores(look, tokens, first)
                     base = np.log10((count + 1) / (model.tokens + model.vocabulary + 1))
-                    sums = [np.add.reduceat(x, first[:-1]) for x in ((count > 0).astype(np.int64), logp, base)]
-                    n, known, total, plain = n + np.diff(first), known + sums[0], total + sums[1], plain + sums[2]
+                    starts = first[:-1] - 2 * np.arange(len(first) - 1)
+                    sums = [np.add.reduceat(x, starts) for x in ((count > 0).astype(np.int64), logp, base)]
+                    n, known, total, plain = n + np.diff(first) - 2, known + sums[0], total + sums[1], plain + sums[2]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(known), pa.array(np.full(len(n), model.tokens)), pa.array(plain), pa.array(total), pa.array(10.0 ** np.minimum(-total / n, 300))], schema=schema)
 
     return docs.select("doc_id", "text").mapInArrow(task, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
