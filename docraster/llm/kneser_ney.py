@@ -40,7 +40,7 @@ from docraster.llm.words import blocks_of, mix, words_of
 END, BEGIN = np.uint64(0x5EED0000000E0D), np.uint64(0x5EED00000B0E61)
 _K = np.uint64(0xA24BAED4963EE407)
 #: Bytes of text that a bucket of the model stands for, and tokens that a task counts at once.
-BUCKET_BYTES, AT_ONCE = 24 << 20, 4_000_000
+BUCKET_BYTES, AT_ONCE = 24 << 20, 2_000_000
 #: Numbers of the beginning, and of a word that was never seen.
 FIRST, UNSEEN = np.uint64(0), np.uint64(1 << 40)
 _ID = np.uint64(21)  # bits of a word's number in a packed trigram

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docraster.llm.shared import batches_of, excerpt, fold
+from docraster.llm.shared import batches_of, column, excerpt, fold
 from docraster.llm.words import mix
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -322,7 +322,7 @@ def predict(docs: DataFrame, model: Model | None, names: tuple[str, str, str] =
     """All columns of docs with the language, its posterior and the strangeness of each text, under these names."""
     from pyspark.sql import types as T
 
-    docs = docs.select(*[c for c in docs.columns if c not in names])
+    docs = docs.select(*[column(c) for c in docs.columns if c not in names])
     if model is None:
         return docs.withColumns(dict(zip(names, (F.lit("und"), F.lit(0.0), F.lit(0.0)))))
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docraster.llm.shared import batches_of, fold, offsets_of, sample_of_labels
+from docraster.llm.shared import batches_of, column, fold, offsets_of, sample_of_labels
 from docraster.llm.words import blocks_of, words_of
 
 PASSAGE, CODE, ATTENTION, BAG = 40, 16, 8, 128
@@ -187,7 +187,7 @@ def score(docs: DataFrame, net: Net | None, share: float = 0.5, name: str = "qua
     """All columns of docs, and the score under a name of the caller's choice."""
     from pyspark.sql import types as T
 
-    docs = docs.select(*[c for c in docs.columns if c != name])
+    docs = docs.select(*[column(c) for c in docs.columns if c != name])
     if net is None:
         return docs.withColumn(name, F.lit(share))
     shared = docs.sparkSession.sparkContext.broadcast(net)

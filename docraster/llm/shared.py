@@ -135,18 +135,6 @@ def sample_of_labels(spark: SparkSession, labels: DataFrame, docs: DataFrame, la
     return [(r.text, r.y) for r in sorted(got, key=lambda r: r.doc_id)]
 
 
-def fresh(df: DataFrame, *wanted: str) -> tuple[str, ...]:
-    """Names like the wanted ones that no column of df has (Spark does not tell cases apart)."""
-    taken = {c.lower() for c in df.columns}
-    out = []
-    for name in wanted:
-        while name.lower() in taken:
-            name += "_"
-        taken.add(name.lower())
-        out.append(name)
-    return tuple(out)
-
-
 def column(name: str) -> Column:
     """A column by its very name, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")
