@@ -2,8 +2,8 @@
 
 Language ID, quality, near-duplicates, decontamination and packing, in this order. Each stage reads what its
 predecessor kept (written as Parquet), learns what it must from that and from the tables beside it, and returns
-whole documents; the last one returns the pieces of the packed sequences. Scores go by under names that the documents
-do not use, so every column, whatever it is called, comes out as it went in.
+whole documents; the last one returns the pieces of the packed sequences. Columns pass the scores by as one
+struct, so every column, whatever it is called, comes out as it went in.
 
 Nulls and empty texts have no letter, so the language stage rejects them, as it does texts of junk or of no learnt
 language. A null lang, source or doc_id decides nothing; of repeated rows one stays. Very long texts are judged and
@@ -17,23 +17,27 @@ from pyspark.sql import functions as F
 
 from docraster.llm import decontaminate, language, packing, quality, simhash
 from docraster.llm.queries import table, vocabulary
-from docraster.llm.shared import column, fresh, kept, removed, shared_folder
+from docraster.llm.shared import column, kept, removed, shared_folder
 
 #: A language is accepted from this posterior on, and up to this strangeness.
 SURE, STRANGE = 0.5, 1.25
 
 
-def whole(docs: DataFrame, like: DataFrame) -> DataFrame:
-    return docs.select(*map(column, like.columns))
+def carried(docs: DataFrame) -> DataFrame:
+    """text, and all other columns as one, so that none of them meets a name that a stage uses."""
+    return docs.select("text", F.struct(*(column(c) for c in docs.columns if c != "text")).alias("others"))
+
+
+def as_before(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*(F.col("text") if c == "text" else F.col("others").getField(c).alias(c) for c in docs.columns))
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter, those whose language is not clear among the learnt ones, and those unlike
     anything learnt in it."""
     model = language.train(docs, vocabulary(language.VOCABULARY))
-    lang, score, strange = names = fresh(docs, "lang_pred", "lang_score", "strangeness")
-    found = language.predict(docs, model, names)
-    return whole(found.where((F.col(lang) != "und") & (F.col(score) >= SURE) & (F.col(strange) <= STRANGE)), docs)
+    found = language.predict(carried(docs), model)
+    return as_before(found.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE) & (F.col("strangeness") <= STRANGE)), docs)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,18 +45,17 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     net, share = quality.train(docs, table(spark, sf_dir, "labels"))
     if net is None:  # nothing to learn a rejection from
         return docs
-    (name,) = fresh(docs, "quality_score")
-    return whole(quality.score(docs, net, share, name).where(F.col(name) >= quality.THRESHOLD), docs)
+    return as_before(quality.score(carried(docs), net, share).where(F.col("quality_score") >= quality.THRESHOLD), docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates."""
-    return whole(simhash.one_of_each(docs), docs)
+    return simhash.one_of_each(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes documents that hold too much of the benchmark."""
-    return whole(decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark")), docs)
+    return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
