@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docraster.llm.shared import batches_of, fold, kept, mapped, shared_folder, write_file
+from docraster.llm.shared import batches_of, fold, kept, lean, mapped, shared_folder, write_file
 from docraster.llm.words import blocks_of, mix, words_of
 
 END, BEGIN = np.uint64(0x5EED0000000E0D), np.uint64(0x5EED00000B0E61)
@@ -551,13 +551,13 @@ def train(docs: DataFrame, buckets: int | None = None, at_once: int = AT_ONCE, h
     folder = shared_folder(spark, "kneser-ney")
     texts = docs.select("text")
     sizes, tokens = np.zeros((buckets, CLASSES), np.int64), 0
-    counted_words = texts.mapInArrow(count_words(buckets, at_once), "bucket int, body binary").groupBy("bucket")
+    counted_words = texts.mapInArrow(lean(count_words(buckets, at_once)), "bucket int, body binary").groupBy("bucket")
     for r in counted_words.applyInArrow(vocabulary_files(folder), "bucket int, sizes array<long>, tokens long").collect():  # a row a bucket
         sizes[r["bucket"]], tokens = r["sizes"], tokens + r["tokens"]
     vocabulary = Vocabulary.of(folder, buckets, sizes)
     share = hot_share or max(0.3 / buckets, 1e-5)
     deal = Deal(buckets, *hot_ones(docs, vocabulary, share))
-    known = texts.mapInArrow(count_grams(vocabulary, deal, at_once), "bucket int, body binary")
+    known = texts.mapInArrow(lean(count_grams(vocabulary, deal, at_once)), "bucket int, body binary")
     about = kept(known.groupBy("bucket").applyInArrow(gram_files(folder, deal), ABOUT), "grams")
     hot = kept(about.where("kind in ('pair', 'context')").groupBy("bucket").applyInArrow(hot_files(folder, deal), ABOUT), "hot")
     words = about.union(hot).where("kind = 'word'").groupBy("bucket").applyInArrow(word_files(folder), ABOUT)
@@ -720,7 +720,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     n, known, total, plain = n + np.diff(first) - 2, known + sums[0], total + sums[1], plain + sums[2]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(known), pa.array(np.full(len(n), model.tokens)), pa.array(plain), pa.array(total), pa.array(10.0 ** np.minimum(-total / n, 300))], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(task, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    return docs.select("doc_id", "text").mapInArrow(lean(task), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
 def scored_documents(docs: DataFrame) -> DataFrame:

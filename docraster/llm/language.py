@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docraster.llm.shared import batches_of, column, excerpt, fold
+from docraster.llm.shared import batches_of, column, excerpt, fold, lean
 from docraster.llm.words import mix
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -260,7 +260,7 @@ def train(docs: DataFrame, path: str, rows: int = SAMPLE_ROWS, chars: int = SAMP
 class Scorer:
     """Scores words and texts, and remembers the words of a worker's batches, up to ``most`` of them."""
 
-    def __init__(self, model: Model, most: int = 300_000):
+    def __init__(self, model: Model, most: int = 200_000):
         self.m, self.pieces, self.most = model, Pieces(model.path), most
         self.forget()
 
@@ -331,12 +331,12 @@ def predict(docs: DataFrame, model: Model | None, names: tuple[str, str, str] =
         scorer = None
         for batch in batches:
             scorer = scorer or Scorer(shared.value)
-            for part in batches_of(batch, size=6 << 20):
+            for part in batches_of(batch, size=3 << 20):
                 lang, score, strange = scorer.texts(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(strange, pa.float64())], [*part.schema.names, *names])
 
     types = (T.StringType(), T.DoubleType(), T.DoubleType())
-    return docs.mapInArrow(task, T.StructType([*docs.schema.fields, *map(T.StructField, names, types)]))
+    return docs.mapInArrow(lean(task), T.StructType([*docs.schema.fields, *map(T.StructField, names, types)]))
 
 
 def predicted_documents(docs: DataFrame, path: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docraster.llm.shared import batches_of, kept
+from docraster.llm.shared import batches_of, kept, lean
 from docraster.llm.words import mix, powers, words_of
 
 LENGTH, CLOSING = 2048, 0
@@ -77,7 +77,7 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.odd = re.compile(self.ODD)
-        self.most = 1_000_000
+        self.most = 600_000
         self.forget()
 
     def forget(self) -> None:
@@ -163,7 +163,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     def task(batches):
         tokens, seen, part_no = tokens_for(path), np.zeros(length + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
-            for part in batches_of(batch):
+            for part in batches_of(batch, size=2 << 20):
                 ids, bounds = tokens.ids(part.column("text"))
                 total = np.diff(bounds)
                 n = -(-total // length)
@@ -183,7 +183,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
                 ids_of = part.column("doc_id").cast(pa.int64()).take(pa.array(doc))
                 yield pa.RecordBatch.from_arrays([ids_of, pa.array(piece.astype(np.int32)), pa.array(start), pa.array(size), pa.array(crc, pa.int64()), pa.array(np.full(len(size), part_no, np.int32)), pa.array(rank)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(task, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long")
+    return docs.select("doc_id", "text").mapInArrow(lean(task), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long")
 
 
 # --- best-fit decreasing over the histogram -------------------------------------------------------------------

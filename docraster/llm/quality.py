@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docraster.llm.shared import batches_of, column, fold, offsets_of, sample_of_labels
+from docraster.llm.shared import batches_of, column, fold, lean, offsets_of, sample_of_labels
 from docraster.llm.words import blocks_of, words_of
 
 PASSAGE, CODE, ATTENTION, BAG = 40, 16, 8, 128
@@ -197,7 +197,7 @@ def score(docs: DataFrame, net: Net | None, share: float = 0.5, name: str = "qua
             for part in batches_of(batch, size=2 << 20):
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.score(part.column("text")))], [*part.schema.names, name])
 
-    return docs.mapInArrow(task, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return docs.mapInArrow(lean(task), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def scored_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docraster.llm.shared import batches_of, hub_join, kept
+from docraster.llm.shared import batches_of, hub_join, kept, lean
 
 _LOWER = bytes(range(0x41)) + bytes(range(0x61, 0x7B)) + bytes(range(0x5B, 256))
 SEED, SHINGLE, DISTANCE = 42, 3, 3
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 fp = fingerprints_of(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*map(part.column, names), pa.array(fp.view(np.int64))], [*names, "fp"])
 
-    return docs.mapInArrow(task, T.StructType([*(docs.schema[c] for c in names), T.StructField("fp", T.LongType())]))
+    return docs.mapInArrow(lean(task), T.StructType([*(docs.schema[c] for c in names), T.StructField("fp", T.LongType())]))
 
 
 # --- the Golay code and the keys ------------------------------------------------------------------------------
@@ -240,8 +240,8 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
             yield flush(np.concatenate(key), np.concatenate(fp))
 
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = fps.select("fp").mapInArrow(explode_keys, "key long, fp long")
-    return keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(compare, "x long, y long")
+    keyed = fps.select("fp").mapInArrow(lean(explode_keys), "key long, fp long")
+    return keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(lean(compare), "x long, y long")
 
 
 def components(edges: DataFrame) -> DataFrame:

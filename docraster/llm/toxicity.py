@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docraster.llm.shared import batches_of, fold, sample_of_labels
+from docraster.llm.shared import batches_of, fold, lean, sample_of_labels
 from docraster.llm.words import NOT_ALNUM, Words, mix, words_of
 
 WIDTH, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM = 24, 16, 8, 16, 8
@@ -282,7 +282,7 @@ def score(docs: DataFrame, net: Net | None) -> DataFrame:
             for part in batches_of(batch, size=2 << 20):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(score_texts(shared.value, part.column("text")))], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(task, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(lean(task), "doc_id long, score double")
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Net | None:
