@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docraster.llm.shared import batches_of, column, excerpt, fold, lean
+from docraster.llm.shared import batches_of, column, excerpt, fold, hand_back, lean
 from docraster.llm.words import mix
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -254,7 +254,9 @@ def train(docs: DataFrame, path: str, rows: int = SAMPLE_ROWS, chars: int = SAMP
     for lang, n in sizes.items():
         rate = F.when(F.col("lang") == lang, F.lit(min(1.0, rows / n))).otherwise(rate)
     picked = known.where(u < rate).select("lang", excerpt(F.col("text"), chars, F.col("doc_id")).alias("text")).limit(2 * in_all).collect()
-    return fit(sorted((r["lang"], r["text"]) for r in picked), path)
+    model = fit(sorted((r["lang"], r["text"]) for r in picked), path)
+    hand_back()
+    return model
 
 
 class Scorer:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docraster.llm.shared import batches_of, column, fold, lean, offsets_of, sample_of_labels
+from docraster.llm.shared import batches_of, column, fold, hand_back, lean, offsets_of, sample_of_labels
 from docraster.llm.words import blocks_of, words_of
 
 PASSAGE, CODE, ATTENTION, BAG = 40, 16, 8, 128
@@ -151,9 +151,12 @@ def fit(sample: list[tuple[str, int]], share: float, seed: int = 5, batch: int =
     if len(set(y.tolist())) < 2:
         return None
     rng = np.random.default_rng(seed)
-    x, bounds = passages(pa.array([t for t, _ in sample], pa.string()))
-    mean, scale = x.mean(0), x.std(0) + 0.02
-    x = ((x - mean) / scale).astype(np.float32)
+    each = [passages(pa.array([t for t, _ in sample[i : i + 100]], pa.string())) for i in range(0, len(sample), 100)]
+    x, bounds = np.concatenate([own for own, _ in each]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(b) for _, b in each]))])
+    del each
+    mean, scale = x.mean(0), x.std(0) + np.float32(0.02)
+    x -= mean
+    x /= scale
     g = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
     p = {"w": g(FEATURES, CODE), "b": np.zeros(CODE, np.float32), "v": g(CODE, ATTENTION), "u": g(CODE, ATTENTION), "a": g(ATTENTION), "out": g(CODE), "bias": np.zeros(1, np.float32)}
     net = Net(mean, scale, p)
@@ -180,7 +183,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: in
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~fold(4))
     share = known.agg(F.avg("quality")).first()[0]
     share = 0.5 if share is None else float(share)
-    return fit(sample_of_labels(docs.sparkSession, labels, docs, "quality", rows, chars), share), share
+    net = fit(sample_of_labels(docs.sparkSession, labels, docs, "quality", rows, chars), share)
+    hand_back()
+    return net, share
 
 
 def score(docs: DataFrame, net: Net | None, share: float = 0.5, name: str = "quality_score") -> DataFrame:

@@ -84,19 +84,23 @@ def mapped(uri: str, dtype) -> np.ndarray:
     return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
 
 
+def hand_back() -> None:
+    """Gives memory that this process no longer uses back to the system: allocators of processes that live on keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def lean(task):
-    """A task for mapInArrow that hands back the memory it no longer uses when it ends: workers outlive their tasks, and
-    what their allocators hold adds up to an executor's limit."""
+    """A task for mapInArrow that hands back memory when it ends, for its worker goes on to others."""
 
     def run(batches):
         try:
             yield from task(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):  # another C library
-                pass
+            hand_back()
 
     return run
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docraster.llm.shared import batches_of, fold, lean, sample_of_labels
+from docraster.llm.shared import batches_of, fold, hand_back, lean, sample_of_labels
 from docraster.llm.words import NOT_ALNUM, Words, mix, words_of
 
 WIDTH, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM = 24, 16, 8, 16, 8
@@ -286,7 +286,9 @@ def score(docs: DataFrame, net: Net | None) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Net | None:
-    return fit(sample_of_labels(docs.sparkSession, labels, docs, "toxic", rows, chars))
+    net = fit(sample_of_labels(docs.sparkSession, labels, docs, "toxic", rows, chars))
+    hand_back()
+    return net
 
 
 def scored_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
