@@ -22,20 +22,20 @@ def crop_benchmark(spark: SparkSession, input_dir: str, output_dir: str, backend
     if input_dir.rstrip("/") == output_dir.rstrip("/"):
         own = spark.createDataFrame([(f"{name}_{b}.pdf",) for b in backends], "name string")
         found = files.without_outputs(found, own)
-    ordered = files.in_natural_order(found)
+    ordered = files.in_natural_order(found.select("path", "name"))
     if not ordered.take(1):
         raise ValueError("No supported files found for benchmark input.")
-    pages = files.numbered(files.pages(ordered, dpi), "page_seq", "file_seq", "page_no")
+    pages = settled(files.read_pages(spark, ordered, input_dir, dpi)).where("error is null")  # decoded once for all backends
     results, failures = None, []
     for k, b in enumerate(backends):
-        try:
+        try:  # whatever stops a backend is its own row of the report
             detect.probe(b)
-        except ValueError as why:
+            scanned = settled(detect.scanned(pages, [b]))
+            made = scanned.select("page_seq", F.coalesce("scan.warped", "image").alias("image"))
+            sinks.export_pdf(made, f"{output_dir.rstrip('/')}/{name}_{b}.pdf", dpi)
+        except Exception as why:
             failures.append((k, b, str(why)))
             continue
-        scanned = settled(detect.scanned(pages, [b]))
-        made = scanned.select("page_seq", F.coalesce("scan.warped", "image").alias("image"))
-        sinks.export_pdf(made, f"{output_dir.rstrip('/')}/{name}_{b}.pdf", dpi)
         one = scanned.select(F.col("page_seq").alias("page"), F.lit(k).alias("backend_ord"), F.lit(b).alias("backend"), F.col("scan.detected").alias("detected"))
         results = one if results is None else results.union(one)
     if results is None:

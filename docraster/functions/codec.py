@@ -105,3 +105,9 @@ def pdf_images(data: bytes) -> list[np.ndarray] | None:
         at = m.end() + n
     pages = re.search(rb"/Count (\d+)", data)
     return out if pages and int(pages[1]) == len(out) else None
+
+
+def pdf_page_count(data: bytes) -> int | None:
+    """Number of pages of a PDF as written above, told without decoding any; None for any other PDF."""
+    pages = re.search(rb"/Count (\d+)", data)
+    return int(pages[1]) if pages and int(pages[1]) == sum(1 for _ in _IMAGE.finditer(data)) else None

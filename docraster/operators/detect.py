@@ -195,7 +195,7 @@ def scan(img: np.ndarray, backends: Sequence[str] = DEFAULT, registry: dict | No
                 return last, errors
         except Exception as why:  # a backend's failure is data of the page; the next one is tried
             errors.append(f"{b}: {why}")
-    return Scan(last.backend if last else "none", reason=last.reason if last else None), errors
+    return Scan("none", reason=last.reason if last else None), errors
 
 
 SCANNED = "page_seq long, name string, image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>, scan struct<warped:struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>,contour:array<struct<x:float,y:float>>,backend:string,detected:boolean,reason:string,errors:array<string>>"

@@ -12,7 +12,10 @@ def settled(df: DataFrame) -> DataFrame:
     """A checkpoint in the folder that the cluster names; one of our own only where none is set."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="docraster-"))
+        own = sc.getConf().get("spark.checkpoint.dir")
+        if not own and not sc.master.startswith("local"):  # executors would not see a folder of this machine
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(own or "file://" + tempfile.mkdtemp(prefix="docraster-"))
     return df.checkpoint()
 
 
@@ -31,3 +34,9 @@ def numbered(df: DataFrame, name: str, *order: Column | str, start: int = 1) ->
     local = F.col("_at").bitwiseAND((1 << 33) - 1)
     out = dealt.withColumn("_part", part.cast("long")).join(F.broadcast(offsets), "_part")
     return out.withColumn(name, F.col("_first") + local).drop("_at", "_part", "_first")
+
+
+def numbered_apart(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """Like ``numbered`` for wide rows with unique keys: rows are made once and kept, only their keys are sorted."""
+    df = settled(df)
+    return df.join(numbered(df.select(*keys), name, *keys), [*keys])

@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame
 
 from docraster.functions import kernels as K
 from docraster.operators import detect
-from docraster.plans.ordering import numbered
+from docraster.plans.ordering import numbered_apart
 from docraster.sources.files import pack, unpack
 
+#: The modes' names.
 POSTPROCESSING: dict[str, Callable[[np.ndarray], np.ndarray]] = {
     "None": lambda img: img,
     "Sharpen": K.sharpen,
@@ -49,31 +50,31 @@ def enhanced(img: np.ndarray, s: Settings) -> np.ndarray:
 
 
 def processed(pages: DataFrame, options: Options = Options()) -> DataFrame:
-    """page_seq (anew), image and detected of the pages (page_seq, name, image) that the steps leave."""
+    """page_seq (anew), image, detected and errors (of backends) of the pages (page_seq, name, image) that the steps leave."""
     if options.postprocess not in POSTPROCESSING:
         raise ValueError(f"Unsupported postprocess mode: {options.postprocess}")
     fn = POSTPROCESSING[options.postprocess]
 
-    def one(img: np.ndarray) -> tuple[list[np.ndarray], bool]:
-        hit = False
+    def one(img: np.ndarray) -> tuple[list[np.ndarray], bool, list[str]]:
+        hit, errors = False, []
         if options.detect_document:
-            s, _ = detect.scan(img, options.backends)
+            s, errors = detect.scan(img, options.backends)
             img, hit = (img if s.warped is None else s.warped), s.detected
         img = fn(img)
         if options.settings:
             img = enhanced(img, options.settings)
-        return (K.halves(img) if options.two_page_mode else [img]), hit
+        return (K.halves(img) if options.two_page_mode else [img]), hit, errors
 
     def task(batches):
         for pdf in batches:
             rows = []
             for seq, image in zip(pdf["page_seq"], pdf["image"]):
-                parts, hit = one(unpack(image))
-                rows += [(seq, k, pack(p), hit) for k, p in enumerate(parts)]
-            yield pd.DataFrame(rows, columns=["_seq", "_half", "image", "detected"])
+                parts, hit, errors = one(unpack(image))
+                rows += [(seq, k, pack(p), hit, errors) for k, p in enumerate(parts)]
+            yield pd.DataFrame(rows, columns=["_seq", "_half", "image", "detected", "errors"])
 
-    out = pages.select("page_seq", "image").mapInPandas(task, "_seq long, _half int, image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>, detected boolean")
-    return numbered(out, "page_seq", "_seq", "_half").select("page_seq", "image", "detected")
+    out = pages.select("page_seq", "image").mapInPandas(task, "_seq long, _half int, image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>, detected boolean, errors array<string>")
+    return numbered_apart(out, "page_seq", "_seq", "_half").select("page_seq", "image", "detected", "errors")
 
 
 def transformed(pages: DataFrame, fn: Callable[[np.ndarray], np.ndarray]) -> DataFrame:

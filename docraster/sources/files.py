@@ -39,7 +39,17 @@ def unpack(row) -> np.ndarray | None:
 
 
 def file_name(path: Column | str) -> Column:
-    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), "%20", " ")
+    return F.element_at(F.split(path, "/"), -1)
+
+
+def url_decoded(path: Column | str) -> Column:
+    """The image source's origins are URL-encoded; a plus sign stands for itself."""
+    return F.url_decode(F.replace(F.col(path) if isinstance(path, str) else path, F.lit("+"), F.lit("%2B")))
+
+
+def plain(path: Column | str) -> Column:
+    """A path by which the sources' spellings of one local file are equal."""
+    return F.regexp_replace(path, "^file:/*", "/")
 
 
 def folder(spark: SparkSession, path: str) -> DataFrame:
@@ -109,18 +119,73 @@ def pages(files: DataFrame, dpi: int = 300) -> DataFrame:
     return files.select("file_seq", "path", "name", "content").mapInPandas(task, PAGES)
 
 
-def images(spark: SparkSession, path: str) -> DataFrame:
-    """Images of all codecs that Spark's image source knows, three channels each; a broken file is an error row."""
-    df = spark.read.format("image").option("dropInvalid", "false").load(path).select("image").where(N.supported(file_name("image.origin")))
+def images(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Images of all codecs that Spark's image source knows (JPEG, PNG, BMP, TIFF and others), decoded in the JVM; a broken
+    file is an error row."""
+    df = spark.read.format("image").option("dropInvalid", "false").load(path).select("image").withColumn("path", url_decoded("image.origin"))
     bad = (F.col("image.nChannels") < 1) | F.col("image.data").isNull()
-    return df.select(F.col("image.origin").alias("path"), file_name("image.origin").alias("name"), "image", F.when(bad, F.concat(F.lit("Cannot read image: "), "image.origin")).alias("error"))
+    df = df.select("path", file_name("path").alias("name"), "image", F.when(bad, F.concat(F.lit("Cannot read image: "), "path")).alias("error"))
+    return df.where(N.supported("name"))
+
+
+def page_counts(files: DataFrame, dpi: int) -> DataFrame:
+    """file_seq and n_pages of each document (file_seq, name, content); 1 for what cannot be read, which is one error row."""
+
+    def task(batches):
+        for pdf in batches:
+            n = [codec.pdf_page_count(c) or len(decoded(name, c, dpi) or [None]) for name, c in zip(pdf["name"], pdf["content"])]
+            yield pd.DataFrame({"file_seq": pdf["file_seq"], "n_pages": n})
+
+    return files.select("file_seq", "name", "content").mapInPandas(task, "file_seq long, n_pages int")
+
+
+def read_pages(spark: SparkSession, listed: DataFrame, path: str | Sequence[str], dpi: int = 300) -> DataFrame:
+    """page_seq, name, image (BGR) and error of all pages of the listed files (file_seq, path, name) below ``path``.
+
+    Documents and codecs with a renderer of their own are read as bytes, all other images by Spark's image source.
+    Pages are numbered by file_seq and page number alone, so pixels are decoded once and never sorted.
+    """
+    listed = listed.select("file_seq", "name", plain("path").alias("at"))
+    own = N.extension("name").isin(".pdf", *("." + e for e in RENDERERS))
+    whole = spark.read.format("binaryFile").load(path).select(plain("path").alias("at"), "path", "content")
+    files = whole.join(listed.where(own), "at")
+    counts = page_counts(files, dpi)
+    first = F.when(F.endswith(F.lower("name"), F.lit(".pdf")), 1).otherwise(0)
+    keys = listed.join(counts, "file_seq", "left").select("file_seq", F.explode(F.sequence(first, first + F.coalesce("n_pages", F.lit(1)) - 1)).alias("page_no"))
+    keys = numbered(keys, "page_seq", "file_seq", "page_no")
+    found = pages(files, dpi).withColumn("page_no", F.when(F.col("error").isNull(), F.col("page_no")).otherwise(first))
+    if listed.where(~own).take(1):
+        other = images(spark, path).select(plain("path").alias("at"), "image", "error").join(listed.where(~own), "at")
+        found = found.unionByName(in_bgr(other.select("file_seq", F.lit(0).alias("page_no"), "name", "image", "error")))
+    return found.join(keys, ["file_seq", "page_no"]).select("page_seq", "name", "image", "error")
+
+
+def in_bgr(found: DataFrame) -> DataFrame:
+    """Images of one or four channels as three; error rows have no image."""
+
+    def task(batches):
+        for pdf in batches:
+            yield pdf.assign(image=[None if e is not None else pack(kernels.to_bgr(unpack(i)), i["origin"]) for i, e in zip(pdf["image"], pdf["error"])])
+
+    usual = (F.col("image.nChannels") == 3) & F.col("error").isNull()
+    return found.where(usual).union(found.where(~usual).mapInPandas(task, found.schema))
+
+
+def stopping(found: DataFrame) -> DataFrame:
+    """page_seq, name, image; a page that could not be read stops the run."""
+    image = F.when(F.col("error").isNull(), F.col("image")).otherwise(F.raise_error(F.col("error")).cast(schema.IMAGE))
+    return found.select("page_seq", "name", image.alias("image"))
 
 
 def load(spark: SparkSession, path: str, dpi: int = 300) -> DataFrame:
     """page_seq, name, image of a folder in natural order. A file that cannot be read stops the run."""
-    found = pages(in_natural_order(folder(spark, path)), dpi)
-    checked = found.withColumn("image", F.when(F.col("error").isNull(), F.col("image")).otherwise(F.raise_error(F.col("error")).cast(schema.IMAGE)))
-    return numbered(checked, "page_seq", "file_seq", "page_no").select("page_seq", "name", "image")
+    return stopping(read_pages(spark, in_natural_order(folder(spark, path).select("path", "name")), path, dpi))
+
+
+def load_list(spark: SparkSession, paths: Sequence[str], dpi: int = 300) -> DataFrame:
+    """page_seq, name, image of the files of a list in its own order, images and documents mixed."""
+    listed = checked_list(spark, paths)
+    return stopping(read_pages(spark, listed, [r["path"] for r in listed.select("path").collect()], dpi))
 
 
 def selected_pages(documents: DataFrame, indices: Sequence[int]) -> DataFrame:
