@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -67,29 +68,56 @@ def png_image(data: bytes) -> np.ndarray | None:
     return colour[..., 0] if channels < 3 else np.ascontiguousarray(colour[..., ::-1])
 
 
-def pdf_bytes(images: list[np.ndarray], dpi: int = 300) -> bytes:
-    """A PDF with one page per image, each as large as the image at this resolution."""
-    objects: list[bytes] = [b"<< /Type /Catalog /Pages 2 0 R >>", b""]
-    kids = []
-    for img in images:
-        h, w = img.shape[:2]
-        rgb = np.ascontiguousarray(img if img.ndim == 2 else img[..., ::-1])
-        data, n = zlib.compress(rgb.tobytes(), 6), len(objects) + 1
-        width, height = w * 72 / dpi, h * 72 / dpi
-        draw = f"q {width:.4f} 0 0 {height:.4f} 0 0 cm /Im Do Q".encode()
-        space = "DeviceGray" if img.ndim == 2 else "DeviceRGB"
-        objects.append(f"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 {width:.4f} {height:.4f}] /Contents {n + 1} 0 R /Resources << /XObject << /Im {n + 2} 0 R >> >> >>".encode())
-        objects.append(b"<< /Length %d >>\nstream\n%s\nendstream" % (len(draw), draw))
-        objects.append(f"<< /Type /XObject /Subtype /Image /Width {w} /Height {h} /ColorSpace /{space} /BitsPerComponent 8 /Filter /FlateDecode /Length {len(data)} >>\nstream\n".encode() + data + b"\nendstream")
+def jpeg_size(data: bytes) -> tuple[int, int, int] | None:
+    """Width, height and number of channels of a JPEG from its frame header; None for anything else."""
+    at = 2
+    while data[:2] == b"\xff\xd8" and at + 9 < len(data) and data[at] == 0xFF:
+        kind, n = data[at + 1], struct.unpack(">H", data[at + 2 : at + 4])[0]
+        if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
+            height, width, channels = struct.unpack(">HHB", data[at + 5 : at + 10])
+            return width, height, channels
+        at += 2 + n
+    return None
+
+
+def pdf_image(img: np.ndarray | bytes) -> tuple[int, int, str, bytes]:
+    """Width, height, colour space and filter, and data of an image in a PDF; a JPEG's bytes are its data."""
+    if isinstance(img, bytes):
+        width, height, channels = jpeg_size(img)
+        return width, height, f"/ColorSpace /Device{'Gray' if channels == 1 else 'RGB'} /BitsPerComponent 8 /Filter /DCTDecode", img
+    rgb = np.ascontiguousarray(img if img.ndim == 2 else img[..., ::-1])
+    return img.shape[1], img.shape[0], f"/ColorSpace /Device{'Gray' if img.ndim == 2 else 'RGB'} /BitsPerComponent 8 /Filter /FlateDecode", zlib.compress(rgb.tobytes(), 6)
+
+
+def pdf_parts(images: Iterable[tuple[int, int, str, bytes]], dpi: int = 300) -> Iterator[bytes]:
+    """A PDF with one page per image (as ``pdf_image`` gives them), each as large as the image at this resolution, part by
+    part: the list of pages comes last."""
+    places, kids, at = {}, [], 0
+
+    def put(number: int, body: bytes) -> bytes:
+        nonlocal at
+        places[number] = at
+        part = b"%d 0 obj\n" % number + body + b"\nendobj\n"
+        at += len(part)
+        return part
+
+    at = len(b"%PDF-1.4\n")
+    yield b"%PDF-1.4\n"
+    yield put(1, b"<< /Type /Catalog /Pages 2 0 R >>")
+    for width, height, kind, data in images:
+        n, w, h = 3 + 3 * len(kids), width * 72 / dpi, height * 72 / dpi
+        draw = f"q {w:.4f} 0 0 {h:.4f} 0 0 cm /Im Do Q".encode()
+        yield put(n, f"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 {w:.4f} {h:.4f}] /Contents {n + 1} 0 R /Resources << /XObject << /Im {n + 2} 0 R >> >> >>".encode())
+        yield put(n + 1, b"<< /Length %d >>\nstream\n%s\nendstream" % (len(draw), draw))
+        yield put(n + 2, f"<< /Type /XObject /Subtype /Image /Width {width} /Height {height} {kind} /Length {len(data)} >>\nstream\n".encode() + data + b"\nendstream")
         kids.append(f"{n} 0 R")
-    objects[1] = f"<< /Type /Pages /Kids [{' '.join(kids)}] /Count {len(kids)} >>".encode()
-    out, places = bytearray(b"%PDF-1.4\n"), []
-    for i, body in enumerate(objects, 1):
-        places.append(len(out))
-        out += b"%d 0 obj\n" % i + body + b"\nendobj\n"
-    start = len(out)
-    out += b"xref\n0 %d\n0000000000 65535 f \n" % (len(objects) + 1) + b"".join(b"%010d 00000 n \n" % p for p in places)
-    return bytes(out + b"trailer\n<< /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(objects) + 1, start))
+    yield put(2, f"<< /Type /Pages /Kids [{' '.join(kids)}] /Count {len(kids)} >>".encode())
+    table = b"".join(b"%010d 00000 n \n" % places[i] for i in sorted(places))
+    yield b"xref\n0 %d\n0000000000 65535 f \n" % (len(places) + 1) + table + b"trailer\n<< /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(places) + 1, at)
+
+
+def pdf_bytes(images: list[np.ndarray], dpi: int = 300) -> bytes:
+    return b"".join(pdf_parts(map(pdf_image, images), dpi))
 
 
 _IMAGE = re.compile(rb"/Subtype /Image /Width (\d+) /Height (\d+) /ColorSpace /Device(Gray|RGB) /BitsPerComponent 8 /Filter /FlateDecode /Length (\d+) >>\nstream\n")

@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from docraster.functions import kernels as K
 from docraster.functions.geometry import DETECTION_SIDE, LEAST_AREA
@@ -216,3 +217,17 @@ def scanned(pages: DataFrame, backends: Sequence[str] = DEFAULT, registry: dict
                 yield part.assign(scan=[one(i) for i in part["image"]])
 
     return pages.select("page_seq", "name", "image").mapInPandas(task, SCANNED)
+
+
+def cropped(pages: DataFrame, corners: DataFrame) -> DataFrame:
+    """Pages (entry_id, original) with new originals, straightened from these corners (entry_id, contour) in the image's own
+    coordinates; pages without corners stay as they are."""
+    from docraster import schema
+
+    def task(batches):
+        for pdf in batches:
+            done = [i if q is None else pack(K.warp(unpack(i), K.order_quad(np.array([(p["x"], p["y"]) for p in q], float)))) for i, q in zip(pdf["original"], pdf["contour"])]
+            yield pdf.drop(columns="contour").assign(original=done)
+
+    joined = pages.join(corners.select("entry_id", F.col("contour").cast(schema.CONTOUR)), "entry_id", "left").select(*pages.columns, "contour")
+    return joined.mapInPandas(task, pages.schema)

@@ -58,3 +58,18 @@ def with_settings(df: DataFrame) -> DataFrame:
     """Adds the preset's settings; thresholding is also on if the post-processing is Black and White."""
     out = df.join(F.broadcast(presets(df.sparkSession)), "preset", "left")
     return out.withColumn("apply_threshold", F.col("apply_threshold") | (F.col("post") == "Black and White"))
+
+
+def on_lens_mode_change(df: DataFrame) -> DataFrame:
+    """preset and post after a change to the row's lens mode: Custom and unknown modes keep them, others set their own, and
+    post then follows the preset's rule."""
+    own = lens_modes(df.sparkSession).select("lens_mode", F.col("preset").alias("_preset"), F.col("post").alias("_post"))
+    out = df.join(F.broadcast(own), "lens_mode", "left")
+    post = F.when(F.col("_preset").isNotNull(), coupled_post(F.col("_preset"), F.col("_post"))).otherwise(F.col("post"))
+    return out.withColumns({"post": post, "preset": F.coalesce("_preset", "preset")}).drop("_preset", "_post")
+
+
+def in_range(setting: str, value: Column) -> Column:
+    """The nearest value that the setting's slider allows."""
+    low, high = RANGES[setting]
+    return F.greatest(F.lit(low), F.least(F.lit(high), value))

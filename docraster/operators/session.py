@@ -67,6 +67,26 @@ def apply_postprocess(pages: DataFrame, fn: Column) -> DataFrame:
     return pages.withColumn("current", fn)
 
 
+def reviewed(pages: DataFrame, fn: Column, all_pages: bool = False) -> DataFrame:
+    """current becomes a function of original, for all pages or for those selected."""
+    return pages.withColumn("current", fn if all_pages else F.when(F.col("selected"), fn).otherwise(F.col("current")))
+
+
+def before_and_after(pages: DataFrame, fn: Column) -> DataFrame:
+    """Both sides of a review: the original, and what the function would make of it."""
+    return pages.withColumns({"before": F.col("original"), "after": fn})
+
+
+def removed_counts(pages: DataFrame, key: str = "session_id") -> DataFrame:
+    """How many entries removing the selected ones takes from each session."""
+    return pages.groupBy(key).agg(F.count_if(F.col("selected")).alias("removed"))
+
+
+def cleared(pages: DataFrame, sessions: DataFrame, key: str = "session_id") -> DataFrame:
+    """Pages without those of some sessions."""
+    return pages.join(sessions.select(key).distinct(), key, "left_anti")
+
+
 STATE = "session_id long, entry_id string, pos long, name string, selected boolean"
 
 

@@ -344,12 +344,72 @@ def session_replace(spark, d):
     return session.replace(pages, new).select("session_id", "op_seq", "name", "current")
 
 
-@query()
+#: One operation of each session at a time; modulo as of never negative numbers.
+_FOLD = """WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY op_seq) AS k FROM v_oplog),
+f(session_id, k, pages) AS (
+  SELECT DISTINCT session_id, 0::bigint, CAST([] AS STRUCT(e VARCHAR, n VARCHAR, s BOOLEAN)[]) FROM o
+  UNION ALL
+  SELECT f.session_id, o.k, CASE
+    WHEN op = 'add' THEN list_append(pages, {'e': concat(f.session_id, '-', op_seq), 'n': concat('page ', op_seq), 's': false})
+    WHEN len(pages) = 0 THEN pages
+    WHEN op = 'select' THEN list_transform(pages, lambda r, i: CASE WHEN i - 1 = (arg % len(pages) + len(pages)) % len(pages) THEN {'e': r.e, 'n': r.n, 's': NOT r.s} ELSE r END)
+    WHEN op = 'replace' THEN list_transform(pages, lambda r, i: CASE WHEN i - 1 = (arg % len(pages) + len(pages)) % len(pages) THEN {'e': r.e, 'n': concat('page ', op_seq), 's': r.s} ELSE r END)
+    WHEN op = 'remove_selected' THEN list_filter(pages, lambda r: NOT r.s)
+    WHEN op_seq % len(pages) + (arg % 5 + 5) % 5 - 2 BETWEEN 0 AND len(pages) - 1 THEN list_transform(pages, lambda r, i: CASE
+      WHEN i - 1 = op_seq % len(pages) THEN pages[(op_seq % len(pages) + (arg % 5 + 5) % 5 - 1)::bigint]
+      WHEN i + 1 = op_seq % len(pages) + (arg % 5 + 5) % 5 THEN pages[(op_seq % len(pages) + 1)::bigint] ELSE r END)
+    ELSE pages END
+  FROM f JOIN o ON o.session_id = f.session_id AND o.k = f.k + 1),
+last AS (SELECT session_id, arg_max(pages, k) AS pages FROM f GROUP BY session_id)
+SELECT session_id, p.e AS entry_id, pos::bigint AS pos, p.n AS name, p.s AS selected FROM (SELECT session_id, unnest(pages) AS p, unnest(range(len(pages))) AS pos FROM last)"""
+
+
+@query(_FOLD)
 def session_fold(spark, d):
     """What the whole operation log leaves of each session."""
     return session.folded(V.operations(spark, d))
 
 
+@query("SELECT session_id, op_seq, CASE WHEN arg % 2 = 0 THEN 2 * arg ELSE arg + 1 END AS current, CASE WHEN arg % 2 = 0 THEN 'before ' ELSE 'kept ' END || arg AS said FROM v_oplog")
+def session_review(spark, d):
+    """The selected pages' current images are made anew from their originals."""
+    pages = V.operations(spark, d).select("session_id", "op_seq", F.col("arg").alias("original"), (F.col("arg") + 1).alias("current"), (F.col("arg") % 2 == 0).alias("selected"))
+    out = session.before_and_after(session.reviewed(pages, F.col("original") * 2), F.col("original") * 2)
+    return out.select("session_id", "op_seq", "current", F.concat(F.when(F.col("selected"), "before ").otherwise("kept "), "before").alias("said"))
+
+
+@query("SELECT session_id, count(*) FILTER (arg % 3 = 0) AS removed FROM v_oplog WHERE session_id % 4 <> 0 GROUP BY session_id")
+def session_clear(spark, d):
+    """Some sessions are cleared; of the others, how many pages removing the selected ones takes."""
+    log = V.operations(spark, d)
+    left = session.cleared(log, log.where("session_id % 4 = 0").select("session_id"))
+    return session.removed_counts(left.withColumn("selected", F.col("arg") % 3 == 0))
+
+
+@query("SELECT p_partkey AS id, width, height FROM (SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN 100 + p_size END AS width, CASE WHEN p_partkey % 5 <> 0 THEN p_size END AS height FROM part)")
+def camera_resolution(spark, d):
+    """Resolutions as text, some of them no resolution."""
+    from docraster.streaming.camera import resolution
+
+    p = V.table(spark, d, "part")
+    text = F.concat(F.lit(" "), (F.col("p_size") + 100).cast("string"), F.when(F.col("p_partkey") % 5 == 0, " x ").otherwise("x"), F.col("p_size").cast("string"))
+    return p.select(F.col("p_partkey").alias("id"), resolution(text).alias("r")).select("id", F.col("r.width").alias("width"), F.col("r.height").alias("height"))
+
+
+@query(f"SELECT id, CASE WHEN m.preset IS NULL THEN v.preset ELSE m.preset END AS preset, CASE WHEN m.preset IS NULL THEN v.post ELSE m.post END AS post FROM (SELECT *, CASE id % 6 WHEN 0 THEN 'Custom' WHEN 1 THEN 'B/W' WHEN 2 THEN 'Photo' WHEN 3 THEN 'Document' WHEN 4 THEN 'Whiteboard' ELSE 'none such' END AS lens FROM v_modes) AS v LEFT JOIN {_MODES} ON lens = m.lens_mode")
+def lens_mode_change(spark, d):
+    k = F.col("id") % 6
+    lens = F.when(k == 0, "Custom").when(k == 1, "B/W").when(k == 2, "Photo").when(k == 3, "Document").when(k == 4, "Whiteboard").otherwise("none such")
+    return presets.on_lens_mode_change(V.modes(spark, d).withColumn("lens_mode", lens)).select("id", "preset", "post")
+
+
+@query("SELECT p_partkey AS id, greatest(0.7, least(2.0, p_size / 20.0::double)) AS contrast, greatest(-80, least(80, 5 * p_size - 150)) AS brightness, greatest(0, least(20, p_size - 5)) AS denoise, greatest(80, least(240, 6 * p_size)) AS threshold FROM part")
+def settings_in_range(spark, d):
+    p, n = V.table(spark, d, "part"), F.col("p_size")
+    asked = {"contrast": n / 20.0, "brightness": 5 * n - 150, "denoise": n - 5, "threshold": 6 * n}
+    return p.select(F.col("p_partkey").alias("id"), *(presets.in_range(k, v).alias(k) for k, v in asked.items()))
+
+
 # --- rasters (rows only: their pixels are tested on synthetic pages) --------------------------------------------
 
 
@@ -378,6 +438,15 @@ def process_spreads(spark, d):
     return out.select("page_seq", "image.height", "image.width", F.crc32("image.data").alias("pixels_crc32"))
 
 
+@query("SELECT row_number() OVER (ORDER BY vec_id, half)::bigint AS page_seq, 8::int AS height, 4::int AS width, 1::int AS channels, false AS detected FROM embeddings, (VALUES (0), (1)) AS k(half)")
+def process_spread_sizes(spark, d):
+    """The plain columns of the same run."""
+    from docraster.plans.pipeline import Options, Settings, processed
+
+    out = processed(small_pages(spark, d), Options(detect_document=False, two_page_mode=True, postprocess="Black and White", settings=Settings(1.25, 10)))
+    return out.select("page_seq", "image.height", "image.width", F.col("image.nChannels").alias("channels"), "detected")
+
+
 @query()
 def deskew_pages(spark, d):
     from docraster.plans.pipeline import deskewed
@@ -410,9 +479,22 @@ def detect_pages(spark, d):
     return out.select("page_seq", "name", "scan.backend", "scan.detected", F.col("scan.warped.width").alias("width"), F.col("scan.warped.height").alias("height"), F.array_join("scan.errors", "; ").alias("errors"))
 
 
-@query()
+@query("SELECT concat(vec_id::varchar, '.png') AS entry_id, asset, 8::int AS height, 8::int AS width FROM embeddings, (VALUES ('original'), ('current'), ('preview_original'), ('preview_current'), ('thumb')) AS k(asset)")
 def page_assets(spark, d):
     from docraster.sources.sinks import assets
 
     out = assets(small_pages(spark, d).select(F.col("name").alias("entry_id"), "image"))
     return out.select("entry_id", "asset", "image.height", "image.width")
+
+
+@query("SELECT concat(vec_id::varchar, '.png') AS entry_id, asset, CASE WHEN vec_id % 4 = 1 AND asset IN ('current', 'preview_current', 'thumb') THEN 4 ELSE 8 END::int AS height FROM embeddings, (VALUES ('original'), ('current'), ('preview_original'), ('preview_current'), ('thumb')) AS k(asset) WHERE vec_id % 4 <> 0")
+def asset_lifecycle(spark, d):
+    """A store after some entries were removed and others got a new current image."""
+    from docraster.plans.pipeline import transformed
+    from docraster.sources.sinks import assets, renewed, without_assets
+
+    pages, k = small_pages(spark, d), F.col("page_seq") % 4
+    entries = pages.select(F.col("name").alias("entry_id"), "image")
+    changed = transformed(pages.where(k == 1), lambda img: img[:4]).select(F.col("name").alias("entry_id"), "image")
+    store = without_assets(assets(entries), pages.where(k == 0).select(F.col("name").alias("entry_id")))
+    return renewed(store, changed, "current").select("entry_id", "asset", "image.height")

@@ -111,23 +111,57 @@ def export_existing(files: DataFrame, folder: str, ext: str = "png", base: str =
     return settled(same.union(named.where(other).select("page_seq", "file", "name", "content").mapInPandas(encoded, out)))
 
 
-def export_pdf(pages: DataFrame, out_pdf: str, dpi: int = 300) -> str:
-    """One document of all pages in order; the path gets the suffix .pdf."""
+def _one_pdf(pages: DataFrame, out_pdf: str, dpi: int, said: str, drawn) -> str:
+    """One document of all pages in order. Tasks compress the pages; the writer gets them one Arrow batch at a time and
+    streams them on, so it never holds more of them."""
     if dpi < 72:
         raise ValueError("PDF DPI must be >= 72")
-    _nonempty(pages, "No pages to export.")
+    _nonempty(pages, said)
     head, _, last = out_pdf.rpartition("/")
     out_pdf = f"{head}/{last.rpartition('.')[0] or last}.pdf" if head else f"{last.rpartition('.')[0] or last}.pdf"
 
+    def compress(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), 8):
+                rows = [codec.pdf_image(drawn(r)) for r in pdf.iloc[at : at + 8].itertuples(index=False)]
+                yield pd.DataFrame({"page_seq": pdf["page_seq"].iloc[at : at + 8].to_numpy(), "width": [r[0] for r in rows], "height": [r[1] for r in rows], "kind": [r[2] for r in rows], "data": [r[3] for r in rows]})
+
     def task(batches):
-        put(out_pdf, codec.pdf_bytes([unpack(i) for pdf in batches for i in pdf["image"]], dpi))
+        where, path = _filesystem(out_pdf)
+        where.create_dir(path.rpartition("/")[0], recursive=True)
+        mine = f"{path}.{uuid.uuid4().hex}"
+        with where.open_output_stream(mine, compression=None) as out:
+            for part in codec.pdf_parts((r for pdf in batches for r in zip(pdf["width"], pdf["height"], pdf["kind"], pdf["data"])), dpi):
+                out.write(part)
+        where.move(mine, path)
         yield pd.DataFrame({"path": [out_pdf]})
 
-    ordered = pages.select("page_seq", "image").repartition(1).sortWithinPartitions("page_seq")
-    ordered.mapInPandas(task, "path string").collect()
+    made = pages.mapInPandas(compress, "page_seq long, width int, height int, kind string, data binary")
+    made.repartition(1).sortWithinPartitions("page_seq").mapInPandas(task, "path string").collect()
     return out_pdf
 
 
+def export_pdf(pages: DataFrame, out_pdf: str, dpi: int = 300) -> str:
+    """One document of all pages (page_seq, image) in order; the path gets the suffix .pdf."""
+    return _one_pdf(pages.select("page_seq", "image"), out_pdf, dpi, "No pages to export.", lambda r: unpack(r.image))
+
+
+def export_paths_pdf(files: DataFrame, out_pdf: str, dpi: int = 300) -> str:
+    """One document of image files (page_seq, name, content) in order; JPEG files go in as they are, undecoded."""
+
+    def drawn(r):
+        from docraster.sources.files import decoded
+
+        if codec.jpeg_size(r.content):
+            return r.content
+        found = decoded(r.name, r.content, dpi, unchanged=True)
+        if not found:
+            raise RuntimeError(f"Cannot read image: {r.name}")
+        return found[0]
+
+    return _one_pdf(files.select("page_seq", "name", "content"), out_pdf, dpi, "No image paths to export.", drawn)
+
+
 def resized(img, most_width: int, most_height: int):
     """At most so large, gray as three channels."""
     out, _ = kernels.shrunk(kernels.to_bgr(img), max(most_width, most_height)) if max(img.shape[:2]) > max(most_width, most_height) else (kernels.to_bgr(img), 1.0)
@@ -149,3 +183,16 @@ def assets(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["entry_id", "asset", "image"])
 
     return pages.select("entry_id", "image").mapInPandas(task, "entry_id string, asset string, image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>")
+
+
+def without_assets(store: DataFrame, gone: DataFrame) -> DataFrame:
+    """A store (entry_id, asset, ...) without all assets of the entries in gone."""
+    return store.join(gone.select("entry_id").distinct(), "entry_id", "left_anti")
+
+
+def renewed(store: DataFrame, changed: DataFrame, kind: str) -> DataFrame:
+    """A store after some entries (entry_id, image) got a new original or current image: a new original brings its preview
+    with it, a new current image its preview and the thumbnail."""
+    names = {"original": ["original", "preview_original"], "current": ["current", "preview_current", "thumb"]}[kind]
+    kept = store.join(changed.select("entry_id", F.explode(F.array(*map(F.lit, names))).alias("asset")), ["entry_id", "asset"], "left_anti")
+    return kept.unionByName(assets(changed).where(F.col("asset").isin(names)).select(*kept.columns))

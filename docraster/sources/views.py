@@ -120,4 +120,6 @@ def duck(query: str) -> str:
     body = query.strip()
     if not used:
         return body
+    if body.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head}, {body.removeprefix('WITH RECURSIVE ')}"
     return f"WITH {head}, {body.removeprefix('WITH ')}" if body.startswith("WITH ") else f"WITH {head} {body}"

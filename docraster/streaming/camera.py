@@ -76,3 +76,14 @@ class PatternCamera(DataSource):
 
     def streamReader(self, schema) -> PatternReader:
         return PatternReader(self.options)
+
+
+#: Fixed value: the largest resolution that a camera is asked for.
+MOST_RESOLUTION = (3264, 2448)
+
+
+def resolution(text: Column) -> Column:
+    """struct(width, height) of a text like 1920x1080; null for anything else."""
+    t = F.trim(text)
+    side = lambda k: F.regexp_extract(t, r"^(\d+)x(\d+)$", k).cast("int").alias(("width", "height")[k - 1])
+    return F.when(F.rlike(t, F.lit(r"^\d{1,9}x\d{1,9}$")), F.struct(side(1), side(2)))

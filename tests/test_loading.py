@@ -80,3 +80,31 @@ def test_errors_of_backends_stay_with_their_page(spark):
     pages = spark.createDataFrame([(1, "s", files.pack(spread))], "page_seq long, name string, image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>")
     rows = pipeline.processed(pages, pipeline.Options(two_page_mode=True)).orderBy("page_seq").collect()
     assert [r["page_seq"] for r in rows] == [1, 2] and all("paddleocr_uvdoc" in r["errors"][0] and not r["detected"] for r in rows)
+
+
+def test_paths_to_one_document(spark, mixed):
+    """JPEG bytes go in as they are, others decoded; the list of pages is whole and in order."""
+    from docraster.sources import sinks
+
+    listed = spark.createDataFrame([(2, "b 10.jpg"), (1, "a1.png"), (3, "gray3.png")], "page_seq long, name string")
+    content = spark.read.format("binaryFile").load(str(mixed)).select(files.file_name("path").alias("name"), "content")
+    raw = open(sinks.export_paths_pdf(listed.join(content, "name"), str(mixed / "all.x"), 144), "rb").read()
+    assert raw.startswith(b"%PDF-1.4") and b"/Count 3" in raw and (mixed / "b 10.jpg").read_bytes() in raw
+    assert raw.index(b"/Width 7") < raw.index(b"/Width 16") and raw.count(b"/DCTDecode") == 1 and raw.count(b"/DeviceGray") == 1
+    places = [int(line[:10]) for line in raw[raw.rindex(b"\nxref") + 1 :].split(b"\n")[3:14]]
+    assert all(raw[at:].startswith(b"%d 0 obj" % (i + 1)) for i, at in enumerate(places))
+    assert codec.jpeg_size((mixed / "b 10.jpg").read_bytes()) == (16, 12, 3) and codec.jpeg_size(b"\xff\xd8\xff") is None
+    with pytest.raises(ValueError, match="No image paths"):
+        sinks.export_paths_pdf(listed.join(content, "name").where("false"), str(mixed / "all.pdf"))
+
+
+def test_corners_make_a_new_original(spark):
+    from docraster.operators.detect import cropped
+
+    img = np.full((40, 60, 3), 20, np.uint8)
+    img[10:30, 15:45] = 220
+    image = "struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
+    pages = spark.createDataFrame([("a", files.pack(img)), ("b", files.pack(img))], f"entry_id string, original {image}")
+    corners = spark.createDataFrame([("a", [(15.0, 10.0), (44.0, 10.0), (44.0, 29.0), (15.0, 29.0)])], "entry_id string, contour array<struct<x:float,y:float>>")
+    got = {r["entry_id"]: files.unpack(r["original"]) for r in cropped(pages, corners).collect()}
+    assert got["a"].min() > 200 and got["a"].shape[0] < 25 and (got["b"] == img).all()
