@@ -84,19 +84,28 @@ def mapped(uri: str, dtype) -> np.ndarray:
     return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
 
 
-def hand_back() -> None:
-    """Gives memory that this process no longer uses back to the system: allocators of processes that live on keep it."""
-    pa.default_memory_pool().release_unused()
+def _libc(name: str, *args: int) -> None:
     try:
-        ctypes.CDLL(None).malloc_trim(0)
+        getattr(ctypes.CDLL(None), name)(*args)
     except (AttributeError, OSError):  # another C library
         pass
 
 
+def hand_back() -> None:
+    """Gives memory that this process no longer uses back to the system: allocators of processes that live on keep it."""
+    pa.default_memory_pool().release_unused()
+    _libc("malloc_trim", 0)
+
+
+M_MMAP_THRESHOLD = -3
+
+
 def lean(task):
-    """A task for mapInArrow that hands back memory when it ends, for its worker goes on to others."""
+    """A task for mapInArrow that hands back large arrays when they are dropped, and the rest when it ends: its worker goes
+    on to other tasks, and what several of them keep adds up to an executor's limit."""
 
     def run(batches):
+        _libc("mallopt", M_MMAP_THRESHOLD, 2 << 20)
         try:
             yield from task(batches)
         finally:
