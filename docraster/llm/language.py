@@ -338,7 +338,7 @@ def predict(docs: DataFrame, model: Model | None, names: tuple[str, str, str] =
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(strange, pa.float64())], [*part.schema.names, *names])
 
     types = (T.StringType(), T.DoubleType(), T.DoubleType())
-    return docs.mapInArrow(lean(task), T.StructType([*docs.schema.fields, *map(T.StructField, names, types)]))
+    return docs.mapInArrow(lean(task, drop=True), T.StructType([*docs.schema.fields, *map(T.StructField, names, types)]))
 
 
 def predicted_documents(docs: DataFrame, path: str) -> DataFrame:

@@ -202,7 +202,7 @@ def score(docs: DataFrame, net: Net | None, share: float = 0.5, name: str = "qua
             for part in batches_of(batch, size=1 << 20):
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.score(part.column("text")))], [*part.schema.names, name])
 
-    return docs.mapInArrow(lean(task), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return docs.mapInArrow(lean(task, drop=True), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def scored_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

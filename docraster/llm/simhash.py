@@ -301,8 +301,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     hashes of the text; of rows equal in all that, the one whose other columns come first as text).
 
     A row is known by its doc_id and text, so documents are read a second time to be handed on, and only those two
-    tell which go. Documents are shuffled once, or not at all where the list of those that go is small enough for Spark
-    to broadcast it.
+    tell which go. Documents are shuffled once for it.
     """
     text = F.coalesce("text", F.lit(""))
     name = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(17), text).alias("t2")).alias("id")
@@ -311,6 +310,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     rows = kept(hub_join(prints, groups, "fp").groupBy("id", "component").agg(F.count("*").alias("n")), "named")
     gone = kept(rows.where("id <> component").select("id"), "gone")
     again = kept(rows.where("id = component and n > 1").select("id"), "repeated")
-    whole = docs.select(name, F.struct("*").alias("d")).join(gone, "id", "left_anti")
+    # a merge at every size: what a shuffle of the documents takes then grows with them, and no faster
+    whole = docs.select(name, F.struct("*").alias("d")).join(gone.hint("merge"), "id", "left_anti")
     single = whole.join(again, "id", "left_anti").select("d")
     return single.unionAll(whole.join(again, "id", "left_semi").groupBy("id").agg(F.min_by("d", F.to_json("d")).alias("d")).select("d")).select("d.*")
