@@ -13,6 +13,7 @@ ties between pieces of one length go by partition and place in it. An empty tabl
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 
 import numpy as np
@@ -64,9 +65,12 @@ class Tokens:
 
     The vocabulary's pre-tokenizer never joins characters across the end of a run of non-space, so a text's ids
     are those of its chunks (white space and the run after it) in turn. Each distinct chunk of a batch is
-    tokenized once. Texts with white space beyond ASCII are tokenized whole.
+    tokenized once, many of them joined to one text; the tokens' lengths in bytes tell them apart again. Texts with
+    white space beyond ASCII are tokenized whole.
     """
 
+    TOGETHER = 100
+
     #: White space beyond ASCII (and separators that some engines take as white space).
     ODD = r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
@@ -75,7 +79,13 @@ class Tokens:
 
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
+        named = self.tokenizer.get_vocab(with_added_tokens=True)
+        added = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.bytes = np.zeros(max(named.values()) + 1, np.int64)
+        for token, i in named.items():  # a character of the vocabulary's alphabet is a byte
+            self.bytes[i] = len(token.encode()) if token in added else len(token)
         self.odd = re.compile(self.ODD)
         self.most = 1_000_000
         self.forget()
@@ -85,20 +95,38 @@ class Tokens:
         self.keys, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
         self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def encode(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The chunks' ids one after the other, and how many each has."""
+        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        body, ends = b"".join(chunks), np.cumsum(size)
+        starts, raw = ends - size, np.frombuffer(body, np.uint8)
+        space = (raw == 32) | (raw >= 9) & (raw <= 13)
+        # a chunk joins the one before if it starts with white space and that one does not end with any
+        alone = ~space[starts] | (np.arange(len(chunks)) % self.TOGETHER == 0)
+        alone[1:] |= space[starts[1:] - 1]
+        for cut in (np.append(starts[alone], len(body)), np.append(starts, len(body))):
+            texts = [body[s:e].decode("utf-8") for s, e in zip(cut[:-1].tolist(), cut[1:].tolist())]
+            coded = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            ids = np.concatenate(coded)
+            to = np.cumsum(self.bytes[ids])
+            last = np.searchsorted(to, ends)
+            if len(to) and to[-1] == len(body) and (to[last] == ends).all():
+                return ids, np.diff(last, prepend=-1)
+        return ids, np.fromiter(map(len, coded), np.int64, len(coded))  # lengths that say nothing: each by itself
 
     def look_up(self, keys: np.ndarray, chunk) -> tuple[np.ndarray, np.ndarray]:
-        """Place and number of each distinct chunk's ids in self.flat; new ones are tokenized. chunk: gives the i-th chunk's text."""
+        """Place and number of each distinct chunk's ids in self.flat; new ones are tokenized. chunk: gives the i-th chunk's bytes."""
         if len(self.keys) > self.most:
             self.forget()
         at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
         new = np.flatnonzero(self.keys[at] != keys) if len(self.keys) else np.arange(len(keys))
         if len(new):
-            coded = self.encode([chunk(i) for i in new.tolist()])
-            size = np.fromiter(map(len, coded), np.int64, len(coded))
+            ids, size = self.encode([chunk(i) for i in new.tolist()])
             first = len(self.flat) + np.cumsum(size) - size
-            self.flat = np.concatenate([self.flat, np.fromiter((x for ids in coded for x in ids), np.uint32, int(size.sum()))])
+            self.flat = np.concatenate([self.flat, ids])
             self.keys = np.concatenate([self.keys, keys[new]])
             order = np.argsort(self.keys, kind="stable")
             self.keys = self.keys[order]
@@ -112,7 +140,7 @@ class Tokens:
         rows = texts.to_pylist()
         for i, text in enumerate(rows):
             if text and self.odd.search(text):
-                whole[i] = self.encode([text])[0]
+                whole[i] = self.whole(text)
                 rows[i] = ""
         if whole:
             texts = pa.array(rows, pa.string())
@@ -133,8 +161,8 @@ class Tokens:
         at, to = at[order], to[order]
         doc = np.searchsorted(w.docs, at, "right") - 1
         keys, some, code = np.unique(chunk_hashes(w.data, at, to), return_index=True, return_inverse=True)
-        body = w.data.tobytes()
-        first, size = self.look_up(keys, lambda i: body[at[some[i]] : to[some[i]]].decode("utf-8"))
+        body, begin, end = w.data.tobytes(), at[some].tolist(), to[some].tolist()
+        first, size = self.look_up(keys, lambda i: body[begin[i] : end[i]])
         flat = self.flat
         length = size[code]
         per_doc = np.bincount(doc, length, n).astype(np.int64) if len(doc) else np.zeros(n, np.int64)
