@@ -157,3 +157,53 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_quality"] = op3_quality
+
+
+def op11_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docraster.llm.negatives import hard_negatives
+
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op11_norm_buckets"] = op11_norm_buckets
+ORACLE["op11_norm_buckets"] = r"""
+WITH k AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+      FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.v, c.v)::BIGINT AS score FROM k a, k c WHERE a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+
+def op12_weighted_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docraster.llm.codes import compressed, digest, with_label_errors
+
+    coded, books = compressed(table(spark, sf_dir, "embeddings"))
+    return with_label_errors(coded).withColumn("codebooks_sha256", F.lit(digest(books)))
+
+
+QUERIES["op12_weighted_lloyd"] = op12_weighted_lloyd
+
+
+def _lloyd(rounds: int = 4) -> str:
+    """The rounds one after another: assignments a<r> with books b<r>, and the books that follow from their means."""
+    steps = ["b0 AS MATERIALIZED (SELECT p, i - 1 AS j, x AS c FROM parts WHERE i <= 256)"]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT i, p, any_value(x) AS x, arg_min(j, d * 256 + j) AS j, min(d) AS d FROM (SELECT i, p, x, j, list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c) AS d FROM parts JOIN b{r} USING (p)) GROUP BY i, p)")
+        if r < rounds:
+            means = f"SELECT p, j, list(m ORDER BY t) AS c FROM (SELECT p, j, t, floor(sum(x) / count(*)) AS m FROM (SELECT p, j, generate_subscripts(x, 1) AS t, unnest(x) AS x FROM a{r}) GROUP BY p, j, t) GROUP BY p, j"
+            steps.append(f"b{r + 1} AS MATERIALIZED (SELECT p, j, coalesce(m.c, b{r}.c) AS c FROM b{r} LEFT JOIN ({means}) AS m USING (p, j))")
+    return ",\n".join(steps)
+
+
+ORACLE["op12_weighted_lloyd"] = rf"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+r AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS i FROM k),
+parts AS MATERIALIZED (SELECT i, p, v[(p * len(v)) // 4 + 1 : ((p + 1) * len(v)) // 4] AS x FROM r, range(4) AS t(p)),
+{_lloyd()},
+e AS (SELECT i, string_agg(printf('%02x', j), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a4 GROUP BY i),
+h AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: x::BIGINT::VARCHAR), ','), ',' ORDER BY p, j)) AS codebooks_sha256 FROM b4)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM r JOIN e USING (i), h
+"""
