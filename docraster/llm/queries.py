@@ -207,3 +207,12 @@ e AS (SELECT i, string_agg(printf('%02x', j), '' ORDER BY p) AS code, sum(d)::BI
 h AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: x::BIGINT::VARCHAR), ','), ',' ORDER BY p, j)) AS codebooks_sha256 FROM b4)
 SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM r JOIN e USING (i), h
 """
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docraster.llm.rules import judged_documents
+
+    return judged_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES["op13_quality_rules"] = op13_quality_rules

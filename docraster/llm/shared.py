@@ -168,6 +168,28 @@ def sample_of_labels(spark: SparkSession, labels: DataFrame, docs: DataFrame, la
     return [(r.text, r.y) for r in sorted(got, key=lambda r: r.doc_id)]
 
 
+def labelled_sample(labels: DataFrame, docs: DataFrame, label: str, rows: int) -> tuple[DataFrame | None, float]:
+    """doc_id, y and whole text of at most 3 * rows labelled documents outside the held-out fold, about half of either
+    class, picked by a hash of their id; and the share of class 1 among all such labels. None where no label is known.
+
+    Only ids come to the driver. A repeated label counts once, the larger if they differ; of texts that share an id the
+    first in order is taken.
+    """
+    known = labels.select("doc_id", F.col(label).alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~fold(4))
+    known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
+    sizes = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return None, 0.5
+    u = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
+    rate = F.lit(0.0)
+    for y, n in sizes.items():
+        rate = F.when(F.col("y") == y, F.lit(min(1.0, rows / n))).otherwise(rate)
+    ids = known.where(u < rate).orderBy(u, "doc_id").limit(3 * rows).collect()
+    few = labels.sparkSession.createDataFrame([(r.doc_id, r.y) for r in ids], "doc_id long, y int")
+    sample = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    return sample.groupBy("doc_id").agg(F.max("y").alias("y"), F.min("text").alias("text")), sizes.get(1, 0) / sum(sizes.values())
+
+
 def column(name: str) -> Column:
     """A column by its very name, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")
