@@ -1,4 +1,4 @@
-"""PNG images and image-only PDF documents with zlib alone."""
+"""PNG, TIFF and BMP images and image-only PDF documents with zlib alone."""
 
 from __future__ import annotations
 
@@ -23,6 +23,30 @@ def png_bytes(img: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw, 6)) + chunk(b"IEND", b"")
 
 
+def tiff_bytes(img: np.ndarray) -> bytes:
+    """A little-endian TIFF of a gray or BGR image: one strip, deflated."""
+    h, w = img.shape[:2]
+    n = 1 if img.ndim == 2 else 3
+    body = zlib.compress(np.ascontiguousarray(img if n == 1 else img[..., ::-1]).tobytes(), 6)
+    short, long, after = 3, 4, 8 + 2 + 10 * 12 + 4
+    bits = (short, 1, 8) if n == 1 else (short, 3, after)
+    tags = [(256, long, 1, w), (257, long, 1, h), (258, *bits), (259, short, 1, 8), (262, short, 1, 1 if n == 1 else 2), (273, long, 1, after + 6), (277, short, 1, n), (278, long, 1, h), (279, long, 1, len(body)), (284, short, 1, 1)]
+    return b"II*\0" + struct.pack("<IH", 8, len(tags)) + b"".join(struct.pack("<HHII", *t) for t in tags) + struct.pack("<I", 0) + struct.pack("<3H", 8, 8, 8) + body
+
+
+def bmp_bytes(img: np.ndarray) -> bytes:
+    """A bottom-up BMP of 24 bits a pixel, or of 8 with a gray palette."""
+    h, w = img.shape[:2]
+    n = 1 if img.ndim == 2 else 3
+    row = -(-w * n // 4) * 4
+    rows = np.zeros((h, row), np.uint8)
+    rows[:, : w * n] = np.ascontiguousarray(img[::-1]).reshape(h, -1)
+    palette = b"" if n == 3 else np.repeat(np.arange(256, dtype=np.uint8), 4).reshape(-1, 4) @ np.diag([1, 1, 1, 0]).astype(np.uint8)
+    palette = palette if n == 3 else palette.tobytes()
+    at = 54 + len(palette)
+    return b"BM" + struct.pack("<IHHI", at + rows.size, 0, 0, at) + struct.pack("<IiiHHIIiiII", 40, w, h, 1, 8 * n, 0, rows.size, 2835, 2835, 0, 0) + palette + rows.tobytes()
+
+
 def png_image(data: bytes) -> np.ndarray | None:
     """The image of an 8-bit PNG (gray, RGB, with or without alpha, not interlaced); None for anything else."""
     if data[:8] != b"\x89PNG\r\n\x1a\n":

@@ -34,9 +34,14 @@ def page_name(file_name: Column | str, page_no: Column | str) -> Column:
 
 
 def export_name(position: Column | str, base: str = "page", ext: str = "png") -> Column:
-    """base_00001.ext; the extension is taken without leading dots and in lower case, png if blank."""
+    """base_00001.ext, or 00001.ext without a base; the extension is taken without leading dots and in lower case, png if blank."""
     ext = ext.strip().lower().lstrip(".") or "png"
-    return F.format_string(f"{base.replace('%', '%%')}_%05d.{ext}", position)
+    return F.format_string(f"{base.replace('%', '%%') + '_' if base else ''}%05d.{ext}", position)
+
+
+def list_label(position: Column | str, name: Column | str) -> Column:
+    """A page's line in a list of pages."""
+    return F.format_string("%04d  %s", position, name)
 
 
 def file_list(raw: Column | str) -> Column:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -40,3 +41,14 @@ def numbered_apart(df: DataFrame, name: str, *keys: str) -> DataFrame:
     """Like ``numbered`` for wide rows with unique keys: rows are made once and kept, only their keys are sorted."""
     df = settled(df)
     return df.join(numbered(df.select(*keys), name, *keys), [*keys])
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder (URI) below the checkpoint folder, which driver and executors both see."""
+    settled(spark.range(0))
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+def removed(spark: SparkSession, uri: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -410,6 +410,52 @@ def settings_in_range(spark, d):
     return p.select(F.col("p_partkey").alias("id"), *(presets.in_range(k, v).alias(k) for k, v in asked.items()))
 
 
+# --- files that are really written and read again ------------------------------------------------------------------
+
+
+def _totals(rows: DataFrame, image: str = "image") -> DataFrame:
+    """height, width and the sum of the pixels of gray images, from their bytes as hexadecimal digits."""
+    digits = F.hex(f"{image}.data")
+    values = F.transform(F.sequence(F.lit(1), F.col(f"{image}.height") * F.col(f"{image}.width")), lambda i: F.conv(F.substr(digits, i * 2 - 1, F.lit(2)), 16, 10).cast("long"))
+    total = F.aggregate(values, F.lit(0).cast("long"), lambda a, v: a + v)
+    return rows.withColumns({"height": F.col(f"{image}.height"), "width": F.col(f"{image}.width"), "total": F.when(F.col(image).isNotNull(), total)})
+
+
+@query(f"SELECT printf('sheet_%05d.png', row_number() OVER (ORDER BY {_KEY}, name) + 6) AS file, 3 AS height, 4 AS width, total FROM v_sheets")
+def exported_files(spark, d):
+    """Sheets through the sink of numbered files, and what the files hold when they are read again."""
+    from docraster.plans.ordering import removed, settled, shared_folder
+    from docraster.sources import files, sinks
+
+    folder = shared_folder(spark, "sheets")
+    pages = numbered(V.sheets(spark, d), "page_seq", N.natural_key("name"), "name")
+    sinks.export_files(pages.select("page_seq", "image"), folder, "png", "sheet", 7)
+    out = settled(_totals(files.images(spark, folder, ["png"])).select(F.col("name").alias("file"), "height", "width", "total"))
+    removed(spark, folder)
+    return out
+
+
+@query("WITH s AS (SELECT total, row_number() OVER (ORDER BY page) AS n, count(*) OVER () AS pages FROM v_sheets), k AS (SELECT unnest([2, 0, 0, 1000000000, -1, 7]) AS idx, unnest(range(6)) AS pos) SELECT pos::int AS pos, idx, CASE WHEN total IS NOT NULL THEN printf('sheets.pdf [p%04d]', idx + 1) END AS page_name, total, CASE WHEN total IS NULL THEN concat('PDF page index out of range: ', idx) END AS error FROM k LEFT JOIN s ON n = idx + 1")
+def selected_pages_read(spark, d):
+    """A document of all sheets, of which the reader inflates the chosen pages alone."""
+    from docraster.plans.ordering import removed, settled, shared_folder
+    from docraster.sources import documents, sinks
+
+    folder = shared_folder(spark, "document")
+    sinks.export_pdf(numbered(V.sheets(spark, d), "page_seq", "page"), f"{folder}/sheets.pdf", 72)
+    chosen = documents.read_selected(spark, folder, [2, 0, 0, 1_000_000_000, -1, 7])
+    out = settled(_totals(chosen).select("pos", "idx", "page_name", "total", "error"))
+    removed(spark, folder)
+    return out
+
+
+@query("SELECT file_id, printf('%04d  %s', row_number() OVER (ORDER BY file_id), name) AS label, printf('%05d.tif', row_number() OVER (ORDER BY file_id)) AS file FROM v_files")
+def list_labels(spark, d):
+    """Lines of a list of pages, and names without a base."""
+    f = numbered(V.files(spark, d), "pos", "file_id")
+    return f.select("file_id", N.list_label("pos", "name").alias("label"), N.export_name("pos", "", "tif").alias("file"))
+
+
 # --- rasters (rows only: their pixels are tested on synthetic pages) --------------------------------------------
 
 

@@ -119,10 +119,15 @@ def pages(files: DataFrame, dpi: int = 300) -> DataFrame:
     return files.select("file_seq", "path", "name", "content").mapInPandas(task, PAGES)
 
 
-def images(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+def any_case(extensions: Sequence[str]) -> str:
+    """A glob for file names with one of these extensions in whatever case."""
+    return "*.{" + ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions) + "}"
+
+
+def images(spark: SparkSession, path: str | Sequence[str], extensions: Sequence[str] = tuple(e[1:] for e in N.IMAGE_EXTENSIONS)) -> DataFrame:
     """Images of all codecs that Spark's image source knows (JPEG, PNG, BMP, TIFF and others), decoded in the JVM; a broken
-    file is an error row."""
-    df = spark.read.format("image").option("dropInvalid", "false").load(path).select("image").withColumn("path", url_decoded("image.origin"))
+    file is an error row. Files of other extensions are never opened."""
+    df = spark.read.format("image").option("dropInvalid", "false").option("pathGlobFilter", any_case(extensions)).load(path).select("image").withColumn("path", url_decoded("image.origin"))
     bad = (F.col("image.nChannels") < 1) | F.col("image.data").isNull()
     df = df.select("path", file_name("path").alias("name"), "image", F.when(bad, F.concat(F.lit("Cannot read image: "), "path")).alias("error"))
     return df.where(N.supported("name"))
@@ -143,11 +148,13 @@ def read_pages(spark: SparkSession, listed: DataFrame, path: str | Sequence[str]
     """page_seq, name, image (BGR) and error of all pages of the listed files (file_seq, path, name) below ``path``.
 
     Documents and codecs with a renderer of their own are read as bytes, all other images by Spark's image source.
-    Pages are numbered by file_seq and page number alone, so pixels are decoded once and never sorted.
+    Each source opens its own files alone. Pages are numbered by file_seq and page number, so numbering moves no pixels;
+    the last join moves them by these keys where the keys are too many to broadcast.
     """
     listed = listed.select("file_seq", "name", plain("path").alias("at"))
-    own = N.extension("name").isin(".pdf", *("." + e for e in RENDERERS))
-    whole = spark.read.format("binaryFile").load(path).select(plain("path").alias("at"), "path", "content")
+    mine = ("pdf", *(e for e in RENDERERS if e != "pdf"))
+    own = N.extension("name").isin(*("." + e for e in mine))
+    whole = spark.read.format("binaryFile").option("pathGlobFilter", any_case(mine)).load(path).select(plain("path").alias("at"), "path", "content")
     files = whole.join(listed.where(own), "at")
     counts = page_counts(files, dpi)
     first = F.when(F.endswith(F.lower("name"), F.lit(".pdf")), 1).otherwise(0)
@@ -155,7 +162,7 @@ def read_pages(spark: SparkSession, listed: DataFrame, path: str | Sequence[str]
     keys = numbered(keys, "page_seq", "file_seq", "page_no")
     found = pages(files, dpi).withColumn("page_no", F.when(F.col("error").isNull(), F.col("page_no")).otherwise(first))
     if listed.where(~own).take(1):
-        other = images(spark, path).select(plain("path").alias("at"), "image", "error").join(listed.where(~own), "at")
+        other = images(spark, path, [e[1:] for e in N.IMAGE_EXTENSIONS if e[1:] not in mine]).select(plain("path").alias("at"), "image", "error").join(listed.where(~own), "at")
         found = found.unionByName(in_bgr(other.select("file_seq", F.lit(0).alias("page_no"), "name", "image", "error")))
     return found.join(keys, ["file_seq", "page_no"]).select("page_seq", "name", "image", "error")
 

@@ -1,7 +1,6 @@
 """Pages to numbered image files and to one document, and the derived assets of a page store.
 
-Files are written by tasks through Hadoop-style paths that pyarrow opens, under a name of their own that is then
-moved in place. A document has one writer by nature; it gets the pages in order, one Arrow batch at a time.
+Page files go through the sink of ``pagefiles``, which publishes what Spark commits and nothing else. A document has one writer by nature; it gets the pages in order, one Arrow batch at a time.
 """
 
 from __future__ import annotations
@@ -16,8 +15,8 @@ from docraster.functions import codec, kernels
 from docraster.functions import names as N
 from docraster.sources.files import pack, unpack
 
-FORMATS = ("png", "jpg", "jpeg", "webp", "tif")
-ENCODERS = {"png": codec.png_bytes}
+#: Codecs that are written here; others (JPEG, WebP) can be registered.
+ENCODERS = {"png": codec.png_bytes, "tif": codec.tiff_bytes, "tiff": codec.tiff_bytes, "bmp": codec.bmp_bytes}
 
 
 def _filesystem(uri: str):
@@ -58,57 +57,61 @@ def _nonempty(df: DataFrame, said: str) -> None:
         raise ValueError(said)
 
 
-def export_files(pages: DataFrame, folder: str, ext: str = "png", base: str = "page", start: int = 1) -> DataFrame:
-    """Writes each page (page_seq from 1 on, image) to base_00001.ext; returns page_seq and path, once written."""
-    _nonempty(pages, "No pages to export.")
-    ext = ext.strip().lower().lstrip(".") or "png"
-    named = pages.select("page_seq", N.export_name(F.col("page_seq") + (start - 1), base, ext).alias("file"), "image")
-
-    def task(batches):
-        for pdf in batches:
-            paths = [f"{folder.rstrip('/')}/{f}" for f in pdf["file"]]
-            for path, image in zip(paths, pdf["image"]):
-                put(path, encode(unpack(image), ext))
-            yield pd.DataFrame({"page_seq": pdf["page_seq"], "path": paths})
+def _published(pages: DataFrame, folder: str, ext: str, base: str, start: int) -> DataFrame:
+    """Writes pages (page_seq, image or content) exactly once; page_seq and path of each."""
+    from docraster.sources.pagefiles import PageFiles
 
-    from docraster.plans.ordering import settled
+    ext = ext.strip().lower().lstrip(".") or "png"
+    pages.sparkSession.dataSource.register(PageFiles)
+    out = pages.write.format("docraster_pages").mode("append").option("path", folder).option("ext", ext).option("base", base).option("start", start)
+    out.save()
+    return pages.select("page_seq", F.concat(F.lit(folder.rstrip("/") + "/"), N.export_name(F.col("page_seq") + (start - 1), base, ext)).alias("path"))
 
-    return settled(named.mapInPandas(task, "page_seq long, path string"))
 
+def export_files(pages: DataFrame, folder: str, ext: str = "png", base: str = "page", start: int = 1) -> DataFrame:
+    """Writes each page (page_seq from 1 on, image) to base_00001.ext; page_seq and path of each. No file is left by a run
+    that fails."""
+    _nonempty(pages, "No pages to export.")
+    if (ext.strip().lower().lstrip(".") or "png") not in ENCODERS:
+        encode(None, ext.strip().lower().lstrip("."))
+    return _published(pages.select("page_seq", "image"), folder, ext, base, start)
 
-def export_existing(files: DataFrame, folder: str, ext: str = "png", base: str = "page") -> DataFrame:
-    """Files (page_seq, path, name, content) under new names: copied byte by byte where the extension is the same.
 
-    Two branches, so that the encoder never sees what is only copied.
-    """
-    _nonempty(files, "No image paths to export.")
-    ext = ext.strip().lower().lstrip(".") or "png"
-    named = files.withColumn("file", N.export_name("page_seq", base, ext))
+def as_read(files: DataFrame) -> DataFrame:
+    """Adds ``image`` to image files (path, name, content): unchanged, by the package's own decoder where it can, else by
+    Spark's image source. What neither can read has an ``error``."""
+    from docraster.sources.files import decoded, images, plain
 
-    def copy(batches):
+    def own(batches):
         for pdf in batches:
-            paths = [f"{folder.rstrip('/')}/{f}" for f in pdf["file"]]
-            for path, data in zip(paths, pdf["content"]):
-                put(path, data)
-            yield pd.DataFrame({"page_seq": pdf["page_seq"], "path": paths})
+            found = [decoded(n, c, 300, unchanged=True) for n, c in zip(pdf["name"], pdf["content"])]
+            yield pdf[["path"]].assign(image=[pack(f[0]) if f else None for f in found])
 
-    def encoded(batches):
-        from docraster.sources.files import decoded
+    image = "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
+    first = files.select("path", "name", "content").where(N.extension("name") == ".png").mapInPandas(own, f"path string, {image}").where("image is not null")
+    rest = files.select("path", "name").join(first.select("path"), "path", "left_anti")
+    paths = [r["path"] for r in rest.select("path").distinct().collect()]  # no more than Spark's own listing of them
+    if paths:
+        read = images(files.sparkSession, paths).where("error is null").select(plain("path").alias("at"), "image")
+        other = rest.select("path", plain("path").alias("at")).join(read, "at").select("path", "image")
+        first = first.unionByName(other)
+    error = F.when(F.col("image").isNull(), F.concat(F.lit("Cannot read image: "), "name"))
+    return files.join(first, "path", "left").withColumn("error", error)
 
-        for pdf in batches:
-            paths = [f"{folder.rstrip('/')}/{f}" for f in pdf["file"]]
-            for path, name, data in zip(paths, pdf["name"], pdf["content"]):
-                found = decoded(name, data, 300, unchanged=True)
-                if not found:
-                    raise RuntimeError(f"Cannot read image: {name}")
-                put(path, encode(found[0], ext))
-            yield pd.DataFrame({"page_seq": pdf["page_seq"], "path": paths})
 
-    from docraster.plans.ordering import settled
+def export_existing(files: DataFrame, folder: str, ext: str = "png", base: str = "page") -> DataFrame:
+    """Files (page_seq, path, name, content) under new names: copied byte by byte where the extension is the same, else
+    read and encoded anew, whatever codec of the image source they have. Two branches, so that what is only copied is
+    never decoded."""
+    _nonempty(files, "No image paths to export.")
+    files, other = files.select("page_seq", "path", "name", "content"), needs_encoding(F.col("name"), ext)
+    image = "struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
+    from docraster import schema
 
-    out, other = "page_seq long, path string", needs_encoding(F.col("name"), ext)
-    same = named.where(~other).select("page_seq", "file", "content").mapInPandas(copy, out)
-    return settled(same.union(named.where(other).select("page_seq", "file", "name", "content").mapInPandas(encoded, out)))
+    read = as_read(files.where(other))
+    anew = read.select("page_seq", F.when(F.col("error").isNull(), F.col("image")).otherwise(F.raise_error(F.col("error")).cast(schema.IMAGE)).alias("image"), F.lit(None).cast("binary").alias("content"))
+    same = files.where(~other).select("page_seq", F.lit(None).cast(image).alias("image"), "content")
+    return _published(same.union(anew), folder, ext, base, 1)
 
 
 def _one_pdf(pages: DataFrame, out_pdf: str, dpi: int, said: str, drawn) -> str:
@@ -147,19 +150,24 @@ def export_pdf(pages: DataFrame, out_pdf: str, dpi: int = 300) -> str:
 
 
 def export_paths_pdf(files: DataFrame, out_pdf: str, dpi: int = 300) -> str:
-    """One document of image files (page_seq, name, content) in order; JPEG files go in as they are, undecoded."""
+    """One document of image files (page_seq, path, name, content) in order; JPEG files go in as they are, undecoded,
+    others are read by whatever codec they have."""
+    jpeg = F.substring("content", 1, 2) == F.unhex(F.lit("FFD8"))
+    files = files.select("page_seq", "path", "name", "content")
+    read = as_read(files.where(~jpeg)).select("page_seq", "name", F.lit(None).cast("binary").alias("content"), "image", "error")
+    image = "struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
+    as_is = files.where(jpeg).select("page_seq", "name", "content", F.lit(None).cast(image).alias("image"), F.lit(None).cast("string").alias("error"))
 
     def drawn(r):
-        from docraster.sources.files import decoded
-
-        if codec.jpeg_size(r.content):
+        if r.error is not None:
+            raise RuntimeError(r.error)
+        if r.content is not None and codec.jpeg_size(r.content):
             return r.content
-        found = decoded(r.name, r.content, dpi, unchanged=True)
-        if not found:
+        if r.image is None:
             raise RuntimeError(f"Cannot read image: {r.name}")
-        return found[0]
+        return unpack(r.image)
 
-    return _one_pdf(files.select("page_seq", "name", "content"), out_pdf, dpi, "No image paths to export.", drawn)
+    return _one_pdf(as_is.union(read), out_pdf, dpi, "No image paths to export.", drawn)
 
 
 def resized(img, most_width: int, most_height: int):

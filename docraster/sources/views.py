@@ -96,6 +96,13 @@ def modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(k.alias("id"), preset.alias("preset"), post.alias("post"))
 
 
+def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page, name and image: a gray sheet of 3 x 4 pixels for each supplier, drawn by column expressions."""
+    p = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.lpad(F.hex(F.pmod(F.col("s_suppkey") * 7 + i * 5, F.lit(256))), 2, "0"))
+    image = F.struct(F.lit("").alias("origin"), F.lit(3).alias("height"), F.lit(4).alias("width"), F.lit(1).alias("nChannels"), F.lit(0).alias("mode"), F.unhex(F.array_join(p, "")).alias("data"))
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("page"), F.col("s_name").alias("name"), image.alias("image"))
+
+
 #: The same views for DuckDB, as common table expressions.
 DUCK = {
     "v_pixels": "SELECT vec_id AS page, cast(floor(pos/8) AS int) AS y, cast(pos % 8 AS int) AS x, cast(floor(greatest(0.0::double,least(255.0::double,(v::double+1)*127.5))) AS int) AS p FROM (SELECT vec_id, generate_subscripts(embedding,1)-1 AS pos, unnest(embedding) AS v FROM embeddings)",
@@ -107,6 +114,7 @@ DUCK = {
     "v_oplog": "SELECT user_id AS session_id, event_id AS op_seq, CASE event_type WHEN 'signup' THEN 'add' WHEN 'view' THEN 'select' WHEN 'click' THEN 'move' WHEN 'error' THEN 'remove_selected' ELSE 'replace' END AS op, cast(floor(value) AS int) AS arg FROM events",
     "v_pagetext": "SELECT l_orderkey AS id, concat(' ',l_linenumber::varchar,', ',cast(trunc(l_quantity) AS int)::varchar,';',l_linenumber::varchar,' ') AS raw FROM lineitem",
     "v_frames": "SELECT user_id AS cam, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS frame_no, event_id FROM events",
+    "v_sheets": "SELECT s_suppkey::bigint AS page, s_name AS name, list_sum(list_transform(range(12), lambda i: (s_suppkey * 7 + i * 5) % 256))::bigint AS total FROM supplier",
     "v_modes": "SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN 'Custom' WHEN 1 THEN 'Document' WHEN 2 THEN 'Whiteboard' WHEN 3 THEN 'Photo' ELSE 'B/W High Contrast' END AS preset, CASE c_custkey % 4 WHEN 0 THEN 'None' WHEN 1 THEN 'Sharpen' WHEN 2 THEN 'Grayscale' ELSE 'Black and White' END AS post FROM customer",
 }
 
