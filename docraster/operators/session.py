@@ -1,13 +1,12 @@
 """Page sessions: an ordered list of pages per session, changed by an operation log.
 
 Single operations are joins and projections on the pages table (session_id, entry_id, pos, name, selected, ...).
-A whole log is folded per session with ``applyInPandas``: later operations depend on the order that earlier ones
-left, which no aggregate expresses. Sessions are independent, so they are dealt by session_id.
+A whole log is folded in one pass over rows that Spark deals by session and sorts: later operations depend on the order
+that earlier ones left, which no aggregate expresses. Of a session only its live pages are held, never its log.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -93,7 +92,7 @@ STATE = "session_id long, entry_id string, pos long, name string, selected boole
 class Fold:
     """The pages of one session, changed by one operation at a time."""
 
-    def __init__(self, session_id: int, rows: list[list] | None = None):
+    def __init__(self, session_id: int | None, rows: list[list] | None = None):
         self.session_id, self.rows = session_id, rows or []
 
     def apply(self, op_seq: int, op: str, arg: int) -> None:
@@ -114,17 +113,35 @@ class Fold:
         elif op == "replace":
             rows[arg % len(rows)][1] = f"page {op_seq}"
 
-    def frame(self) -> pd.DataFrame:
-        return pd.DataFrame([(self.session_id, e, i, n, s) for i, (e, n, s) in enumerate(self.rows)], columns=["session_id", "entry_id", "pos", "name", "selected"])
+    def pages(self) -> list[tuple]:
+        return [(self.session_id, e, i, n, s) for i, (e, n, s) in enumerate(self.rows)]
 
 
 def folded(log: DataFrame) -> DataFrame:
-    """The pages that each session's log (session_id, op_seq, op, arg) leaves."""
-
-    def group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        f = Fold(int(key[0]))
-        for row in pdf.sort_values("op_seq").itertuples():
-            f.apply(row.op_seq, row.op, row.arg)
-        return f.frame()
-
-    return log.select("session_id", "op_seq", "op", "arg").groupBy("session_id").applyInPandas(group, STATE)
+    """The pages that each session's log (session_id, op_seq, op, arg) leaves. Without a session_id operations are a session
+    of their own; those with one number are applied by their op and arg."""
+    import pyarrow as pa
+
+    fields = ["session_id", "entry_id", "pos", "name", "selected"]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.bool_()]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], fields)
+
+    def task(batches):
+        now, done = None, []
+        for b in batches:
+            for session, seq, op, arg in zip(*(b.column(c).to_pylist() for c in ("session_id", "op_seq", "op", "arg"))):
+                if now is None or now.session_id != session:
+                    done += now.pages() if now else []
+                    now = Fold(session)
+                    if len(done) > 8192:
+                        yield batch(done)
+                        done = []
+                now.apply(seq, op, arg)
+        done += now.pages() if now else []
+        if done:
+            yield batch(done)
+
+    columns = log.select("session_id", "op_seq", "op", "arg")
+    return columns.repartition("session_id").sortWithinPartitions("session_id", "op_seq", "op", "arg").mapInArrow(task, STATE)

@@ -77,9 +77,9 @@ def export_files(pages: DataFrame, folder: str, ext: str = "png", base: str = "p
     return _published(pages.select("page_seq", "image"), folder, ext, base, start)
 
 
-def as_read(files: DataFrame) -> DataFrame:
+def as_read(files: DataFrame, by_path: bool = True) -> DataFrame:
     """Adds ``image`` to image files (path, name, content): unchanged, by the package's own decoder where it can, else by
-    Spark's image source. What neither can read has an ``error``."""
+    Spark's image source if path is where the file is. What neither can read has an ``error``."""
     from docraster.sources.files import decoded, images, plain
 
     def own(batches):
@@ -90,7 +90,7 @@ def as_read(files: DataFrame) -> DataFrame:
     image = "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
     first = files.select("path", "name", "content").where(N.extension("name") == ".png").mapInPandas(own, f"path string, {image}").where("image is not null")
     rest = files.select("path", "name").join(first.select("path"), "path", "left_anti")
-    paths = [r["path"] for r in rest.select("path").distinct().collect()]  # no more than Spark's own listing of them
+    paths = [r["path"] for r in rest.select("path").distinct().collect()] if by_path else []  # no more than Spark's own listing of them
     if paths:
         read = images(files.sparkSession, paths).where("error is null").select(plain("path").alias("at"), "image")
         other = rest.select("path", plain("path").alias("at")).join(read, "at").select("path", "image")
@@ -151,10 +151,12 @@ def export_pdf(pages: DataFrame, out_pdf: str, dpi: int = 300) -> str:
 
 def export_paths_pdf(files: DataFrame, out_pdf: str, dpi: int = 300) -> str:
     """One document of image files (page_seq, path, name, content) in order; JPEG files go in as they are, undecoded,
-    others are read by whatever codec they have."""
+    others are read by whatever codec they have (without a path, by the package's own alone)."""
+    by_path = "path" in files.columns
+    files = files if by_path else files.withColumn("path", F.col("name"))
     jpeg = F.substring("content", 1, 2) == F.unhex(F.lit("FFD8"))
     files = files.select("page_seq", "path", "name", "content")
-    read = as_read(files.where(~jpeg)).select("page_seq", "name", F.lit(None).cast("binary").alias("content"), "image", "error")
+    read = as_read(files.where(~jpeg), by_path).select("page_seq", "name", F.lit(None).cast("binary").alias("content"), "image", "error")
     image = "struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
     as_is = files.where(jpeg).select("page_seq", "name", "content", F.lit(None).cast(image).alias("image"), F.lit(None).cast("string").alias("error"))
 

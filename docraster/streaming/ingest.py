@@ -1,14 +1,11 @@
-"""Pages and session logs as streams: files are taken in small batches and appended; logs are folded with state."""
+"""Pages as streams: files are taken in small batches and appended, or written to numbered files."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docraster.functions import names as N
-from docraster.operators.session import STATE, Fold
 from docraster.sources import files
 
 CHUNK = 4
@@ -64,21 +61,7 @@ def to_files(spark: SparkSession, pages: DataFrame, folder: str, checkpoint: str
     return out.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def session_stream(log: DataFrame) -> DataFrame:
-    """Each session's pages after every batch of its log (session_id, op_seq, op, arg).
+def session_stream(log: DataFrame, **options) -> DataFrame:
+    from docraster.streaming.sessions import session_stream as stream
 
-    A batch is applied in the order of op_seq; what comes later with a number already passed is left out.
-    """
-    state_schema = "last long, entries array<string>, names array<string>, selected array<boolean>"
-
-    def group(key, batches, state: GroupState):
-        last, entries, names, selected = state.get if state.exists else (-1, [], [], [])
-        f = Fold(int(key[0]), [list(r) for r in zip(entries, names, selected)])
-        for row in pd.concat(list(batches)).sort_values("op_seq").itertuples():
-            if row.op_seq > last:
-                f.apply(row.op_seq, row.op, row.arg)
-                last = row.op_seq
-        state.update((int(last), [r[0] for r in f.rows], [r[1] for r in f.rows], [bool(r[2]) for r in f.rows]))
-        yield f.frame()
-
-    return log.groupBy("session_id").applyInPandasWithState(group, STATE, state_schema, "update", GroupStateTimeout.NoTimeout)
+    return stream(log, **options)
