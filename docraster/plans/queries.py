@@ -13,6 +13,7 @@ from docraster.functions import geometry as G
 from docraster.functions import names as N
 from docraster.functions import pixels as P
 from docraster.operators import fallback, presets, session
+from docraster.operators import raster as R
 from docraster.plans.ordering import numbered
 from docraster.sources import views as V
 from docraster.sources.views import duck
@@ -152,6 +153,148 @@ def box_blur(spark, d):
     return P.box_blur(V.pixels(spark, d), 8, 8)
 
 
+# --- neighbourhoods, lines, skew and perspective as plans --------------------------------------------------------
+
+
+def _side(k: str, border: str) -> str:
+    return f"least(7, greatest(0, {k}))" if border == "edge" else f"(CASE WHEN (({k}) % 14 + 14) % 14 < 8 THEN (({k}) % 14 + 14) % 14 ELSE 14 - (({k}) % 14 + 14) % 14 END)"
+
+
+def _correlated(name: str, source: str, taps: list[int], border: str = "reflect") -> str:
+    """SQL of the two passes: each pixel joins those that its taps meet."""
+    t = ", ".join(f"({i - len(taps) // 2}, {v})" for i, v in enumerate(taps))
+    return (
+        f"{name}_h AS MATERIALIZED (SELECT a.page, a.y, a.x, sum(b.p * t.w)::bigint AS h FROM {source} a, (VALUES {t}) AS t(k, w), {source} b WHERE b.page = a.page AND b.y = a.y AND b.x = {_side('a.x + t.k', border)} GROUP BY ALL), "
+        f"{name} AS MATERIALIZED (SELECT a.page, a.y, a.x, sum(b.h * t.w)::bigint AS total FROM {name}_h a, (VALUES {t}) AS t(k, w), {name}_h b WHERE b.page = a.page AND b.x = a.x AND b.y = {_side('a.y + t.k', border)} GROUP BY ALL)"
+    )
+
+
+_BLUR5 = _correlated("c5", "v_pixels", R.whole_taps(5, 1.1)) + ", blur5 AS MATERIALIZED (SELECT page, y, x, round_even(total / 16777216.0::double, 0)::int AS p FROM c5)"
+_SHARP = _correlated("c19", "v_pixels", R.whole_taps(19, 3.0)) + ", sharp AS MATERIALIZED (SELECT page, y, x, greatest(0, least(255, round_even((p * 50331648::bigint - total) / 33554432.0::double, 0)))::int AS p FROM v_pixels JOIN c19 USING (page, y, x))"
+
+
+@query(f"WITH {_BLUR5} SELECT page, y, x, p FROM blur5")
+def gaussian_blur(spark, d):
+    return R.blurred(V.pixels(spark, d))
+
+
+@query(f"WITH {_SHARP} SELECT page, y, x, p FROM sharp")
+def sharpen_pages(spark, d):
+    return R.sharpened(V.pixels(spark, d))
+
+
+@query(f"WITH {_SHARP}, {_correlated('c21', 'sharp', R.whole_taps(21, 3.5), 'edge')} SELECT page, y, x, CASE WHEN p > round_even(total / 16777216.0::double, 0) - 15 THEN 255 ELSE 0 END AS p FROM sharp JOIN c21 USING (page, y, x)")
+def black_and_white_pages(spark, d):
+    """Sharpened, then against the Gaussian mean of each pixel's block."""
+    return R.black_and_white(V.pixels(spark, d))
+
+
+#: Sizes that differ from page to page.
+_SMALL = "(3 + page % 5)::int AS th, (2 + page % 7)::int AS tw"
+
+
+def _small(spark, d) -> DataFrame:
+    e = V.table(spark, d, "embeddings")
+    return e.select(F.col("vec_id").alias("page"), F.lit(8).alias("height"), F.lit(8).alias("width"), (F.col("vec_id") % 5 + 3).cast("int").alias("to_height"), (F.col("vec_id") % 7 + 2).cast("int").alias("to_width"))
+
+
+@query(f"WITH s AS (SELECT *, {_SMALL} FROM v_pixels), t AS (SELECT page, ty, tx, p * (least((y+1)*th, (ty+1)*8) - greatest(y*th, ty*8)) * (least((x+1)*tw, (tx+1)*8) - greatest(x*tw, tx*8)) AS v FROM s, range(8) AS a(ty), range(8) AS b(tx) WHERE ty < th AND tx < tw AND least((y+1)*th, (ty+1)*8) > greatest(y*th, ty*8) AND least((x+1)*tw, (tx+1)*8) > greatest(x*tw, tx*8)) SELECT page, ty::int AS y, tx::int AS x, round_even(sum(v) / 64.0::double, 0)::int AS p FROM t GROUP BY ALL")
+def area_downscale(spark, d):
+    """Pages made smaller, each to a size of its own."""
+    return R.downscaled(V.pixels(spark, d), _small(spark, d))
+
+
+@query("WITH a AS (SELECT page, asset, n AS to_n, CASE WHEN n = 8 THEN 8 ELSE n END AS th FROM (SELECT DISTINCT page FROM v_pixels), (VALUES ('original', 8), ('current', 8), ('preview_original', 6), ('preview_current', 6), ('thumb', 3)) AS k(asset, n)), px AS (SELECT page, y, x, p, 'o' AS kind FROM v_pixels UNION ALL SELECT page, y, x, CASE WHEN p > 127 THEN 255 ELSE 0 END, 'c' FROM v_pixels), t AS (SELECT a.page, asset, th, ty, tx, p * (least((y+1)*th, (ty+1)*8) - greatest(y*th, ty*8)) * (least((x+1)*th, (tx+1)*8) - greatest(x*th, tx*8)) AS v FROM a JOIN px ON px.page = a.page AND kind = CASE WHEN asset LIKE '%original' THEN 'o' ELSE 'c' END, range(8) AS f(ty), range(8) AS g(tx) WHERE ty < th AND tx < th AND least((y+1)*th, (ty+1)*8) > greatest(y*th, ty*8) AND least((x+1)*th, (tx+1)*8) > greatest(x*th, tx*8)), m AS (SELECT page, asset, th, ty, tx, round_even(sum(v) / 64.0::double, 0)::int AS p FROM t GROUP BY ALL) SELECT page, asset, th AS height, th AS width, sum(p)::bigint AS total FROM m GROUP BY ALL")
+def page_assets_shrunk(spark, d):
+    """The five assets of each page with limits that really shrink it: 6 x 6 previews and a 3 x 3 thumbnail."""
+    px, sizes = V.pixels(spark, d), V.table(spark, d, "embeddings").select(F.col("vec_id").alias("page"))
+    current = px.withColumn("p", P.threshold(F.col("p"), F.lit(127)))
+    fit = lambda most: sizes.select("page", F.lit(8).alias("height"), F.lit(8).alias("width"), G.fitted(F.lit(8), F.lit(8), most, most).alias("f")).select("page", "height", "width", F.col("f.height").alias("to_height"), F.col("f.width").alias("to_width"))
+    out = None
+    for asset, own, most in (("original", px, 1920), ("current", current, 1920), ("preview_original", px, 6), ("preview_current", current, 6), ("thumb", current, 3)):
+        made = own if most > 8 else R.downscaled(own, fit(most))
+        part = made.groupBy("page").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).cast("int").alias("width"), F.sum("p").alias("total")).withColumn("asset", F.lit(asset))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+_TRIG = "g AS (SELECT a::int AS angle, round(cos(radians(a)) * 65536)::bigint AS c, round(sin(radians(a)) * 65536)::bigint AS s FROM range(180) AS r(a))"
+_VOTES = f"{_TRIG}, votes AS MATERIALIZED (SELECT page, angle, ((x * c + y * s + 32768) >> 16)::int AS rho, count(*) AS n FROM v_pixels, g WHERE p > 150 GROUP BY ALL)"
+_PEAKS = f"{_VOTES}, peaks AS MATERIALIZED (SELECT v.page, v.angle, v.rho, v.n FROM votes v LEFT JOIN votes a ON a.page = v.page AND a.angle = v.angle AND a.rho = v.rho - 1 LEFT JOIN votes b ON b.page = v.page AND b.angle = v.angle AND b.rho = v.rho + 1 LEFT JOIN votes c ON c.page = v.page AND c.rho = v.rho AND c.angle = v.angle - 1 LEFT JOIN votes e ON e.page = v.page AND e.rho = v.rho AND e.angle = v.angle + 1 WHERE v.n > coalesce(a.n, 0) AND v.n >= coalesce(b.n, 0) AND v.n > coalesce(c.n, 0) AND v.n >= coalesce(e.n, 0))"
+#: A ladder for pages of 8 x 8.
+_LADDER = ((5, 0.7), (4, 0.5), (2, 0.3))
+_LINES = f"{_PEAKS}, st AS (SELECT page, CASE WHEN count(*) FILTER (n > 5) >= 4 THEN 0 WHEN count(*) FILTER (n > 4) >= 4 THEN 1 WHEN count(*) FILTER (n > 2) >= 4 THEN 2 END AS step FROM peaks GROUP BY page), ln AS (SELECT page, step, angle, rho, n FROM peaks JOIN st USING (page) WHERE n > CASE step WHEN 0 THEN 5 WHEN 1 THEN 4 WHEN 2 THEN 2 END)"
+
+
+def _edges(spark, d) -> DataFrame:
+    return V.pixels(spark, d).where("p > 150").select("page", "y", "x")
+
+
+@query(f"WITH {_VOTES} SELECT page, angle, rho, n FROM votes")
+def hough_votes(spark, d):
+    return R.hough_votes(_edges(spark, d))
+
+
+@query(f"WITH {_LINES} SELECT page, step, angle, rho, n FROM ln")
+def hough_lines(spark, d):
+    """Peaks of votes, at the first step of a ladder that leaves a page four lines."""
+    sizes = _small(spark, d)
+    return R.hough_lines(R.hough_peaks(R.hough_votes(_edges(spark, d))), sizes, _LADDER).select("page", "step", "angle", "rho", "n")
+
+
+@query(f"""WITH {_LINES},
+k AS (SELECT *, radians(angle::double) AS t, CASE WHEN angle < 30 OR angle > 150 THEN 'v' WHEN angle > 60 AND angle < 120 THEN 'h' END AS kind FROM ln),
+e AS (SELECT *, CASE WHEN kind = 'v' THEN round((rho - 4 * sin(t)) / cos(t), 6) ELSE round((rho - 4 * cos(t)) / sin(t), 6) END AS pos FROM k WHERE kind IS NOT NULL),
+c AS (SELECT page FROM e GROUP BY page HAVING count(*) FILTER (kind = 'v') >= 2 AND count(*) FILTER (kind = 'h') >= 2),
+o AS (SELECT page, kind, row_number() OVER (PARTITION BY page, kind ORDER BY pos, -n, angle, rho) AS lo, row_number() OVER (PARTITION BY page, kind ORDER BY -pos, -n, angle, rho) AS hi, rho, t FROM e JOIN c USING (page)),
+m AS (SELECT a.page, round((a.rho * sin(b.t) - b.rho * sin(a.t)) / d, 6) AS x, round((b.rho * cos(a.t) - a.rho * cos(b.t)) / d, 6) AS y, d
+      FROM o a JOIN o b ON a.page = b.page AND a.kind = 'h' AND b.kind = 'v', LATERAL (SELECT cos(a.t) * sin(b.t) - sin(a.t) * cos(b.t) AS d) WHERE (a.lo = 1 OR a.hi = 1) AND (b.lo = 1 OR b.hi = 1)),
+z AS (SELECT page, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(x + y) AS tl, max(x + y) AS br, min(y - x) AS tr, max(y - x) AS bl FROM m GROUP BY page HAVING count(*) = 4 AND min(abs(d)) >= 1e-6)
+SELECT page, round(tl, 3) AS tl, round(br, 3) AS br, round(tr, 3) AS tr, round(bl, 3) AS bl FROM z WHERE x0 >= -0.15 * 8 AND x1 <= 1.15 * 8 AND y0 >= -0.15 * 8 AND y1 <= 1.15 * 8""")
+def hough_quads(spark, d):
+    """Sums and differences of the corners between outermost lines; of any area, as pages of 8 x 8 are small."""
+    lines = R.hough_lines(R.hough_peaks(R.hough_votes(_edges(spark, d))), _small(spark, d), _LADDER)
+    q = R.line_quads(lines, least_area=-1.0)
+    at = lambda i, c: F.round(F.get("quad", F.lit(i))[c], 6)
+    return q.select("page", F.round(at(0, "x") + at(0, "y"), 3).alias("tl"), F.round(at(2, "x") + at(2, "y"), 3).alias("br"), F.round(at(1, "y") - at(1, "x"), 3).alias("tr"), F.round(at(3, "y") - at(3, "x"), 3).alias("bl"))
+
+
+#: Pages turned by shearing; hull sides are the pairs of points that have all others on one side.
+_DARK = f"""{_BLUR5}, hist AS (SELECT page, p, count(*) AS n FROM blur5 GROUP BY page, p), cum AS (SELECT page, p, sum(n) OVER (PARTITION BY page ORDER BY p) AS w0, sum(n*p) OVER (PARTITION BY page ORDER BY p) AS s0, sum(n) OVER (PARTITION BY page) AS w, sum(n*p) OVER (PARTITION BY page) AS s FROM hist),
+lv AS (SELECT page, arg_min(p, ROW(-v, p)) AS level, count(*) AS colours FROM (SELECT page, p, CASE WHEN w0 < w THEN ((s0*w - s*w0)::double * (s0*w - s*w0)::double) / (w0::double * (w - w0)::double) ELSE 0 END AS v FROM cum) GROUP BY page),
+pts AS MATERIALIZED (SELECT DISTINCT page, x::bigint AS x, y::bigint AS y FROM (SELECT page, y, unnest([min(x), max(x)]) AS x FROM blur5 JOIN lv USING (page) WHERE p <= level AND colours > 1 GROUP BY page, y)),
+sides AS (SELECT a.page, b.x - a.x AS dx, b.y - a.y AS dy FROM pts a JOIN pts b ON a.page = b.page AND (a.x <> b.x OR a.y <> b.y) JOIN pts c ON c.page = a.page GROUP BY a.page, a.x, a.y, b.x, b.y HAVING min((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)) >= 0),
+box AS (SELECT s.page, dx, dy, (max(x*dy - y*dx) - min(x*dy - y*dx))::double * (max(x*dx + y*dy) - min(x*dx + y*dy))::double / (dx*dx + dy*dy)::double AS size, degrees(atan2(dy::double, dx::double)) AS deg FROM sides s JOIN pts USING (page) GROUP BY s.page, dx, dy),
+turned AS (SELECT page, round(size, 6) AS size, round(deg - 90 * ceil((deg - 45) / 90), 6) AS angle FROM box),
+ang AS (SELECT p.page, coalesce(t.angle, 0.0::double) AS angle FROM (SELECT DISTINCT page FROM v_pixels) p LEFT JOIN (SELECT page, arg_min(angle, ROW(size, abs(angle), angle)) AS angle FROM turned GROUP BY page) t USING (page))"""
+
+
+@query(f"WITH {_DARK} SELECT page, round(angle, 3) AS angle FROM ang")
+def skew_angles(spark, d):
+    """How far the smallest box around each page's dark pixels is turned."""
+    return R.page_angles(V.pixels(spark, d)).select("page", F.round("angle", 3).alias("angle"))
+
+
+#: Corners within pages of 8 x 8, ordered and never degenerate.
+_QUAD8 = "q8 AS (SELECT DISTINCT page, (page % 3)::double AS x0, (page % 2)::double AS y0, (6 + page % 2)::double AS x1, (page % 4) / 2.0::double AS y1, (5 + page % 3)::double AS x2, (6 + page % 3)::double AS y2, (page % 2)::double AS x3, (5 + page % 2)::double AS y3 FROM v_pixels)"
+
+
+@query(f"""WITH {_QUAD8},
+k AS (SELECT *, greatest(1, trunc(greatest(sqrt((x1-x0)*(x1-x0)+(y1-y0)*(y1-y0)), sqrt((x2-x3)*(x2-x3)+(y2-y3)*(y2-y3)))))::int AS tw, greatest(1, trunc(greatest(sqrt((x3-x0)*(x3-x0)+(y3-y0)*(y3-y0)), sqrt((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)))))::int AS th,
+      x0-x1+x2-x3 AS sx, y0-y1+y2-y3 AS sy, x1-x2 AS dx1, x3-x2 AS dx2, y1-y2 AS dy1, y3-y2 AS dy2 FROM q8),
+m AS (SELECT *, (sx*dy2 - dx2*sy) / (dx1*dy2 - dx2*dy1) AS g, (dx1*sy - sx*dy1) / (dx1*dy2 - dx2*dy1) AS h FROM k),
+t AS (SELECT m.*, ty, tx, tx / greatest(1, tw - 1)::double AS u, ty / greatest(1, th - 1)::double AS v FROM m, range(20) AS a(ty), range(20) AS b(tx) WHERE ty < th AND tx < tw),
+s AS (SELECT page, ty, tx, floor(((x1-x0+g*x1)*u + (x3-x0+h*x3)*v + x0) / (g*u + h*v + 1) * 32 + 0.5 + 1e-9)::bigint AS sx, floor(((y1-y0+g*y1)*u + (y3-y0+h*y3)*v + y0) / (g*u + h*v + 1) * 32 + 0.5 + 1e-9)::bigint AS sy FROM t),
+f AS (SELECT page, ty, tx, floor(sy / 32.0::double)::int + i AS y, floor(sx / 32.0::double)::int + j AS x, (CASE i WHEN 0 THEN 32 - ((sy % 32) + 32) % 32 ELSE ((sy % 32) + 32) % 32 END) * (CASE j WHEN 0 THEN 32 - ((sx % 32) + 32) % 32 ELSE ((sx % 32) + 32) % 32 END) AS w FROM s, (VALUES (0), (1)) AS c(i), (VALUES (0), (1)) AS e(j))
+SELECT f.page, ty::int AS y, tx::int AS x, round_even(sum(coalesce(p, 0) * w) / 1024.0::double, 0)::int AS p FROM f LEFT JOIN v_pixels b ON b.page = f.page AND b.y = f.y AND b.x = f.x GROUP BY f.page, ty, tx""")
+def warp_pages(spark, d):
+    """Each page inside four corners of its own, straightened."""
+    k = F.col("vec_id")
+    pt = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    quad = F.array(pt(k % 3, k % 2), pt(k % 2 + 6, (k % 4) / 2), pt(k % 3 + 5, k % 3 + 6), pt(k % 2, k % 2 + 5))
+    return R.straightened(V.pixels(spark, d), V.table(spark, d, "embeddings").select(k.alias("page"), quad.alias("quad")))
+
+
 # --- geometry -------------------------------------------------------------------------------------------------
 
 _ORDERED = "o AS (SELECT page, arg_min(x, (x+y)*10+i) AS tlx, arg_min(y, (x+y)*10+i) AS tly, arg_min(x, (y-x)*10+i) AS trx, arg_min(y, (y-x)*10+i) AS try_, arg_min(x, -(x+y)*10+i) AS brx, arg_min(y, -(x+y)*10+i) AS bry, arg_min(x, -(y-x)*10+i) AS blx, arg_min(y, -(y-x)*10+i) AS bly FROM v_quads GROUP BY page)"
@@ -287,9 +430,10 @@ def exit_status(spark, d):
     return ok.select("ok", F.when(F.col("ok"), 0).otherwise(1).alias("exit_code"))
 
 
-@query("SELECT page % 10 AS session_id, round(avg(p - 127.5), 3) AS mean_angle, printf('%.1f', round(avg(p - 127.5), 3)) AS shown FROM v_pixels WHERE y = 0 AND x = 0 GROUP BY 1")
+@query(f"WITH {_DARK} SELECT page % 10 AS session_id, round(avg(angle), 3) AS mean_angle, printf('%.1f', round(avg(angle), 3)) AS shown FROM ang GROUP BY 1")
 def mean_deskew(spark, d):
-    a = V.pixels(spark, d).where("y = 0 AND x = 0").groupBy((F.col("page") % 10).alias("session_id")).agg(F.round(F.avg(F.col("p") - 127.5), 3).alias("mean_angle"))
+    """The mean of the pages' skew angles."""
+    a = R.page_angles(V.pixels(spark, d)).groupBy((F.col("page") % 10).alias("session_id")).agg(F.round(F.avg("angle"), 3).alias("mean_angle"))
     return a.withColumn("shown", F.format_string("%.1f", "mean_angle"))
 
 
