@@ -6,6 +6,7 @@ a lost executor costs a retry and never a result.
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import os
 import tempfile
@@ -33,10 +34,26 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_SCRATCH: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables that are kept within are deleted at the end; nothing that is lazy may need them any longer."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            removed(spark, path)
+
+
 def kept(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Writes df once to the shared folder (or to a path in it) and reads it back, which cuts its lineage."""
     spark = df.sparkSession
     path = path or shared_folder(spark, name)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -26,10 +26,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docraster.llm.shared import batches_of, hub_join, kept, lean
+from docraster.llm.shared import batches_of, filesystem, hub_join, kept, lean, scratch, shared_folder, write_file
 
 _LOWER = bytes(range(0x41)) + bytes(range(0x61, 0x7B)) + bytes(range(0x5B, 256))
 SEED, SHINGLE, DISTANCE = 42, 3, 3
@@ -296,21 +297,89 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return named.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+#: Rows that one bitmap tells of.
+SPAN = 1 << 20
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """d (the whole row), file (a 64-bit hash of its path) and at (the row's place in it). Rows of Parquet files are known by
+    where they lie; other tables are written first."""
+    plan, plain = [docs._jdf.queryExecution().analyzed()], True
+    while plan:  # a place is a row's own only if nothing multiplies rows
+        node = plan.pop()
+        plain = plain and node.nodeName().split(" ")[0] in ("Relation", "LogicalRelation", "Project", "Filter", "SubqueryAlias")
+        plan += [node.children().apply(i) for i in range(node.children().size())]
+
+    def placed(df: DataFrame) -> DataFrame:
+        where = df.metadataColumn("_metadata")
+        return df.select(F.struct("*").alias("d"), F.xxhash64(where["file_path"]).alias("file"), where["row_index"].alias("at"))
+
+    try:
+        if plain:
+            return placed(docs)
+    except AnalysisException:  # no files, or none that number their rows
+        pass
+    return placed(kept(docs, "documents"))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents, whole, of which one of each component stays: that with the smallest doc_id (of several, by two
     hashes of the text; of rows equal in all that, the one whose other columns come first as text).
 
-    A row is known by its doc_id and text, so documents are read a second time to be handed on, and only those two
-    tell which go. Documents are shuffled once for it.
+    A document is known by its file and its place in it, and no text is shuffled: what goes is told by a bitmap for each
+    million rows of a file, and documents are read a second time and filtered where they lie.
     """
-    text = F.coalesce("text", F.lit(""))
-    name = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(17), text).alias("t2")).alias("id")
-    prints = kept(fingerprints(docs.select(name, "text")), "fingerprints")
-    groups = grouped(prints)
-    rows = kept(hub_join(prints, groups, "fp").groupBy("id", "component").agg(F.count("*").alias("n")), "named")
-    gone = kept(rows.where("id <> component").select("id"), "gone")
-    again = kept(rows.where("id = component and n > 1").select("id"), "repeated")
-    # a merge at every size: what a shuffle of the documents takes then grows with them, and no faster
-    whole = docs.select(name, F.struct("*").alias("d")).join(gone.hint("merge"), "id", "left_anti")
-    single = whole.join(again, "id", "left_anti").select("d")
-    return single.unionAll(whole.join(again, "id", "left_semi").groupBy("id").agg(F.min_by("d", F.to_json("d")).alias("d")).select("d")).select("d.*")
+    spark = docs.sparkSession
+    rows = located(docs)
+    part = lambda c: F.col("d").getField(c)
+    text = F.coalesce(part("text"), F.lit(""))
+    name = F.struct(part("doc_id").isNull().alias("none"), F.coalesce(part("doc_id").cast("long"), F.lit(0)).alias("doc"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(17), text).alias("t2")).alias("id")
+    others = [part(c) for c in docs.columns if c.lower() not in ("doc_id", "text")]
+    other = F.to_json(F.struct(*(c.alias(f"c{i}") for i, c in enumerate(others)))) if others else F.lit("")
+    bitmaps = shared_folder(spark, "gone")
+    with scratch(spark):
+        prints = kept(fingerprints(rows.select(name, "file", "at", other.alias("other"), part("text").alias("text"))), "fingerprints")
+        named = kept(hub_join(prints, grouped(prints), "fp").select("id", "component", "file", "at", "other"), "named")
+        first = named.where("id = component")
+        row = F.struct("other", "file", "at")
+        several = kept(first.groupBy("id").agg(F.min(row).alias("stays"), F.count("*").alias("n")).where("n > 1"), "several")
+        extra = hub_join(first, several, "id").where(row != F.col("stays")).select("file", "at")
+        gone = named.where("id <> component").select("file", "at").unionByName(extra)
+
+        def marked(key, table):
+            file, span = (k.as_py() for k in key)
+            bits = np.zeros(SPAN, bool)
+            bits[np.asarray(table.column("at"), np.int64) - span * SPAN] = True
+            write_file(f"{bitmaps}/{file}/{span}", [np.packbits(bits).tobytes()])
+            return pa.table({"file": pa.array([file], pa.int64())})
+
+        gone.withColumn("span", F.floor(F.col("at") / SPAN)).groupBy("file", "span").applyInArrow(marked, "file long").count()
+
+    def stay(batches):
+        from pyarrow import fs
+
+        told: dict[tuple[int, int], np.ndarray | None] = {}
+
+        def bitmap(file: int, span: int) -> np.ndarray | None:
+            if (file, span) not in told:
+                told.clear()  # a task goes through its files one after another
+                where, path = filesystem(f"{bitmaps}/{file}/{span}")
+                if where.get_file_info(path).type == fs.FileType.NotFound:
+                    told[file, span] = None
+                else:
+                    with where.open_input_stream(path, compression=None) as src:
+                        told[file, span] = np.unpackbits(np.frombuffer(src.read(), np.uint8)).astype(bool)
+            return told[file, span]
+
+        for batch in batches:
+            file, at = (np.asarray(batch.column(c), np.int64) for c in ("file", "at"))
+            keep, begin = np.ones(len(at), bool), 0
+            turns = np.flatnonzero((np.diff(file) != 0) | (np.diff(at // SPAN) != 0)) + 1
+            for end in [*turns.tolist(), len(at)]:
+                if end > begin and (bits := bitmap(int(file[begin]), int(at[begin] // SPAN))) is not None:
+                    keep[begin:end] = ~bits[at[begin:end] % SPAN]
+                begin = end
+            whole = batch.column("d") if keep.all() else batch.column("d").filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays(whole.flatten(), [f.name for f in whole.type])
+
+    return rows.mapInArrow(lean(stay), docs.schema)
