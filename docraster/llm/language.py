@@ -249,11 +249,12 @@ def train(docs: DataFrame, path: str, rows: int = SAMPLE_ROWS, chars: int = SAMP
     known = docs.where(~fold(4) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     rows = min(rows, max(1, in_all // max(1, len(sizes))))
-    u = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
+    by = F.xxhash64("doc_id", F.lit(5), F.when(F.col("doc_id").isNull(), F.col("text")))  # rows without an id draw by their text
+    u = F.pmod(by, F.lit(1 << 30)) / float(1 << 30)
     rate = F.lit(0.0)
     for lang, n in sizes.items():
         rate = F.when(F.col("lang") == lang, F.lit(min(1.0, rows / n))).otherwise(rate)
-    picked = known.where(u < rate).select("lang", excerpt(F.col("text"), chars, F.col("doc_id")).alias("text")).limit(2 * in_all).collect()
+    picked = known.where(u < rate).select("lang", excerpt(F.col("text"), chars, F.col("doc_id")).alias("text"), u.alias("u")).orderBy("u", "lang", "text").limit(2 * in_all).collect()
     model = fit(sorted((r["lang"], r["text"]) for r in picked), path)
     hand_back()
     return model
