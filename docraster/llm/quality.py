@@ -16,6 +16,7 @@ unless another name is asked for.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -111,9 +112,12 @@ class Net:
 
     def forward(self, x: np.ndarray, bounds: np.ndarray):
         """Logit of each text from its passages, and what the gradient needs."""
+        return self.attended(np.tanh(x @ self.p["w"] + self.p["b"]), bounds)
+
+    def attended(self, h: np.ndarray, bounds: np.ndarray):
+        """The same from encoded passages."""
         p, first = self.p, bounds[:-1]
         n = np.diff(bounds)
-        h = np.tanh(x @ p["w"] + p["b"])
         v, u = np.tanh(h @ p["v"]), 0.5 + 0.5 * np.tanh(0.5 * (h @ p["u"]))
         e = (v * u) @ p["a"]
         a = np.exp(e - np.repeat(np.maximum.reduceat(e, first), n))
@@ -137,12 +141,20 @@ class Net:
         return {k: g[k] + decay * p[k] * (k != "bias") for k in p}
 
     def score(self, texts: pa.Array) -> np.ndarray:
-        """Rounded to nine digits, so that the order in which products are summed up cannot show."""
+        """In double precision, rounded to nine digits: the order in which products are summed up changes a score by some
+        10^-15, so it does not show."""
         x, bounds = passages(texts)
         if len(bounds) == 1:
             return np.zeros(0)
-        logit, _ = self.forward((x - self.mean) / self.scale, bounds)
-        return np.round(1 / (1 + np.exp(-np.clip(logit.astype(np.float64), -500, 500))), 9)
+        p, mean = self.exact.p, self.mean.astype(np.float64)
+        h = np.concatenate([np.tanh((x[i : i + 8192] - mean) / self.scale @ p["w"] + p["b"]) for i in range(0, len(x), 8192)])
+        logit, _ = self.exact.attended(h, bounds)
+        return np.round(1 / (1 + np.exp(-np.clip(logit, -500, 500))), 9)
+
+    @functools.cached_property
+    def exact(self) -> Net:
+        """The same network in double precision."""
+        return Net(self.mean, self.scale, {k: v.astype(np.float64) for k, v in self.p.items()})
 
 
 def fit(sample: list[tuple[str, int]], share: float, seed: int = 5, batch: int = 256, epochs: int = 40, rate: float = 0.01) -> Net | None:
