@@ -186,36 +186,113 @@ def chain(points: Column) -> Column:
     return F.aggregate(points, F.array().cast(kind), step)
 
 
-def hulls(points: DataFrame) -> DataFrame:
-    """page and hull: the convex hull of each page's points (page, y, x), of which only the outermost of each row are
-    gathered; one or two points are their own hull."""
-    rows = points.groupBy("page", "y").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
-    ends = rows.select("page", F.explode(F.array_distinct(F.array(*(F.struct(F.col(c).cast("long").alias("x"), F.col("y").cast("long").alias("y")) for c in ("x0", "x1"))))).alias("p"))
-    page = ends.groupBy("page").agg(F.array_sort(F.collect_list("p")).alias("pts"))
+def hulls(points: DataFrame, keys: Sequence[str] = ("page",)) -> DataFrame:
+    """hull: the convex hull of the points (x, y) of each page, or of whatever ``keys`` name; only the outermost of each
+    row are gathered. One or two points are their own hull."""
+    rows = points.groupBy(*keys, "y").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
+    ends = rows.select(*keys, F.explode(F.array_distinct(F.array(*(F.struct(F.col(c).cast("long").alias("x"), F.col("y").cast("long").alias("y")) for c in ("x0", "x1"))))).alias("p"))
+    page = ends.groupBy(*keys).agg(F.array_sort(F.collect_list("p")).alias("pts"))
     low, high = chain(F.col("pts")), chain(F.reverse("pts"))
-    page = page.select("page", low.alias("low"), high.alias("high"))
+    page = page.select(*keys, low.alias("low"), high.alias("high"))
     inner = lambda c: F.slice(c, F.lit(1), F.greatest(F.lit(1), F.size(c) - 1))
-    return page.select("page", F.array_distinct(F.concat(inner("low"), inner("high"))).alias("hull"))
+    return page.select(*keys, F.array_distinct(F.concat(inner("low"), inner("high"))).alias("hull"))
 
 
-def skew_angles(points: DataFrame) -> DataFrame:
-    """page and angle in (-45, 45]: how far the smallest box around each page's points is turned. One of its sides lies
-    along a side of the hull; of equal boxes the one turned least counts, clockwise first. Zero for a single point."""
+def smallest_boxes(points: DataFrame, keys: Sequence[str] = ("page",)) -> DataFrame:
+    """The smallest box around each page's points (or of each of ``keys``): size, angle in (-45, 45] and its four corners.
+    One of its sides lies along a side of the hull; of equal boxes the one turned least counts, clockwise first. A
+    single point is a box of size and angle zero."""
     hull = F.col("hull")
     n = F.size(hull)
 
     def box(i: Column) -> Column:
         a, b = F.get(hull, i), F.get(hull, F.when(i + 1 < n, i + 1).otherwise(F.lit(0)))
         dx, dy = b["x"] - a["x"], b["y"] - a["y"]
-        spread = lambda f: F.array_max(F.transform(hull, f)) - F.array_min(F.transform(hull, f))
-        across, along = spread(lambda p: p["x"] * dy - p["y"] * dx), spread(lambda p: p["x"] * dx + p["y"] * dy)
-        size = across.cast("double") * along.cast("double") / (dx * dx + dy * dy).cast("double")
+        across = F.transform(hull, lambda p: p["y"] * dx - p["x"] * dy)
+        along = F.transform(hull, lambda p: p["x"] * dx + p["y"] * dy)
+        u0, u1, v0, v1 = F.array_min(along), F.array_max(along), F.array_min(across), F.array_max(across)
+        square = (dx * dx + dy * dy).cast("double")
         deg = F.degrees(F.atan2(dy.cast("double"), dx.cast("double")))
         folded = F.round(deg - 90 * F.ceil((deg - 45) / 90), 6)
-        return F.struct(F.round(size, 6).alias("size"), F.abs(folded).alias("least"), folded.alias("angle"))
+        corner = lambda u, v: F.struct(((u * dx - v * dy) / square).alias("x"), ((u * dy + v * dx) / square).alias("y"))
+        size = (u1 - u0).cast("double") * (v1 - v0).cast("double") / square
+        return F.struct(F.round(size, 6).alias("size"), F.abs(folded).alias("least"), folded.alias("angle"), F.array(corner(u0, v0), corner(u1, v0), corner(u1, v1), corner(u0, v1)).alias("corners"))
 
     best = F.array_min(F.transform(F.sequence(F.lit(0), n - 1), box))
-    return hulls(points).select("page", F.when(n > 1, best["angle"]).otherwise(F.lit(0.0)).alias("angle"))
+    point = F.get(hull, F.lit(0))
+    spot = F.struct(point["x"].cast("double").alias("x"), point["y"].cast("double").alias("y"))
+    single = F.struct(F.lit(0.0).alias("size"), F.lit(0.0).alias("least"), F.lit(0.0).alias("angle"), F.array(spot, spot, spot, spot).alias("corners"))
+    found = hulls(points, keys).withColumn("box", F.when(n > 1, best).otherwise(single))
+    return found.select(*keys, "box.size", "box.angle", "box.corners")
+
+
+def skew_angles(points: DataFrame) -> DataFrame:
+    """page and angle: how far the smallest box around each page's points is turned."""
+    return smallest_boxes(points).select("page", "angle")
+
+
+# --- outlines -------------------------------------------------------------------------------------------------
+
+
+def runs(mask: DataFrame) -> DataFrame:
+    """page, run, y, x0, x1: the unbroken runs of set pixels (page, y, x) of each row. A run's number grows with its place."""
+    rank = F.row_number().over(W.partitionBy("page", "y").orderBy("x"))
+    found = mask.select("page", "y", "x", (F.col("x") - rank).alias("g")).groupBy("page", "y", "g").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
+    return found.select("page", (F.shiftleft(F.col("y").cast("long"), 32) + F.col("x0")).alias("run"), "y", "x0", "x1")
+
+
+def labelled(found: DataFrame, corners: bool) -> DataFrame:
+    """Runs with ``root``, the number of their component's first run; with ``corners`` pixels that touch there are joined, too.
+
+    Every run takes the least number among its neighbours' and then that run's own, until none changes; each step is
+    kept, so a lost executor costs one.
+    """
+    from docraster.plans.ordering import settled
+
+    found = settled(found)
+    e = 1 if corners else 0
+    a, b = found.select("page", F.col("run").alias("a"), (F.col("y") + 1).alias("y"), F.col("x0").alias("a0"), F.col("x1").alias("a1")), found.select("page", F.col("run").alias("b"), "y", "x0", "x1")
+    meet = a.join(b, ["page", "y"]).where((F.col("a0") <= F.col("x1") + e) & (F.col("x0") <= F.col("a1") + e)).select("page", "a", "b")
+    near = settled(meet.union(meet.select("page", "b", "a")))
+    label = found.select("page", "run", F.col("run").alias("root"))
+    while True:
+        best = near.join(label.select("page", F.col("run").alias("b"), F.col("root").alias("r")), ["page", "b"]).groupBy("page", F.col("a").alias("run")).agg(F.min("r").alias("r"))
+        moved = label.join(best, ["page", "run"], "left").select("page", "run", F.col("root").alias("old"), F.least("root", F.coalesce("r", "root")).alias("root"))
+        of = moved.select("page", F.col("run").alias("root"), F.col("root").alias("next"))
+        step = settled(moved.join(of, ["page", "root"]).select("page", "run", "old", F.col("next").alias("root")))
+        label = step.select("page", "run", "root")
+        if not step.where("old <> root").take(1):
+            return found.join(label, ["page", "run"])
+
+
+def outlines(mask: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The outer outlines of all components of set pixels (which may touch at corners), and the inner ones around their
+    holes. First page, kind (outer or hole), root, n pixels and bounds x0, x1, y0, y1 of what each encloses; then points
+    (page, kind, root, y, x) whose hull is the outline's. sizes: page, height, width."""
+    whole = labelled(runs(mask), True).withColumn("kind", F.lit("outer"))
+    every = sizes.select("page", "height", "width", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y")).select("page", "height", "width", "y", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"))
+    ground = labelled(runs(every.join(mask.select("page", "y", "x"), ["page", "y", "x"], "left_anti")), False).join(sizes.select("page", "height", "width"), "page")
+    edge = (F.col("y") == 0) | (F.col("y") == F.col("height") - 1) | (F.col("x0") == 0) | (F.col("x1") == F.col("width") - 1)
+    outside = ground.groupBy("page", "root").agg(F.bool_or(edge).alias("outside")).where("not outside").select("page", "root")
+    holes = ground.join(outside, ["page", "root"]).select("page", "run", "y", "x0", "x1", "root", F.lit("hole").alias("kind"))
+    both = whole.select(*holes.columns).unionByName(holes)
+    about = both.groupBy("page", "kind", "root").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("n"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    pt = lambda dy, x: F.struct((F.col("y") + dy).alias("y"), x.alias("x"))
+    x0, x1 = F.col("x0"), F.col("x1")
+    # an inner outline runs over the pixels around the hole
+    ends = F.when(F.col("kind") == "outer", F.array(pt(0, x0), pt(0, x1))).otherwise(F.array(pt(0, x0 - 1), pt(0, x1 + 1), pt(-1, x0), pt(-1, x1), pt(1, x0), pt(1, x1)))
+    return about, both.select("page", "kind", "root", F.explode(ends).alias("p")).select("page", "kind", "root", "p.y", "p.x")
+
+
+def best_rectangles(mask: DataFrame, sizes: DataFrame, least_area: float = G.LEAST_AREA) -> DataFrame:
+    """page, quad and score: of the smallest boxes around each page's outlines, inner ones too, that with the best score;
+    the first in its page, if tied. Boxes below ``least_area`` of the page are left out."""
+    _, points = outlines(mask, sizes)
+    found = smallest_boxes(points, ("page", "kind", "root")).join(sizes.select("page", "height", "width"), "page")
+    area = F.col("height") * F.col("width").cast("double")
+    found = found.where(F.col("size") >= least_area * area).withColumn("quad", G.order_quad(F.col("corners")))
+    scored = found.withColumn("score", F.round(G.contour_score(F.col("quad"), area), 6))
+    return scored.groupBy("page").agg(F.min_by("quad", F.struct(-F.col("score"), "root", "kind")).alias("quad"), F.max("score").alias("score"))
 
 
 def dark(px: DataFrame) -> DataFrame:

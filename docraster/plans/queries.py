@@ -275,6 +275,39 @@ def skew_angles(spark, d):
     return R.page_angles(V.pixels(spark, d)).select("page", F.round("angle", 3).alias("angle"))
 
 
+#: Components by what each pixel reaches: set pixels by all eight neighbours, the ground by four.
+_PARTS = """WITH RECURSIVE m AS MATERIALIZED (SELECT page, y, x, y * 8 + x AS i, p > 140 AS s FROM v_pixels),
+reach(page, s, i, j) AS (SELECT page, s, i, i FROM m UNION SELECT r.page, r.s, r.i, b.i FROM reach r JOIN m a ON a.page = r.page AND a.i = r.j JOIN m b ON b.page = a.page AND b.s = a.s AND abs(b.y - a.y) <= 1 AND abs(b.x - a.x) <= 1 AND (a.s OR abs(b.y - a.y) + abs(b.x - a.x) = 1)),
+root AS (SELECT page, s, i, min(j) AS root FROM reach GROUP BY page, s, i),
+part AS (SELECT page, CASE WHEN s THEN 'outer' ELSE 'hole' END AS kind, root, i // 8 AS y, i % 8 AS x, min(least(i // 8, 7 - i // 8, i % 8, 7 - i % 8)) OVER (PARTITION BY page, s, root) AS rim, s FROM root),
+own AS MATERIALIZED (SELECT page, kind, root, y, x FROM part WHERE s OR rim > 0)"""
+
+
+def _mask(spark, d) -> tuple[DataFrame, DataFrame]:
+    return V.pixels(spark, d).where("p > 140").select("page", "y", "x"), _small(spark, d).select("page", "height", "width")
+
+
+@query(f"{_PARTS} SELECT page, kind, root::bigint AS root, count(*) AS n, min(x)::int AS x0, max(x)::int AS x1, min(y)::int AS y0, max(y)::int AS y1 FROM own GROUP BY page, kind, root")
+def page_outlines(spark, d):
+    """What each page's outlines enclose, those around holes too."""
+    about, _ = R.outlines(*_mask(spark, d))
+    first = (F.shiftright("root", 32) * 8 + F.col("root").bitwiseAND(0xFFFFFFFF)).alias("root")
+    return about.select("page", "kind", first, "n", "x0", "x1", "y0", "y1")
+
+
+@query(f"""{_PARTS},
+pts AS MATERIALIZED (SELECT DISTINCT page, kind, root, y::bigint AS y, x::bigint AS x FROM own WHERE kind = 'outer' UNION SELECT DISTINCT page, kind, root, y + dy, x + dx FROM own, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) AS k(dy, dx) WHERE kind = 'hole'),
+sides AS (SELECT a.page, a.kind, a.root, b.x - a.x AS dx, b.y - a.y AS dy FROM pts a JOIN pts b ON a.page = b.page AND a.kind = b.kind AND a.root = b.root AND (a.x <> b.x OR a.y <> b.y) JOIN pts c ON c.page = a.page AND c.kind = a.kind AND c.root = a.root GROUP BY a.page, a.kind, a.root, a.x, a.y, b.x, b.y HAVING min((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)) >= 0),
+box AS (SELECT page, kind, root, round((max(x*dy - y*dx) - min(x*dy - y*dx))::double * (max(x*dx + y*dy) - min(x*dx + y*dy))::double / (dx*dx + dy*dy)::double, 6) AS size, degrees(atan2(dy::double, dx::double)) AS deg FROM sides JOIN pts USING (page, kind, root) GROUP BY page, kind, root, dx, dy),
+turned AS (SELECT page, kind, root, size, round(deg - 90 * ceil((deg - 45) / 90), 6) AS angle FROM box)
+SELECT page, kind, root::bigint AS root, coalesce(min(size), 0) AS size, coalesce(arg_min(angle, ROW(size, abs(angle), angle)), 0) AS angle FROM (SELECT DISTINCT page, kind, root FROM pts) LEFT JOIN turned USING (page, kind, root) GROUP BY page, kind, root""")
+def outline_boxes(spark, d):
+    """The smallest box around each outline."""
+    _, points = R.outlines(*_mask(spark, d))
+    first = (F.shiftright("root", 32) * 8 + F.col("root").bitwiseAND(0xFFFFFFFF)).alias("root")
+    return R.smallest_boxes(points, ("page", "kind", "root")).select("page", "kind", first, "size", "angle")
+
+
 #: Corners within pages of 8 x 8, ordered and never degenerate.
 _QUAD8 = "q8 AS (SELECT DISTINCT page, (page % 3)::double AS x0, (page % 2)::double AS y0, (6 + page % 2)::double AS x1, (page % 4) / 2.0::double AS y1, (5 + page % 3)::double AS x2, (6 + page % 3)::double AS y2, (page % 2)::double AS x3, (5 + page % 2)::double AS y3 FROM v_pixels)"
 
