@@ -11,7 +11,8 @@ VERSION = "0.1.0"
 
 
 def crop_benchmark(spark: SparkSession, input_dir: str, output_dir: str, backends: list[str], dpi: int = 300):
-    """The report's rows: each backend runs over all pages of a folder and writes one document of what it made."""
+    """The report's rows: each backend runs over all pages of a folder and writes one document of what it made. Pages that
+    cannot be read are in no document; ``unreadable_pages`` counts them."""
     from docraster.operators import detect
     from docraster.plans.benchmark import report
     from docraster.plans.ordering import settled
@@ -25,7 +26,8 @@ def crop_benchmark(spark: SparkSession, input_dir: str, output_dir: str, backend
     ordered = files.in_natural_order(found.select("path", "name"))
     if not ordered.take(1):
         raise ValueError("No supported files found for benchmark input.")
-    pages = settled(files.read_pages(spark, ordered, input_dir, dpi)).where("error is null")  # decoded once for all backends
+    read = settled(files.read_pages(spark, ordered, input_dir, dpi))  # decoded once for all backends
+    pages, unreadable = read.where("error is null"), read.where("error is not null").count()
     results, failures = None, []
     for k, b in enumerate(backends):
         try:  # whatever stops a backend is its own row of the report
@@ -40,7 +42,7 @@ def crop_benchmark(spark: SparkSession, input_dir: str, output_dir: str, backend
         results = one if results is None else results.union(one)
     if results is None:
         results = spark.createDataFrame([], "page long, backend_ord int, backend string, detected boolean")
-    return report(results, name, failures)
+    return report(results, name, failures).withColumn("unreadable_pages", F.lit(unreadable))
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -59,6 +61,8 @@ def main(argv: list[str] | None = None) -> int:
 
     rows = crop_benchmark(SparkSession.builder.getOrCreate(), args.input, args.output, args.backends, args.pdf_dpi)
     print(summary(rows))
+    if lost := rows.agg(F.max("unreadable_pages")).first()[0]:
+        print(f"unreadable pages: {lost}")
     return 0 if rows.where("output_pdf is not null").take(1) else 1
 
 

@@ -93,19 +93,24 @@ def find_rectangle(gray: np.ndarray) -> np.ndarray | None:
     return best[1] if best else None
 
 
-def find_lines(gray: np.ndarray) -> np.ndarray | None:
-    """The quad between the outermost upright and level lines."""
+#: The least votes for a line, and the share of the shorter side, step by step.
+LADDER = ((60, 0.35), (45, 0.25), (30, 0.18))
+
+
+def find_lines(gray: np.ndarray, least_lines: int | None = None) -> np.ndarray | None:
+    """The quad between the outermost upright and level lines, of the first step of the ladder that leaves two of each, or
+    where it is given ``least_lines`` of any kind."""
     h, w = gray.shape
     edges = K.closed(K.canny(K.saturated(K.gaussian(gray, 5)), 50, 150), 5, 1)
     deg = lambda t: np.degrees(t % np.pi)
     upright, level = [], []
-    for floor, share in ((60, 0.35), (45, 0.25), (30, 0.18)):  # fewer votes are asked for until there are two lines of each kind
+    for floor, share in LADDER:
         lines = K.hough_lines(edges, max(floor, int(share * min(h, w))))
         upright = [((r - h / 2 * np.sin(t)) / np.cos(t), r, t) for r, t in lines if deg(t) < 30 or deg(t) > 150]
         level = [((r - w / 2 * np.cos(t)) / np.sin(t), r, t) for r, t in lines if 60 < deg(t) < 120]
-        if len(upright) >= 2 and len(level) >= 2:
+        if len(lines) >= least_lines if least_lines else len(upright) >= 2 and len(level) >= 2:
             break
-    if len(upright) < 2 or len(level) < 2:
+    if len(lines) < (least_lines or 0) or len(upright) < 2 or len(level) < 2:
         return None
     pts = []
     for _, ra, ta in (min(upright), max(upright)):
@@ -176,8 +181,26 @@ MODELS = ("paddleocr_uvdoc", "uvdoc", "camscan")
 DEFAULT = ("paddleocr_uvdoc",)
 
 
+#: Other names of a backend.
+ALIASES = {"paddleocr_uvdoc": "uvdoc"}
+
+
+def known_as(backend: str, registry: dict) -> Callable[[np.ndarray], Scan] | None:
+    """The backend of this name, or the one that it is an alias of; what an alias detects bears the alias's name."""
+    if backend in registry or ALIASES.get(backend) not in registry:
+        return registry.get(backend)
+
+    def run(img: np.ndarray) -> Scan:
+        found = registry[ALIASES[backend]](img)
+        if found.detected:
+            found.backend = backend
+        return found
+
+    return run
+
+
 def probe(backend: str) -> None:
-    if backend in BACKENDS:
+    if known_as(backend, BACKENDS):
         return
     if backend in MODELS:
         raise ValueError(f"{backend} is not registered in this environment")
@@ -189,9 +212,10 @@ def scan(img: np.ndarray, backends: Sequence[str] = DEFAULT, registry: dict | No
     registry, errors, last = registry or BACKENDS, [], None
     for b in backends or DEFAULT:
         try:
-            if b not in registry:
+            run = known_as(b, registry)
+            if run is None:
                 probe(b)
-            last = registry[b](img)
+            last = run(img)
             if last.detected:
                 return last, errors
         except Exception as why:  # a backend's failure is data of the page; the next one is tried

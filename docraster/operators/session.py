@@ -61,6 +61,25 @@ def replace(pages: DataFrame, changes: DataFrame) -> DataFrame:
     return out.withColumns({"original": F.coalesce("_original", "original"), "current": F.coalesce("_current", "current"), "name": F.coalesce("_name", "name")}).drop("_original", "_current", "_name")
 
 
+def replace_from_file(pages: DataFrame, entry_id: str, path: str) -> DataFrame:
+    """Replaces an entry's images by those of a file of any codec, and its name by the file's; a file that cannot be read, or
+    an entry that is not there, stops the run."""
+    from docraster.sources import files
+
+    spark = pages.sparkSession
+    if not pages.where(F.col("entry_id") == entry_id).take(1):
+        raise KeyError(f"No such page: {entry_id}")
+    listed = files.checked_list(spark, [path])
+    new = files.stopping(files.read_pages(spark, listed, [path])).orderBy("page_seq").limit(1)
+    return replace(pages, new.select(F.lit(entry_id).alias("entry_id"), F.col("image").alias("original"), "name"))
+
+
+def export_paths(pages: DataFrame, selected_only: bool = False) -> DataFrame:
+    """page_seq and path of the files that an export reads: a projection that touches no pixels."""
+    own = in_scope(pages, selected_only)
+    return own.select(F.row_number().over(W.partitionBy("session_id").orderBy("pos")).alias("page_seq"), "session_id", "path")
+
+
 def apply_postprocess(pages: DataFrame, fn: Column) -> DataFrame:
     """current becomes a function of original, for all pages."""
     return pages.withColumn("current", fn)

@@ -430,6 +430,20 @@ def burst_frames(spark, d):
     return burst(V.frames(spark, d), shots=3, warmup_reads=4).select("cam", "event_id", "shot")
 
 
+@query("""WITH RECURSIVE f AS (SELECT user_id AS cam, event_id, event_type <> 'error' AS ok, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+b(cam, shot, n, us, ok) AS (
+  SELECT cam, 1, n, us, ok FROM f WHERE n = 2
+  UNION ALL
+  SELECT g.cam, g.shot, f.n, f.us, f.ok FROM (SELECT b.cam, b.shot + 1 AS shot, min(f.n) + 1 AS n FROM b JOIN f ON f.cam = b.cam AND f.n > b.n AND f.us >= b.us + 86400000000 WHERE b.ok AND b.shot < 4 GROUP BY b.cam, b.shot) AS g JOIN f ON f.cam = g.cam AND f.n = g.n)
+SELECT b.cam, event_id AS frame_no, shot, CASE WHEN NOT b.ok THEN printf('Failed to capture frame %d/4.', shot) END AS error FROM b JOIN f USING (cam, n)""")
+def burst_by_time(spark, d):
+    """Four shots a day apart, one frame discarded before each; a failed read ends a burst."""
+    from docraster.streaming import camera
+
+    e = V.table(spark, d, "events")
+    return camera.burst_by_time(e.select(F.col("user_id").alias("cam"), F.col("event_id").alias("frame_no"), "ts", (F.col("event_type") != "error").alias("ok")), 4, 86_400, 1)
+
+
 @query("SELECT event_id, concat('cam_', strftime(ts, '%Y%m%d_%H%M%S_'), printf('%06d', microsecond(ts)%1000000)) AS name, concat('retake_', strftime(ts, '%Y%m%d_%H%M%S')) AS retake, concat(strftime(ts, '%Y%m%d_%H%M%S'), '_', lpad((1 + event_id % 3)::varchar, 3, '0')) AS burst FROM events")
 def capture_names(spark, d):
     from docraster.streaming.camera import capture_name
