@@ -46,6 +46,7 @@ def crop_benchmark(spark: SparkSession, input_dir: str, output_dir: str, backend
 
 
 def main(argv: list[str] | None = None) -> int:
+    # The options of the command line
     parser = argparse.ArgumentParser(prog="docraster")
     parser.add_argument("--version", action="version", version=VERSION)
     bench = parser.add_subparsers(dest="command").add_parser("benchmark-crop")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Pixels of a rendered page, the longer side for detection, and the least share of a page.
 MOST_PIXELS, DETECTION_SIDE, LEAST_AREA = 150_000_000, 1600, 0.12
 
 

@@ -51,7 +51,8 @@ def file_list(raw: Column | str) -> Column:
 
 
 def page_numbers(raw: Column | str) -> Column:
-    """Numbers of a typed list, each once and in order; null if it is blank. An error tells of anything else."""
+    """Numbers of a typed list, each once and in order; null if it is blank. An error tells of anything else (fixed values:
+    its texts)."""
     tokens = F.filter(F.split(raw, r"[\s,;]+"), lambda t: t != "")
     bad = F.filter(tokens, lambda t: t.try_cast("bigint").isNull() | (t.try_cast("bigint") < 1))
     said = F.concat(F.lit("Invalid page value: "), F.get(bad, F.lit(0)), F.when(F.get(bad, F.lit(0)).try_cast("bigint") < 1, ". Page numbers must be >= 1.").otherwise(""))

@@ -17,6 +17,7 @@ from docraster.functions import kernels as K
 from docraster.functions.geometry import DETECTION_SIDE, LEAST_AREA
 from docraster.sources.files import pack, unpack
 
+#: Fixed value: pages of less standard deviation hold nothing.
 LEAST_STD = 5.0
 
 

@@ -106,7 +106,7 @@ def capture_name(ts: Column | str, micros: bool = False) -> Column:
 
 
 def health(is_open: Column, is_previewing: Column, error_text: Column) -> Column:
-    """Struct (label, color): an error comes first, then preview, then open."""
+    """Struct (label, color), which are fixed values: an error comes first, then preview, then open."""
     state = lambda label, color: F.struct(F.lit(label).alias("label"), F.lit(color).alias("color"))
     bad = F.coalesce(error_text, F.lit("")) != ""
     return F.when(bad, state("Error", "red")).when(is_previewing, state("Previewing", "green")).when(is_open, state("Open", "orange")).otherwise(state("Closed", "gray"))
