@@ -14,6 +14,10 @@ Middle words that hold much of the corpus are dealt by (u, v) instead, and pairs
 no group holds more than its share; what is then known of a pair or context in several groups is summed in a second,
 small deal. They are found on a sample of texts, and only the balance depends on that.
 
+Buckets grow with the corpus, rows of the shuffles with nothing else: a block of text or a bucket deals to at most ``FAN``
+ranges of buckets, and where there are more buckets, tasks sum what has come to a range, some millions of entries at a
+time, and deal it on to finer ranges.
+
 An array keeps of each 64-bit hash the place in a directory and 32 bits more; stored keys that would be taken for each
 other stand apart with their whole hash, and an unseen n-gram is taken for a seen one in about one of 10^8 cases.
 
@@ -41,6 +45,8 @@ END, BEGIN = np.uint64(0x5EED0000000E0D), np.uint64(0x5EED00000B0E61)
 _K = np.uint64(0xA24BAED4963EE407)
 #: Bytes of text that a bucket of the model stands for, and tokens that a task counts at once.
 BUCKET_BYTES, AT_ONCE = 24 << 20, 2_000_000
+#: Ranges of buckets that one block is dealt to; bytes of text whose counts one task deals on; buckets whose first numbers are in a file.
+FAN, ON_BYTES, SPAN = 1024, 4 << 30, 4096
 #: Numbers of the beginning, and of a word that was never seen.
 FIRST, UNSEEN = np.uint64(0), np.uint64(1 << 40)
 _ID = np.uint64(21)  # bits of a word's number in a packed trigram
@@ -219,20 +225,75 @@ def body_batch(bucket: int, body: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([body], pa.binary())], ["bucket", "body"])
 
 
-def count_words(buckets: int, at_once: int):
-    """Task: texts in, for each bucket a row of packed columns out: hashes of words, and their counts."""
+def each_bucket(to: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket that occurs in ``to``, and the places at which it does, in order."""
+    if len(to):
+        order = np.argsort(to.astype(np.uint16) if int(to.max()) < 1 << 16 else to, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
+            yield int(to[own[0]]), own
+
+
+def rows_of(to: np.ndarray, columns: list[np.ndarray], width: int) -> Iterator[pa.RecordBatch]:
+    """A row of packed columns for each range of ``width`` buckets; the first column is in order."""
+    for b, own in each_bucket(to // width):
+        yield body_batch(b, packed(*(c[own] for c in columns)))
+
+
+def widths(buckets: int, fan: int = FAN) -> list[int]:
+    """Buckets in the ranges that counts are dealt to, step by step, each of at most ``fan`` finer ones; 1 at last."""
+    out = [-(-buckets // fan)]
+    while out[-1] > 1:
+        out.append(-(-out[-1] // fan))
+    return out
+
+
+def count_words(buckets: int, at_once: int, width: int = 1):
+    """Task: texts in, for each range of buckets a row of packed columns out: hashes of words, and their counts."""
 
     def task(batches):
         for tokens, first in blocks_counted(batches, at_once):
             words, code = coded(tokens[counted(first)])
             n = np.bincount(code.astype(np.int64), minlength=len(words))
-            cuts = np.searchsorted(word_bucket(words, buckets), np.arange(buckets + 1))
-            for b in np.flatnonzero(np.diff(cuts)).tolist():
-                yield body_batch(b, packed(words[cuts[b] : cuts[b + 1]], n[cuts[b] : cuts[b + 1]]))
+            yield from rows_of(word_bucket(words, buckets), [words, n], width)
 
     return task
 
 
+def summed_rows(rows: list[list[np.ndarray]], key: int = 0) -> list[np.ndarray]:
+    """Columns of several rows in the order of column ``key``, of which equal values are one; later columns are summed."""
+    keys, at = np.unique(np.concatenate([r[key] for r in rows]), return_inverse=True)
+    sums = [np.zeros(len(keys), np.int64) for _ in rows[0][key + 1 :]]
+    for k, total in enumerate(sums, key + 1):
+        np.add.at(total, at, np.concatenate([r[k] for r in rows]).astype(np.int64))
+    return [keys, *sums]
+
+
+def dealt_on(rows: DataFrame, buckets: int, steps: list[int], again, at_once: int, tasks: int) -> DataFrame:
+    """rows (bucket, body) of ranges of steps[0] buckets as rows of single buckets. again: what several rows hold in all,
+    as the bucket of each entry and the columns. A range's rows may be dealt on by several tasks."""
+
+    def finer(width: int):
+        def task(batches):
+            held, size, range_now = [], 0, None
+            for batch in batches:
+                for b, body in zip(batch.column("bucket").to_pylist(), batch.column("body")):
+                    if held and (b != range_now or size >= at_once):
+                        yield from rows_of(*again(held), width)
+                        held, size = [], 0
+                    range_now = b
+                    held.append(unpacked(body.as_py()))
+                    size += len(held[-1][0])
+            if held:
+                yield from rows_of(*again(held), width)
+
+        return task
+
+    for before, width in zip(steps, steps[1:]):
+        share = F.pmod(F.xxhash64("body"), F.lit(max(1, tasks * before // buckets)))
+        rows = rows.repartition(tasks, F.col("bucket"), share).sortWithinPartitions("bucket").mapInArrow(lean(finer(width)), "bucket int, body binary")
+    return rows
+
+
 CLASSES = 48
 
 
@@ -258,45 +319,75 @@ def class_of(n: np.ndarray) -> np.ndarray:
     return np.minimum(np.frexp(n.astype(np.float64))[1], CLASSES - 1)
 
 
+def first_numbers(folder: str, buckets: int, span: int, base: np.ndarray):
+    """Group: sizes of a span of buckets; writes the first number of each class in each of them. base: that of the span."""
+
+    def group(key, table):
+        k = key[0].as_py()
+        sizes = np.zeros((min(span, buckets - k * span), CLASSES), np.int64)
+        sizes[np.asarray(table.column("bucket")) - k * span] = table.column("sizes").to_pylist()
+        write_file(f"{folder}/first/{k}", [(base[k] + np.cumsum(sizes, axis=0) - sizes).astype(np.uint64).tobytes()])
+        return pa.table({"span": pa.array([k], pa.int32())})
+
+    return group
+
+
 @dataclass
 class Vocabulary:
-    """Numbers of words: by falling class of counts, then by bucket and hash."""
+    """Numbers of words: by falling class of counts, then by bucket and hash. The first number of a class in a bucket is
+    in a file for ``span`` buckets; the driver sees one row of sums for each of these."""
 
     folder: str
     buckets: int
-    first: np.ndarray  # (buckets, classes): the first number of a class in a bucket
+    span: int
+    size: int
+    tokens: int
 
     @classmethod
-    def of(cls, folder: str, buckets: int, sizes: np.ndarray) -> "Vocabulary":
-        falling = sizes[:, ::-1].T.ravel()  # by class, most frequent first, then by bucket
-        first = np.cumsum(falling) - falling + 1  # 0 is the beginning's
-        return cls(folder, buckets, first.reshape(CLASSES, buckets).T[:, ::-1].astype(np.uint64))
+    def of(cls, folder: str, buckets: int, about: DataFrame, span: int = SPAN) -> "Vocabulary":
+        """about: bucket, sizes (words of each class) and tokens of each bucket that has words; a written table."""
+        spanned = about.withColumn("span", F.floor(F.col("bucket") / span).cast("int"))
+        by_class = [F.sum(F.get("sizes", F.lit(k))).alias(f"c{k}") for k in range(CLASSES)]
+        sizes, tokens = np.zeros((-(-buckets // span), CLASSES), np.int64), 0
+        for r in spanned.groupBy("span").agg(F.sum("tokens").alias("tokens"), *by_class).collect():
+            sizes[r["span"]], tokens = [r[f"c{k}"] for k in range(CLASSES)], tokens + r["tokens"]
+        falling = sizes[:, ::-1].T.ravel()  # by class, most frequent first, then by span
+        base = (np.cumsum(falling) - falling + 1).reshape(CLASSES, len(sizes)).T[:, ::-1]  # 0 is the beginning's
+        spanned.groupBy("span").applyInArrow(first_numbers(folder, buckets, span, base), "span int").count()
+        return cls(folder, buckets, span, int(sizes.sum()), tokens)
 
     def look_up(self, words: np.ndarray, files: dict) -> tuple[np.ndarray, np.ndarray]:
         """words: hashes in order. Number and count of each."""
         number, n = np.full(len(words), UNSEEN), np.zeros(len(words), np.int64)
-        cuts = np.searchsorted(word_bucket(words, self.buckets), np.arange(self.buckets + 1))
-        for b in np.flatnonzero(np.diff(cuts)).tolist():
+        for b, own in each_bucket(word_bucket(words, self.buckets)):
             if b not in files:
                 try:
                     raw = mapped(f"{self.folder}/vocabulary/{b}", np.uint8)
+                    first = mapped(f"{self.folder}/first/{b // self.span}", np.uint64).reshape(-1, CLASSES)[b % self.span]
                 except FileNotFoundError:
-                    raw = np.zeros(0, np.uint8)
+                    raw, first = np.zeros(0, np.uint8), None
                 size = len(raw) // 20
-                files[b] = raw[: 8 * size].view(np.uint64), raw[8 * size : 16 * size].view(np.int64), raw[16 * size :].view(np.uint32)
-            keys, counts, places = files[b]
+                files[b] = raw[: 8 * size].view(np.uint64), raw[8 * size : 16 * size].view(np.int64), raw[16 * size :].view(np.uint32), first
+            keys, counts, places, first = files[b]
             if len(keys):
-                own = np.arange(cuts[b], cuts[b + 1])
                 at = np.minimum(np.searchsorted(keys, words[own]), len(keys) - 1)
                 hit = keys[at] == words[own]
                 n[own[hit]] = counts[at[hit]]
-                number[own[hit]] = self.first[b][class_of(counts[at[hit]])] + places[at[hit]]
+                number[own[hit]] = first[class_of(counts[at[hit]])] + places[at[hit]]
         number[words == BEGIN] = FIRST
         return number, n
 
 
-def count_grams(vocabulary: Vocabulary, deal: Deal, at_once: int):
-    """Task: texts in, for each bucket a row of packed columns out: v, u, w and count of each trigram, in order."""
+def grams_to(words: np.ndarray, v: np.ndarray, u: np.ndarray, w: np.ndarray, deal: Deal) -> np.ndarray:
+    """The bucket of each trigram of places in words."""
+    to = dealt(words, deal.buckets)[v]
+    hot = np.flatnonzero(among(words, deal.hot_words)[v])
+    to[hot] = deal.gram(words[u[hot]], words[v[hot]], words[w[hot]])
+    return to
+
+
+def count_grams(vocabulary: Vocabulary, deal: Deal, at_once: int, width: int = 1):
+    """Task: texts in, for each range of buckets a row of packed columns out: v, u, w and count of each trigram, in order."""
 
     def task(batches):
         files = {}
@@ -307,14 +398,7 @@ def count_grams(vocabulary: Vocabulary, deal: Deal, at_once: int):
             own = counted(first)
             (v, u, w), n = summed((code[own - 1], code[own - 2], code[own]), None, len(words))
             del code, own
-            to = dealt(words, deal.buckets)[v]
-            hot = np.flatnonzero(among(words, deal.hot_words)[v])
-            to[hot] = deal.gram(words[u[hot]], words[v[hot]], words[w[hot]])
-            order = np.argsort(to.astype(np.uint16) if deal.buckets < 1 << 16 else to, kind="stable")
-            cuts = np.searchsorted(to[order], np.arange(deal.buckets + 1))
-            for b in np.flatnonzero(np.diff(cuts)).tolist():
-                own = order[cuts[b] : cuts[b + 1]]
-                yield body_batch(b, packed(words[v[own]], words[u[own]], words[w[own]], n[own]))
+            yield from rows_of(grams_to(words, v, u, w, deal), [words[v], words[u], words[w], n], width)
 
     return task
 
@@ -334,17 +418,15 @@ ABOUT = "kind string, bucket int, body binary, sums array<long>"
 _ABOUT = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("body", pa.binary()), ("sums", pa.list_(pa.int64()))])
 
 
-def by_bucket(kind: str, to: np.ndarray, columns: list[np.ndarray]) -> list[tuple]:
-    order = np.argsort(to, kind="stable")
-    cuts = np.flatnonzero(np.diff(to[order], prepend=-1))
-    return [(kind, int(to[own[0]]), packed(*(c[own] for c in columns)), None) for own in np.split(order, cuts[1:]) if len(own)]
+def by_bucket(kind: str, to: np.ndarray, columns: list[np.ndarray], width: int) -> list[tuple]:
+    return [(kind, b, packed(*(c[own] for c in columns)), None) for b, own in each_bucket(to // width)]
 
 
 def rows_out(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), _ABOUT)], schema=_ABOUT) if rows else _ABOUT.empty_table()
 
 
-def word_rows(words: np.ndarray, buckets: int, v: np.ndarray, w: np.ndarray, a: np.ndarray) -> list[tuple]:
+def word_rows(words: np.ndarray, buckets: int, v: np.ndarray, w: np.ndarray, a: np.ndarray, width: int) -> list[tuple]:
     """What pairs (v, w) after ``a`` different words say of single words: number, words before, and of what follows the sum
     of a and how many are 1, 2 and more."""
     at = runs(v)
@@ -352,7 +434,7 @@ def word_rows(words: np.ndarray, buckets: int, v: np.ndarray, w: np.ndarray, a:
     about[:, 0] = np.bincount(w.astype(np.int64), minlength=len(words))
     about[v[at].astype(np.int64), 1:] = spread(a, at)
     some = np.flatnonzero(about.any(1))
-    return by_bucket("word", dealt(words[some], buckets), [words[some], *about[some].T])
+    return by_bucket("word", dealt(words[some], buckets), [words[some], *about[some].T], width)
 
 
 def numbers_to(words: np.ndarray) -> np.ndarray:
@@ -362,20 +444,23 @@ def numbers_to(words: np.ndarray) -> np.ndarray:
     return table
 
 
-def gram_files(folder: str, deal: Deal):
+def merged(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Numbers of words, places among them as v, u, w of the distinct trigrams of several rows, and their counts."""
+    columns = [np.concatenate([p[k].astype(np.uint32 if k else np.uint64) if p[k].itemsize < 8 or not k else p[k] for p in parts]) for k in (0, 1, 2)]
+    n = np.concatenate([p[3] for p in parts])
+    parts.clear()
+    words = np.unique(np.concatenate([np.unique(c).astype(np.uint64) for c in columns]))
+    columns = [np.searchsorted(words, c.astype(np.uint64)).astype(np.uint32) if words[-1] > 1 << 27 else numbers_to(words)[c] for c in columns]
+    columns, n = summed(tuple(columns), n, len(words))
+    return words, columns, n.astype(np.int64)
+
+
+def gram_files(folder: str, deal: Deal, width: int = 1):
     """Group: all trigrams of a bucket; writes its arrays and hands on what it knows of words, hot pairs and contexts."""
 
     def group(key, table):
         b = key[0].as_py()
-        parts = [unpacked(body) for body in table.column("body").to_pylist()]
-        columns = [np.concatenate([p[k].astype(np.uint32 if k else np.uint64) if p[k].itemsize < 8 or not k else p[k] for p in parts]) for k in (0, 1, 2)]
-        n = np.concatenate([p[3].astype(np.uint32) for p in parts])
-        del parts
-        words = np.unique(np.concatenate([np.unique(c).astype(np.uint64) for c in columns]))
-        columns = [np.searchsorted(words, c.astype(np.uint64)).astype(np.uint32) if words[-1] > 1 << 27 else numbers_to(words)[c] for c in columns]
-        (v, u, w), n = summed(tuple(columns), n, len(words))
-        del columns
-        n = n.astype(np.int64)
+        words, (v, u, w), n = merged([unpacked(body) for body in table.column("body").to_pylist()])
         context = pair(words[u], words[v])
         write_file(f"{folder}/grams/{b}", table_of(pair(context, words[w]), n[:, None]))
         # contexts (u, v)
@@ -384,16 +469,16 @@ def gram_files(folder: str, deal: Deal):
         hot = among(words[v[at]], deal.hot_words) & among(hashes, deal.hot_pairs)
         once = (stats[:, 0] == 1) & ((words[u[at]] != FIRST) | (words[v[at]] != FIRST))  # the pairs tell as much
         write_file(f"{folder}/contexts/{b}", table_of(hashes[~hot & ~once], stats[~hot & ~once]))
-        out = by_bucket("context", dealt(hashes[hot], deal.buckets), [np.arange(hot.sum()), hashes[hot], *stats[hot].T]) if hot.any() else []
+        out = by_bucket("context", dealt(hashes[hot], deal.buckets), [np.arange(hot.sum()), hashes[hot], *stats[hot].T], width) if hot.any() else []
         of_grams = counts_of_counts(n)
         # pairs (v, w): each trigram is in one group, so its words before are counted once
         (v, w), a = summed((v, w), None, len(words))
         hot = among(words[v], deal.hot_words)
         if hot.any():
-            out += by_bucket("pair", dealt(pair(words[v[hot]], words[w[hot]]), deal.buckets), [words[v[hot]], words[w[hot]], a[hot]])
+            out += by_bucket("pair", dealt(pair(words[v[hot]], words[w[hot]]), deal.buckets), [words[v[hot]], words[w[hot]], a[hot]], width)
             v, w, a = v[~hot], w[~hot], a[~hot]
         write_file(f"{folder}/pairs/{b}", table_of(pair(words[v], words[w]), a[:, None]))
-        out += word_rows(words, deal.buckets, v, w, a)
+        out += word_rows(words, deal.buckets, v, w, a, width)
         out.append(("grams", None, None, of_grams))
         out.append(("pairs", None, None, counts_of_counts(a)))
         return rows_out(out)
@@ -401,7 +486,15 @@ def gram_files(folder: str, deal: Deal):
     return group
 
 
-def hot_files(folder: str, deal: Deal):
+def pairs_summed(rows: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
+    """Numbers of words, places among them as v, w of the distinct pairs of several rows, and the sum of each."""
+    v, w, a = (np.concatenate(x) for x in zip(*rows))
+    words, code = np.unique(np.concatenate([v, w]), return_inverse=True)
+    (v, w), a = summed(tuple(code.astype(np.uint64).reshape(2, -1)), a.astype(np.int64), len(words))
+    return words, v, w, a
+
+
+def hot_files(folder: str, deal: Deal, width: int = 1):
     """Group: parts of the pairs that begin with a hot word, and of the hot contexts."""
 
     def group(key, table):
@@ -409,20 +502,14 @@ def hot_files(folder: str, deal: Deal):
         kinds, bodies = table.column("kind").to_pylist(), table.column("body").to_pylist()
         contexts = [unpacked(x) for k, x in zip(kinds, bodies) if k == "context"]
         if contexts:
-            hashes, stats = np.concatenate([x[1] for x in contexts]), np.concatenate([np.stack(x[2:], 1) for x in contexts]).astype(np.int64)
-            own, at = np.unique(hashes, return_inverse=True)
-            total = np.zeros((len(own), 4), np.int64)
-            np.add.at(total, at, stats)
-            write_file(f"{folder}/hot-contexts/{b}", table_of(own, total))
+            own, *total = summed_rows(contexts, 1)
+            write_file(f"{folder}/hot-contexts/{b}", table_of(own, np.stack(total, 1)))
         pairs = [unpacked(x) for k, x in zip(kinds, bodies) if k == "pair"]
         if not pairs:
             return _ABOUT.empty_table()
-        v, w, a = (np.concatenate(x) for x in zip(*pairs))
-        words, code = np.unique(np.concatenate([v, w]), return_inverse=True)
-        v, w = code.astype(np.uint64).reshape(2, -1)
-        (v, w), a = summed((v, w), a.astype(np.int64), len(words))
+        words, v, w, a = pairs_summed(pairs)
         write_file(f"{folder}/hot-pairs/{b}", table_of(pair(words[v], words[w]), a[:, None]))
-        return rows_out([*word_rows(words, deal.buckets, v, w, a), ("pairs", None, None, counts_of_counts(a))])
+        return rows_out([*word_rows(words, deal.buckets, v, w, a, width), ("pairs", None, None, counts_of_counts(a))])
 
     return group
 
@@ -431,9 +518,7 @@ def word_files(folder: str):
     """Group: all that is known of a bucket's words; writes its array, and returns sums for the driver."""
 
     def group(key, table):
-        parts = [unpacked(x) for x in table.column("body").to_pylist()]
-        words, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        about = [np.bincount(at, np.concatenate([p[k] for p in parts]), len(words)).astype(np.int64) for k in range(1, 6)]
+        words, *about = summed_rows([unpacked(x) for x in table.column("body").to_pylist()])
         write_file(f"{folder}/words/{key[0].as_py()}", [words.tobytes(), np.stack(about, 1).tobytes()])
         return rows_out([("words", None, None, [int(about[0].sum()), *counts_of_counts(about[0])])])
 
@@ -543,32 +628,57 @@ class Model:
     rest: float  # share of the word level that goes to the uniform level
 
 
-def train(docs: DataFrame, buckets: int | None = None, at_once: int = AT_ONCE, hot_share: float | None = None) -> Model:
+def train(docs: DataFrame, buckets: int | None = None, at_once: int = AT_ONCE, hot_share: float | None = None, fan: int = FAN, span: int = SPAN) -> Model:
     """Counts the texts of docs (column text) and writes the model to the shared folder."""
     spark: SparkSession = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = buckets or max(2 * spark.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES))
-    folder = shared_folder(spark, "kneser-ney")
-    texts = docs.select("text")
-    sizes, tokens = np.zeros((buckets, CLASSES), np.int64), 0
-    counted_words = texts.mapInArrow(lean(count_words(buckets, at_once)), "bucket int, body binary").groupBy("bucket")
-    for r in counted_words.applyInArrow(vocabulary_files(folder), "bucket int, sizes array<long>, tokens long").collect():  # a row a bucket
-        sizes[r["bucket"]], tokens = r["sizes"], tokens + r["tokens"]
-    vocabulary = Vocabulary.of(folder, buckets, sizes)
+    folder, steps = shared_folder(spark, "kneser-ney"), widths(buckets, fan)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // ON_BYTES))
+    texts, width = docs.select("text"), steps[0]
+
+    def on(rows: DataFrame, again) -> DataFrame:
+        return dealt_on(rows.select("bucket", "body"), buckets, steps, again, at_once, tasks)
+
+    def again_seen(rows):
+        words, n = summed_rows(rows)
+        return word_bucket(words, buckets), [words, n]
+
+    seen = on(texts.mapInArrow(lean(count_words(buckets, at_once, width)), "bucket int, body binary"), again_seen)
+    sizes = seen.groupBy("bucket").applyInArrow(vocabulary_files(folder), "bucket int, sizes array<long>, tokens long")
+    vocabulary = Vocabulary.of(folder, buckets, kept(sizes, "sizes"), span)
     share = hot_share or max(0.3 / buckets, 1e-5)
     deal = Deal(buckets, *hot_ones(docs, vocabulary, share))
-    known = texts.mapInArrow(lean(count_grams(vocabulary, deal, at_once)), "bucket int, body binary")
-    about = kept(known.groupBy("bucket").applyInArrow(gram_files(folder, deal), ABOUT), "grams")
-    hot = kept(about.where("kind in ('pair', 'context')").groupBy("bucket").applyInArrow(hot_files(folder, deal), ABOUT), "hot")
-    words = about.union(hot).where("kind = 'word'").groupBy("bucket").applyInArrow(word_files(folder), ABOUT)
+
+    def again_grams(rows):
+        words, (v, u, w), n = merged(rows)
+        return grams_to(words, v, u, w, deal), [words[v], words[u], words[w], n]
+
+    def again_pairs(rows):
+        words, v, w, a = pairs_summed(rows)
+        return dealt(pair(words[v], words[w]), buckets), [words[v], words[w], a]
+
+    def again_contexts(rows):
+        hashes, *stats = summed_rows(rows, 1)
+        return dealt(hashes, buckets), [np.arange(len(hashes)), hashes, *stats]
+
+    def again_words(rows):
+        words, *known = summed_rows(rows)
+        return dealt(words, buckets), [words, *known]
+
+    known = on(texts.mapInArrow(lean(count_grams(vocabulary, deal, at_once, width)), "bucket int, body binary"), again_grams)
+    about = kept(known.groupBy("bucket").applyInArrow(gram_files(folder, deal, width), ABOUT), "grams")
+    hot = [on(about.where(F.col("kind") == k), again).select(F.lit(k).alias("kind"), "bucket", "body") for k, again in (("pair", again_pairs), ("context", again_contexts))]
+    hot = kept(hot[0].union(hot[1]).groupBy("bucket").applyInArrow(hot_files(folder, deal, width), ABOUT), "hot")
+    words = on(about.union(hot).where("kind = 'word'"), again_words).groupBy("bucket").applyInArrow(word_files(folder), ABOUT)
     sums = {"grams": np.zeros(4, int), "pairs": np.zeros(4, int), "words": np.zeros(5, int)}
     every = about.union(hot).union(words).where("sums is not null").select("kind", F.posexplode("sums").alias("at", "n"))
     for r in every.groupBy("kind", "at").agg(F.sum("n").alias("n")).collect():
         sums[r["kind"]][r["at"]] = r["n"]
-    v, (pairs, *few) = int(sizes.sum()), map(int, sums["words"])
+    v, (pairs, *few) = vocabulary.size, map(int, sums["words"])
     d_word = discounts(*few)
     rest = float((d_word[1] * few[0] + d_word[2] * few[1] + d_word[3] * (v - few[0] - few[1])) / pairs) if pairs else 1.0
-    return Model(folder, deal, vocabulary, v, tokens, pairs, discounts(*map(int, sums["grams"])), discounts(*map(int, sums["pairs"])), d_word, rest)
+    return Model(folder, deal, vocabulary, v, vocabulary.tokens, pairs, discounts(*map(int, sums["grams"])), discounts(*map(int, sums["pairs"])), d_word, rest)
 
 
 def hot_ones(docs: DataFrame, vocabulary: Vocabulary, share: float) -> tuple[np.ndarray, np.ndarray]:
@@ -612,10 +722,7 @@ class Lookup:
     def words(self, wanted: np.ndarray) -> np.ndarray:
         """wanted: numbers in order. Words before, and of what follows the sum and how many are 1, 2 and more."""
         out = np.zeros((len(wanted), 5), np.int64)
-        to = dealt(wanted, self.m.deal.buckets)
-        order = np.argsort(to, kind="stable")
-        cuts = np.searchsorted(to[order], np.arange(self.m.deal.buckets + 1))
-        for b in np.flatnonzero(np.diff(cuts)).tolist():
+        for b, own in each_bucket(dealt(wanted, self.m.deal.buckets)):
             if ("words", b) not in self.files:
                 try:
                     raw = mapped(f"{self.m.folder}/words/{b}", np.uint64)
@@ -625,7 +732,6 @@ class Lookup:
                 self.files["words", b] = raw[:n], raw[n:].view(np.int64).reshape(n, 5)
             keys, values = self.files["words", b]
             if len(keys):
-                own = order[cuts[b] : cuts[b + 1]]
                 at = np.minimum(np.searchsorted(keys, wanted[own]), len(keys) - 1)
                 hit = keys[at] == wanted[own]
                 out[own[hit]] = values[at[hit]]
@@ -633,10 +739,7 @@ class Lookup:
 
     def each(self, name: str, to: np.ndarray, hashes: np.ndarray, width: int) -> np.ndarray:
         out = np.zeros((len(hashes), width), np.int64)
-        order = np.argsort(to, kind="stable")
-        cuts = np.searchsorted(to[order], np.arange(self.m.deal.buckets + 1))
-        for b in np.flatnonzero(np.diff(cuts)).tolist():
-            own = order[cuts[b] : cuts[b + 1]]
+        for b, own in each_bucket(to):
             out[own] = self.table(f"{name}/{b}").find(hashes[own], width)
         return out
 

@@ -109,11 +109,11 @@ def test_kneser_ney(spark, tables):
     both = np.unique(model.pair(np.repeat(every[:200], 100), np.tile(some[:100], 200)))
     # the query itself; words and pairs dealt by more than themselves, few tokens at once; a bucket for all
     ways = [lambda: QUERIES["op1_kneser_ney"](spark, d)]
-    for hot, buckets, at_once in (((some, both), 5, 700), ((every, both[:0]), 3, 10**6), ((every[:0], every[:0]), 1, 10**6)):
-        def way(hot=hot, buckets=buckets, at_once=at_once):
+    for hot, buckets, at_once, fan in (((some, both), 5, 700, 1024), ((some, both), 11, 700, 2), ((every, both[:0]), 3, 10**6, 3), ((every[:0], every[:0]), 1, 10**6, 2)):
+        def way(hot=hot, buckets=buckets, at_once=at_once, fan=fan):
             with pytest.MonkeyPatch.context() as m:
                 m.setattr(model, "hot_ones", lambda *_: hot)
-                learnt = model.train(df.where(~model.fold(7)), buckets=buckets, at_once=at_once)
+                learnt = model.train(df.where(~model.fold(7)), buckets=buckets, at_once=at_once, fan=fan, span=2 * fan)
             return model.score(df, learnt).withColumn("held_out", model.fold(7))
 
         ways.append(way)
@@ -128,6 +128,21 @@ def test_kneser_ney(spark, tables):
             assert math.isclose(r["score"], want[r["doc_id"]], rel_tol=1e-9)
 
 
+def test_rows_of_counts_grow_with_the_text_and_not_with_the_buckets():
+    from docraster.llm.kneser_ney import count_words, unpacked, widths, word_bucket
+
+    assert widths(40) == [1] and widths(1025) == [2, 1] and widths(5_000_000) == [4883, 5, 1]
+    text = [prose(random.Random(k), 400) for k in range(40)]
+    made = {}
+    for buckets in (8, 64, 512):
+        steps = widths(buckets, 8)
+        for texts in (text[:20], text):
+            rows = [r for b in count_words(buckets, 1000, steps[0])(pa.RecordBatch.from_arrays([pa.array([t])], ["text"]) for t in texts) for r in b.to_pylist()]
+            made[buckets, len(texts)] = len(rows)
+            assert all((word_bucket(unpacked(r["body"])[0], buckets) // steps[0] == r["bucket"]).all() for r in rows)
+    assert all(made[b, 40] <= 2.2 * made[b, 20] and made[b, 40] <= 1.1 * made[8, 40] for b in (8, 64, 512))
+
+
 def test_hash_arrays_find_what_they_hold():
     from docraster.llm.kneser_ney import Table, packed, summed, table_of, unpacked
 
