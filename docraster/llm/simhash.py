@@ -18,7 +18,7 @@ of them, so that no task gets all rows of one.
 
 Nulls: a null text, or one without words, has fingerprint zero and links like any other; a null doc_id takes part
 and is the component's smallest id only if no other is known. Repeated rows stay rows of their own. An empty
-table gives an empty result.
+table gives an empty result. Very long texts are read a block at a time.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docraster.llm.shared import batches_of, filesystem, hub_join, kept, lean, scratch, shared_folder, write_file
+from docraster.llm.words import blocks_of
 
 _LOWER = bytes(range(0x41)) + bytes(range(0x61, 0x7B)) + bytes(range(0x5B, 256))
 SEED, SHINGLE, DISTANCE = 42, 3, 3
@@ -38,27 +39,54 @@ SEED, SHINGLE, DISTANCE = 42, 3, 3
 # --- fingerprints ---------------------------------------------------------------------------------------------
 
 
-def fingerprints_of(texts: list[str | None], shingle: int = SHINGLE) -> np.ndarray:
-    """64-bit SimHash of each text: bit i is set if it is set in over half the XXH64 of the word shingles."""
-    digest, all_hashes, counts = xxhash.xxh64_intdigest, [], []
-    for text in texts:
-        words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-        line = b" ".join(words)
-        if len(words) <= shingle:
-            found = [digest(line, SEED)] if words else []
-        else:
-            ends = np.cumsum([len(w) + 1 for w in words]) - 1
-            starts = [0, *(ends[:-shingle] + 1).tolist()]
-            found = [digest(line[s:e], SEED) for s, e in zip(starts, ends[shingle - 1 :].tolist())]
+def shingle_hashes(words: list[bytes], shingle: int) -> list[int]:
+    """XXH64 of each run of ``shingle`` words, or of all words if there are no more."""
+    digest, line = xxhash.xxh64_intdigest, b" ".join(words)
+    if len(words) <= shingle:
+        return [digest(line, SEED)] if words else []
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = [0, *(ends[:-shingle] + 1).tolist()]
+    return [digest(line[s:e], SEED) for s, e in zip(starts, ends[shingle - 1 :].tolist())]
+
+
+def bits_of(hashes: list[int]) -> np.ndarray:
+    return np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+
+
+def long_fingerprint(text: str, shingle: int, block: int) -> int:
+    """The fingerprint of one text, whose votes are summed over blocks; a block goes on from the last words before it."""
+    votes, n, words = np.zeros(64, np.int64), 0, []
+    for raw in blocks_of(text.encode("utf-8", "surrogatepass"), size=block):
+        words += raw.translate(_LOWER).split()
+        if len(words) >= shingle:
+            hashes = shingle_hashes(words, shingle)
+            votes += bits_of(hashes).sum(0, dtype=np.int64)
+            n += len(hashes)
+            words = words[len(words) - shingle + 1 :]
+    if not n:  # fewer words than a shingle in all
+        hashes = shingle_hashes(words, shingle)
+        votes, n = votes + bits_of(hashes).sum(0, dtype=np.int64), len(hashes)
+    return int(np.packbits(2 * votes > n, bitorder="little").view(np.uint64)[0])
+
+
+def fingerprints_of(texts: list[str | None], shingle: int = SHINGLE, block: int = 1 << 19) -> np.ndarray:
+    """64-bit SimHash of each text: bit i is set if it is set in over half the XXH64 of the word shingles. Texts of over
+    two blocks of bytes go a block at a time."""
+    all_hashes, counts, longer = [], [], {}
+    for i, text in enumerate(texts):
+        if text and len(text) > 2 * block:
+            longer[i], text = long_fingerprint(text, shingle, block), None
+        found = shingle_hashes((text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split(), shingle)
         all_hashes += found
         counts.append(len(found))
     n = np.array(counts, np.int64)
     out = np.zeros(len(n), np.uint64)
     some = np.flatnonzero(n)
     if len(some):
-        bits = np.unpackbits(np.array(all_hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        votes = np.add.reduceat(bits, np.concatenate([[0], np.cumsum(n[some])[:-1]]), axis=0, dtype=np.int32)
+        votes = np.add.reduceat(bits_of(all_hashes), np.concatenate([[0], np.cumsum(n[some])[:-1]]), axis=0, dtype=np.int32)
         out[some] = np.packbits(2 * votes > n[some, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    for i, fp in longer.items():
+        out[i] = fp
     return out
 
 
