@@ -9,11 +9,12 @@ Tasks work on the distinct words of a batch: the input products of both directio
 gathered per window and step.
 
 Nulls: a null or wordless text has score 0. A null doc_id is learnt from if labelled (which it cannot be) and scored.
-Repeated rows are scored one by one. Very long texts are scored in whole. Without labelled rows every score is 0.
+Repeated rows are scored one by one. Very long texts are scored in whole, a block at a time. Without labelled rows every score is 0.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docraster.llm.shared import batches_of, fold, hand_back, lean, sample_of_labels
-from docraster.llm.words import NOT_ALNUM, Words, mix, words_of
+from docraster.llm.words import NOT_ALNUM, Words, blocks_of, mix, words_of
 
 WIDTH, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM = 24, 16, 8, 16, 8
 TRIGRAMS, MOST_WORDS, LEAST_COUNT = 1024, 20_000, 5
@@ -262,8 +263,29 @@ def fit(sample: list[tuple[str, int]], seed: int = 5, batch: int = 256, warm_ste
     return net
 
 
-def score_texts(net: Net, texts: pa.Array) -> np.ndarray:
-    """Probability of the highest window of each text."""
+def overlapping(text: bytes, block: int) -> Iterator[bytes]:
+    """A long text as parts that have the very windows of the whole between them: each but the last ends with its last full
+    window, and the next begins where the window after that does."""
+    held = b""
+    for raw in blocks_of(text, size=block, breaks=NOT_ALNUM):
+        w = words_of(pa.array([held.decode("utf-8", "surrogatepass")], pa.string()), NOT_ALNUM)
+        full = (len(w.starts) - WIDTH) // STRIDE + 1
+        if full > 0:
+            yield held[: w.ends[(full - 1) * STRIDE + WIDTH - 1]]
+            held = held[w.starts[full * STRIDE] :]
+        held += raw
+    yield held
+
+
+def score_texts(net: Net, texts: pa.Array, block: int = 1 << 20) -> np.ndarray:
+    """Probability of the highest window of each text; one long text goes a block at a time."""
+    if len(texts) == 1 and texts[0].is_valid and texts[0].as_buffer().size > 2 * block:
+        raw = texts[0].as_py().encode("utf-8", "surrogatepass")
+        return np.array([max(highest(net, pa.array([part.decode("utf-8", "surrogatepass")], pa.string()))[0] for part in overlapping(raw, block))])
+    return highest(net, texts)
+
+
+def highest(net: Net, texts: pa.Array) -> np.ndarray:
     windows, doc, distinct, grams, first = encoded(texts)
     out = np.zeros(len(texts))
     if len(windows):
