@@ -23,9 +23,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docraster.llm.shared import batches_of, kept, lean
-from docraster.llm.words import mix, powers, words_of
+from docraster.llm.words import SPACE, mix, powers, words_of
 
 LENGTH, CLOSING = 2048, 0
+#: Bytes of a text from which on it is tokenized in blocks, and of a block.
+LONG, BLOCK = 4 << 20, 1 << 20
 
 
 # --- tokens ---------------------------------------------------------------------------------------------------
@@ -182,6 +184,22 @@ class Tokens:
         return out, bounds
 
 
+    def long_ids(self, text: bytes, block: int) -> np.ndarray:
+        """The ids of one long text and the closing one. Blocks end between a printing ASCII character and ASCII white space,
+        which no chunk spans; where there is no such place a block is as long as it takes."""
+        out, at, step = [], 0, block
+        while at < len(text):
+            raw = np.frombuffer(text, np.uint8, min(step, len(text) - at), at)
+            inner = np.flatnonzero((raw[:-1] > 32) & (raw[:-1] < 127) & SPACE[raw[1:]]) if step < len(text) - at else [len(raw) - 1]
+            if not len(inner):
+                step *= 2
+                continue
+            to = at + int(inner[-1]) + 1
+            out.append(self.ids(pa.array([text[at:to].decode("utf-8")], pa.string()))[0][:-1])
+            at, step = to, block
+        return np.concatenate([*out, [np.uint32(CLOSING)]]).astype(np.uint32)
+
+
 def pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     """Pieces of each document, with their task's number and their rank among its pieces of the same length."""
     import zlib
@@ -192,7 +210,12 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
         tokens, seen, part_no = tokens_for(path), np.zeros(length + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
             for part in batches_of(batch, size=2 << 20):
-                ids, bounds = tokens.ids(part.column("text"))
+                text = part.column("text")
+                if len(text) == 1 and text[0].is_valid and text[0].as_buffer().size > LONG:
+                    ids = tokens.long_ids(text[0].as_py().encode(), BLOCK)
+                    bounds = np.array([0, len(ids)])
+                else:
+                    ids, bounds = tokens.ids(text)
                 total = np.diff(bounds)
                 n = -(-total // length)
                 doc = np.repeat(np.arange(len(n)), n)
