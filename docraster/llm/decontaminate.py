@@ -7,7 +7,8 @@ together, and joined with the benchmark's own. Documents are read once; nothing
 of more than ``at_once`` keys is dealt to several passes over the documents, each with a broadcast of that size at
 most; nothing else depends on the size.
 
-Documents of one text are one case (two 64-bit hashes of the text name it). What is found is small against the
+Documents of one text are one case (two 64-bit hashes of the text name it). A window in a great many texts, or a text of
+a great many documents, is dealt to many tasks (``salted_join``). What is found is small against the
 documents; Spark broadcasts it where its size on disk allows, and joins by a shuffle where not.
 
 Nulls: a null text has no words; an item with a null text or without words has no window, and a null item_id is
@@ -23,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docraster.llm.shared import kept
+from docraster.llm.shared import kept, salted_join
 
 WIDTH, SHARE, KEYS_AT_ONCE = 13, 20, 1_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -99,8 +100,8 @@ def scanned(docs: DataFrame, known: DataFrame, at_once: int = KEYS_AT_ONCE) -> D
 
 def verified(scan: DataFrame, known: DataFrame) -> DataFrame:
     """The windows that do occur, word by word: t1, t2 and n_words of the text, first, length, body; each once."""
-    found = scan.where("first >= 0").select("t1", "t2", "n_words", "first", "length", "body").distinct()
-    return kept(found.join(known.select("length", "body").distinct(), ["length", "body"], "left_semi"), "hits")
+    found = kept(scan.where("first >= 0").select("t1", "t2", "n_words", "first", "length", "body").distinct(), "places")
+    return kept(salted_join(found, known.select("length", "body").distinct(), ["length", "body"], "left_semi"), "hits")
 
 
 def in_order(hits: DataFrame) -> DataFrame:
@@ -108,17 +109,22 @@ def in_order(hits: DataFrame) -> DataFrame:
     return hits.groupBy("t1", "t2").agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_list(F.struct("first", "length"))).alias("found"))
 
 
-def spans(found: Column) -> Column:
-    """Union of the windows as (from, to) word ranges, in order."""
-    start = F.array().cast("array<struct<from:int,to:int>>")
+def spans(found: Column, width: int = WIDTH) -> Column:
+    """Union of the windows as (from, to) word ranges, in order. found: windows of at most ``width`` words in order of their
+    first word, then length. Work grows with their number: a window touches none but the last ``width`` before it."""
+    longest = F.filter(found, lambda s, i: F.coalesce(F.get(found, i + 1)["first"] != s["first"], F.lit(True)))
 
-    def add(acc: Column, s: Column) -> Column:
-        to, last = s["first"] + s["length"], F.element_at(acc, -1)
-        joined = (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["to"] >= s["first"])
-        longer = F.array(F.struct(last["from"].alias("from"), F.greatest(last["to"], to).alias("to")))
-        return F.when(joined, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), longer)).otherwise(F.concat(acc, F.array(F.struct(s["first"].alias("from"), to.alias("to")))))
+    def of(w: Column) -> Column:
+        def end(i: Column) -> Column:
+            """Where the windows up to the i-th end, or -1."""
+            begin = F.greatest(i - width, F.lit(0))
+            return F.coalesce(F.array_max(F.transform(F.slice(w, begin + 1, F.greatest(i - begin + 1, F.lit(0))), lambda s: s["first"] + s["length"])), F.lit(-1))
+
+        opens = F.filter(w, lambda s, i: end(i - 1) < s["first"])
+        closes = F.filter(F.transform(w, lambda s, i: F.struct(end(i).alias("to"), F.get(w, i + 1)["first"].alias("next"))), lambda s: F.coalesce(s["next"] > s["to"], F.lit(True)))
+        return F.zip_with(opens, closes, lambda a, b: F.struct(a["first"].alias("from"), b["to"].alias("to")))
 
-    return F.aggregate(found, start, add)
+    return F.flatten(F.transform(F.array(longest), of))
 
 
 def n_hit(found: Column) -> Column:
@@ -140,21 +146,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, sha
     known = kept(windows(benchmark, width), "windows")
     scan = scanned(docs, known, at_once)
     hits = verified(scan, known)
-    of_text = hits.select("t1", "t2", "length", "body").distinct()
-    named = of_text.join(known.select("length", "body", F.col("item_id").cast("string").alias("item")), ["length", "body"])
+    of_text = kept(hits.select("t1", "t2", "length", "body").distinct(), "windows-of-texts")
+    named = salted_join(of_text, known.select("length", "body", F.col("item_id").cast("string").alias("item")), ["length", "body"])
     named = named.groupBy("t1", "t2").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    about = in_order(hits).join(named, ["t1", "t2"], "left").select("t1", "t2", "items", n_hit(F.col("found")).alias("n_hit"), spans(F.col("found")).alias("spans"))
-    rows = scan.where("first < 0").select("doc_id", "t1", "t2", F.col("n_words").cast("long").alias("n_words")).join(kept(about, "found"), ["t1", "t2"], "left")
+    about = in_order(hits).join(named, ["t1", "t2"], "left").select("t1", "t2", "items", n_hit(F.col("found")).alias("n_hit"), "found")
+    every = scan.where("first < 0").select("doc_id", "t1", "t2", F.col("n_words").cast("long").alias("n_words"))
+    rows = salted_join(every, kept(about, "found"), ["t1", "t2"], "left")
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     items = F.coalesce("items", F.array().cast("array<string>"))
-    return rows.select("doc_id", "n_words", hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), ((hit > 0) & (share * hit >= F.col("n_words"))).alias("contaminated"), F.coalesce("spans", F.array().cast("array<struct<from:int,to:int>>")).alias("spans"))
+    return rows.select("doc_id", "n_words", hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), ((hit > 0) & (share * hit >= F.col("n_words"))).alias("contaminated"), F.coalesce(spans(F.col("found"), width), F.array().cast("array<struct<from:int,to:int>>")).alias("spans"))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: int = SHARE, at_once: int = KEYS_AT_ONCE) -> DataFrame:
     """The documents, whole and with all their columns, that are not contaminated."""
     known = kept(windows(benchmark, width), "windows")
     narrow = docs.select(F.lit(None).cast("long").alias("doc_id"), "text")
-    hits = verified(scanned(narrow, known, at_once), known)
+    scan = scanned(narrow, known, at_once)
+    hits = verified(scan, known)
     bad = kept(in_order(hits).where(share * n_hit(F.col("found")) >= F.col("n_words")).select("t1", "t2"), "contaminated")
     rows = docs.select(F.struct("*").alias("d"), *text_key(F.col("text")))
-    return rows.join(bad, ["t1", "t2"], "left_anti").select("d.*")
+    return salted_join(rows, bad, ["t1", "t2"], "left_anti", counted=scan.where("first < 0")).select("d.*")

@@ -233,3 +233,24 @@ def hub_join(left: DataFrame, right: DataFrame, key: str | list[str], how: str =
     hubs, rest = right.where(F.col(count) > limit).drop(count), right.where(F.col(count) <= limit).drop(count)
     others = left.join(F.broadcast(hubs.select(*key)), key, "left_anti").join(rest, key, how)
     return left.join(F.broadcast(hubs), key).unionByName(others)
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: list[str], how: str = "inner", counted: DataFrame | None = None, least: int = 64) -> DataFrame:
+    """left with right, either with any number of rows of a key; how: inner, left, left_semi or left_anti.
+
+    Of a key with more than a 10,000th of left's rows (and than ``least``), left's rows are dealt by one more number, of as
+    many as keep each deal at about that share, and right's are copied to each. There are at most 10,000 such keys, and
+    only a hash of each and that number are broadcast; numbers sum to 20,000 at most. ``counted`` has a row with the key for
+    each row of left; left itself if not given. Both should be written tables: they are read twice, and a task that is
+    repeated must see its rows in the same order to deal them alike.
+    """
+    h = F.xxhash64(*key)
+    counts = kept((left if counted is None else counted).groupBy(h.alias("_h")).agg(F.count("*").alias("_n")), "key-counts")
+    limit = max(least, (counts.agg(F.sum("_n")).first()[0] or 0) // 10_000)
+    hubs = counts.where(F.col("_n") > limit).select("_h", F.ceil(F.col("_n") / limit).cast("int").alias("_salts"))
+    if hubs.isEmpty():
+        return left.join(right, key, how)
+    near = F.coalesce("_salts", F.lit(1))
+    dealt = left.withColumn("_h", h).join(F.broadcast(hubs), "_h", "left").withColumn("_salt", F.floor(F.rand(17) * near).cast("int")).drop("_h", "_salts")
+    copied = right.withColumn("_h", h).join(F.broadcast(hubs), "_h", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), near - 1))).drop("_h", "_salts")
+    return dealt.join(copied, [*key, "_salt"], how).drop("_salt")
