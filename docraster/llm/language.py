@@ -31,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docraster.llm.shared import batches_of, column, excerpt, fold, hand_back, lean
+from docraster.llm.shared import batches_of, column, fold, hand_back, kept, lean, scratch, within
 from docraster.llm.words import mix
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Bounds of the sample: texts of a language, texts in all, and characters of a text.
-SAMPLE_ROWS, SAMPLE_ALL, SAMPLE_CHARS = 300, 12_000, 20_000
+#: Bounds of the sample: texts of a language, texts in all, and characters in all.
+SAMPLE_ROWS, SAMPLE_ALL, SAMPLE_CHARS = 300, 12_000, 60_000_000
 #: No piece is less likely than this in any language; sums over words of up to PLAIN bytes then need no scaling.
 LEAST, PLAIN, EVERY = 1e-8, 36, 4
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -244,8 +244,8 @@ def drawn_in(total: np.ndarray, size: np.ndarray, mean, bytes_of_prior: int = 64
 
 
 def train(docs: DataFrame, path: str, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, in_all: int = SAMPLE_ALL) -> Model | None:
-    """Fits on about ``rows`` labelled texts of each language, and twice ``in_all`` texts at most; of a text with over
-    ``chars`` characters, as many from a place that its id decides."""
+    """Fits on about ``rows`` labelled texts of each language, whole ones; on twice ``in_all`` texts and ``chars``
+    characters at most (see ``shared.within``)."""
     known = docs.where(~fold(4) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     rows = min(rows, max(1, in_all // max(1, len(sizes))))
@@ -254,8 +254,11 @@ def train(docs: DataFrame, path: str, rows: int = SAMPLE_ROWS, chars: int = SAMP
     rate = F.lit(0.0)
     for lang, n in sizes.items():
         rate = F.when(F.col("lang") == lang, F.lit(min(1.0, rows / n))).otherwise(rate)
-    picked = known.where(u < rate).select("lang", excerpt(F.col("text"), chars, F.col("doc_id")).alias("text"), u.alias("u")).orderBy("u", "lang", "text").limit(2 * in_all).collect()
-    model = fit(sorted((r["lang"], r["text"]) for r in picked), path)
+    picked = known.where(u < rate).select("lang", "text", u.alias("u"))
+    with scratch(docs.sparkSession):
+        drawn = kept(picked, "sample")  # about rows a language; the limit holds where one id repeats without end
+        drawn = within(drawn.orderBy("u", "lang", "text").limit(2 * in_all), chars).collect()
+    model = fit(sorted((r["lang"], r["text"]) for r in drawn), path)
     hand_back()
     return model
 

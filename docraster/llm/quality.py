@@ -9,7 +9,8 @@ A passage's bytes reach from its first word (or the text's start) to the next pa
 depends on nothing but its own text. Long texts are read in blocks of whole passages.
 
 Nulls: a null or wordless text is one passage of zeros, so it gets a score too. A null doc_id is scored. Repeated rows
-are scored one by one; all passages of very long texts count. Without labelled rows of both classes every score is
+are scored one by one; all passages of very long texts count, and are learnt from (``rows`` and ``chars`` bound the
+sample). An empty table gives no rows. Without labelled rows of both classes every score is
 the share of good ones among the labels, or 0.5. Of a column that is called like the result's, the caller's is lost
 unless another name is asked for.
 """
@@ -28,7 +29,7 @@ from docraster.llm.shared import batches_of, column, fold, hand_back, lean, offs
 from docraster.llm.words import blocks_of, words_of
 
 PASSAGE, CODE, ATTENTION, BAG = 40, 16, 8, 128
-SAMPLE_ROWS, SAMPLE_CHARS, THRESHOLD = 1_500, 20_000, 0.7
+SAMPLE_ROWS, SAMPLE_CHARS, THRESHOLD = 1_500, 45_000_000, 0.7
 
 #: Byte classes; the last stands for all bytes that no other names.
 CLASSES = [range(0x61, 0x7B), range(0x41, 0x5B), range(0x30, 0x3A), range(0x80, 0x100), b" ", b"\n\r", b".", b",", b"!?", b";:", b"'\"", b"()[]{}<>", b"|", b"/\\", b"#%&*$@~^+=_`", b"-"]

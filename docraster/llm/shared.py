@@ -156,18 +156,23 @@ def offsets_of(texts: pa.Array) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(lengths)])
 
 
-def excerpt(text: Column, chars: int, key: Column) -> Column:
-    """The text, or of one with over ``chars`` characters as many from a place that the key decides."""
-    start = F.pmod(F.xxhash64(key, F.lit(13)), F.greatest(F.length(text) - chars, F.lit(1))) + 1
-    return F.when(F.length(text) > chars, F.substr(text, start.cast("int"), F.lit(chars))).otherwise(text)
-
-
-def sample_of_labels(spark: SparkSession, labels: DataFrame, docs: DataFrame, label: str, rows: int, max_chars: int) -> list[tuple[str, int]]:
-    """A bounded sample (text, label) to fit a classifier on, about half of either class.
-
-    ``rows`` bounds the rows of a class and ``max_chars`` what is taken of a text, so the driver holds at most
-    3 * rows * max_chars characters. Rows are picked by a hash of their id at a rate that follows from the class
-    sizes; of texts that share an id the first in order is taken.
+def within(sample: DataFrame, chars: int) -> DataFrame:
+    """Of a written sample of a bounded number of rows, those in order of ``u`` whose whole texts have ``chars`` characters
+    between them. A text with over a tenth of that is left out whole, so that no few texts make up the sample."""
+    fitting = sample.where(F.length("text") <= chars // 10)
+    left = chars
+    for r in fitting.select("u", F.length("text").alias("n")).orderBy("u", "n").collect():
+        left -= r["n"]
+        if left < 0:
+            return fitting.where(F.col("u") < r["u"])
+    return fitting
+
+
+def sample_of_labels(spark: SparkSession, labels: DataFrame, docs: DataFrame, label: str, rows: int, chars: int) -> list[tuple[str, int]]:
+    """A bounded sample (whole text, label) to fit a classifier on, about half of either class.
+
+    ``rows`` bounds the rows of a class and ``chars`` the characters in all (see ``within``). Rows are picked by a hash of
+    their id at a rate that follows from the class sizes; of texts that share an id the first in order is taken.
     """
     known = labels.select("doc_id", F.col(label).alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~fold(4))
     sizes = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -180,8 +185,10 @@ def sample_of_labels(spark: SparkSession, labels: DataFrame, docs: DataFrame, la
     if not ids:
         return []
     few = spark.createDataFrame(list(ids.items()), "doc_id long, y int")
-    got = docs.where(F.col("text").isNotNull()).select("doc_id", excerpt(F.col("text"), max_chars, F.col("doc_id")).alias("text")).join(F.broadcast(few), "doc_id")
-    got = got.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).collect()
+    got = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    got = got.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).withColumn("u", u)
+    with scratch(spark):
+        got = within(kept(got, "sample"), chars).collect()
     return [(r.text, r.y) for r in sorted(got, key=lambda r: r.doc_id)]
 
 

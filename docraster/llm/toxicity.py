@@ -9,7 +9,9 @@ Tasks work on the distinct words of a batch: the input products of both directio
 gathered per window and step.
 
 Nulls: a null or wordless text has score 0. A null doc_id is learnt from if labelled (which it cannot be) and scored.
-Repeated rows are scored one by one. Very long texts are scored in whole, a block at a time. Without labelled rows every score is 0.
+Repeated rows are scored one by one. Very long texts are scored in whole, a block at a time, and learnt from in whole
+(``rows`` and ``chars`` bound the sample). Texts whose highest windows tie score alike. Without labelled rows every score
+is 0; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from docraster.llm.words import NOT_ALNUM, Words, blocks_of, mix, words_of
 
 WIDTH, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM = 24, 16, 8, 16, 8
 TRIGRAMS, MOST_WORDS, LEAST_COUNT = 1024, 20_000, 5
-SAMPLE_ROWS, SAMPLE_CHARS, THRESHOLD = 1_200, 20_000, 0.3
+SAMPLE_ROWS, SAMPLE_CHARS, THRESHOLD = 1_200, 36_000_000, 0.3
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x41:0x5B] += 32
 
