@@ -15,7 +15,8 @@ should hold is split into blocks of either, so copies of one vector cannot fill
 query's k best at most, and the last step ranks those.
 
 Nulls: rows with a null id, a null or zero vector, null or non-finite components, or a length other than the most
-frequent one (the larger, if tied) take no part. Ties go to the smaller vec_id; repeated ids are candidates of their
+frequent one (the larger, if tied) take no part. Components of any size do: distances are taken of scaled vectors, and
+scores that a double cannot hold are infinite and tie. Ties go to the smaller vec_id; repeated ids are candidates of their
 own. An empty table gives an empty result.
 """
 
@@ -31,6 +32,9 @@ from docraster.llm.shared import kept
 K, QUERY_EVERY = 20, 20
 SAMPLE, PER_LIST, MOST_LISTS, RECALL = 20_000, 1_000, 4_096, 0.96
 BLOCK, EPSILON, COLUMNS, CHUNK = 4_000, 2.1, 16, 512
+#: Norms are compared as their parts by this, since a norm of finite components may be beyond a double.
+TINY = 2.0**64
+LEAST = np.finfo(np.float64).min
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -39,22 +43,25 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> tuple[DataFrame, dict]:
-    """vec_id and v (array<double>) of the rows that take part; their number, dimension and largest norm."""
+    """vec_id and v (array<double>) of the rows that take part; their number, dimension, and largest norm times ``scale``,
+    which is 1 but where squares of components would overflow."""
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
     v = v.where(F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists("v", lambda x: x != 0))
-    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    sizes = v.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.sqrt(F.max(norm)).alias("norm")).orderBy(F.desc("n"), F.desc("dim")).first()
+    most = F.array_max(F.transform("v", F.abs))
+    part = most / TINY * F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / most) * (x / most)))
+    sizes = v.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(part).alias("part")).orderBy(F.desc("n"), F.desc("dim")).first()
     if sizes is None:
-        return v, {"dim": 0, "n": 0, "norm": 0.0}
-    return v.where(F.size("v") == sizes["dim"]), sizes.asDict()
+        return v, {"dim": 0, "n": 0, "norm": 0.0, "scale": 1.0}
+    scale = 1.0 if sizes["part"] < 1e150 / TINY else 2.0 ** -np.ceil(np.log2(sizes["part"])) / TINY
+    return v.where(F.size("v") == sizes["dim"]), {"dim": sizes["dim"], "n": sizes["n"], "norm": float(sizes["part"] * (TINY * scale)), "scale": float(scale)}
 
 
 class Space:
-    """The rotated space of dimension dim + 1, and the centroids in it."""
+    """The rotated space of dimension dim + 1, and the centroids in it. Vectors come as given and enter times ``scale``."""
 
-    def __init__(self, dim: int, norm: float, sample: np.ndarray, lists: int, seed: int = 7, rounds: int = 8):
+    def __init__(self, dim: int, norm: float, sample: np.ndarray, lists: int, seed: int = 7, rounds: int = 8, scale: float = 1.0):
         rng = np.random.default_rng(seed)
-        self.norm = norm
+        self.norm, self.scale = norm, scale
         self.rotation = np.linalg.qr(rng.standard_normal((dim + 1, dim + 1)))[0]
         x = self.vectors(sample).astype(np.float32)
         c = x[rng.permutation(len(x))[:lists]]
@@ -76,6 +83,8 @@ class Space:
         k = min(k, len(sample) - 1)
         if not k:
             return len(c)
+        sample = sample * self.scale
+        q = sample[::step]
         best = []
         for rows in np.array_split(np.arange(len(q)), max(1, len(q) // 50)):
             near = -(q[rows] @ sample.T)
@@ -86,11 +95,12 @@ class Space:
         return min(len(c), int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1)
 
     def vectors(self, v: np.ndarray) -> np.ndarray:
+        v = v * self.scale
         rest = np.sqrt(np.maximum(self.norm**2 - (v * v).sum(1), 0))
         return np.column_stack([v, rest]) @ self.rotation
 
     def queries(self, v: np.ndarray) -> np.ndarray:
-        return np.column_stack([v, np.zeros(len(v))]) @ self.rotation
+        return np.column_stack([v * self.scale, np.zeros(len(v))]) @ self.rotation
 
     @staticmethod
     def nearest(x: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
@@ -102,7 +112,7 @@ class Space:
         return np.concatenate(out)
 
 
-def scan(ids: np.ndarray, v: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, y: np.ndarray, floor: np.ndarray, k: int, norm: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def scan(ids: np.ndarray, v: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, y: np.ndarray, floor: np.ndarray, k: int, norm: float, scale: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best candidates of each query in one block: (query row, vec_id, score).
 
     v and q are the vectors as given, x and y the rotated ones; floor is the score of a query's k-th best so far.
@@ -110,7 +120,8 @@ def scan(ids: np.ndarray, v: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np
     for those alone that no test has abandoned.
     """
     dims, y_norms = x.shape[1], (y * y).sum(1)
-    limit = y_norms + norm**2 - 2 * floor  # squared distance = |y|^2 + M^2 - 2 <q, v>
+    scaled = lambda s: np.where(np.isneginf(s), s, np.nan_to_num(s, nan=LEAST, posinf=-LEAST) * scale * scale)
+    limit = y_norms + norm**2 - 2 * scaled(floor)  # squared distance = |y|^2 + M^2 - 2 <q, v>
     slack = 1e-9 * (1 + norm**2 + y_norms)
     rows, names, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     for at in range(0, len(ids), CHUNK):
@@ -154,7 +165,7 @@ def scan(ids: np.ndarray, v: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np
         place = np.arange(len(rows)) - np.searchsorted(rows, rows)
         stay = place < k
         full = place == k - 1
-        limit[rows[full]] = np.minimum(limit[rows[full]], y_norms[rows[full]] + norm**2 - 2 * scores[full])
+        limit[rows[full]] = np.minimum(limit[rows[full]], y_norms[rows[full]] + norm**2 - 2 * scaled(scores[full]))
         rows, names, scores = rows[stay], names[stay], scores[stay]
     return rows, names, scores
 
@@ -171,7 +182,7 @@ def neighbours(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, r
     if not len(rows):
         rows = np.eye(1, about["dim"])
     lists = max(1, min(MOST_LISTS, about["n"] // per_list, len(rows)))
-    fitted_space = Space(about["dim"], about["norm"], rows, lists)
+    fitted_space = Space(about["dim"], about["norm"], rows, lists, scale=about["scale"])
     probes = fitted_space.probes_for(rows, k, recall)
     space = v.sparkSession.sparkContext.broadcast(fitted_space)
 
@@ -213,7 +224,7 @@ def neighbours(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, r
         ids, q_ids = (np.asarray(t.column("vec_id").combine_chunks(), np.int64) for t in (found, wanted))
         own, q = (matrix(t.column("v").combine_chunks()) for t in (found, wanted))
         floor = np.asarray(wanted.column("floor").combine_chunks(), np.float64)
-        qi, best, score = scan(ids, own, s.vectors(own), q_ids, q, s.queries(q), floor, k, s.norm)
+        qi, best, score = scan(ids, own, s.vectors(own), q_ids, q, s.queries(q), floor, k, s.norm, s.scale)
         return pa.table({"query_id": pa.array(q_ids[qi]), "vec_id": pa.array(best), "score": pa.array(score)})
 
     def searched(questions: DataFrame) -> DataFrame:
