@@ -7,6 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def image(height: int, width: int, channels: int, data: Column) -> Column:
+    """An image of bytes that come row by row, in the layout of Spark's image source."""
+    from docraster import schema
+
+    whole = {"height": height, "width": width, "nChannels": channels, "mode": schema.GRAY_MODE if channels == 1 else schema.BGR_MODE}
+    return F.struct(F.lit("").alias("origin"), *(F.lit(v).alias(k) for k, v in whole.items()), data.alias("data"))
+
+
 def gray(b: Column, g: Column, r: Column) -> Column:
     """0.299 R + 0.587 G + 0.114 B in 14-bit fixed point, rounded."""
     return F.shiftright(b * 1868 + g * 9617 + r * 4899 + 8192, 14)

@@ -20,6 +20,12 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows spread evenly over the tasks of a shuffle, four to a core at least, for work that is far larger than they are."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
+
+
 def numbered(df: DataFrame, name: str, *order: Column | str, start: int = 1) -> DataFrame:
     """Adds a running number in this order: rows are dealt by ranges of it and sorted there, and each range starts
     after the rows of those before it. Only one row per range goes to all tasks."""

@@ -14,7 +14,7 @@ from docraster.functions import names as N
 from docraster.functions import pixels as P
 from docraster.operators import fallback, presets, session
 from docraster.operators import raster as R
-from docraster.plans.ordering import numbered
+from docraster.plans.ordering import dealt, numbered
 from docraster.sources import views as V
 from docraster.sources.views import duck
 
@@ -691,28 +691,23 @@ def deskew_pages(spark, d):
     return deskewed(small_pages(spark, d)).select("page_seq", F.round("angle", 3).alias("angle"), F.crc32("image.data").alias("pixels_crc32"))
 
 
+def drawn_pages(spark: SparkSession, d: str) -> DataFrame:
+    """page_seq, name, image: a bright box on a dark page of 180 x 240 for each row of embeddings, drawn by column
+    expressions after the rows are dealt out: their table is small, and what is made of them is not."""
+    k = F.col("vec_id")
+    at = lambda first, n: (first + F.pmod(k, F.lit(n))).cast("int")
+    y0, y1, x0, x1 = at(20, 7), at(150, 11), at(30, 13), at(200, 17)
+    dark, bright = (lambda n: F.repeat(F.lit("1E1E1E"), n)), (lambda n: F.repeat(F.lit("EBEBEB"), n))
+    data = F.concat(dark(y0 * 240), F.repeat(F.concat(dark(x0), bright(x1 - x0), dark(240 - x1)), y1 - y0), dark((180 - y1) * 240))
+    return dealt(V.table(spark, d, "embeddings").select("vec_id")).select(k.alias("page_seq"), F.concat(k.cast("string"), F.lit(".png")).alias("name"), P.image(180, 240, 3, F.unhex(data)).alias("image"))
+
+
 @query()
 def detect_pages(spark, d):
     """A drawn page per row of embeddings, through a chain whose first backend has no model."""
-    import numpy as np
-    import pandas as pd
-
-    from docraster import schema
     from docraster.operators.detect import scanned
-    from docraster.sources.files import pack
 
-    def draw(batches):
-        for pdf in batches:
-            for at in range(0, len(pdf), 64):
-                ids, imgs = pdf["vec_id"].iloc[at : at + 64], []
-                for k in ids:
-                    img = np.full((180, 240, 3), 30, np.uint8)
-                    img[20 + k % 7 : 150 + k % 11, 30 + k % 13 : 200 + k % 17] = 235
-                    imgs.append(img)
-                yield pd.DataFrame({"page_seq": ids, "name": ids.astype(str) + ".png", "image": [pack(i) for i in imgs]})
-
-    pages = V.table(spark, d, "embeddings").select("vec_id").mapInPandas(draw, schema.PAGE)
-    out = scanned(pages, ("paddleocr_uvdoc", "opencv_hough", "opencv_minrect"))
+    out = scanned(drawn_pages(spark, d), ("paddleocr_uvdoc", "opencv_hough", "opencv_minrect"), with_image=False)
     return out.select("page_seq", "name", "scan.backend", "scan.detected", F.col("scan.warped.width").alias("width"), F.col("scan.warped.height").alias("height"), F.array_join("scan.errors", "; ").alias("errors"))
 
 

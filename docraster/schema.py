@@ -1,5 +1,6 @@
 """Row types. Rasters have the type of Spark's image source: 8-bit BGR or gray, row by row."""
 
+import pyarrow as pa
 from pyspark.sql import types as T
 
 IMAGE = T.StructType([
@@ -21,5 +22,8 @@ SCAN = T.StructType([
     T.StructField("reason", T.StringType()),
     T.StructField("errors", T.ArrayType(T.StringType())),
 ])
+#: The same for Arrow batches.
+ARROW_IMAGE = pa.struct([("origin", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("nChannels", pa.int32()), ("mode", pa.int32()), ("data", pa.binary())])
+ARROW_SCAN = pa.struct([("warped", ARROW_IMAGE), ("contour", pa.list_(pa.struct([("x", pa.float32()), ("y", pa.float32())]))), ("backend", pa.string()), ("detected", pa.bool_()), ("reason", pa.string()), ("errors", pa.list_(pa.string()))])
 #: Spark's image source: mode 0 is 8-bit gray, 16 is 8-bit BGR.
 GRAY_MODE, BGR_MODE = 0, 16

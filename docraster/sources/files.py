@@ -7,10 +7,12 @@ documents are decoded in Arrow batches, a document giving one row per page. Ever
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +40,30 @@ def unpack(row) -> np.ndarray | None:
     return a.reshape(h, w) if c == 1 else a.reshape(h, w, c)[..., :3]
 
 
+def images_of(column: pa.StructArray) -> Iterator[dict | None]:
+    """The image structs of an Arrow column one by one; ``data`` stays where it is."""
+    fields = {k: column.field(k).to_pylist() for k in ("origin", "height", "width", "nChannels", "mode")}
+    data = column.field("data")
+    for i in range(len(column)):
+        if not column[i].is_valid:
+            yield None
+        else:
+            yield {k: v[i] for k, v in fields.items()} | {"data": data[i].as_buffer() if data[i].is_valid else None}
+
+
+def parts(batch: pa.RecordBatch, image: str, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of so many rows at most, and of so many bytes of images unless one alone is larger."""
+    n = pc.fill_null(pc.binary_length(batch.column(image).field("data")), 0).to_pylist()
+    first, held = 0, 0
+    for i, own in enumerate(n):
+        if i > first and (i - first >= rows or held + own > size):
+            yield batch.slice(first, i - first)
+            first, held = i, 0
+        held += own
+    if first < len(n):
+        yield batch.slice(first)
+
+
 def file_name(path: Column | str) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
