@@ -9,13 +9,15 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from docraster import schema
 from docraster.functions import kernels as K
 from docraster.operators import detect
 from docraster.plans.ordering import numbered_apart
-from docraster.sources.files import pack, unpack
+from docraster.sources.files import few, images_of, pack, parts, unpack
 
 #: The modes' names.
 POSTPROCESSING: dict[str, Callable[[np.ndarray], np.ndarray]] = {
@@ -44,6 +46,10 @@ class Options:
     settings: Settings | None = None
 
 
+#: So many pages, or so many bytes of them, are worked on and handed back at a time.
+ROWS_AT_ONCE, BYTES_AT_ONCE = 256, 16 << 20
+
+
 def enhanced(img: np.ndarray, s: Settings) -> np.ndarray:
     out = K.gain_bias(K.non_local_means(img, max(0, int(s.denoise))), s.contrast, s.brightness)
     return K.binary(K.to_gray(out), s.threshold) if s.apply_threshold else out
@@ -65,15 +71,18 @@ def processed(pages: DataFrame, options: Options = Options()) -> DataFrame:
             img = enhanced(img, options.settings)
         return (K.halves(img) if options.two_page_mode else [img]), hit, errors
 
+    form = pa.schema([("_seq", pa.int64()), ("_half", pa.int32()), ("image", schema.ARROW_IMAGE), ("detected", pa.bool_()), ("errors", pa.list_(pa.string()))])
+
     def task(batches):
-        for pdf in batches:
-            rows = []
-            for seq, image in zip(pdf["page_seq"], pdf["image"]):
-                parts, hit, errors = one(unpack(image))
-                rows += [(seq, k, pack(p), hit, errors) for k, p in enumerate(parts)]
-            yield pd.DataFrame(rows, columns=["_seq", "_half", "image", "detected", "errors"])
-
-    out = pages.select("page_seq", "image").mapInPandas(task, "_seq long, _half int, image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>, detected boolean, errors array<string>")
+        for batch in batches:
+            for part in parts(batch, "image", ROWS_AT_ONCE, BYTES_AT_ONCE):  # results of a whole batch are never held
+                rows = []
+                for seq, image in zip(part.column("page_seq").to_pylist(), images_of(part.column("image"))):
+                    made, hit, errors = one(unpack(image))
+                    rows += [(seq, k, pack(p), hit, errors) for k, p in enumerate(made)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), form)], schema=form)
+
+    out = pages.select(F.col("page_seq").cast("long"), "image").mapInArrow(task, "_seq long, _half int, image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>, detected boolean, errors array<string>")
     return numbered_apart(out, "page_seq", "_seq", "_half").select("page_seq", "image", "detected", "errors")
 
 
@@ -81,7 +90,7 @@ def transformed(pages: DataFrame, fn: Callable[[np.ndarray], np.ndarray]) -> Dat
     """Pages with another image each: a registered post-processing, a turn, a straightening."""
 
     def task(batches):
-        for pdf in batches:
+        for pdf in few(batches):
             yield pdf.assign(image=[pack(fn(unpack(i))) for i in pdf["image"]])
 
     return pages.mapInPandas(task, pages.schema)
@@ -92,7 +101,7 @@ def deskewed(pages: DataFrame) -> DataFrame:
     from pyspark.sql import types as T
 
     def task(batches):
-        for pdf in batches:
+        for pdf in few(batches):
             done = [K.deskew(unpack(i)) for i in pdf["image"]]
             yield pdf.assign(image=[pack(i) for i, _ in done], angle=[a for _, a in done])
 

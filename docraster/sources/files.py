@@ -64,6 +64,13 @@ def parts(batch: pa.RecordBatch, image: str, rows: int, size: int) -> Iterator[p
         yield batch.slice(first)
 
 
+def few(batches: Iterator[pd.DataFrame], rows: int = 256) -> Iterator[pd.DataFrame]:
+    """The batches cut into frames of so many rows at most."""
+    for pdf in batches:
+        for at in range(0, len(pdf), rows):
+            yield pdf.iloc[at : at + rows]
+
+
 def file_name(path: Column | str) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 

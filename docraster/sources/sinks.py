@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docraster.functions import codec, kernels
 from docraster.functions import names as N
-from docraster.sources.files import pack, unpack
+from docraster.sources.files import few, pack, unpack
 
 #: Codecs that are written here; others (JPEG, WebP) can be registered.
 ENCODERS = {"png": codec.png_bytes, "tif": codec.tiff_bytes, "tiff": codec.tiff_bytes, "bmp": codec.bmp_bytes}
@@ -185,7 +185,7 @@ def assets(pages: DataFrame) -> DataFrame:
     kinds = {"original": None, "current": None, "preview_original": (1920, 1080), "preview_current": (1920, 1080), "thumb": (320, 320)}
 
     def task(batches):
-        for pdf in batches:
+        for pdf in few(batches, 32):
             rows = []
             for entry, image in zip(pdf["entry_id"], pdf["image"]):
                 img = unpack(image)

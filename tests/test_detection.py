@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docraster.functions import kernels as K
 from docraster.operators import detect
-from docraster.plans.queries import QUERIES
+from docraster.plans.queries import QUERIES, small_pages
 from docraster.schema import ARROW_IMAGE
 from docraster.sources import files
 
@@ -56,3 +56,19 @@ def test_components_of_a_spiral_and_a_gray_page_in_colours():
     colours = np.stack([gray, gray, 255 - gray], -1)
     assert (K.warp(np.stack([gray] * 3, -1), quad) == K.warp(gray, quad)[..., None]).all()
     assert all((K.warp(colours, quad)[..., c] == K.warp(np.ascontiguousarray(colours[..., c]), quad)).all() for c in range(3))
+
+
+def test_small_pages_are_drawn_by_spark_and_take_one_python_worker(spark, tmp_path):
+    odd = [0.25, None, float("nan"), float("inf"), float("-inf"), -1.5, 1.5, -1.0, 1.0, 0.003921569] + [k / 27 - 1 for k in range(54)]
+    spark.createDataFrame([(5, odd), (-2, odd[::-1])], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    pages = {r["page_seq"]: (r["name"], files.unpack(r["image"])) for r in small_pages(spark, str(tmp_path)).collect()}
+    v = np.array([0 if x is None else x for x in odd], np.float32).astype(float)
+    want = np.clip(np.floor((np.nan_to_num(v, nan=-9, posinf=9, neginf=-9) + 1) * 127.5), 0, 255).astype(np.uint8)
+    want[1] = 0  # what is missing is black
+    assert pages[5][0] == "5.png" and (pages[5][1].ravel() == want).all() and (pages[-2][1].ravel() == want[::-1]).all()
+    made = small_pages(spark, "/root/testdata/sf0.001")
+    assert not [x for x in ("MapInPandas", "MapInArrow") if x in made._jdf.queryExecution().toString()]
+    from docraster.plans.pipeline import Options, processed
+
+    twice = processed(made, Options(detect_document=False, two_page_mode=True))
+    assert [r["page_seq"] for r in twice.orderBy("page_seq").collect()] == list(range(1, 2 * made.count() + 1))
