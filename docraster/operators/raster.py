@@ -1,4 +1,5 @@
-"""Neighbourhood work on pixels as Spark plans: tables of page, y, x and p, with no Python in the workers.
+"""Neighbourhood work on pixels as Spark plans: tables of page, y, x and p, with no Python in the workers but
+for the labels of bands of rows.
 
 Sums are of whole numbers throughout (taps, trigonometric tables and bilinear shares are fixed-point), so a result is
 the same however Spark groups the rows. A page's rows spread over tasks by row, column, line or target pixel; only the
@@ -11,11 +12,15 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docraster.functions import geometry as G
+from docraster.functions.kernels import joined, touching
 
 UNIT_BITS = 12
 
@@ -234,54 +239,136 @@ def skew_angles(points: DataFrame) -> DataFrame:
 # --- outlines -------------------------------------------------------------------------------------------------
 
 
-def runs(mask: DataFrame) -> DataFrame:
-    """page, run, y, x0, x1: the unbroken runs of set pixels (page, y, x) of each row. A run's number grows with its place."""
-    rank = F.row_number().over(W.partitionBy("page", "y").orderBy("x"))
-    found = mask.select("page", "y", "x", (F.col("x") - rank).alias("g")).groupBy("page", "y", "g").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
-    return found.select("page", (F.shiftleft(F.col("y").cast("long"), 32) + F.col("x0")).alias("run"), "y", "x0", "x1")
-
-
-def labelled(found: DataFrame, corners: bool) -> DataFrame:
-    """Runs with ``root``, the number of their component's first run; with ``corners`` pixels that touch there are joined, too.
-
-    Every run takes the least number among its neighbours' and then that run's own, until none changes; each step is
-    kept, so a lost executor costs one.
+#: So many rows of a page, a band, are labelled in one place; a word holds the pixels of so many columns.
+BAND = WORD = 64
+
+
+def bands(mask: DataFrame, sizes: DataFrame) -> DataFrame:
+    """page, band, height, width and words: each band's set pixels (page, y, x) as bits, summed up before they are shuffled."""
+    y, x = F.col("y").cast("int"), F.col("x").cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(WORD)))
+    keys = (F.floor(y / BAND).cast("int").alias("band"), y.alias("y"), F.floor(x / WORD).cast("int").alias("w"))
+    words = mask.groupBy("page", *keys).agg(F.bit_or(bit).alias("bits"))
+    words = words.groupBy("page", "band").agg(F.collect_list(F.struct("y", "w", "bits")).alias("words"))
+    every = sizes.where("height > 0 AND width > 0").select("page", F.col("height").cast("int").alias("height"), F.col("width").cast("int").alias("width"))
+    every = every.withColumn("band", F.explode(F.sequence(F.lit(0), F.floor((F.col("height") - 1) / BAND).cast("int"))))
+    return every.join(words, ["page", "band"], "full")
+
+
+def _band_runs(batch: pa.RecordBatch) -> dict[str, tuple[np.ndarray, ...]]:
+    """By kind: the runs of all bands of a batch in order, as the band's place in it, y, x0 and the place after the last x."""
+    lists = batch.column("words")
+    own, word = pc.list_parent_indices(lists).to_numpy(), lists.flatten()
+    y, w, bits = (word.field(k).to_numpy(zero_copy_only=False) for k in ("y", "w", "bits"))
+    order = np.lexsort((w, y, own))
+    at, bit = np.nonzero(np.unpackbits(np.ascontiguousarray(bits[order]).view(np.uint8).reshape(-1, WORD // 8), axis=1, bitorder="little"))
+    own, y, x = own[order][at], y[order][at].astype(np.int64), w[order][at].astype(np.int64) * WORD + bit
+    new = np.ones(len(x), bool)
+    new[1:] = (own[1:] != own[:-1]) | (y[1:] != y[:-1]) | (x[1:] != x[:-1] + 1)
+    last = np.append(new[1:], True)[: len(new)]
+    outer = own[new], y[new], x[new], x[last] + 1
+
+    height, width, band = (batch.column(k).fill_null(0).to_numpy() for k in ("height", "width", "band"))
+    rows = np.clip(height - band.astype(np.int64) * BAND, 0, BAND)
+    b = np.repeat(np.arange(len(rows)), rows)
+    row = np.arange(len(b)) - np.repeat(np.cumsum(rows) - rows, rows)
+    g, gy, g0, g1 = outer
+    g0, g1 = np.clip(g0, 0, width[g]), np.clip(g1, 0, width[g])
+    inside = (gy >= 0) & (gy < height[g]) & (g1 > g0)
+    line, ground = np.concatenate([b * BAND + row, g[inside] * BAND + gy[inside] % BAND]), np.zeros(len(b), np.int64)
+    ordered = lambda x: x[np.lexsort((x, line))]
+    # a row's gaps reach from its start, or the end of a run, to the next run, or its own end
+    start, end = ordered(np.concatenate([ground, g1[inside]])), ordered(np.concatenate([width[b], g0[inside]]))
+    line, gap = np.sort(line), end > start
+    line = line[gap]
+    return {"outer": outer, "hole": (line // BAND, band[line // BAND].astype(np.int64) * BAND + line % BAND, start[gap], end[gap])}
+
+
+def _labelled_bands(every_run: bool):
+    def task(batches):
+        for batch in batches:
+            height, width = (batch.column(k).fill_null(0).to_numpy() for k in ("height", "width"))
+            for kind, (own, y, x0, x1) in _band_runs(batch).items():
+                shift = min(0, int(x0.min(initial=0)))
+                label = joined(len(y), *touching(own * (BAND + 1) + y % BAND, x0 - shift, x1 - shift, int(x1.max(initial=0)) - shift, kind == "outer"))
+                first, part = np.unique(label, return_inverse=True)
+                order = np.argsort(part, kind="stable")
+                begin = np.searchsorted(part[order], np.arange(len(first)))
+                over = lambda f, v: f.reduceat(v[order], begin) if len(first) else v[:0]  # noqa: B023,E731
+                rim = ((y % BAND == 0) & (y > 0)) | (y % BAND == BAND - 1)
+                edge = (kind == "hole") & ((y == 0) | (y == height[own] - 1) | (x0 == 0) | (x1 == width[own]))
+                outside = over(np.logical_or, edge)
+                kept = ~outside | over(np.logical_or, rim)  # the ground around is done with, unless it goes on in another band
+                listed = (rim | every_run)[order] & kept[part[order]]
+                counts = np.bincount(part[order][listed], minlength=len(first))[kept]
+                starts = pa.array(np.append(0, np.cumsum(counts)), pa.int32())
+                runs = [pa.ListArray.from_arrays(starts, pa.array(v[order][listed], pa.int32())) for v in (y, x0, x1 - 1)]
+                numbers = [over(np.add, x1 - x0), over(np.minimum, x0), over(np.maximum, x1 - 1), over(np.minimum, y), over(np.maximum, y)]
+                columns = [pa.array(v[kept], t) for v, t in zip(numbers, (pa.int64(), *[pa.int32()] * 4))]
+                page = batch.column("page").take(pa.array(own[first][kept]))
+                root = pa.array(((y[first] << 32) + x0[first])[kept], pa.int64())
+                names = ["page", "kind", "root", "n", "x0", "x1", "y0", "y1", "outside", "ys", "x0s", "x1s"]
+                yield pa.RecordBatch.from_arrays([page, pa.array([kind] * len(page), pa.string()), root, *columns, pa.array(outside[kept]), *runs], names=names)
+
+    return task
+
+
+def pieces(mask: DataFrame, sizes: DataFrame, every_run: bool) -> DataFrame:
+    """page, kind, root, n, bounds, whether it is ground around (outside), and runs (ys, x0s, x1s: all, or those at the rims
+    of bands) of what each band has of a component; root, the number of its first run, is the component's.
+
+    Bands are labelled each in one place. What is left to join are the pieces that meet at the rims of bands: every one takes
+    the least root among its neighbours' and then that root's own, until none changes; each step is kept, so a lost executor
+    costs one.
     """
     from docraster.plans.ordering import settled
 
-    found = settled(found)
-    e = 1 if corners else 0
-    a, b = found.select("page", F.col("run").alias("a"), (F.col("y") + 1).alias("y"), F.col("x0").alias("a0"), F.col("x1").alias("a1")), found.select("page", F.col("run").alias("b"), "y", "x0", "x1")
-    meet = a.join(b, ["page", "y"]).where((F.col("a0") <= F.col("x1") + e) & (F.col("x0") <= F.col("a1") + e)).select("page", "a", "b")
-    near = settled(meet.union(meet.select("page", "b", "a")))
-    label = found.select("page", "run", F.col("run").alias("root"))
+    form = "kind string, root long, n long, x0 int, x1 int, y0 int, y1 int, outside boolean, ys array<int>, x0s array<int>, x1s array<int>"
+    found = bands(mask, sizes)
+    made = settled(found.mapInArrow(_labelled_bands(every_run), f"page {found.schema['page'].dataType.simpleString()}, {form}"))
+    run = made.select("page", "kind", "root", F.explode(F.arrays_zip("ys", "x0s", "x1s")).alias("r")).select("page", "kind", "root", "r.*")
+    upper = run.where(F.pmod("ys", F.lit(BAND)) == BAND - 1).select("page", "kind", F.col("root").alias("a"), (F.col("ys") + 1).alias("ys"), F.col("x0s").alias("a0"), F.col("x1s").alias("a1"))
+    lower = run.where(F.pmod("ys", F.lit(BAND)) == 0).withColumnRenamed("root", "b")
+    e = F.when(F.col("kind") == "outer", 1).otherwise(0)
+    meet = upper.join(lower, ["page", "kind", "ys"]).where((F.col("a0") <= F.col("x1s") + e) & (F.col("x0s") <= F.col("a1") + e)).select("page", "kind", "a", "b").distinct()
+    if not upper.take(1):  # no page has a second band
+        return made
+    near = settled(meet.union(meet.select("page", "kind", "b", "a")))
+    label = near.select("page", "kind", F.col("a").alias("run"), F.col("a").alias("root")).distinct()
     while True:
-        best = near.join(label.select("page", F.col("run").alias("b"), F.col("root").alias("r")), ["page", "b"]).groupBy("page", F.col("a").alias("run")).agg(F.min("r").alias("r"))
-        moved = label.join(best, ["page", "run"], "left").select("page", "run", F.col("root").alias("old"), F.least("root", F.coalesce("r", "root")).alias("root"))
-        of = moved.select("page", F.col("run").alias("root"), F.col("root").alias("next"))
-        step = settled(moved.join(of, ["page", "root"]).select("page", "run", "old", F.col("next").alias("root")))
-        label = step.select("page", "run", "root")
+        best = near.join(label.select("page", "kind", F.col("run").alias("b"), F.col("root").alias("r")), ["page", "kind", "b"]).groupBy("page", "kind", F.col("a").alias("run")).agg(F.min("r").alias("r"))
+        moved = label.join(best, ["page", "kind", "run"]).select("page", "kind", "run", F.col("root").alias("old"), F.least("root", "r").alias("root"))
+        of = moved.select("page", "kind", F.col("run").alias("root"), F.col("root").alias("next"))
+        step = settled(moved.join(of, ["page", "kind", "root"]).select("page", "kind", "run", "old", F.col("next").alias("root")))
+        label = step.select("page", "kind", "run", "root")
         if not step.where("old <> root").take(1):
-            return found.join(label, ["page", "run"])
+            break
+    made = made.join(label.select("page", "kind", F.col("run").alias("root"), F.col("root").alias("whole")), ["page", "kind", "root"], "left")
+    made = made.withColumn("root", F.coalesce("whole", "root")).drop("whole")
+    outside = made.where("outside").select("page", "kind", "root").distinct()
+    return made.drop("outside").join(outside.withColumn("outside", F.lit(True)), ["page", "kind", "root"], "left").withColumn("outside", F.coalesce("outside", F.lit(False)))
+
+
+def outline_bounds(mask: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The first table of ``outlines`` alone."""
+    return _bounds(pieces(mask, sizes, False))
+
+
+def _bounds(made: DataFrame) -> DataFrame:
+    return made.where("not outside").groupBy("page", "kind", "root").agg(F.sum("n").alias("n"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
 
 
 def outlines(mask: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The outer outlines of all components of set pixels (which may touch at corners), and the inner ones around their
     holes. First page, kind (outer or hole), root, n pixels and bounds x0, x1, y0, y1 of what each encloses; then points
     (page, kind, root, y, x) whose hull is the outline's. sizes: page, height, width."""
-    whole = labelled(runs(mask), True).withColumn("kind", F.lit("outer"))
-    every = sizes.select("page", "height", "width", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y")).select("page", "height", "width", "y", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"))
-    ground = labelled(runs(every.join(mask.select("page", "y", "x"), ["page", "y", "x"], "left_anti")), False).join(sizes.select("page", "height", "width"), "page")
-    edge = (F.col("y") == 0) | (F.col("y") == F.col("height") - 1) | (F.col("x0") == 0) | (F.col("x1") == F.col("width") - 1)
-    outside = ground.groupBy("page", "root").agg(F.bool_or(edge).alias("outside")).where("not outside").select("page", "root")
-    holes = ground.join(outside, ["page", "root"]).select("page", "run", "y", "x0", "x1", "root", F.lit("hole").alias("kind"))
-    both = whole.select(*holes.columns).unionByName(holes)
-    about = both.groupBy("page", "kind", "root").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("n"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    pt = lambda dy, x: F.struct((F.col("y") + dy).alias("y"), x.alias("x"))
-    x0, x1 = F.col("x0"), F.col("x1")
+    made = pieces(mask, sizes, True)
+    run = made.where("not outside").select("page", "kind", "root", F.explode(F.arrays_zip("ys", "x0s", "x1s")).alias("r")).select("page", "kind", "root", "r.*")
+    pt = lambda dy, x: F.struct((F.col("ys") + dy).alias("y"), x.alias("x"))
+    x0, x1 = F.col("x0s"), F.col("x1s")
     # an inner outline runs over the pixels around the hole
     ends = F.when(F.col("kind") == "outer", F.array(pt(0, x0), pt(0, x1))).otherwise(F.array(pt(0, x0 - 1), pt(0, x1 + 1), pt(-1, x0), pt(-1, x1), pt(1, x0), pt(1, x1)))
-    return about, both.select("page", "kind", "root", F.explode(ends).alias("p")).select("page", "kind", "root", "p.y", "p.x")
+    return _bounds(made), run.select("page", "kind", "root", F.explode(ends).alias("p")).select("page", "kind", "root", "p.y", "p.x")
 
 
 def best_rectangles(mask: DataFrame, sizes: DataFrame, least_area: float = G.LEAST_AREA) -> DataFrame:

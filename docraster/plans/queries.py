@@ -290,7 +290,7 @@ def _mask(spark, d) -> tuple[DataFrame, DataFrame]:
 @query(f"{_PARTS} SELECT page, kind, root::bigint AS root, count(*) AS n, min(x)::int AS x0, max(x)::int AS x1, min(y)::int AS y0, max(y)::int AS y1 FROM own GROUP BY page, kind, root")
 def page_outlines(spark, d):
     """What each page's outlines enclose, those around holes too."""
-    about, _ = R.outlines(*_mask(spark, d))
+    about = R.outline_bounds(*_mask(spark, d))
     first = (F.shiftright("root", 32) * 8 + F.col("root").bitwiseAND(0xFFFFFFFF)).alias("root")
     return about.select("page", "kind", first, "n", "x0", "x1", "y0", "y1")
 

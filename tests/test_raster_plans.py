@@ -116,3 +116,65 @@ def test_perspective_follows_the_kernel(spark):
     quads = spark.createDataFrame([(1, quad)], "page long, quad array<struct<x:double,y:double>>")
     got, want = array(R.straightened(px, quads).collect(), 1), K.warp(img, np.array(quad)).astype(int)
     assert got.shape == want.shape and np.abs(got - want).max() <= 2
+
+
+def flooded(mask, corners):
+    """Labels by a plain flood, in the order of the first pixels; 0 where not set."""
+    out, n = np.zeros(mask.shape, int), 0
+    for start in zip(*np.nonzero(mask)):
+        if out[start]:
+            continue
+        n, todo = n + 1, [start]
+        out[start] = n
+        while todo:
+            y, x = todo.pop()
+            for b, a in ((b, a) for b in (y - 1, y, y + 1) for a in (x - 1, x, x + 1) if corners or b == y or a == x):
+                if 0 <= b < mask.shape[0] and 0 <= a < mask.shape[1] and mask[b, a] and not out[b, a]:
+                    out[b, a] = n
+                    todo.append((b, a))
+    return out
+
+
+def test_outlines_over_several_bands_and_words_against_a_flood(spark, monkeypatch):
+    from docraster.plans import ordering
+
+    kept, plain = [], ordering.settled
+    monkeypatch.setattr(ordering, "settled", lambda df: kept.append(1) or plain(df))
+    rng = np.random.default_rng(8)
+    comb = np.zeros((150, 70), bool)  # teeth that meet in the third band only, around the ground and holes
+    comb[3:140, ::6] = comb[139] = comb[20, 40:60] = True
+    pages = {1: rng.random((200, 131)) < 0.42, 2: comb, 3: ~comb, 4: np.ones((65, 64), bool), 5: np.zeros((128, 3), bool), 6: rng.random((40, 65)) < 0.5}
+    sizes = spark.createDataFrame([(k, *m.shape) for k, m in pages.items()], "page long, height int, width int")
+    mask = spark.createDataFrame([(k, int(y), int(x)) for k, m in pages.items() for y, x in zip(*np.nonzero(m))], "page long, y int, x int").repartition(3)
+    want, hole_points = set(), set()
+    for k, m in pages.items():
+        for kind, labels in (("outer", flooded(m, True)), ("hole", flooded(~m, False))):
+            for i in range(1, labels.max() + 1):
+                y, x = np.nonzero(labels == i)
+                if kind == "hole" and (min(y.min(), x.min()) == 0 or y.max() == m.shape[0] - 1 or x.max() == m.shape[1] - 1):
+                    continue
+                root = (int(y[0]) << 32) + int(x[0])
+                want.add((k, kind, root, len(y), x.min(), x.max(), y.min(), y.max()))
+                if kind == "hole":
+                    hole_points |= {(k, root, b + d, a + e) for b, a in zip(y.tolist(), x.tolist()) for d, e in ((0, 1), (0, -1), (1, 0), (-1, 0)) if m[b + d, a + e]}
+    about, points = R.outlines(mask, sizes)
+    columns = ("page", "kind", "root", "n", "x0", "x1", "y0", "y1")
+    assert {tuple(r[c] for c in columns) for r in about.collect()} == want
+    got = {(r["page"], r["root"], r["y"], r["x"]) for r in points.where("kind = 'hole'").collect()}
+    assert {p for p in got if pages[p[0]][p[2], p[3]]} <= hole_points
+
+    def reach(points):  # that of their hulls in eight directions
+        out = {}
+        for k, root, y, x in points:
+            for way in ((0, 1), (1, 0), (1, 1), (1, -1)):
+                for sign in (1, -1):
+                    key, at = (k, root, way, sign), sign * (way[0] * y + way[1] * x)
+                    out[key] = max(out.get(key, at), at)
+        return out
+
+    assert hole_points and reach(got) == reach(hole_points)
+    assert {tuple(r[c] for c in columns) for r in R.outline_bounds(mask, sizes).collect()} == want
+    # pages of one band are done when that is labelled
+    kept.clear()
+    few = R.outline_bounds(mask.where("page = 6"), sizes.where("page = 6")).collect()
+    assert {tuple(r[c] for c in columns) for r in few} == {w for w in want if w[0] == 6} and len(kept) == 1
